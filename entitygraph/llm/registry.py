@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitygraph.llm import bpe, token_counts
+from entitygraph.llm import bpe, language_id, pii, quality_classifier, quality_rules, token_counts
 from entitygraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +22,41 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.ledger(read(spark, sf_dir, "documents"))
+    base = ~quality_rules.passes("base")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.passes().alias("kept"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(language_id.held_out(), F.lit(False))
+    model = language_id.train(docs, ~held)
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read(spark, sf_dir, "documents"))
+    base = "filter(spans, s -> s.kind in ('email', 'ip', 'card', 'phone'))"
+    said = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.stop)), ',')"
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.expr(f"cast({said.format(base)} as binary)"), 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(quality_classifier.held_out(), F.lit(False))
+    model = quality_classifier.train(docs, read(spark, sf_dir, "labels"), ~held)
+    return quality_classifier.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op8_personal_data": op8_personal_data,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
