@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,18 +41,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames made by :func:`settle` that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        hadoop = spark._jsc.hadoopConfiguration()
-        for path in {os.path.dirname(f) for f in df.inputFiles()}:
-            if path.startswith(shared_folder(spark).split("://")[0]):
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(hadoop).delete(p, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitygraph.llm import bpe, language_id, pii, quality_classifier, quality_rules, token_counts
+from entitygraph.llm import bpe, embedding_links, language_id, pii, quality_classifier, quality_rules, token_counts
 from entitygraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.link(read(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_links": op1_embedding_links,
     "op2_token_counts": op2_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
