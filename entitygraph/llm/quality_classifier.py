@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     columns are not read.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(*keep, text)
+    source = docs.select(*keep, *([] if text in keep else [text]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + ", score double, predicted int"
     packed = pickle.dumps(model)
 

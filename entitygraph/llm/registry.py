@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitygraph.llm import bpe, embedding_links, jaccard_join, language_id, pii, quality_classifier, quality_rules, token_counts
+from entitygraph.llm import bpe, embedding_links, jaccard_join, language_id, line_dedup, pii, quality_classifier, quality_rules, source_mix, token_counts
 from entitygraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(read(spark, sf_dir, "documents")).taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(read(spark, sf_dir, "documents"))
     base = "filter(spans, s -> s.kind in ('email', 'ip', 'card', 'phone'))"
@@ -51,6 +55,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(f"cast({said.format(base)} as binary)"), 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(quality_classifier.held_out(), F.lit(False))
@@ -65,8 +73,10 @@ QUERIES: dict[str, Query] = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_source_mix": op7_source_mix,
     "op8_personal_data": op8_personal_data,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL}
