@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from entitygraph.functions.storage import broadcast_if_small, discard, settle
+from entitygraph.functions.storage import read_table as read
+
+__all__ = ["broadcast_if_small", "crc_class", "discard", "mix64", "read", "settle", "slices", "small_batches", "texts_of"]
+
 #: Words of every operator here: maximal runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -23,41 +26,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='ckpt-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of frames made by :func:`settle` that nothing reads any more."""
-    for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast behind a check of the size; beyond ``limit`` rows the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def crc_class(column: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``: the split between learning and held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitygraph.llm.common import broadcast_if_small, settle, small_batches
-from entitygraph.llm.links import components
+from entitygraph.operators.components import components
 
 THRESHOLD = 0.95
 #: Most vectors on each side of a tile product.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitygraph.llm.common import broadcast_if_small, mix64, settle, slices, small_batches, texts_of
-from entitygraph.llm.links import components
+from entitygraph.operators.components import components
 from entitygraph.llm.shingles import shingle_sets
 
 #: 100 * intersection >= 80 * union.
