@@ -88,11 +88,11 @@ def reassign(rows: DataFrame, panel: Panel, margin: float = 0.05) -> DataFrame:
         main = f["etype"].to_numpy(object) == "cell"
         order = list(dict.fromkeys(label[~main]))
         if not order or not main.any():
-            return pd.DataFrame({"id": f["id"][:0], "entity": [], "etype": []})
+            return pd.DataFrame({"id": f["id"].to_numpy()[:0], "entity": np.zeros(0, object), "etype": np.zeros(0, object)})
         sets = [np.unique(genes[(label == p) & (genes >= 0)]) for p in order]
         to = kernels.reassign_rows(genes, main & f["nuclear"].fillna(False).to_numpy(bool), np.unique(genes[main & (genes >= 0)]), sets, panel.w, margin)
         moved = to > 0
-        return pd.DataFrame({"id": f["id"][moved], "entity": [order[k - 1] for k in to[moved]], "etype": "partial"})
+        return pd.DataFrame({"id": f["id"].to_numpy()[moved], "entity": np.array([order[k - 1] for k in to[moved]], object), "etype": np.full(int(moved.sum()), "partial", object)})
 
     found = live.select("id", "cell", "feature", "nuclear", "entity", "etype").groupBy("cell").applyInPandas(run, f"{_schema(rows, 'id')}, entity string, etype string")
     return _relabel(rows, found)
@@ -136,12 +136,12 @@ def rerank(rows: DataFrame, margin: int = 1) -> DataFrame:
     lab = lab.where(F.col("tail").rlike(r"^(\d+(-\d+)?)?$")).withColumns({"family": F.regexp_extract("tail", r"^(\d*)", 1), "sub": F.regexp_extract("tail", r"^\d+-(\d+)$", 1)})
     names = lab.groupBy("cell", "entity", "family", "sub").agg(F.sum(F.when(F.col("nuclear"), 1).otherwise(0)).alias("n"))
     fam = names.groupBy("cell", "family").agg(F.sum(F.when(F.col("sub") == "", F.col("n")).otherwise(0)).alias("n"), F.sum((F.col("sub") != "").cast("int")).alias("subs"))
-    order = Window.partitionBy("cell").orderBy(F.col("n").desc(), (F.col("family") != "").cast("int"), F.col("family").cast("int"))
+    order = Window.partitionBy("cell").orderBy(F.col("n").desc(), (F.col("family") != "").cast("int"), F.col("family").try_cast("int"))
     fam = fam.withColumn("rank", F.row_number().over(order) - 1)
     main = fam.where("family = ''").select("cell", F.col("n").alias("main_n"))
     swap = fam.where("rank = 0 and family <> ''").join(main, "cell").where(F.col("n") - F.col("main_n") >= margin).select("cell", F.col("subs").alias("s"))
     moved = names.join(fam.select("cell", "family", "rank"), ["cell", "family"]).join(swap, "cell")
-    turn = F.row_number().over(Window.partitionBy("cell", "family", F.col("sub") != "").orderBy(F.col("sub").cast("int")))
+    turn = F.row_number().over(Window.partitionBy("cell", "family", F.col("sub") != "").orderBy(F.col("sub").try_cast("int")))
     moved = moved.withColumn("turn", turn)
     number = (F.col("s") + F.col("rank")).cast("string")
     new = (
