@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitygraph.functions.storage import broadcast_if_small, discard, settle
 from entitygraph.functions.storage import read_table as read
 
-__all__ = ["broadcast_if_small", "crc_class", "discard", "mix64", "read", "settle", "slices", "small_batches", "texts_of"]
+__all__ = ["broadcast_if_small", "crc_class", "discard", "fresh", "mix64", "read", "settle", "slices", "small_batches", "texts_of"]
 
 #: Words of every operator here: maximal runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_class(column: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``: the split between learning and held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitygraph.llm.common import WORD_PATTERN, broadcast_if_small, settle
+from entitygraph.llm.common import WORD_PATTERN, broadcast_if_small, fresh, settle
 
 #: A boundary follows one line in so many on average.
 SPREAD = 3
@@ -69,19 +69,20 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     own, ordered by a hash.  Rows with a null key stay as they are.  An empty table gives an empty result.
     ``n_lines`` and ``n_removed`` replace columns of these names.
     """
+    kh, th, spans_of = fresh(docs, "_kh"), fresh(docs, "_th"), fresh(docs, "_spans")
     gone = settle(repeats(docs, key, text), "gone")
-    spans = gone.select(F.xxhash64("_id").alias("_kh"), "_th", F.struct("start", "n_lines").alias("s")).groupBy("_kh", "_th").agg(F.collect_list("s").alias("_spans"))
+    spans = gone.select(F.xxhash64("_id").alias(kh), F.col("_th").alias(th), F.struct("start", "n_lines").alias("s")).groupBy(kh, th).agg(F.collect_list("s").alias(spans_of))
     spans = broadcast_if_small(spans, gone.count(), BROADCAST_ROWS)
-    rows = docs.drop("n_lines", "n_removed").withColumns({"_kh": F.xxhash64(key), "_th": F.xxhash64(text)}).join(spans, ["_kh", "_th"], "left").drop("_kh", "_th")
-    cleared = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.exists("_spans", lambda s: (i >= s.start) & (i < s.start + s.n_lines))), "\n")
-    removed = F.aggregate("_spans", F.lit(0), lambda total, s: total + s.n_lines)
+    rows = docs.drop("n_lines", "n_removed").withColumns({kh: F.xxhash64(key), th: F.xxhash64(text)}).join(spans, [kh, th], "left").drop(kh, th)
+    cleared = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.exists(spans_of, lambda s: (i >= s.start) & (i < s.start + s.n_lines))), "\n")
+    removed = F.aggregate(spans_of, F.lit(0), lambda total, s: total + s.n_lines)
     return rows.withColumns(
         {
-            text: F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cleared),
+            text: F.when(F.col(spans_of).isNull(), F.col(text)).otherwise(cleared),
             "n_lines": F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"),
             "n_removed": F.coalesce(removed, F.lit(0)).cast("long"),
         }
-    ).drop("_spans")
+    ).drop(spans_of)
 
 
 #: The same in DuckDB SQL, over keys that are unique.

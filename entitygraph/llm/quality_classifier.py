@@ -131,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
     return fit(x, y, (max(1, sizes.get(0, 0)) / total, max(1, sizes.get(1, 0)) / total))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: float = CUT) -> DataFrame:
-    """The columns ``keep`` with ``score`` (0 to 1, higher: class 1 likelier) and ``predicted`` (1 if score >= cut).
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: float = CUT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns ``keep`` with ``score`` (0 to 1, higher: class 1 likelier) and ``predicted`` (1 if score >= cut), or other ``names``.
 
     A null or empty text is scored as a text without words.  Rows are independent:
     ties and repeated rows give repeated results, an empty table an empty one; other
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     """
     small_batches(docs.sparkSession)
     source = docs.select(*keep, *([] if text in keep else [text]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + ", score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + f", {names[0]} double, {names[1]} int"
     packed = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             texts = texts_of(batch, text)
             x = np.array([features(t) for t in texts]).reshape(len(texts), FEATURES)
             s = own.scores(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 

@@ -1,0 +1,173 @@
+"""Quality rules, personal data and line dedup."""
+
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from entitygraph.llm import doc_stats, line_dedup, pii, quality_rules, registry
+
+
+def oracle(sf_dir, sql):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con.sql(sql).df()
+
+
+def same(got, want):
+    c = sorted(want.columns)
+    assert c == sorted(got.columns)
+    key = lambda f: sorted(map(tuple, f[c].astype(object).where(f[c].notna(), None).itertuples(index=False)), key=repr)
+    assert key(got) == key(want)
+
+
+# --- rules --------------------------------------------------------------------------------------
+
+
+def brute_windows(words, size=8):
+    seen, covered = {}, set()
+    for i in range(len(words) - size + 1):
+        seen.setdefault(tuple(words[i : i + size]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            for i in at:
+                covered |= set(range(i, i + size))
+    return len(covered)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=60))
+def test_repeated_windows(words):
+    codes = np.unique(words, return_inverse=True)[1] if words else np.zeros(0, int)
+    assert doc_stats.repeated_window_words(codes, len(set(words))) == brute_windows(words)
+
+
+def test_rules_equal_sql(spark, sf_dir):
+    same(registry.op5_quality_rules(spark, sf_dir).toPandas(), oracle(sf_dir, quality_rules.SQL))
+
+
+def test_ledger_of_odd_rows(spark):
+    long = " ".join(f"w{k}" for k in range(50_000))
+    rows = [(1, None, "x"), (2, "", None), (3, "a " * 40, None), (4, long, None), (4, long, None), (5, "ABC DEF! " * 20, None), (6, "### " * 30 + long[:2000], None)]
+    got = {r.doc_id: r for r in quality_rules.ledger(spark.createDataFrame(rows, "doc_id long, text string, failures string")).collect()}
+    bit = quality_rules.BIT
+    assert got[1].failures == got[2].failures == bit["few_words"]
+    assert got[3].failures & bit["repeated_windows"] and got[3].failures & bit["stutter"]
+    assert got[4].failures == 0 and got[4].n_words == 50_000
+    assert got[5].failures & bit["shouting"] and got[6].failures & bit["symbols"]
+    assert quality_rules.ledger(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ablations(spark):
+    bit = quality_rules.BIT
+    found = spark.createDataFrame([(1, 0), (2, bit["few_words"]), (3, bit["few_words"] | bit["symbols"]), (4, bit["symbols"]), (5, bit["long_words"])], "doc_id long, failures long")
+    got = {r.rule: (r.n_failed, r.n_failed_alone) for r in quality_rules.ablations(found).collect()}
+    assert got["few_words"] == (2, 1) and got["symbols"] == (2, 1) and got["shouting"] == (0, 0) and "long_words" not in got
+    assert found.where(quality_rules.passes()).count() == 2 and found.where(quality_rules.passes("base")).count() == 3
+
+
+# --- personal data ------------------------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m.group().split(".")),  # noqa: B023
+                "card": lambda: 14 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0,  # noqa: B023
+                "phone": lambda: 10 <= len(d) <= 15,  # noqa: B023
+            }[kind]()
+            if ok:
+                out.append((m.start(), list(BASE).index(kind), m.end()))
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab@.-+ ()0123456789%é", max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    got = [(a, list(BASE).index(k), b) for a, b, k, _ in pii.find(text) if k in BASE]
+    assert got == brute_spans(text)
+
+
+def test_added_spans_and_scores():
+    found = {k: (a, b, s) for a, b, k, s in pii.find("Bank account GB82 WEST 1234 5698 7654 32 and ssn 123-45-6789, card 4111 1111 1111 1111.")}
+    assert found["iban"][2] == 1.0 and found["ssn"][2] >= pii.THRESHOLD and found["card"][2] == 1.0
+    assert not pii.find("GB82 WEST 1234 5698 7654 33 and 123-45-6789 alone")
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_scans_stay_linear():
+    assert pii.find("a" * 300_000) == [] and pii.find("1" * 300_000) == [] and pii.find("+" * 200_000) == []
+
+
+def test_spans_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "é x@y.de", 3), (3, "é x@y.de", 3)], "doc_id long, text string, spans int")
+    got = [(r.doc_id, [(s.kind, s.start, s.stop) for s in r.spans]) for r in pii.find_spans(docs).collect()]
+    assert sorted(got) == [(1, []), (2, []), (3, [("email", 2, 8)]), (3, [("email", 2, 8)])]
+    assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_span_query(spark, sf_dir):
+    import hashlib
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in registry.op8_personal_data(spark, sf_dir).collect():
+        want = [f"{list(BASE)[k]}:{a}:{b}" for a, k, b in brute_spans(texts[r.doc_id])]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(r.spans.split(",") if r.spans else [])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in BASE]
+
+
+# --- lines --------------------------------------------------------------------------------------
+
+
+def test_dedup_equals_sql(spark, sf_dir):
+    same(registry.op9_line_dedup(spark, sf_dir).toPandas(), oracle(sf_dir, line_dedup.SQL))
+
+
+def test_passages_go_and_the_rest_stays(spark):
+    rng = np.random.default_rng(0)
+    line = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    passage, block = line(60), "\n".join(line(8) for _ in range(40))
+    rows = [(i, "\n".join([line(9), passage, line(9)]), "k") for i in range(6)] + [(10, line(9) + "\n" + block, "k"), (11, block + "\n" + line(9), "k")] + [(20 + i, line(30), "k") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string")
+    got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    assert passage in got[0].text and not any(passage in got[i].text for i in range(1, 6))
+    assert all(got[i].n_removed == 1 and got[i].n_lines == 3 for i in range(1, 6))
+    assert got[10].n_removed == 0 and got[11].n_removed >= 30
+    assert all(got[i].text == t for i, t, _ in rows if i >= 20 or i in (0, 10)) and got[0]._spans == "k"
+
+
+def test_dedup_of_odd_rows(spark):
+    long = "\n".join(f"line {k}" for k in range(5000))
+    rows = [(1, None), (2, ""), (3, "a\nb"), (4, long), (4, long), (5, long), (None, long)]
+    got = sorted(((r.doc_id or 0), r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0] == (0, 5000, 0, long)
+    assert got[1:4] == [(1, 0, 0, None), (2, 1, 0, ""), (3, 2, 0, "a\nb")]
+    assert got[4] == got[5] == (4, 5000, 0, long)
+    assert got[6][:2] == (5, 5000) and got[6][2] > 3000
+    assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_no_python_in_the_plan(spark, sf_dir):
+    plan = registry.op9_line_dedup(spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("mask", quality_rules.POLICIES.values())
+def test_policies_hold_the_base(mask):
+    assert mask & quality_rules.BASE == quality_rules.BASE
