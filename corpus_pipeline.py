@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitygraph.llm import bpe, jaccard_join, line_dedup, quality_classifier, source_mix
-from entitygraph.llm.common import broadcast_if_small, read, settle
+from entitygraph.llm.common import broadcast_if_small, fresh, read, settle
 
 #: Rows of ids up to which they are broadcast to the documents (about 24 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -16,7 +16,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the quality classifier predicts as class 1; the columns of ``docs``."""
     held = F.coalesce(quality_classifier.held_out(), F.lit(False))
     model = quality_classifier.train(docs, read(spark, sf_dir, "labels"), ~held)
-    return quality_classifier.score(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    names = fresh(docs, "_score"), fresh(docs, "_predicted")
+    return quality_classifier.score(docs, model, keep=tuple(docs.columns), names=names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes its words, to the nearest whole copy."""
-    taken = source_mix.mix(docs).taken.where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"))
-    taken = settle(taken.where("_copies > 0"), "taken")
+    copies, copy = fresh(docs, "_copies"), fresh(docs, "_copy")
+    taken = source_mix.mix(docs).taken.where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(copies))
+    taken = settle(taken.where(F.col(copies) > 0), "taken")
     drawn = docs.join(broadcast_if_small(taken, taken.count(), BROADCAST_ROWS), "doc_id")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
