@@ -37,6 +37,8 @@ PERCENT = 80
 BANDS, BAND_ROWS = 48, 5
 #: Most sets of one search.
 TILE = 1024
+#: Most sets on a side where members of a band are asked across tiles; smaller, as bands repeat members.
+BAND_TILE = 256
 #: Rows of (id, group) up to which they are broadcast to the documents (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: DivideSkip's weight of a binary search against a merge step.
@@ -219,7 +221,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
     reach = components(links)
     wide = groups.where("m > 1").select("rep")
     if wide.limit(1).count():
-        more = _across_tiles(docs, classes, wide, reach, key, text, tile, kind, arrow_kind)
+        more = _across_tiles(docs, classes, wide, reach, key, text, min(tile, BAND_TILE), kind, arrow_kind)
         if more is not None:
             reach = components(links.unionByName(more))
     known = classes.select("k1", "k2", "n", "rep").join(reach.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
