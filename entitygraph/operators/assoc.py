@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitygraph.functions import scalars as S
@@ -319,6 +319,7 @@ def count_matrix(obs: DataFrame, cell: str = "cell") -> tuple[DataFrame, DataFra
     return x, x.groupBy(cell).agg(F.sum("n").alias("n_points"), F.count("*").alias("n_features"))
 
 
-def rank_value(column: str, by: list[str], descending: bool = True) -> Column:
-    order = F.col(column).desc() if descending else F.col(column).asc()
-    return F.row_number().over(Window.partitionBy(*by).orderBy(order))
+def panel_presence(present: DataFrame, panel: DataFrame) -> DataFrame:
+    """The binary matrix in long form over the panel's vocabulary only."""
+    vocabulary = symmetric(panel).select(F.col("a").alias("feature")).distinct()
+    return present.join(broadcast_if_small(vocabulary), "feature", "left_semi").select("cell", "feature").distinct()

@@ -149,3 +149,18 @@ def pearson_residuals(counts: DataFrame, theta: float = 100.0) -> DataFrame:
     z = (F.col("n") - mu) / F.sqrt(mu + mu * mu / theta)
     most = F.sqrt(F.col("m"))
     return counts.join(cells, "cell").join(genes, "feature").crossJoin(F.broadcast(all_)).select("cell", "feature", F.greatest(F.least(z, most), -most).alias("value"))
+
+
+def principal_components(counts: DataFrame, k: int = 2) -> DataFrame:
+    """(cell, pc array<double>): principal components of a sparse long matrix (cell, feature, value)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    names = [r[0] for r in counts.select("feature").distinct().orderBy("feature").collect()]
+    number = F.create_map(*(v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))))
+    size = len(names)
+    vector = F.udf(lambda p: Vectors.sparse(size, sorted((int(i), float(v)) for i, v in p)), VectorUDT())
+    rows = counts.groupBy("cell").agg(F.collect_list(F.struct(number[F.col("feature")].alias("i"), F.col("value").alias("v"))).alias("p"))
+    rows = rows.select("cell", vector("p").alias("features"))
+    return PCA(k=k, inputCol="features", outputCol="pc").fit(rows).transform(rows).select("cell", vector_to_array("pc").alias("pc"))

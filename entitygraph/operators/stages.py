@@ -18,7 +18,7 @@ from entitygraph.functions.scalars import bin_of, offsets_column
 from entitygraph.functions.storage import broadcast_if_small
 from entitygraph.operators import assoc, entity, grid, kernels
 from entitygraph.operators.components import components
-from entitygraph.operators.spatial_join import radius_join
+from entitygraph.operators.spatial_join import knn_per_label, radius_join
 
 
 class Panel:
@@ -218,6 +218,34 @@ def spatial_split(rows: DataFrame, edges: DataFrame, least: int = 1) -> DataFram
     return _relabel(rows, moved.select("id", name.alias("_e"), F.when(F.col("n") < least, "unknown").otherwise(F.col("etype")).alias("etype")).withColumnRenamed("_e", "entity"))
 
 
+def knn_split(rows: DataFrame, k: int = 5, trim: float = 0.1, least: int = 1) -> DataFrame:
+    """Each entity cut into the components of its own k-nearest-neighbour graph without its longest edges.
+
+    Of an entity's edges the share ``trim`` of greatest length goes (by percentile).
+    """
+    live = rows.where(~L.is_unassigned("entity") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    edges = knn_per_label(live, k, "entity")
+    cut = edges.groupBy("entity").agg(F.percentile("length", F.lit(1 - trim)).alias("cut"))
+    kept = edges.join(cut, "entity").where(F.col("length") <= F.col("cut")).select("src", "dst")
+    return spatial_split(rows, kept, least)
+
+
+def z_scale(rows: DataFrame, entities: int = 50, per_entity: int = 200) -> float:
+    """The usual distance in z within an entity, from all pairs of at most ``per_entity`` points of at most ``entities`` entities.
+
+    Points and entities are chosen by hash; the estimator samples, as its definition says.
+    """
+    live = rows.where(~L.is_unassigned("entity") & F.col("z").isNotNull())
+    chosen = live.select("entity").distinct().orderBy(F.xxhash64("entity"), "entity").limit(entities)
+    rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.xxhash64("id"), "id"))
+    few = live.join(F.broadcast(chosen), "entity").withColumn("_r", rank).where(F.col("_r") <= per_entity).select("entity", "z").collect()
+    by: dict[str, list[float]] = {}
+    for e, z in few:
+        by.setdefault(e, []).append(z)
+    gaps = [np.abs(np.subtract.outer(v, v))[np.triu_indices(len(v), 1)] for v in by.values() if len(v) > 1]
+    return kernels.z_threshold(np.concatenate(gaps)) if gaps else float("nan")
+
+
 # --- rescue ---------------------------------------------------------------------------------------
 
 

@@ -212,3 +212,12 @@ def dump_receipt(cfg: PipelineConfig, path: str | Path, **more: object) -> None:
 def set_seed(seed: int) -> None:
     """Seed numpy's global generator; the operators themselves are seeded by their arguments."""
     np.random.seed(seed)
+
+
+def reproducibility_smoke_test(spark) -> bool:
+    """Whether neighbours with near ties come out alike from two partitionings."""
+    from entitygraph.operators.spatial_join import knn_capped
+
+    points = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, -1.0, 0.0, 0.0), (3, 0.0, 1.0 + 1e-9, 0.0), (4, 0.0, -1.0, 0.0), (5, 0.0, 0.0, 1.0)], "id long, x double, y double, z double")
+    first, second = (sorted(map(tuple, knn_capped(points.repartition(n), 2, 1.5).collect())) for n in (1, 5))
+    return first == second

@@ -233,6 +233,17 @@ def symmetric_panel(spark, d):
     return assoc.symmetric(assoc.normalize_panel(raw)).select("a", "b", rnd("w", "w"))
 
 
+@register("exclude_contexts", f"WITH {POINTS} SELECT feature, count(*) AS n FROM pts WHERE label NOT IN ('UNASSIGNED', '-1', 'DROP', 'nan', 'None', '') GROUP BY 1")
+def exclude_contexts(spark, d):
+    return assoc.exclude_contexts(_points(spark, d), cell="label").groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@register("panel_presence", f"{SCORED}, v AS (SELECT DISTINCT a FROM both_ WHERE w > {TAU}) SELECT cell, feature FROM pres JOIN v ON a = feature")
+def panel_presence(spark, d):
+    p = _panel(spark, d).where(F.col("w") > TAU)
+    return assoc.panel_presence(assoc.presence(_points(spark, d)), p)
+
+
 @register("bootstrap_ci")
 def bootstrap_ci(spark, d):
     t = assoc.pairs(assoc.presence(_points(spark, d)))
@@ -837,6 +848,36 @@ def _tuned():
     )
 
 
+@register("maha_remerge")
+def maha_remerge(spark, d):
+    rows = _cloud(spark, d).withColumns({"entity": F.col("cell"), "etype": F.lit("partial")})
+    return stages.maha_remerge(rows, _panel(spark, d), 2.0, 2.0, floor=-0.5).select("id", "entity", "etype")
+
+
+@register("knn_split")
+def knn_split(spark, d):
+    rows = _cloud(spark, d).withColumns({"entity": F.col("cell"), "etype": F.lit("cell")})
+    return stages.knn_split(rows, 3, 0.1).select("id", "entity")
+
+
+@register("group_components")
+def group_components(spark, d):
+    rows = _cloud(spark, d).withColumns({"entity": F.lit("-1"), "etype": F.lit("unknown")})
+    return stages.group_components(rows, _edges(spark, d), stages.Panel(_panel(spark, d)), 2, NEGATIVE)
+
+
+@register("stitch")
+def stitch(spark, d):
+    rows = _cloud(spark, d).withColumns({"entity": F.concat("cell", F.lit("-"), (F.col("id") % 4 + 1).cast("string")), "etype": F.lit("partial")})
+    pairs = grid.witness_pairs(grid.build_index(rows, 2.0, 2.0), "8", 1, 2).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    return stages.stitch(rows, stages.Panel(_panel(spark, d)), settle(pairs, "pairs"))
+
+
+@register("z_scale")
+def z_scale(spark, d):
+    return spark.createDataFrame([(stages.z_scale(_rows(spark, d)),)], "z_scale double")
+
+
 # --- comparison, tiles, streams -----------------------------------------------------------------------
 
 
@@ -874,6 +915,21 @@ def adjusted_information(spark, d):
     return spark.createDataFrame([(round(v, 6),)], "ami double")
 
 
+@register(
+    "unassigned_encodings",
+    f"""WITH {POINTS} SELECT count(DISTINCT CASE WHEN label = '-1' THEN 'UNASSIGNED' ELSE label END) AS mega, count(DISTINCT CASE WHEN label = '-1' THEN 'UNASSIGNED#' || id ELSE label END) AS single,
+    count(DISTINCT CASE WHEN label <> '-1' THEN label END) AS dropped FROM pts""",
+)
+def unassigned_encodings(spark, d):
+    code = lambda how: F.countDistinct(compare.encode_unassigned("label", "id", how))
+    return _points(spark, d).agg(code("mega").alias("mega"), code("single").alias("single"), code("drop").alias("dropped"))
+
+
+@register("principal_components")
+def principal_components(spark, d):
+    return compare.principal_components(compare.normalized_log(assoc.feature_counts(_points(spark, d))), 3)
+
+
 @register("dominant_purity", f"WITH {CT} SELECT {r('(SELECT sum(m) FROM (SELECT max(n) AS m FROM ct GROUP BY a)) / (SELECT sum(n) FROM ct)')} AS purity")
 def dominant_purity(spark, d):
     return compare.dominant_purity(compare.contingency(_partitions(spark, d), "o_orderstatus", "o_orderpriority")).select(rnd("purity", "purity"))
