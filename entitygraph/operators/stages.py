@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
 from entitygraph.functions.scalars import bin_of, offsets_column
-from entitygraph.functions.storage import broadcast_if_small
+from entitygraph.functions.storage import broadcast_if_small, numbered, settle
 from entitygraph.operators import assoc, entity, grid, kernels
 from entitygraph.operators.components import components
 from entitygraph.operators.spatial_join import knn_per_label, radius_join
@@ -378,7 +378,7 @@ def group_components(rows: DataFrame, edges: DataFrame, panel: Panel, least: int
     kept = edges.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi")
     comp = all_components(free, kept)
     big = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, least))
-    big = big.withColumn("number", F.row_number().over(Window.orderBy("component")) - 1)
+    big = numbered(big, ["component"])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         genes = panel.codes(f["feature"])
@@ -437,8 +437,9 @@ def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | N
         return pd.DataFrame(out, columns=["id", "t", "density", "ax", "ay"])
 
     rows_ = keyed.select("island", "id", "feature", "bx", "by").groupBy("island").applyInPandas(run, f"{_schema(rows, 'id')}, t int, density int, ax int, ay int")
-    anchors = rows_.select("t", "density", "ax", "ay").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.col("t").desc(), F.col("density").desc(), "ax", "ay")) - 1)
-    return rows_.join(anchors, ["t", "density", "ax", "ay"]).select("id", F.concat(F.lit("cascade_"), "k", F.lit("-1")).alias("entity"), F.lit("partial").alias("etype"))
+    rows_ = settle(rows_.withColumns({"nt": -F.col("t"), "nd": -F.col("density")}).drop("t", "density"), "anchored")
+    anchors = numbered(rows_.select("nt", "nd", "ax", "ay").distinct(), ["nt", "nd", "ax", "ay"], "k")
+    return rows_.join(anchors, ["nt", "nd", "ax", "ay"]).select("id", F.concat(F.lit("cascade_"), "k", F.lit("-1")).alias("entity"), F.lit("partial").alias("etype"))
 
 
 # --- stitching ------------------------------------------------------------------------------------

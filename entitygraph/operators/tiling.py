@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitygraph.functions.storage import broadcast_if_small
+from entitygraph.functions.storage import broadcast_if_small, numbered
 from entitygraph.operators.graph import hulls
 from entitygraph.operators.spatial_join import nearest_seed, point_in_polygon
 
@@ -30,18 +30,16 @@ def interior(x: str, y: str, bounds: tuple[str, str, str, str], buffer: float) -
 def balanced_partition(centres: DataFrame, parts: int) -> DataFrame:
     """Centres with ``part``: equal numbers along a Z-order curve of 2^10 by 2^10 cells, so parts are compact.
 
-    One sorted rank over one row an entity; it is not the minimal cut of a neighbour graph.
+    It is not the minimal cut of a neighbour graph.
     """
     box = centres.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     scaled = lambda c: F.least(F.coalesce(F.floor((F.col(c) - F.col(f"{c}0")) / F.nullif(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(0.0)) * 1024), F.lit(0)), F.lit(1023)).cast("long")
     bits = lambda v, shift: sum((F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + shift) for k in range(10)), F.lit(0).cast("long"))
     z = bits(scaled("x"), 0) + bits(scaled("y"), 1)
     keyed = centres.crossJoin(F.broadcast(box)).withColumn("_z", z).drop("x0", "x1", "y0", "y1")
-    # Parts by rank: counts per curve cell first, so that the global window runs over at most 2^20 rows.
-    cell = keyed.groupBy("_z").agg(F.count("*").alias("c"))
-    ahead = cell.select("_z", (F.sum("c").over(Window.orderBy("_z").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("ahead"), F.sum("c").over(Window.partitionBy()).alias("total"))
-    rank = F.row_number().over(Window.partitionBy("_z").orderBy("entity")) - 1
-    return keyed.withColumn("_r", rank).join(ahead, "_z").withColumn("part", F.floor((F.col("ahead") + F.col("_r")) * parts / F.col("total")).cast("int")).drop("_z", "_r", "ahead", "total")
+    placed = numbered(keyed, ["_z", "entity"], "_r")
+    total = centres.agg(F.count("*").alias("_total"))
+    return placed.crossJoin(F.broadcast(total)).withColumn("part", F.floor(F.col("_r") * parts / F.col("_total")).cast("int")).drop("_z", "_r", "_total")
 
 
 def edge_cuts(edges: DataFrame, parted: DataFrame) -> DataFrame:
