@@ -249,6 +249,10 @@ class StitchRule:
     absent_counts: bool = True
     rescue_floor: float = -0.2
     rescue_distance: float | None = 1.0
+    #: Greatest distance of two centres that may merge; None: any.
+    reach: float | None = None
+    #: Greatest number of members of a merger; None: any.
+    most_members: int | None = None
 
 
 @dataclass
@@ -260,6 +264,7 @@ class Part:
     is_cell: bool
     points: np.ndarray
     depth: int = 0
+    members: int = 1
 
 
 def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray, rule: StitchRule) -> np.ndarray:
@@ -288,6 +293,13 @@ def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray,
         na, nb = max(1, now[a].n), max(1, now[b].n)
         return union - 1 / (na + nb) - max(own(a) - 1 / na, own(b) - 1 / nb), union
 
+    def allowed(a: int, b: int) -> bool:
+        if (now[a].is_cell and now[b].is_cell) or max(now[a].depth, now[b].depth) >= rule.depth:
+            return False
+        if rule.most_members is not None and now[a].members + now[b].members > rule.most_members:
+            return False
+        return rule.reach is None or float(np.linalg.norm(now[a].points.mean(0) - now[b].points.mean(0))) <= rule.reach
+
     def passes(dc: float, union: float, a: int, b: int) -> bool:
         return dc >= rule.least_gain or (union >= rule.bypass and now[a].n + now[b].n <= rule.bypass_size)
 
@@ -303,14 +315,14 @@ def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray,
     while queue:
         _, a, b = heapq.heappop(queue)
         a, b = find(a), find(b)
-        if a == b or (now[a].is_cell and now[b].is_cell) or max(now[a].depth, now[b].depth) >= rule.depth:
+        if a == b or not allowed(a, b):
             continue
         dc, union = gain(a, b)
         if not passes(dc, union, a, b) and not (rescued(dc) and mahalanobis(now[a].points, now[b].points) <= rule.rescue_distance):
             continue
         keep, gone = min(a, b), max(a, b)
         parent[gone] = keep
-        now[keep] = Part(np.union1d(now[a].genes, now[b].genes), now[a].n + now[b].n, now[a].is_cell or now[b].is_cell, np.vstack([now[a].points, now[b].points]), max(now[a].depth, now[b].depth) + 1)
+        now[keep] = Part(np.union1d(now[a].genes, now[b].genes), now[a].n + now[b].n, now[a].is_cell or now[b].is_cell, np.vstack([now[a].points, now[b].points]), max(now[a].depth, now[b].depth) + 1, now[a].members + now[b].members)
         values.pop(keep, None)
     return np.array([find(k) for k in range(len(parts))])
 

@@ -680,6 +680,13 @@ def component_delaunay(spark, d):
     return graph.component_delaunay(c, "tile")
 
 
+@register("component_stitch")
+def component_stitch(spark, d):
+    e = _featured(spark, d)
+    reach = settle(graph.all_components(e, _edges(spark, d)), "reach")
+    return stages.stitch_components(e.drop("entity"), reach, _panel(spark, d), 10.0)
+
+
 @register("hulls")
 def hulls(spark, d):
     return graph.hulls(_points(spark, d), "cell").select("polygon", F.size("ring").alias("n_vertices"))
