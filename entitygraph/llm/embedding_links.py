@@ -177,3 +177,15 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     good = rows.where("_ok").join(known, "_v").select("_id", "n_links", "component")
     out = good.unionByName(rows.where("not _ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component")))
     return out.select(F.col("_id").alias(key), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+#: The links in DuckDB SQL, for small tables: every pair is compared.
+SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e, len(e) AS d, sqrt(list_inner_product(e, e)) AS h FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND a.d = b.d AND list_inner_product(a.e, b.e) >= 0.95 * a.h * b.h),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY 1),
+r AS (SELECT vec_id AS a, vec_id AS c FROM g UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+m AS (SELECT a AS vec_id, min(c) AS c FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m.c, vec_id) AS component_id, vec_id = coalesce(m.c, vec_id) AS kept FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN m USING (vec_id)
+"""

@@ -250,3 +250,17 @@ def _across_tiles(docs, classes, wide, reach, key, text, tile, kind, arrow_kind)
     held = rows.select("band", "rep", "label", F.lit(False).alias("ask"), own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("mq") - 1)).alias("part"))
     dealt = asks.unionByName(held).join(sets, "rep")
     return settle(dealt.groupBy("band", "tile", "part").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "more")
+
+
+#: The join in DuckDB SQL, for small tables: all pairs that share a shingle, counted.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.a),
+m AS (SELECT a AS doc_id, min(c) AS c FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
