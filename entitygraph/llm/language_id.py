@@ -23,6 +23,8 @@ from entitygraph.llm.sampling import per_class
 
 #: Learning rows of each language that the fit uses at most (about), landmarks of each, and of all.
 SAMPLE_PER_LANGUAGE = 300
+#: Learning rows of all languages together.
+MOST_SAMPLE = 3000
 LANDMARKS_PER_LANGUAGE = 24
 MOST_LANDMARKS = 256
 RIDGE = 1e-3
@@ -143,7 +145,7 @@ def train(docs: DataFrame, learn: Column | None = None, key: str = "doc_id", lab
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    sample, _ = per_class(rows.select(key, label, text), key, label, bound)
+    sample, _ = per_class(rows.select(key, label, text), key, label, bound, MOST_SAMPLE)
     found = sample.select(label, F.substring(text, 1, longest).alias("t"), key).collect()
     return fit([(r[0], r[1]) for r in sorted(found, key=lambda r: (r[0], str(r[2]), r[1]))])
 
