@@ -25,9 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def settle(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
+def settle(df: DataFrame, name: str = "stage", compact: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors.
+
+    ``compact`` is for tables of ids, which iterations write again and again: two files a
+    core of the cluster at most, however many partitions the shuffle had.
+    """
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(2 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -13,24 +13,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternates large-star and small-star steps: every node points its larger
     neighbours, then its smaller ones, at the smallest node it knows.  Minima come
-    from partial aggregation and are joined back to the edges, so a hub with a third of
-    all edges can be split by the skew join and is never gathered.  Each round is
-    written to the shared folder.  Edges with nulls or equal ends are ignored.
+    from partial aggregation and are written before they are joined back, so that the
+    join has a plain shuffle on both sides: a hub with a third of all edges is then split
+    by the skew join and never gathered.  Each round is written to the shared folder.  Edges with nulls or equal ends are ignored.
     """
-    e = settle(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") < F.col("v"))).distinct(), "edges")
+    e = settle(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") < F.col("v"))).distinct(), "edges", compact=True)
     state = None
     for _ in range(most_rounds):
         # Large star: each larger neighbour v of u moves to the smallest of u and its neighbours.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least", compact=True)
         large = e.join(least, "u").select(F.col("m").alias("u"), "v").distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = settle(large.groupBy("v").agg(F.min("u").alias("m")), "low", compact=True)
         small = large.join(low, "v").select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"))
         small = small.unionByName(low.select(F.col("m").alias("u"), "v")).where("u < v").distinct()
-        after = settle(small, "edges")
+        after = settle(small, "edges", compact=True)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(e)
+        discard(e, least, low)
         e = after
         if state == now:
             roots = e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
