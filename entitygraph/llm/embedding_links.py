@@ -120,7 +120,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     placed = classes.select("rep", "size", "_v", "codes", F.size("_v").alias("width"), F.posexplode("codes").alias("t", "code"))
     # Buckets of more than one tile: at most (vectors * tables / tile) rows.
     wide = classes.select(F.size("_v").alias("width"), F.posexplode("codes").alias("t", "code")).groupBy("width", "t", "code").count().where(F.col("count") > tile)
-    wide = settle(wide.select("width", "t", "code", F.ceil(F.col("count") / tile).cast("int").alias("m")), "wide")
+    wide = settle(wide.select("width", "t", "code", F.ceil(F.col("count") / tile).cast("int").alias("m")), "wide", compact=True)
     n_wide = wide.count()
     if n_wide:
         placed = placed.join(broadcast_if_small(wide, n_wide, BROADCAST_ROWS), ["width", "t", "code"], "left")
@@ -170,7 +170,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     kind = classes.schema["rep"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out_schema = pa.schema([("rep", id_type), ("links", pa.int64()), ("root", id_type)])
-    found = settle(dealt.groupBy("width", "t", "code", "lo", "hi").applyInArrow(tiles, f"rep {kind}, links bigint, root {kind}"), "links")
+    found = settle(dealt.groupBy("width", "t", "code", "lo", "hi").applyInArrow(tiles, f"rep {kind}, links bigint, root {kind}"), "links", compact=True)
     reach = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.select("_v", "rep", "size").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(reach.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("_v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))

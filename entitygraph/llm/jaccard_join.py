@@ -210,14 +210,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
     shared = keyed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
     near = keyed.join(shared, "band").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     groups = components(near).withColumnsRenamed({"node": "rep", "component": "gid"})
-    sizes = groups.groupBy("gid").agg(F.ceil(F.count("*") / tile).cast("int").alias("m"))
-    groups = settle(groups.join(sizes, "gid"), "groups")
+    # Groups of several tiles alone are looked up, and they are few: at most (representatives / tile).
+    groups = settle(groups, "reach", compact=True)
+    wide = settle(groups.groupBy("gid").agg(F.ceil(F.count("*") / tile).cast("int").alias("m")).where("m > 1"), "wide", compact=True)
+    groups = settle(groups.join(broadcast_if_small(wide, wide.count(), BROADCAST_ROWS), "gid", "left").withColumn("m", F.coalesce("m", F.lit(1))), "groups", compact=True)
     n_groups = groups.count()
     own = F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("m")).cast("int")
     # The smallest member stands in every tile of its group.
     dealt = shingles_of(docs, groups, n_groups, key, text).withColumn("tile", F.explode(F.when(F.col("rep") == F.col("gid"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))))
     dealt = dealt.withColumns({"ask": F.lit(True), "label": F.xxhash64("rep")})
-    links = settle(dealt.groupBy("gid", "tile").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "links")
+    links = settle(dealt.groupBy("gid", "tile").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "links", compact=True)
     reach = components(links)
     wide = groups.where("m > 1").select("rep")
     if wide.limit(1).count():
@@ -234,22 +236,22 @@ def _across_tiles(docs, classes, wide, reach, key, text, tile, kind, arrow_kind)
     """Links across the tiles of large groups, in the bands that still hold several components."""
     members = classes.join(wide, "rep", "left_semi").join(reach.withColumnRenamed("node", "rep"), "rep", "left")
     members = members.select("rep", F.xxhash64(F.coalesce("component", "rep")).alias("label"), F.explode("bands").alias("band"))
-    members = settle(members, "members")
+    members = settle(members, "members", compact=True)
     parts = members.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
     open_ = parts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("k"), F.sum("h").alias("h")).where("k > 1")
     # Bands with the same members are searched once.
     open_ = open_.groupBy("c", "h").agg(F.min(F.struct("band", "top")).alias("s")).select(F.col("s.band").alias("band"), F.col("s.top.label").alias("top"), F.ceil(F.col("c") / tile).cast("int").alias("m"), F.ceil((F.col("c") - F.col("s.top.c")) / tile).cast("int").alias("mq"))
-    open_ = settle(open_, "open")
-    rows = settle(members.join(open_, "band"), "asked")
+    open_ = settle(open_, "open", compact=True)
+    rows = settle(members.join(open_, "band"), "asked", compact=True)
     if not rows.limit(1).count():
         return None
-    reps = settle(rows.select("rep").distinct(), "reps")
+    reps = settle(rows.select("rep").distinct(), "reps", compact=True)
     sets = settle(shingles_of(docs, reps, reps.count(), key, text), "sets")
     own, mine = F.pmod(F.xxhash64("rep", F.lit("index")), F.col("m")).cast("int"), F.pmod(F.xxhash64("rep", F.lit("query")), F.col("mq")).cast("int")
     asks = rows.where("label != top").select("band", "rep", "label", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("tile"), mine.alias("part"))
     held = rows.select("band", "rep", "label", F.lit(False).alias("ask"), own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("mq") - 1)).alias("part"))
     dealt = asks.unionByName(held).join(sets, "rep")
-    return settle(dealt.groupBy("band", "tile", "part").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "more")
+    return settle(dealt.groupBy("band", "tile", "part").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "more", compact=True)
 
 
 #: The join in DuckDB SQL, for small tables: all pairs that share a shingle, counted.
