@@ -12,13 +12,6 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def weight_matrix(panel: list[tuple[int, int, float]], size: int, absent: float = np.nan) -> np.ndarray:
-    w = np.full((size, size), absent)
-    for i, j, v in panel:
-        w[i, j] = w[j, i] = v
-    return w
-
-
 def percentile(values: np.ndarray, at: float) -> float:
     """Linear interpolation between order statistics."""
     return float(np.percentile(values, at))

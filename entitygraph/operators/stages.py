@@ -22,23 +22,44 @@ from entitygraph.operators.spatial_join import knn_per_label, radius_join
 
 
 class Panel:
-    """A panel on the driver for the kernels: features by number and a dense matrix.
+    """A panel for the kernels: sorted pair keys and weights, broadcast once.
 
-    The vocabulary bounds its size (checked); it is sent once with each stage's function.
+    Workers cut the dense block of one group's features out of it, so memory follows the
+    number of pairs, not the square of the vocabulary.  The number of pairs is checked.
     """
 
-    MOST = 20_000
+    MOST_PAIRS = 20_000_000
 
     def __init__(self, panel: DataFrame, absent: str = "skip"):
-        rows = panel.select("gi", "gj", "w").collect()
-        self.names = sorted({r[0] for r in rows} | {r[1] for r in rows})
-        if len(self.names) > self.MOST:
-            raise ValueError("the vocabulary is too large for a dense panel")
-        self.number = {g: k for k, g in enumerate(self.names)}
-        self.w = kernels.weight_matrix([(self.number[r[0]], self.number[r[1]], float(r[2])) for r in rows], len(self.names), 0.0 if absent == "zero" else np.nan)
+        rows = panel.select("gi", "gj", "w").limit(self.MOST_PAIRS + 1).toPandas()
+        if len(rows) > self.MOST_PAIRS:
+            raise ValueError("the panel has too many pairs to broadcast")
+        names = sorted(set(rows["gi"]) | set(rows["gj"]))
+        number = {g: k for k, g in enumerate(names)}
+        i, j = (rows[c].map(number).to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64) for c in ("gi", "gj"))
+        keys = np.concatenate([i * len(names) + j, j * len(names) + i])
+        order = np.argsort(keys, kind="stable")
+        self.absent = 0.0 if absent == "zero" else np.nan
+        self._shared = panel.sparkSession.sparkContext.broadcast((number, keys[order], np.tile(rows["w"].to_numpy(float), 2)[order]))
 
     def codes(self, features: pd.Series) -> np.ndarray:
-        return features.map(self.number).fillna(-1).astype(int).to_numpy()
+        """Numbers of features over the whole vocabulary, -1 outside it."""
+        return features.map(self._shared.value[0]).fillna(-1).astype(np.int64).to_numpy()
+
+    def block(self, genes: np.ndarray) -> np.ndarray:
+        """The dense weights among some features."""
+        number, keys, values = self._shared.value
+        wanted = genes[:, None] * len(number) + genes[None, :]
+        if not len(keys):
+            return np.full(wanted.shape, self.absent)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], self.absent)
+
+    def local(self, features: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """A group's features numbered among themselves, in the order of the vocabulary, and their weights."""
+        genes = self.codes(features)
+        own = np.unique(genes[genes >= 0])
+        return np.where(genes >= 0, np.searchsorted(own, genes), -1), self.block(own)
 
 
 def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,11 +86,11 @@ def prune(rows: DataFrame, panel: Panel, nuclear: bool = True, threshold: float
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id")
-        genes = panel.codes(f["feature"])
+        genes, w = panel.local(f["feature"])
         if nuclear:
-            code = kernels.nuclear_seed(genes, f["nuclear"].fillna(False).to_numpy(bool), panel.w, threshold, floor, rule, nuclear_rows_only)
+            code = kernels.nuclear_seed(genes, f["nuclear"].fillna(False).to_numpy(bool), w, threshold, floor, rule, nuclear_rows_only)
         else:
-            code = kernels.whole_cell_prune(genes, panel.w, threshold)
+            code = kernels.whole_cell_prune(genes, w, threshold)
         return pd.DataFrame({"id": f["id"], "code": code})
 
     codes = live.select("id", "cell", "feature", "nuclear").groupBy("cell").applyInPandas(run, f"{_schema(rows, 'id')}, code int")
@@ -84,13 +105,13 @@ def reassign(rows: DataFrame, panel: Panel, margin: float = 0.05) -> DataFrame:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id")
-        genes, label = panel.codes(f["feature"]), f["entity"].to_numpy(object)
+        (genes, w), label = panel.local(f["feature"]), f["entity"].to_numpy(object)
         main = f["etype"].to_numpy(object) == "cell"
         order = list(dict.fromkeys(label[~main]))
         if not order or not main.any():
             return pd.DataFrame({"id": f["id"].to_numpy()[:0], "entity": np.zeros(0, object), "etype": np.zeros(0, object)})
         sets = [np.unique(genes[(label == p) & (genes >= 0)]) for p in order]
-        to = kernels.reassign_rows(genes, main & f["nuclear"].fillna(False).to_numpy(bool), np.unique(genes[main & (genes >= 0)]), sets, panel.w, margin)
+        to = kernels.reassign_rows(genes, main & f["nuclear"].fillna(False).to_numpy(bool), np.unique(genes[main & (genes >= 0)]), sets, w, margin)
         moved = to > 0
         return pd.DataFrame({"id": f["id"].to_numpy()[moved], "entity": np.array([order[k - 1] for k in to[moved]], object), "etype": np.full(int(moved.sum()), "partial", object)})
 
@@ -381,9 +402,9 @@ def group_components(rows: DataFrame, edges: DataFrame, panel: Panel, least: int
     big = numbered(big, ["component"])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        genes = panel.codes(f["feature"])
+        genes, w = panel.local(f["feature"])
         known = np.unique(genes[genes >= 0])
-        keep = kernels.greedy_prune(known, panel.w, threshold) if len(known) else known
+        keep = kernels.greedy_prune(known, w, threshold) if len(known) else known
         ok = np.isin(genes, keep) | (genes < 0)
         return pd.DataFrame({"id": f["id"], "entity": np.where(ok, f"UNASSIGNED_{int(f['number'].iloc[0])}", "group_rejected")})
 
@@ -432,7 +453,8 @@ def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | N
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id").reset_index(drop=True)
-        found = kernels.cascade(f["bx"].to_numpy(), f["by"].to_numpy(), panel.codes(f["feature"]), panel.w, int(high), int(low), radius, threshold, least)
+        genes, w = panel.local(f["feature"])
+        found = kernels.cascade(f["bx"].to_numpy(), f["by"].to_numpy(), genes, w, int(high), int(low), radius, threshold, least)
         out = [(f["id"][r], t, n, x, y) for t, n, x, y, taken in found for r in taken.tolist()]
         return pd.DataFrame(out, columns=["id", "t", "density", "ax", "ay"])
 
@@ -469,11 +491,15 @@ def stitch(rows: DataFrame, panel: Panel, pairs: DataFrame, rule: kernels.Stitch
         f = f.sort_values("entity").reset_index(drop=True)
         at = {e: k for k, e in enumerate(f["entity"])}
         parts = []
-        for g, n, k, p in f[["genes", "n", "etype", "points"]].itertuples(index=False):
-            codes = np.array(sorted(panel.number[x] for x in (g if g is not None else []) if x in panel.number), int)
+        sets = [panel.codes(pd.Series([] if g is None else list(g), dtype=object)) for g in f["genes"]]
+        own = np.unique(np.concatenate(sets))
+        own = own[own >= 0]
+        w = panel.block(own)
+        for g, (n, k, p) in zip(sets, f[["n", "etype", "points"]].itertuples(index=False), strict=True):
+            codes = np.searchsorted(own, np.sort(g[g >= 0]))
             parts.append(kernels.Part(codes, int(n), k == "cell", np.array([[v["x"], v["y"], v["z"]] for v in p], float)))
         wanted = next((p for p in f["pairs"] if p is not None), [])
-        root = kernels.stitch(parts, [(at[p["a"]], at[p["b"]]) for p in wanted if p["a"] in at and p["b"] in at], panel.w, rule)
+        root = kernels.stitch(parts, [(at[p["a"]], at[p["b"]]) for p in wanted if p["a"] in at and p["b"] in at], w, rule)
         return pd.DataFrame({"entity": f["entity"], "root": [f["entity"][r] for r in root], "etype": f["etype"], "n": f["n"]})
 
     merged = table.join(linked, "component").groupBy("component").applyInPandas(run, "entity string, root string, etype string, n bigint")
