@@ -216,7 +216,7 @@ def gene_thresholds(spark, d):
     return assoc.gene_thresholds(_ranked(spark, d), 3).select("gi", rnd("npmi_thresh", "npmi_thresh"), rnd("cond_thresh", "cond_thresh"))
 
 
-@register("count_matrix", f"WITH {POINTS}, x AS (SELECT cell, feature, count(*) AS n FROM pts GROUP BY 1, 2) SELECT cell, feature, n, sum(n) OVER p AS n_points, count(*) OVER p AS n_features FROM x WINDOW p AS (PARTITION BY cell)")
+@register("count_matrix", f"WITH {POINTS}, x AS (SELECT cell, feature, count(*) AS n FROM pts GROUP BY 1, 2) SELECT cell, feature, n, CAST(sum(n) OVER p AS BIGINT) AS n_points, count(*) OVER p AS n_features FROM x WINDOW p AS (PARTITION BY cell)")
 def count_matrix(spark, d):
     x, obs = assoc.count_matrix(_points(spark, d))
     return x.join(obs, "cell").select("cell", "feature", "n", "n_points", "n_features")
