@@ -45,10 +45,10 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _th, start, n_lines) of every chunk to remove."""
-    found = settle(chunks(docs, key, text), "chunks")
+    found = settle(chunks(docs, key, text), "chunks", compact=True)
     place = F.struct("_id", "_th", "start")
     often = found.groupBy("hash", "n_lines").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("hash", "n_lines", "first")
-    again = settle(found.join(often, ["hash", "n_lines"]), "again")
+    again = settle(found.join(often, ["hash", "n_lines"]), "again", compact=True)
     # The texts of these chunks alone are cut out and compared.
     spans = again.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n_lines", "hash", "first")).alias("spans"))
     spans = broadcast_if_small(spans, again.count(), BROADCAST_ROWS)
@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ``n_lines`` and ``n_removed`` replace columns of these names.
     """
     kh, th, spans_of = fresh(docs, "_kh"), fresh(docs, "_th"), fresh(docs, "_spans")
-    gone = settle(repeats(docs, key, text), "gone")
+    gone = settle(repeats(docs, key, text), "gone", compact=True)
     spans = gone.select(F.xxhash64("_id").alias(kh), F.col("_th").alias(th), F.struct("start", "n_lines").alias("s")).groupBy(kh, th).agg(F.collect_list("s").alias(spans_of))
     spans = broadcast_if_small(spans, gone.count(), BROADCAST_ROWS)
     rows = docs.drop("n_lines", "n_removed").withColumns({kh: F.xxhash64(key), th: F.xxhash64(text)}).join(spans, [kh, th], "left").drop(kh, th)

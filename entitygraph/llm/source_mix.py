@@ -78,8 +78,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sized = sized.withColumns({"skey": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "h": F.xxhash64(F.lit(seed), F.col("_id").cast("string"))})
     sized = settle(sized.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int")), "sized")
 
-    parts = settle(sized.groupBy("skey", "source", "part").agg(F.sum("size").alias("size")), "parts")
-    sources = settle(targets(parts.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), weights, share, passes), "sources")
+    parts = settle(sized.groupBy("skey", "source", "part").agg(F.sum("size").alias("size")), "parts", compact=True)
+    sources = settle(targets(parts.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), weights, share, passes), "sources", compact=True)
     n_sources, wanted = sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     block = int(min(LONGEST, max(1, wanted // SLOTS)))
     n_slots = int(-(-wanted // block))
@@ -99,11 +99,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     edges = edges.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("skey")), F.lit(0.0)))
     edges = edges.withColumn("hi", F.when(F.row_number().over(Window.orderBy(F.col("skey").desc())) == 1, F.lit(2.0)).otherwise(F.col("hi")))
     spans = edges.where("target > 0").select("skey", "lo", "hi", F.ceil(F.col("source_size") / block).alias("n_blocks"), F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.least("hi", F.lit(0.9999999)) * CELLS))).alias("cell"))
-    spans = settle(spans, "spans")
+    spans = settle(spans, "spans", compact=True)
     u = F.col("slot") * F.lit(GOLDEN)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("u", u - F.floor(u)).withColumn("cell", F.floor(F.col("u") * CELLS))
     slots = slots.join(broadcast_if_small(spans, spans.count(), BROADCAST_ROWS), "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    slots = settle(slots.select("slot", "skey", "n_blocks", F.floor(F.col("slot") / RUN).alias("run")), "slots")
+    slots = settle(slots.select("slot", "skey", "n_blocks", F.floor(F.col("slot") / RUN).alias("run")), "slots", compact=True)
     runs = slots.groupBy("skey", "run").agg(F.count("*").alias("c"))
     runs = runs.select("skey", "run", (F.sum("c").over(Window.partitionBy("skey").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("earlier"))
     ranked = slots.withColumn("rank", F.row_number().over(Window.partitionBy("skey", "run").orderBy("slot")) - 1).join(runs, ["skey", "run"]).withColumn("rank", F.col("rank") + F.col("earlier"))
