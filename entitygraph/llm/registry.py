@@ -79,4 +79,4 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {"op1_embedding_links": embedding_links.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op1_embedding_links": embedding_links.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_quality_rules": quality_rules.SQL, "op7_source_mix": source_mix.SQL, "op9_line_dedup": line_dedup.SQL}

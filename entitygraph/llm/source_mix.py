@@ -75,7 +75,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.withColumns({"skey": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "h": F.xxhash64(F.lit(seed), F.col("_id").cast("string"))})
+    sized = sized.withColumns({"skey": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "h": F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long")})
     sized = settle(sized.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int")), "sized")
 
     parts = settle(sized.groupBy("skey", "source", "part").agg(F.sum("size").alias("size")), "parts", compact=True)
@@ -116,3 +116,25 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     taken = taken.select(F.col("_id").alias(key), "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
     named = small(sources.select("skey", "source"))
     return Mix(sources.drop("skey"), schedule.join(named, "skey").drop("skey"), blocks.select("source", "block", F.col("_id").alias(key), "tokens"), taken, block)
+
+
+#: What the mix takes, in DuckDB SQL, over keys that are unique.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, CAST('0x' || substr(md5('11:' || doc_id), 1, 13) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY 1),
+w AS (SELECT *, 2.0 * ss AS lim, [5.0, 2.0, 1.0][k % 3 + 1] AS wt FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s)),
+l AS (SELECT *, (1.5 * sum(ss) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / wt, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(wt) OVER (ORDER BY lim / wt, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT min_by(level, struct_pack(r := lim / wt, k := k)) AS fill FROM l WHERE level <= lim / wt),
+t AS (SELECT source, ss, coalesce('=' || source, '') AS sk, CAST(least(lim, wt * coalesce(fill, 'inf'::DOUBLE)) AS DOUBLE) AS target FROM w, f),
+c AS (SELECT CAST(least(1024, greatest(1, floor(sum(target) / 65536))) AS BIGINT) AS b, sum(target) AS wanted FROM t),
+e AS (SELECT *, sum(target) OVER (ORDER BY sk ROWS UNBOUNDED PRECEDING) / wanted AS hi, CAST(ceil(ss / b) AS BIGINT) AS nb FROM t, c),
+g AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sk), 0) AS lo, CASE WHEN lead(sk) OVER (ORDER BY sk) IS NULL THEN 2.0 ELSE hi END AS top FROM e),
+u AS (SELECT slot, slot * CAST(0.6180339887498949 AS DOUBLE) - floor(slot * CAST(0.6180339887498949 AS DOUBLE)) AS u FROM (SELECT unnest(range(CAST(ceil(wanted / b) AS BIGINT))) AS slot FROM c)),
+r AS (SELECT sk, nb, row_number() OVER (PARTITION BY sk ORDER BY slot) - 1 AS rank FROM u JOIN g ON u.u >= g.lo AND u.u < g.top WHERE target > 0),
+m AS (SELECT sk, rank % nb AS block, count(*) AS times FROM r WHERE rank < 2 * nb GROUP BY 1, 2),
+o AS (SELECT *, coalesce('=' || source, '') AS sk, sum(size) OVER (PARTITION BY source ORDER BY h % 512, h, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+p AS (SELECT doc_id, sk, start, size, unnest(range(CAST(start // b AS BIGINT), CAST((start + size - 1) // b + 1 AS BIGINT))) AS block, b FROM o, c WHERE size > 0),
+x AS (SELECT doc_id, sum((least(start + size, (block + 1) * b) - greatest(start, block * b)) * times) AS taken FROM p JOIN m USING (sk, block) GROUP BY 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, ss AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM o JOIN t USING (sk) LEFT JOIN x USING (doc_id)
+"""

@@ -97,6 +97,15 @@ def test_mix_query(spark):
     assert sorted(rows) == sorted(registry.op7_source_mix(spark, SF).collect())
 
 
+def test_mix_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(f"select doc_id, size, source_size, round(target, 6), taken from ({source_mix.SQL})").fetchall()}
+    assert {r.doc_id: (r.size, r.source_size, round(r.target, 6), r.taken) for r in registry.op7_source_mix(spark, SF).collect()} == want
+
+
 def test_mix_of_odd_rows(spark):
     data = [(1, "a", "x " * 30_000), (2, "a", None), (3, None, "y z"), (4, "b", ""), (5, "c", "p q r s t"), (6, "a", "one"), (7, "d", "u v w")]
     docs = spark.createDataFrame([(i, s, t, 1) for i, s, t in data], "doc_id long, source string, text string, size int")

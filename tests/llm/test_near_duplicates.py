@@ -165,3 +165,15 @@ def test_no_documents(spark):
 def test_join_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in registry.op3_jaccard_join(spark, sf_dir).collect()} == brute_join(texts)
+
+
+@pytest.mark.parametrize("name", ["op1_embedding_links", "op3_jaccard_join"])
+def test_queries_equal_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    rel = con.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, sf_dir).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
