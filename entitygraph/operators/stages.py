@@ -277,19 +277,34 @@ def guarded(rows: DataFrame, size: float, peers: int = 3) -> DataFrame:
     return free.join(full, ["feature", "bx", "by"]).select("id")
 
 
-def candidates(rows: DataFrame, size: float, z_bound: float | None = None) -> DataFrame:
-    """(id, feature, entity, n, d2): for unassigned rows, the entities in the nine bins around and near in z,
-    with the number of their points there and the smallest squared distance."""
+#: Admitted (feature, entity) pairs up to which they are broadcast (about 40 bytes each).
+GATE_ROWS = 1_000_000
+
+
+def near_points(rows: DataFrame, size: float, z_bound: float | None = None, peers: int | None = None) -> DataFrame:
+    """(id, feature, entity, d2): every assigned point in the nine bins around an unassigned row and near in z.
+
+    With ``peers``, clustered rows are left out beforehand.
+    """
     z_bound = z_bound if z_bound is not None else size * 2**0.5
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
     free = rows.where(L.is_unassigned("entity") & ok & F.col("feature").isNotNull())
+    if peers is not None:
+        free = free.join(guarded(rows, size, peers), "id", "left_anti")
     held = rows.where(~L.is_unassigned("entity") & ok)
     offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    a = free.select("id", "feature", "x", "y", "z", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by")).withColumn("o", F.explode(offsets_column(offsets)))
+    bins = bin_of("x", size).alias("bx"), bin_of("y", size).alias("by")
+    a = free.select("id", "feature", "x", "y", "z", *bins).withColumn("o", F.explode(offsets_column(offsets)))
     a = a.select("id", "feature", F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), (F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by"))
-    b = held.select("entity", "x", "y", "z", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))
+    b = held.select("entity", "x", "y", "z", *bins)
     d2 = F.pow(F.col("xa") - F.col("x"), F.lit(2)) + F.pow(F.col("ya") - F.col("y"), F.lit(2)) + F.pow(F.col("za") - F.col("z"), F.lit(2))
-    return a.join(b, ["bx", "by"]).where(F.abs(F.col("za") - F.col("z")) <= z_bound).groupBy("id", "feature", "entity").agg(F.count("*").alias("n"), F.min(d2).alias("d2"))
+    return a.join(b, ["bx", "by"]).where(F.abs(F.col("za") - F.col("z")) <= z_bound).select("id", "feature", "entity", d2.alias("d2"))
+
+
+def candidates(rows: DataFrame, size: float, z_bound: float | None = None) -> DataFrame:
+    """(id, feature, entity, n, d2): the entities around each unassigned row, with the number of their points there
+    and the smallest squared distance."""
+    return near_points(rows, size, z_bound).groupBy("id", "feature", "entity").agg(F.count("*").alias("n"), F.min("d2").alias("d2"))
 
 
 def gate(pairs: DataFrame, sets: DataFrame, panel: DataFrame, rule: kernels.Admission) -> DataFrame:
@@ -333,17 +348,19 @@ def rescue(rows: DataFrame, panel: DataFrame, size: float, rule: kernels.Admissi
     rows are left out.
     """
     rule = rule or kernels.Admission()
+    rows = settle(rows.select("id", "feature", "x", "y", "z", "entity", "etype"), "rows")
     live = rows.where(~L.is_unassigned("entity"))
-    found = candidates(rows, size, z_bound)
-    if peers is not None:
-        found = found.join(guarded(rows, size, peers), "id", "left_anti")
-    sets = entity.features_of(live)
-    found = found.join(gate(found, sets, panel, rule), ["feature", "entity"])
+    near = near_points(rows, size, z_bound, peers)
+    sets = settle(entity.features_of(live), "sets")
+    # The gate is computed once per distinct pair and comes before anything is counted or shuffled by row.
+    admitted = settle(gate(near, sets, panel, rule), "admitted")
+    found = near.join(broadcast_if_small(admitted, limit=GATE_ROWS), ["feature", "entity"])
     if rank == "distance":
         key = F.struct(F.round("d2", 9).alias("k"), F.col("entity").alias("entity"))
     else:
+        found = found.groupBy("id", "feature", "entity").agg(F.count("*").alias("n"), F.min("d2").alias("d2"))
         sizes = live.groupBy("entity").agg(F.count("*").alias("s"))
-        found = found.join(sizes, "entity").withColumn("eff", F.least(F.col("n"), F.lit(cap), F.ceil(F.col("s") / divisor))).where(F.col("eff") >= least)
+        found = found.join(broadcast_if_small(sizes), "entity").withColumn("eff", F.least(F.col("n"), F.lit(cap), F.ceil(F.col("s") / divisor))).where(F.col("eff") >= least)
         if tie == "gene_fit":
             found = found.join(entity.mean_fit(found, sets, panel), ["feature", "entity"], "left").withColumn("t", -F.round(F.coalesce("fit", F.lit(-1e9)), 9))
         else:
