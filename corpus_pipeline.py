@@ -21,8 +21,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the line chunks that occur earlier; ``n_chars`` follows the text."""
-    cleared = line_dedup.dedup(docs)
+    """All documents without the line chunks and passages that occur earlier; ``n_chars`` follows the text."""
+    cleared = line_dedup.dedup(docs, whole=True)
     if "n_chars" in docs.columns:
         cleared = cleared.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleared.select(*docs.columns)

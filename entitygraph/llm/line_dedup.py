@@ -5,6 +5,10 @@ that inserted or deleted lines shift no boundary elsewhere.  Lines of ``LONG_WOR
 words or more stand alone, as they are passages by themselves.  Chunks of several
 lines, and long lines, that occur again anywhere are removed after a comparison of
 their bytes; the first occurrence, by document and place, stays.
+
+A chunk hangs on the lines before it, so a repeated passage is found by chunks in part
+only.  ``passages`` finds every repeated run of lines of ``LONG_WORDS`` words or more: such
+a run is covered by the shortest runs of so many words that begin or end at its lines.
 """
 
 from __future__ import annotations
@@ -24,13 +28,18 @@ DIGITS = 7
 BROADCAST_ROWS = 500_000
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _th, start, n_lines, hash) of every removable chunk; start counts lines from 0. No texts are moved."""
+def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _th, pos, h, x, w) of every line: two hashes and its words, dealt by document."""
     lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = lines.select("_id", "_th", "pos", F.md5(F.col("line").cast("binary")).alias("m"), F.regexp_count("line", F.lit(WORD_PATTERN)).alias("w"))
     lines = lines.select("_id", "_th", "pos", F.conv(F.substring("m", 1, DIGITS), 16, 10).cast("long").alias("h"), F.xxhash64("m").alias("x"), "w")
     # Repeated rows count as one document.
-    lines = lines.repartition("_id", "_th").dropDuplicates(["_id", "_th", "pos"])
+    return lines.repartition("_id", "_th").dropDuplicates(["_id", "_th", "pos"])
+
+
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _th, start, n_lines, hash) of every removable chunk; start counts lines from 0. No texts are moved."""
+    lines = lines_of(docs, key, text)
     order = Window.partitionBy("_id", "_th").orderBy("pos")
     before, w_before = F.lag("h").over(order), F.lag("w").over(order)
     roll = F.coalesce(F.lag("h", 2).over(order), F.lit(0)) + 7 * before
@@ -60,9 +69,68 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return copies.select("_id", "_th", "start", "n_lines")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _th, start, n_lines, hash) of the shortest runs of ``LONG_WORDS`` words from each line on and up to each line.
+
+    They begin and end with lines that have words, so at most ``LONG_WORDS`` of either kind hold a line.
+    """
+    lines = lines_of(docs, key, text).withColumn("full", F.col("w") > 0)
+    order = Window.partitionBy("_id", "_th").orderBy("pos")
+    # Lines without words go with the next line that has some.
+    r = lines.withColumn("r", F.coalesce(F.sum(F.col("full").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    r = r.withColumn("k", F.row_number().over(Window.partitionBy("_id", "_th", "r").orderBy("pos")))
+    blank = F.coalesce(F.bit_xor(F.when(~F.col("full"), F.xxhash64("x", "k"))), F.lit(0))
+    r = r.groupBy("_id", "_th", "r").agg(F.max("pos").alias("pos"), F.sum("w").alias("w"), F.bit_xor(F.when(F.col("full"), F.col("x"))).alias("x"), F.xxhash64(blank, F.count("*")).alias("gap")).where("w > 0")
+    r = r.withColumns({"xg": F.xxhash64("x", "gap"), "till": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))}).withColumn("ahead", F.col("till") - F.col("w"))
+    on = Window.partitionBy("_id", "_th").orderBy("ahead").rangeBetween(0, LONG_WORDS - 1)
+    up = Window.partitionBy("_id", "_th").orderBy("till").rangeBetween(-(LONG_WORDS - 1), 0)
+    run = lambda f, start, end, x: F.struct(F.sum("w").over(f).alias("words"), start.alias("start"), (end - start + 1).cast("int").alias("n_lines"), x.alias("x"), F.collect_list("xg").over(f).alias("xs"))
+    r = r.withColumn("_on", run(on, F.col("pos"), F.last("pos").over(on), F.col("x"))).withColumn("_up", run(up, F.first("pos").over(up), F.col("pos"), F.first("x").over(up)))
+    # A run up to a line that is also the shortest one from its first line on is there already.
+    both = F.array(F.col("_on"), F.when(F.col("_up.words") - F.col("w") >= LONG_WORDS, F.col("_up")))
+    found = r.select("_id", "_th", F.explode(both).alias("o")).where(F.col("o.words") >= LONG_WORDS)
+    return found.select("_id", "_th", "o.start", "o.n_lines", F.xxhash64("o.x", F.slice("o.xs", F.lit(2), F.greatest(F.size("o.xs") - 1, F.lit(0)))).alias("hash"))
+
+
+def joined(spans: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, start, n_lines): the spans (*by, start, n_lines) of each key, those that overlap or touch made one."""
+    order = Window.partitionBy(*by).orderBy("start", "n_lines")
+    ended = F.max(F.col("start") + F.col("n_lines")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    s = spans.withColumn("_new", F.coalesce(F.col("start") > ended, F.lit(True)).cast("int"))
+    s = s.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_lines")).alias("_end"))
+    return s.select(*by, "start", (F.col("_end") - F.col("start")).cast("int").alias("n_lines"))
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _th, start, n_lines) of every run of ``LONG_WORDS`` words or more that occurs earlier without touching itself.
+
+    Lines without words at the ends of a run stay.  Runs equal their first occurrence in the SHA-256 of their bytes.
+    """
+    found = settle(windows(docs, key, text), "windows", compact=True)
+    place = F.struct("_id", "_th", "start")
+    often = found.groupBy("hash", "n_lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    again = found.join(often, ["hash", "n_lines"]).where(place != F.col("first"))
+    again = again.select("_id", "_th", "start", "n_lines", F.col("first._id").alias("_oid"), F.col("first._th").alias("_oth"), (F.col("start") - F.col("first.start")).alias("shift"))
+    apart = (F.col("_id") != F.col("_oid")) | (F.col("_th") != F.col("_oth")) | (F.col("shift") >= F.col("n_lines"))
+    # Windows that repeat the same lines in a row are one run.
+    runs = settle(joined(again.where(apart), ["_id", "_th", "_oid", "_oth", "shift"]), "runs", compact=True)
+    origin = F.col("_oid").alias("_id"), F.col("_oth").alias("_th"), (F.col("start") - F.col("shift")).cast("int").alias("start"), F.col("n_lines")
+    wanted = settle(runs.select("_id", "_th", "start", "n_lines").unionByName(runs.select(*origin)).distinct(), "wanted", compact=True)
+    spans = wanted.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n_lines")).alias("spans"))
+    spans = broadcast_if_small(spans, wanted.count(), BROADCAST_ROWS)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_th"), F.split(text, "\n").alias("lines")).join(spans, ["_id", "_th"])
+    cut = rows.select("_id", "_th", "lines", F.explode("spans").alias("s")).select("_id", "_th", "s.*", F.sha2(F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.n_lines")), "\n").cast("binary"), 256).alias("digest"))
+    cut = settle(cut.dropDuplicates(["_id", "_th", "start", "n_lines"]), "digests", compact=True)
+    first = cut.select(F.col("_id").alias("_oid"), F.col("_th").alias("_oth"), F.col("start").alias("_ostart"), "n_lines", F.col("digest").alias("original"))
+    copies = runs.join(cut, ["_id", "_th", "start", "n_lines"]).withColumn("_ostart", (F.col("start") - F.col("shift")).cast("int"))
+    return copies.join(first, ["_oid", "_oth", "_ostart", "n_lines"]).where("digest = original").select("_id", "_th", "start", "n_lines")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with ``text`` cleared of repeated chunks, and ``n_lines`` and ``n_removed`` (lines before, lines removed).
 
+    With ``whole``, repeated passages go as well, whole.  ``SQL`` states the result without it.
     All other columns and all rows stay; a document may be left with an empty text.  A
     null text stays null, with 0 lines.  Repeated rows (equal key and text) count as one
     document and are returned alike; different texts under one key are documents of their
@@ -70,7 +138,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ``n_lines`` and ``n_removed`` replace columns of these names.
     """
     kh, th, spans_of = fresh(docs, "_kh"), fresh(docs, "_th"), fresh(docs, "_spans")
-    gone = settle(repeats(docs, key, text), "gone", compact=True)
+    gone = repeats(docs, key, text)
+    if whole:
+        gone = joined(gone.unionByName(passages(docs, key, text)), ["_id", "_th"])
+    gone = settle(gone, "gone", compact=True)
     spans = gone.select(F.xxhash64("_id").alias(kh), F.col("_th").alias(th), F.struct("start", "n_lines").alias("s")).groupBy(kh, th).agg(F.collect_list("s").alias(spans_of))
     spans = broadcast_if_small(spans, gone.count(), BROADCAST_ROWS)
     rows = docs.drop("n_lines", "n_removed").withColumns({kh: F.xxhash64(key), th: F.xxhash64(text)}).join(spans, [kh, th], "left").drop(kh, th)

@@ -163,6 +163,38 @@ def test_dedup_of_odd_rows(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize(("lines", "words"), [(4, 15), (3, 20), (8, 10), (12, 8)])
+def test_planted_passages_go_whole(spark, lines, words):
+    rng = np.random.default_rng(lines)
+    block = lambda n, w: ["\n".join(" ".join(f"w{k}" for k in rng.integers(0, 10**6, w)) for _ in range(n))]
+    planted = [block(lines, words) for _ in range(20)]
+    rows = [(2 * i + j, "\n".join(block(3, 9) + p + block(4, 9))) for i, p in enumerate(planted) for j in (0, 1)]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert all(got[i].text == t and got[i].n_removed == 0 for i, t in rows if i % 2 == 0)
+    assert all(got[i].n_removed == lines and got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if not 3 <= k < 3 + lines) for i, t in rows if i % 2)
+
+
+def test_passages_equal_brute_force(spark):
+    """Every line with words that lies in a run of 50 words or more which occurs earlier, apart from itself."""
+    rng = np.random.default_rng(1)
+    some = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefgh", (60, 30, 25, 17, 12, 9, 0, 1), strict=True)]
+    docs = {i: [some[k] for k in rng.choice(8, rng.integers(1, 16), p=[0.04, 0.16, 0.16, 0.16, 0.16, 0.16, 0.1, 0.06])] for i in range(60)}
+    earlier, want = [], set()
+    for i in sorted(docs):
+        t = docs[i]
+        for a in range(len(t)):
+            for b in range(a + 1, len(t) + 1):
+                if t[a] and t[b - 1] and sum(len(x.split()) for x in t[a:b]) >= 50:
+                    origin = next((p for p, run in earlier if run == t[a:b]), None)
+                    if origin is not None and (origin[0] != i or origin[1] + b - a <= a):
+                        want |= {(i, k) for k in range(a, b)}
+                    earlier.append(((i, a), t[a:b]))
+    found = line_dedup.passages(spark.createDataFrame([(i, "\n".join(t)) for i, t in docs.items()], "doc_id long, text string")).collect()
+    got = {(r._id, k) for r in found for k in range(r.start, r.start + r.n_lines)}
+    full = lambda s: {(i, k) for i, k in s if docs[i][k]}
+    assert want and full(got) == full(want) and got <= want
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = registry.op9_line_dedup(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
