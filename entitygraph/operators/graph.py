@@ -152,22 +152,29 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(iter(p)) + chain(iter(p[::-1])))
 
 
-def hulls(points: DataFrame, key: str, least: int = 3) -> DataFrame:
-    """(polygon, ring) of every key with enough points, first thinned to extremes per direction by aggregation.
+#: Rows of a key that one worker reduces to their hull at a time (about), and rows of a key from which it is dealt out.
+HULL_ROWS = 100_000
 
-    Only points that are extreme within their hundredth of the x range can be vertices, so
-    a worker gets at most some hundred points a key.
+
+def hulls(points: DataFrame, key: str, least: int = 3, part_rows: int = HULL_ROWS) -> DataFrame:
+    """(polygon, ring) of every key with enough points.
+
+    Keys are dealt out by a hash of the point to parts of about ``part_rows`` rows; the hull of
+    the parts' hulls is that of the key, as a vertex of a set is one of every part that holds it.
     """
-    span = points.groupBy(key).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n")).where(F.col("n") >= least)
-    strip = F.when(F.col("x1") > F.col("x0"), F.floor((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")) * 100)).otherwise(F.lit(0))
-    ends = points.join(span, key).withColumn("s", strip).groupBy(key, "s").agg(*(f(F.struct(*o)).alias(n) for f, o, n in ((F.min, ("y", "x"), "a"), (F.max, ("y", "x"), "b"), (F.min, ("x", "y"), "c"), (F.max, ("x", "y"), "d"))))
-    rim = ends.select(key, F.explode(F.array(*(F.struct(F.col(f"{n}.x").alias("x"), F.col(f"{n}.y").alias("y")) for n in "abcd"))).alias("v")).select(key, "v.x", "v.y")
     kind = dict(points.dtypes)[key]
+    named = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(key).alias("polygon"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    sizes = named.groupBy("polygon").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    parts = F.ceil(F.col("n") / F.lit(part_rows))
+    dealt = named.join(broadcast_if_small(sizes), "polygon").select("polygon", F.pmod(F.xxhash64("x", "y"), parts).alias("part"), "x", "y")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def rim(f: pd.DataFrame) -> pd.DataFrame:
         ring = hull(f[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"polygon": [f[key].iloc[0]], "ring": [[{"x": float(x), "y": float(y)} for x, y in ring]]})
-
-    return rim.groupBy(key).applyInPandas(run, f"polygon {kind}, ring array<struct<x:double,y:double>>").where(F.size("ring") >= 3)
+        return pd.DataFrame({"polygon": [f["polygon"].iloc[0]] * len(ring), "x": ring[:, 0], "y": ring[:, 1]})
 
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ring = hull(f[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({"polygon": [f["polygon"].iloc[0]], "ring": [[{"x": float(x), "y": float(y)} for x, y in ring]]})
 
+    ends = dealt.groupBy("polygon", "part").applyInPandas(rim, f"polygon {kind}, x double, y double")
+    return ends.groupBy("polygon").applyInPandas(run, f"polygon {kind}, ring array<struct<x:double,y:double>>").where(F.size("ring") >= 3)

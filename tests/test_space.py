@@ -107,6 +107,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_hulls_of_a_dense_disc_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    turn, far = rng.uniform(0, 2 * np.pi, 3000), np.sqrt(rng.random(3000))
+    disc = np.vstack([np.c_[far * np.cos(turn), far * np.sin(turn)], np.c_[np.cos(turn[:400]), np.sin(turn[:400])]])
+
+    def vertices(p):
+        """Points from which all others lie on one side of the line to some other point."""
+        near = p[np.hypot(*p.T) > 0.97]
+        return {tuple(a) for a in near for d in [near - a] if any((e[0] * d[:, 1] - e[1] * d[:, 0] >= 0).all() for e in d if e.any())}
+
+    sets = {"disc": disc, "three": np.array([[0, 0], [1, 0], [0, 1.0]]), "two": np.array([[0, 0], [1, 1.0]])}
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, p in sets.items() for x, y in p], "k string, x double, y double")
+    want = vertices(disc)
+    assert len(want) >= 400
+    for part_rows in (100, 10**6):
+        got = {r.polygon: [tuple(v) for v in r.ring] for r in graph.hulls(points, "k", part_rows=part_rows).collect()}
+        assert set(got) == {"disc", "three"} and len(got["three"]) == 3
+        assert len(got["disc"]) == len(want) and set(got["disc"]) == want
+
+
 def test_hull_and_delaunay():
     rng = np.random.default_rng(0)
     p = rng.random((40, 2))
