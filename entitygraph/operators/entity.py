@@ -160,12 +160,36 @@ def dz_stats(rows: DataFrame, entity: str = "entity", percentiles: tuple[float,
     return s.where("n > 1").select("entity", pairs.cast("long").alias("n_pairs"), ((F.col("s") - (F.col("n") + 1) * F.col("t")) / pairs).alias("dz_mean"), "dz_max")
 
 
-def pooled_dz(rows: DataFrame, entity: str = "entity", at: tuple[float, ...] = (0.5, 0.9), most: int = 50) -> DataFrame:
-    """Percentiles of |dz| over all pairs within ``most`` entities, chosen by hash: the estimator's sampling step."""
-    chosen = rows.select(entity).distinct().orderBy(F.xxhash64(entity), entity).limit(most)
-    r = rows.join(F.broadcast(chosen), entity).select(entity, "id", "z")
-    p = r.join(r.select(entity, F.col("id").alias("id2"), F.col("z").alias("z2")), entity).where("id < id2").select(F.abs(F.col("z") - F.col("z2")).alias("dz"))
-    return p.agg(F.percentile("dz", F.array(*map(F.lit, at))).alias("p"), F.count("*").alias("n"), F.avg("dz").alias("mean"))
+def dz_counts(rows: DataFrame, entity: str = "entity", least: int = 5) -> DataFrame:
+    """(entity, dz, n): how many pairs of an entity's rows lie dz apart in z; entities of fewer than ``least`` rows are left out.
+
+    Distinct values of z are paired, weighted by their rows, and not the rows themselves.
+    """
+    live = rows.where(F.col(entity).isNotNull() & F.col("z").isNotNull()).select(F.col(entity).alias("entity"), F.col("z").cast("double").alias("z"))
+    values = live.groupBy("entity", "z").agg(F.count("*").alias("c"))
+    large = values.groupBy("entity").agg(F.sum("c").alias("n")).where(F.col("n") >= max(2, least))
+    values = values.join(large.select("entity"), "entity", "left_semi")
+    same = values.where("c > 1").select("entity", F.lit(0.0).alias("dz"), F.expr("c * (c - 1) div 2").alias("n"))
+    other = values.select("entity", F.col("z").alias("z2"), F.col("c").alias("c2"))
+    apart = values.join(other, "entity").where("z < z2").select("entity", (F.col("z2") - F.col("z")).alias("dz"), (F.col("c") * F.col("c2")).alias("n"))
+    return same.unionByName(apart).groupBy("entity", "dz").agg(F.sum("n").alias("n"))
+
+
+def pooled_dz(rows: DataFrame, entity: str = "entity", at: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99), kinds: tuple[str, ...] | None = ("cell",), least: int = 5, etype: str = "etype") -> DataFrame:
+    """One row over all pairs within all entities of ``least`` rows or more and of these kinds: percentiles of |dz| in order of ``at``,
+    number of pairs and entities, mean, median and maximum.  Without such an entity there are 0 pairs and nulls."""
+    live = rows.where(~F.coalesce(F.col(entity) == "-1", F.lit(True)))
+    if kinds is not None:
+        live = live.where((F.col(etype) if etype in rows.columns else L.etype_of_label(entity)).isin(*kinds))
+    counts = dz_counts(live, entity, least)
+    return counts.agg(
+        F.percentile("dz", F.array(*map(F.lit, at)), F.col("n")).alias("p"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.count_distinct("entity").alias("n_entities"),
+        (F.sum(F.col("dz") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.percentile("dz", F.lit(0.5), F.col("n")).alias("median"),
+        F.max("dz").alias("max"),
+    )
 
 
 def moments(rows: DataFrame, entity: str = "entity") -> DataFrame:

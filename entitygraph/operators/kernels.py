@@ -320,18 +320,31 @@ def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray,
     return np.array([find(k) for k in range(len(parts))])
 
 
-def two_modes(values: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, deviations and shares of a two-component Gaussian mixture in one dimension (EM from quantiles)."""
+def weighted_percentile(values: np.ndarray, counts: np.ndarray, at: float) -> float:
+    """``percentile`` of sorted values that occur ``counts`` times each."""
+    till = np.cumsum(counts)
+    place = (till[-1] - 1) * at / 100
+    low = int(np.floor(place))
+    a, b = values[np.searchsorted(till, [low, min(low + 1, till[-1] - 1)], side="right")]
+    return float(a + (b - a) * (place - low))
+
+
+def two_modes(values: np.ndarray, rounds: int = 200, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, deviations and shares of a two-component Gaussian mixture in one dimension (EM from quantiles).
+
+    ``counts`` says how often each of the values, sorted then, occurs.
+    """
     v = np.asarray(values, float)
-    mean = np.percentile(v, [25, 75])
-    sd, share = np.full(2, v.std() + 1e-9), np.full(2, 0.5)
+    c = np.ones(len(v)) if counts is None else np.asarray(counts, float)
+    mean = np.percentile(v, [25, 75]) if counts is None else np.array([weighted_percentile(v, counts, at) for at in (25, 75)])
+    sd, share = np.full(2, np.sqrt(np.average((v - np.average(v, weights=c)) ** 2, weights=c)) + 1e-9), np.full(2, 0.5)
     for _ in range(rounds):
         density = share * np.exp(-0.5 * ((v[:, None] - mean) / sd) ** 2) / sd
-        r = density / np.maximum(density.sum(1, keepdims=True), 1e-300)
+        r = c[:, None] * density / np.maximum(density.sum(1, keepdims=True), 1e-300)
         n = r.sum(0) + 1e-9
         new = (r * v[:, None]).sum(0) / n
         sd = np.sqrt((r * (v[:, None] - new) ** 2).sum(0) / n) + 1e-9
-        share = n / len(v)
+        share = n / c.sum()
         if np.abs(new - mean).max() < 1e-9:
             mean = new
             break
@@ -340,16 +353,22 @@ def two_modes(values: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.nda
     return mean[order], sd[order], share[order]
 
 
-def z_threshold(dz: np.ndarray, separation: float = 3.0) -> float:
-    """The 90th percentile of the small mode where two modes are far apart, else the median of all."""
-    if len(dz) < 4:
-        return float(np.median(dz)) if len(dz) else np.nan
-    mean, sd, _ = two_modes(dz)
+def z_threshold(dz: np.ndarray, separation: float = 3.0, counts: np.ndarray | None = None) -> float:
+    """The 90th percentile of the small mode where two modes are far apart, else the median of all.
+
+    ``counts`` says how often each distance occurs.
+    """
+    order = np.argsort(dz, kind="stable")
+    dz = np.asarray(dz, float)[order]
+    n = np.ones(len(dz), np.int64) if counts is None else np.asarray(counts, np.int64)[order]
+    if n.sum() < 4:
+        return weighted_percentile(dz, n, 50) if len(dz) else np.nan
+    mean, sd, _ = two_modes(dz, counts=n)
     pooled = np.sqrt((sd**2).mean())
     if pooled > 0 and (mean[1] - mean[0]) / pooled >= separation:
         cut = (mean[0] * sd[1] + mean[1] * sd[0]) / (sd[0] + sd[1])
-        return percentile(dz[dz <= cut], 90)
-    return percentile(dz, 50)
+        return weighted_percentile(dz[dz <= cut], n[dz <= cut], 90)
+    return weighted_percentile(dz, n, 50)
 
 
 def density_floor(counts: np.ndarray, coverage: float = 0.65, hard_min: int = 3, radius: int = 1) -> int:

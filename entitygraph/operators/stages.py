@@ -251,20 +251,17 @@ def knn_split(rows: DataFrame, k: int = 5, trim: float = 0.1, least: int = 1) ->
     return spatial_split(rows, kept, least)
 
 
-def z_scale(rows: DataFrame, entities: int = 50, per_entity: int = 200) -> float:
-    """The usual distance in z within an entity, from all pairs of at most ``per_entity`` points of at most ``entities`` entities.
+def z_scale(rows: DataFrame, entities: int = 50, least: int = 5) -> float:
+    """The usual distance in z within an entity, from all pairs of each of ``entities`` entities of ``least`` points or more.
 
-    Points and entities are chosen by hash; the estimator samples, as its definition says.
+    The estimator samples entities, chosen by hash here, but no points; below 10 pairs there is no scale.
     """
     live = rows.where(~L.is_unassigned("entity") & F.col("z").isNotNull())
-    chosen = live.select("entity").distinct().orderBy(F.xxhash64("entity"), "entity").limit(entities)
-    rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.xxhash64("id"), "id"))
-    few = live.join(F.broadcast(chosen), "entity").withColumn("_r", rank).where(F.col("_r") <= per_entity).select("entity", "z").collect()
-    by: dict[str, list[float]] = {}
-    for e, z in few:
-        by.setdefault(e, []).append(z)
-    gaps = [np.abs(np.subtract.outer(v, v))[np.triu_indices(len(v), 1)] for v in by.values() if len(v) > 1]
-    return kernels.z_threshold(np.concatenate(gaps)) if gaps else float("nan")
+    large = live.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    chosen = large.select("entity").orderBy(F.xxhash64("entity"), "entity").limit(entities)
+    found = entity.dz_counts(live.join(F.broadcast(chosen), "entity"), "entity", least).groupBy("dz").agg(F.sum("n").alias("n")).orderBy("dz").toPandas()
+    dz, n = found["dz"].to_numpy(float), found["n"].to_numpy(np.int64)
+    return kernels.z_threshold(dz, counts=n) if n.sum() >= 10 else float("nan")
 
 
 # --- rescue ---------------------------------------------------------------------------------------

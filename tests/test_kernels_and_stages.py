@@ -23,6 +23,39 @@ def matrix(n, seed, missing=0.3):
     return w
 
 
+def spread_points(spark, sizes, seed=0):
+    """Rows (id, entity, z) and the distances of all pairs of each entity of five rows or more."""
+    rng = np.random.default_rng(seed)
+    z = {e: np.round(rng.gamma(2, 3, n), 1) for e, n in sizes.items()}
+    rows = [(i, e, float(v)) for i, (e, v) in enumerate((e, v) for e, vs in z.items() for v in vs)]
+    pairs = {e: np.abs(np.subtract.outer(v, v))[np.triu_indices(len(v), 1)] for e, v in z.items() if len(v) >= 5}
+    return spark.createDataFrame(rows, "id long, entity string, z double"), pairs
+
+
+def test_z_scale_takes_all_pairs_of_its_entities(spark):
+    rows, pairs = spread_points(spark, {"hot": 1500, "b": 40, "c": 5, **{f"s{k}": 4 for k in range(60)}})
+    assert stages.z_scale(rows) == pytest.approx(kernels.z_threshold(np.concatenate(list(pairs.values()))), abs=1e-9)
+    assert np.isnan(stages.z_scale(rows.where("id < 0"))) and np.isnan(stages.z_scale(rows.where("entity = 's1'")))
+
+
+def test_z_threshold_of_counts():
+    rng = np.random.default_rng(2)
+    for v in (rng.gamma(2, 1, 300), np.concatenate([rng.normal(1, 0.1, 300), rng.normal(9, 0.2, 100)])):
+        v = np.abs(np.round(v, 1))
+        assert kernels.z_threshold(*np.unique(v, return_counts=True)[:1], counts=np.unique(v, return_counts=True)[1]) == pytest.approx(kernels.z_threshold(v))
+        assert [kernels.weighted_percentile(*np.unique(v, return_counts=True), q) for q in (0, 33, 90, 100)] == pytest.approx(list(np.percentile(v, [0, 33, 90, 100])))
+
+
+def test_pooled_dz_takes_all_entities(spark):
+    rows, pairs = spread_points(spark, {**{str(k): 3 + k % 30 for k in range(120)}, "7-1": 50, "-1": 70})
+    pool = np.concatenate([v for e, v in pairs.items() if "-" not in e])
+    got = entity.pooled_dz(rows).first()
+    assert (got.n, got.n_entities) == (len(pool), sum("-" not in e for e in pairs))
+    assert [*got.p, got.mean, got.median, got.max] == pytest.approx([*np.percentile(pool, [50, 75, 90, 95, 99]), pool.mean(), np.median(pool), pool.max()])
+    assert entity.pooled_dz(rows, kinds=None).first().n == len(pool) + 50 * 49 // 2
+    assert entity.pooled_dz(rows.where("id < 0")).first().n == 0
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_greedy_prune_leaves_no_conflict(seed):
     w = matrix(12, seed)
