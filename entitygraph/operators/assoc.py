@@ -193,7 +193,7 @@ def final_kind(lo: float, hi: float, low: float, high: float) -> str:
     return "unsettled"
 
 
-def bootstrap(table: DataFrame, tau: float | tuple[float, float] = 0.05, ci: float = 0.95, budget: int = 2000, coarse: int = 200, refine: int = 200, metric: str = "npmi", seed: int = 0) -> DataFrame:
+def bootstrap(table: DataFrame, tau: float | tuple[float, float] = 0.05, ci: float = 0.95, budget: int = 10_000, coarse: int = 200, refine: int = 500, metric: str = "npmi", seed: int = 0) -> DataFrame:
     """Intervals and kinds of observed pairs by drawing their four-cell tables.
 
     Resampling contexts gives the four counts of a pair (both, only i, only j, neither)

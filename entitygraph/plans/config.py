@@ -123,9 +123,9 @@ class StitchConfig:
 class BootstrapConfig:
     tau: float = 0.05
     ci: float = 0.95
-    max_bootstraps: int = 2000
+    max_bootstraps: int = 10_000
     coarse: int = 200
-    refine: int = 200
+    refine: int = 500
     evidence: float = 10.0
     nuclear_only: bool = False
     seed: int = 0

@@ -247,12 +247,12 @@ def panel_presence(spark, d):
 @register("bootstrap_ci")
 def bootstrap_ci(spark, d):
     t = assoc.pairs(assoc.presence(_points(spark, d)))
-    return assoc.bootstrap(t, 0.05, budget=400)
+    return assoc.bootstrap(t, 0.05)
 
 
 @register("pmi_panel")
 def pmi_panel(spark, d):
-    return assoc.pmi_bootstrap(_points(spark, d), budget=400)[0]
+    return assoc.pmi_bootstrap(_points(spark, d))[0]
 
 
 # --- filters, labels, bins -------------------------------------------------------------------------

@@ -42,6 +42,20 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert runs[0] == runs[1]
 
 
+def test_unsettled_pairs_draw_the_whole_budget(spark, sf_dir):
+    from entitygraph.plans import config, queries
+
+    # Of 2,000 contexts each holds both features as often as chance has it, or nearly so: neither strong nor null.
+    near, strong = (10, 100, 200, 2000), (90, 100, 100, 2000)
+    t = spark.createDataFrame([("a", "b", *near), ("a", "c", *strong)], "gi string, gj string, k_ij long, k_i long, k_j long, n long")
+    got = {r.gj: r for r in assoc.bootstrap(t, 0.05).collect()}
+    assert got["b"].n_draws == 10_000 and got["c"].n_draws == 200 and got["c"].kind == "pos_strong"
+    c = config.BootstrapConfig()
+    assert (c.max_bootstraps, c.coarse, c.refine) == (10_000, 200, 500)
+    for r in queries.QUERIES["bootstrap_ci"](spark, sf_dir).select("kind", "n_draws").distinct().collect():
+        assert r.n_draws == 10_000 if r.kind not in assoc.EARLY else (r.n_draws - 200) % 500 in (0, 300)
+
+
 @pytest.mark.parametrize("lo,hi,kind", [(0.3, 0.4, "pos_strong"), (0.15, 0.4, "pos_weak"), (-0.5, -0.3, "neg_strong"), (-0.5, -0.15, "neg_weak"), (-0.05, 0.05, "tight_null"), (-0.15, 0.05, "dead_zone"), (-0.5, 0.5, "unsettled")])
 def test_kinds(lo, hi, kind):
     assert assoc.final_kind(lo, hi, 0.1, 0.2) == kind
