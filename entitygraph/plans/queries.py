@@ -829,12 +829,12 @@ def cascade(spark, d):
 
 @register("pipeline_seg")
 def pipeline_seg(spark, d):
-    return pipeline.segmented(_cloud(spark, d), _panel(spark, d), _tuned()).rows.select("id", "cell", "entity", "etype")
+    return pipeline.segmented(_points(spark, d).drop("label"), _panel(spark, d), _tuned()).rows.select("id", "cell", "entity", "etype")
 
 
 @register("pipeline_noseg")
 def pipeline_noseg(spark, d):
-    return pipeline.unsegmented(_cloud(spark, d), _panel(spark, d), _tuned()).rows.select("id", "cell", "entity", "etype")
+    return pipeline.unsegmented(_points(spark, d).drop("label"), _panel(spark, d), _tuned(post_group_passes=5)).rows.select("id", "cell", "entity", "etype")
 
 
 def _cloud(spark, d):
@@ -842,13 +842,13 @@ def _cloud(spark, d):
     return e.withColumn("nuclear", F.col("id") % 2 == 0)
 
 
-def _tuned():
-    """Settings for association as weak as that of the driver tables."""
+def _tuned(**rescue):
+    """Thresholds for association as weak as that of the driver tables; passes are the defaults unless given."""
     from entitygraph.plans import config as C
 
     return C.PipelineConfig(
         prune=C.PruneConfig(threshold=NEGATIVE, floor=-1.0, mean_threshold=-1.0),
-        rescue=C.RescueConfig(bin_um=2.0, mean_threshold=NEGATIVE, real_signal=SIGNAL, passes=1, post_group_passes=1, final_passes=1),
+        rescue=C.RescueConfig(bin_um=2.0, mean_threshold=NEGATIVE, real_signal=SIGNAL, **rescue),
         group=C.GroupConfig(bin_um=2.0, threshold=NEGATIVE),
         stitch=C.StitchConfig(bin_um=2.0, z_bin_um=2.0, witness_min=2),
         qc=C.QcConfig(coherence_floor=-1.0, real_signal=SIGNAL),

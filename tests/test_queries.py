@@ -36,6 +36,17 @@ def test_returns_rows(spark, sf_dir, name):
     assert Q.QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize(("name", "plan", "passes"), [("pipeline_seg", "segmented", (3, 3, 3)), ("pipeline_noseg", "unsegmented", (3, 5, 3))])
+def test_pipelines_run_all_passes_over_all_points(spark, sf_dir, monkeypatch, name, plan, passes):
+    def run(points, panel, cfg):
+        assert points.count() == Q._points(spark, sf_dir).count()
+        assert (cfg.rescue.passes, cfg.rescue.post_group_passes, cfg.rescue.final_passes) == passes
+        return Q.pipeline.Run(points.withColumns({"entity": points.cell, "etype": points.cell}))
+
+    monkeypatch.setattr(Q.pipeline, plan, run)
+    assert Q.QUERIES[name](spark, sf_dir).columns == ["id", "cell", "entity", "etype"]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
