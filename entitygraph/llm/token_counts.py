@@ -13,8 +13,12 @@ at once.
 process: the last token of a prefix is the one vocabulary string ending there
 that is compatible with the last token of what precedes it, and vocabulary
 strings have bounded length.  States hold the last tokens and relative counts
-over the window that can still matter; a transition on a byte carries the
-change of the token count.  States are compiled when first reached.
+at the places that can still matter; a transition on a byte carries the
+change of the token count.  States are compiled when first reached, up to a
+bound; from there on words are walked through the same transitions unstored.
+
+Emitted counts compose by a prefix scan as well: what a text holds is the
+difference of the scan at its two ends.
 """
 
 from __future__ import annotations
@@ -45,8 +49,9 @@ WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x
 CHUNK = 512
 #: Code points after which the exit state hardly ever depends on the entry state.
 LEAD = 8
-#: Compiled states and remembered words of a process; both are emptied when full.
-MOST_STATES = 100_000
+#: Compiled states of a process, its remembered pairs of tokens, and its remembered words (and as many older ones).
+MOST_STATES = 50_000
+MOST_PAIRS = 400_000
 WORD_MEMORY = 200_000
 
 
@@ -169,7 +174,11 @@ def split_marks(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
 
 
 class WordCounter:
-    """The word transducer of a vocabulary, compiled state by state."""
+    """The word transducer of a vocabulary; its first ``MOST_STATES`` states are compiled when reached.
+
+    A state is a node of the string automaton and, for the place before every suffix that a vocabulary string may
+    still continue, the last token there and its count against the count here.  Nothing else can matter to later bytes.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -177,11 +186,14 @@ class WordCounter:
         for token, (rank, _, _) in vocab.parts.items():
             self.order[token] = rank
         self._automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.clear()
+        self.pairs: dict[int, bool] = {}
+        self.states: dict[tuple, int] = {(0, (-1,), (0,)): 0}
+        self.keys: list[tuple] = list(self.states)
+        self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
     def _automaton(self) -> None:
-        """Trie with failure links over the vocabulary strings; for each node the strings that end there, longest first."""
+        """Trie with failure links over the vocabulary strings; for each node the strings that end there, longest first,
+        and the lengths of the suffixes that lie in the trie, shortest first."""
         child: list[dict[int, int]] = [{}]
         token, depth = [-1], [0]
         for s, i in sorted((self.vocab.strings[i], i) for i in self.vocab.ids.values()):
@@ -196,6 +208,7 @@ class WordCounter:
                 node = to
             token[node] = i
         fail, ends = [0] * len(child), [()] * len(child)
+        open_: list[tuple[int, ...]] = [(0,)] * len(child)
         queue = [0]
         for node in queue:
             for b, to in child[node].items():
@@ -206,20 +219,14 @@ class WordCounter:
                     fail[to] = child[f].get(b, 0)
                 own = ((token[to], depth[to]),) if token[to] >= 0 else ()
                 ends[to] = own + ends[fail[to]]
+                # A suffix that no string continues needs no memory.
+                open_[to] = (*open_[fail[to]], depth[to]) if child[to] else open_[fail[to]]
                 queue.append(to)
-        self.child, self.fail, self.ends, self.depth = child, fail, ends, depth
-
-    def clear(self) -> None:
-        self.states: dict[tuple, int] = {(0, (-1,), (0,)): 0}
-        self.keys: list[tuple] = [(0, (-1,), (0,))]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        self.child, self.fail, self.ends, self.open = child, fail, ends, open_
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens apart: undo their merges from the seam, latest first; none that
         crosses the seam may come earlier than what has been undone."""
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
         a, b, bound, out = left, right, None, True
         order, parts, merges = self.order, self.vocab.parts, self.vocab.merges
         while True:
@@ -236,28 +243,37 @@ class WordCounter:
             else:
                 bound = (order[b], True)
                 b = parts[b][1]
-        if len(self.pairs) >= 200_000:
+        if len(self.pairs) >= MOST_PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = out
+        self.pairs[left * len(order) + right] = out
         return out
 
-    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+    def fits(self, left: int, right: int) -> bool:
+        known = self.pairs.get(left * len(self.order) + right)
+        return self.compatible(left, right) if known is None else known
+
+    def step(self, node: int, byte: int) -> int:
+        child, fail = self.child, self.fail
+        while node and byte not in child[node]:
+            node = fail[node]
+        return child[node].get(byte, 0)
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int] | None:
+        """The transition (state, change of the token count), or None where no further state may be compiled."""
+        if len(self.keys) >= MOST_STATES:
+            return None
         node, last, counts = self.keys[state]
-        while node and byte not in self.child[node]:
-            node = self.fail[node]
-        node = self.child[node].get(byte, 0)
-        width = len(last)
+        at = dict(zip(self.open[node], zip(last, counts, strict=True), strict=True))
+        node = self.step(node, byte)
         for t, size in self.ends[node]:
-            before = last[width - size]
-            if before < 0 or self.compatible(before, t):
-                token, delta = t, counts[width - size] + 1
+            before, count = at[size - 1]
+            if before < 0 or self.fits(before, t):
+                delta = count + 1
                 break
         else:
             raise ValueError("no vocabulary string fits")
-        keep = self.depth[node]
-        last = (*last, token)[-keep - 1 :]
-        counts = (*(c - delta for c in counts), 0)[-keep - 1 :]
-        key = (node, last, counts)
+        kept = [(t, 0) if k == 0 else (at[k - 1][0], at[k - 1][1] - delta) for k in self.open[node]]
+        key = (node, tuple(t for t, _ in kept), tuple(c for _, c in kept))
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.keys)
@@ -266,33 +282,59 @@ class WordCounter:
         self.moves[state][byte] = made = (to, delta)
         return made
 
+    def walk(self, word: bytes) -> int:
+        """Tokens of one pre-token by the same transitions, none of them stored."""
+        ends, pairs, width, step = self.ends, self.pairs, len(self.order), self.step
+        child = self.child
+        node, last, counts = 0, [-1], [0]
+        for b in word:
+            to = child[node].get(b)
+            node = step(node, b) if to is None else to
+            for t, size in ends[node]:
+                before = last[-size]
+                if before < 0:
+                    break
+                known = pairs.get(before * width + t)
+                if self.compatible(before, t) if known is None else known:
+                    break
+            else:
+                raise ValueError("no vocabulary string fits")
+            last.append(t)
+            counts.append(counts[-size] + 1)
+        return counts[-1]
+
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token: the sum of the counts that its transitions emit."""
-        if len(self.keys) >= MOST_STATES:
-            self.clear()
         state = total = 0
         moves = self.moves
         for b in word:
-            move = moves[state].get(b)
+            move = moves[state].get(b) or self._compile(state, b)
             if move is None:
-                move = self._compile(state, b)
+                return self.walk(word)
             state = move[0]
             total += move[1]
         return total
 
 
 class WordCounts(dict):
-    """pre-token -> tokens, run through the transducer when first asked for."""
+    """pre-token -> tokens, run through the transducer when first asked for.
+
+    A full memory becomes the old one, and words asked for again come back from there.
+    """
 
     def __init__(self, counter: WordCounter):
         super().__init__()
         self.counter = counter
+        self.old: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_MEMORY:
-            self.clear()
-        made = self.counter.count(word.encode("utf-8", "surrogatepass"))
+        made = self.old.get(word)
+        if made is None:
+            made = self.counter.count(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:
+            if len(self) >= WORD_MEMORY:
+                self.old = dict(self)
+                self.clear()
             self[word] = made
         return made
 
@@ -327,8 +369,9 @@ def count_texts(texts: list[str], path: str) -> np.ndarray:
         stops = np.minimum(np.append(begins[1:], len(kinds)), ends[np.searchsorted(ends, begins)])
         words = [joined[a:b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
         counts = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        of = np.asarray(owner)[np.searchsorted(ends, begins)]
-        special += np.bincount(of, counts, len(texts)).astype(np.int64)
+        # Counts up to every end of a part, by the scan over what the pre-tokens before it emit.
+        scan = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, ends)]
+        np.add.at(special, np.asarray(owner), np.diff(scan, prepend=0))
     return special
 
 
