@@ -48,12 +48,24 @@ def test_chunk_maps_compose_by_prefix_scan():
     assert (token_counts.prefix_scan(maps) == want).all()
 
 
-def test_word_states_may_be_emptied(library):
+def test_words_beyond_the_compiled_states(library, monkeypatch):
+    whole = token_counts.WordCounter(bpe.vocabulary(bpe.default_vocabulary()))
+    monkeypatch.setattr(token_counts, "MOST_STATES", 4)
     counter = token_counts.WordCounter(bpe.vocabulary(bpe.default_vocabulary()))
-    for word in ("tionthe", "aaaaaaaaaaaaaaaa", "日本語", "x" * 5000):
-        n = counter.count(word.encode())
-        counter.clear()
-        assert n == counter.count(word.encode()) == len(library.encode(word, add_special_tokens=False).ids)
+    for word in ("tionthe", "aaaaaaaaaaaaaaaa", "日本語", "x" * 5000, "internationalisation"):
+        assert whole.count(word.encode()) == counter.count(word.encode()) == counter.walk(word.encode()) == len(library.encode(word, add_special_tokens=False).ids)
+    assert len(counter.keys) == 4
+
+
+def test_old_words_come_back(monkeypatch):
+    monkeypatch.setattr(token_counts, "WORD_MEMORY", 2)
+    counts = token_counts.WordCounts(token_counts.WordCounter(bpe.vocabulary(bpe.default_vocabulary())))
+    assert [counts[w] for w in ("a", "the", "zqzq", "a", "the", "zqzq")] == [1, 1, counts["zqzq"]] * 2 and len(counts) <= 2
+
+
+def test_counts_of_every_code_point(library):
+    texts = ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 64)]
+    assert token_counts.count_texts(texts, bpe.default_vocabulary()).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_decoding_replaces_broken_bytes(library):
