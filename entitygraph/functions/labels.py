@@ -52,13 +52,22 @@ def etype_of_code(code: Column | str) -> Column:
     return F.when(c == 0, "cell").when(c == 1, "partial").otherwise("unknown")
 
 
-def partial_label(parent: Column | str) -> Column:
-    return F.concat(F.col(parent) if isinstance(parent, str) else parent, F.lit(TRACE_DELIMITER), F.lit("1"))
+def partial_label(parent: Column | str, index: Column | int = 1) -> Column:
+    """{parent}-tr-{index}; of a partial, its sub-partial."""
+    tail = index.cast("string") if isinstance(index, Column) else F.lit(str(index))
+    return F.concat(F.col(parent) if isinstance(parent, str) else parent, F.lit(TRACE_DELIMITER), tail)
 
 
-def subpartial_label(parent: Column | str, index: Column | int) -> Column:
-    tail = index.cast("string") if isinstance(index, Column) else F.lit(str(index))
-    return F.concat(F.col(parent) if isinstance(parent, str) else parent, F.lit("-"), tail)
+subpartial_label = partial_label
+
+
+def split_label(label: Column | str) -> Column:
+    """struct(cell, indices) of a label with the delimiter; without it, the label itself and no indices.
+
+    An index that is no whole number is an error.
+    """
+    parts = F.split(F.col(label) if isinstance(label, str) else label, TRACE_DELIMITER)
+    return F.struct(parts[0].alias("cell"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.cast("int")).alias("indices"))
 
 
 def label_parts(label: Column | str) -> Column:

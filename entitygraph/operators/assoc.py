@@ -128,7 +128,7 @@ def association(table: DataFrame, alpha: float | None = None) -> DataFrame:
     return out.withColumn("pmi_smoothed", S.smoothed_pmi("k_ij", "k_i", "k_j", "n", alpha)) if alpha is not None else out
 
 
-def all_pairs(present: DataFrame) -> DataFrame:
+def all_pairs(present: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """Every unordered pair of the vocabulary with its counts, unobserved ones with k_ij = 0.
 
     The pairs of the vocabulary are the result itself, G (G - 1) / 2 rows.
@@ -136,7 +136,7 @@ def all_pairs(present: DataFrame) -> DataFrame:
     k = marginals(present)
     left, right = k.select(F.col("feature").alias("gi"), F.col("k").alias("k_i")), k.select(F.col("feature").alias("gj"), F.col("k").alias("k_j"))
     every = left.join(right, F.col("gi") < F.col("gj"))
-    return every.join(pair_counts(present), ["gi", "gj"], "left").crossJoin(F.broadcast(universe(present))).select("gi", "gj", F.coalesce("k_ij", F.lit(0).cast("long")).alias("k_ij"), "k_i", "k_j", "n")
+    return every.join(pair_counts(present), ["gi", "gj"], "left").crossJoin(F.broadcast(contexts if contexts is not None else universe(present))).select("gi", "gj", F.coalesce("k_ij", F.lit(0).cast("long")).alias("k_ij"), "k_i", "k_j", "n")
 
 
 def dense_table(present: DataFrame, negative_from: float | None = None) -> DataFrame:
@@ -158,9 +158,12 @@ def size_band_admittance(obs: DataFrame, present: DataFrame, low: float = 0.05,
     return sized.join(broadcast_if_small(bands), "feature").where((F.col("size") >= F.col("lo")) & (F.col("size") <= F.col("hi"))).select("cell", "feature")
 
 
-def zero_pairs(present: DataFrame, least_expected: float = 10, set_negative: bool = True) -> DataFrame:
-    """Unobserved pairs with their expected count and kind: ``neg_one`` or ``indeterminate``."""
-    t = all_pairs(present).where("k_ij = 0").withColumn("expected", F.col("k_i").cast("double") * F.col("k_j") / F.col("n"))
+def zero_pairs(present: DataFrame, least_expected: float = 10, set_negative: bool = True, contexts: DataFrame | None = None) -> DataFrame:
+    """Unobserved pairs with their expected count and kind: ``neg_one`` or ``indeterminate``.
+
+    ``contexts`` is one row, the number of contexts, by default those of ``present``.
+    """
+    t = all_pairs(present, contexts).where("k_ij = 0").withColumn("expected", F.col("k_i").cast("double") * F.col("k_j") / F.col("n"))
     return t.select("gi", "gj", "expected", F.when((F.col("expected") >= least_expected) & F.lit(set_negative), "neg_one").otherwise("indeterminate").alias("kind"))
 
 
@@ -193,23 +196,26 @@ def final_kind(lo: float, hi: float, low: float, high: float) -> str:
     return "unsettled"
 
 
-def bootstrap(table: DataFrame, tau: float | tuple[float, float] = 0.05, ci: float = 0.95, budget: int = 10_000, coarse: int = 200, refine: int = 500, metric: str = "npmi", seed: int = 0) -> DataFrame:
+def bootstrap(table: DataFrame, tau: float | tuple[float, float] = 0.05, ci: float = 0.95, budget: int = 10_000, coarse: int = 200, refine: int = 500, metric: str = "npmi", seed: int = 0, alpha: float = 0.1, subsample: int | None = None, least_draws: int = LEAST_DRAWS) -> DataFrame:
     """Intervals and kinds of observed pairs by drawing their four-cell tables.
 
     Resampling contexts gives the four counts of a pair (both, only i, only j, neither)
     a multinomial law, so each pair is drawn on its own, seeded by its names: results do
     not depend on partitions, and nothing is shuffled.  A pair stops drawing when its
-    interval settles as strong or as a tight null.
+    interval settles as strong or as a tight null.  A draw takes ``subsample`` contexts (by
+    default as many as there are); ``alpha`` is added to the counts and twice to their total, so
+    that draws without the pair count too.
     """
     low, high = (tau, tau) if isinstance(tau, (int, float)) else tau
     tail = 100 * (1 - ci) / 2
 
     def values(counts: np.ndarray, n: int) -> np.ndarray:
-        both, i, j = counts[:, 0], counts[:, 0] + counts[:, 1], counts[:, 0] + counts[:, 2]
+        both, i, j = counts[:, 0] + alpha, counts[:, 0] + counts[:, 1] + alpha, counts[:, 0] + counts[:, 2] + alpha
+        total = n + 2 * alpha
         with np.errstate(divide="ignore", invalid="ignore"):
-            v = np.log(both * n / (i * j))
+            v = np.log(both * total / (i * j))
             if metric == "npmi":
-                v = v / -np.log(both / n)
+                v = v / -np.log(both / total)
         return v[np.isfinite(v)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,8 +229,9 @@ def bootstrap(table: DataFrame, tau: float | tuple[float, float] = 0.05, ci: flo
                 while drawn < budget:
                     block = min(coarse if drawn == 0 else refine, budget - drawn)
                     drawn += block
-                    seen = np.concatenate([seen, values(rng.multinomial(n, p, block), n)])
-                    if len(seen) < LEAST_DRAWS:
+                    size = subsample or n
+                    seen = np.concatenate([seen, values(rng.multinomial(size, p, block), size)])
+                    if len(seen) < least_draws:
                         continue
                     lo, hi = np.percentile(seen, [tail, 100 - tail])
                     kind = final_kind(lo, hi, low, high)
@@ -243,14 +250,26 @@ def single_tau_kind(kind: Column | str) -> Column:
     return F.when(k.startswith("pos"), "pos").when(k.startswith("neg"), "neg").when(k.isin("tight_null", "dead_zone"), "dead_zone").otherwise("unsettled")
 
 
-def pmi_bootstrap(obs: DataFrame, metric: str = "npmi", least: int = 2, evidence: float = 10, least_expected: float = 10, bands: tuple[float, float] | None = None, **draws) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The panel with population values, all pairs with intervals and kinds, and a row of diagnostics."""
+def usable_contexts(obs: DataFrame, excluded: tuple[str, ...] = NO_CONTEXT, nuclear: bool = False, nuclear_column: str = "nuclear", sizes: tuple[float, float] | None = None) -> DataFrame:
+    """Observations that association may use: no excluded contexts, nuclear rows only if asked for, contexts of usual size."""
+    out = exclude_contexts(obs, excluded)
+    out = nuclear_only(out, nuclear_column) if nuclear else out
+    return size_band_filter(out, *sizes) if sizes else out
+
+
+def pmi_bootstrap(obs: DataFrame, metric: str = "npmi", least: int = 2, evidence: float = 10, least_expected: float | None = None, evidence_boot: float | None = None, bands: tuple[float, float] | None = None, subsample: int | None = None, set_negative: bool = True, excluded: tuple[str, ...] = NO_CONTEXT, nuclear: bool = False, sizes: tuple[float, float] | None = None, **draws) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The panel with population values, all pairs with intervals and kinds, and a row of diagnostics.
+
+    Labels that are no contexts are left out first, then rows outside nuclei (``nuclear``),
+    then contexts of unusual size (``sizes``); ``bands`` admits each feature in contexts of its usual sizes.
+    """
+    obs = usable_contexts(obs, excluded, nuclear, sizes=sizes)
     present = presence(obs, least)
     admitted = size_band_admittance(obs, present, *bands) if bands else None
-    table = evidence_tiers(pairs(present, admitted), evidence)
-    drawn = bootstrap(table.where("tier = 'bootstrap'"), metric=metric, **draws).select("gi", "gj", "median", "ci_lo", "ci_hi", "n_draws", "kind")
+    table = evidence_tiers(pairs(present, admitted), evidence, subsample, evidence_boot)
+    drawn = bootstrap(table.where("tier = 'bootstrap'"), metric=metric, subsample=subsample, **draws).select("gi", "gj", "median", "ci_lo", "ci_hi", "n_draws", "kind")
     full = association(table).join(drawn, ["gi", "gj"], "left").withColumn("kind", F.coalesce("kind", "tier"))
-    zero = zero_pairs(admitted if admitted is not None else present, least_expected)
+    zero = zero_pairs(admitted if admitted is not None else present, evidence if least_expected is None else least_expected, set_negative, universe(present))
     sentinel = F.lit(-1.0) if metric == "npmi" else -F.ln("expected")
     panel = full.where(F.col("kind").isin(*SIGNED, "legacy_only")).select("gi", "gj", F.col(metric).alias("w"))
     panel = panel.unionByName(zero.where("kind = 'neg_one'").select("gi", "gj", sentinel.alias("w")))

@@ -32,6 +32,20 @@ def grid_edges(points: DataFrame, size: float = 8.0, topology: str = "8", z_size
     return met.select(F.least("a", "id").alias("src"), F.greatest("a", "id").alias("dst"))
 
 
+def bin_edges(rows: DataFrame, size: float, z_size: float, z_depth: int = 1, entity: str = "entity") -> DataFrame:
+    """(src, dst) that hang an entity's points together as the graph of equal and neighbouring bins does, with fewer edges.
+
+    Points of one bin hang on their smallest id, and smallest ids on those of neighbouring bins of the same entity.
+    """
+    binned = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select("id", F.col(entity).alias("entity"), bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"), bin_of("z", z_size).alias("bz"))
+    key = ["entity", "bx", "by", "bz"]
+    reps = binned.groupBy(*key).agg(F.min("id").alias("rep"))
+    star = binned.join(reps, key).where("id != rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    offsets = [(dx, dy, dz) for dx, dy in xy_half_offsets("8") for dz in range(-z_depth, z_depth + 1) if (dx, dy) != (0, 0) or dz > 0]
+    moved = reps.withColumn("o", F.explode(offsets_column(offsets))).select("entity", (F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by"), (F.col("bz") + F.col("o.d2")).alias("bz"), F.col("rep").alias("a"))
+    return star.unionByName(moved.join(reps, key).select(F.least("a", "rep").alias("src"), F.greatest("a", "rep").alias("dst")))
+
+
 def self_bin_components(points: DataFrame, size: float) -> DataFrame:
     """Components of the graph that joins points of one bin: the bin itself, by grouping, without iteration."""
     binned = points.select("id", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))

@@ -7,7 +7,7 @@ pairs are NaN.  Every tie is broken by the smaller number or identifier.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -107,6 +107,9 @@ def admit(gene: int, seed: np.ndarray, w: np.ndarray, rule: Admission) -> bool:
 def nuclear_seed(genes: np.ndarray, nuclear: np.ndarray, w: np.ndarray, threshold: float = -0.1, floor: float = 0.1, rule: Admission | None = None, nuclear_rows_only: bool = False, least: int = 3) -> np.ndarray:
     """Codes of one cell's rows: 0 main, 1 partial, 2 unassigned; a feature of -1 is outside the panel."""
     rule = rule or Admission(mode="mean", inclusive=True)
+    if rule.mode == "mean":
+        # The plain mean of all observed pairs: weak ones count here.
+        rule = replace(rule, real_signal=0.0)
     code = np.full(len(genes), 2)
     known = genes >= 0
 
@@ -242,6 +245,8 @@ class StitchRule:
     absent_counts: bool = True
     rescue_floor: float = -0.2
     rescue_distance: float | None = 1.0
+    #: Whether the gain pays for small entities (less 1/n each).
+    penalized: bool = True
     #: Greatest distance of two centres that may merge; None: any.
     reach: float | None = None
     #: Greatest number of members of a merger; None: any.
@@ -284,7 +289,8 @@ def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray,
     def gain(a: int, b: int) -> tuple[float, float]:
         union = coherence(np.union1d(now[a].genes, now[b].genes), w, rule.tau, rule.absent_counts)
         na, nb = max(1, now[a].n), max(1, now[b].n)
-        return union - 1 / (na + nb) - max(own(a) - 1 / na, own(b) - 1 / nb), union
+        cost = 1.0 if rule.penalized else 0.0
+        return union - cost / (na + nb) - max(own(a) - cost / na, own(b) - cost / nb), union
 
     def allowed(a: int, b: int) -> bool:
         if (now[a].is_cell and now[b].is_cell) or max(now[a].depth, now[b].depth) >= rule.depth:
@@ -358,17 +364,31 @@ def z_threshold(dz: np.ndarray, separation: float = 3.0, counts: np.ndarray | No
 
     ``counts`` says how often each distance occurs.
     """
+    return z_modes(dz, separation, counts)[0]
+
+
+def z_modes(dz: np.ndarray, separation: float = 3.0, counts: np.ndarray | None = None, least: float = 1.0) -> tuple[float, float, bool]:
+    """The threshold of :func:`z_threshold`, the bin in z that goes with it, and whether there are two modes.
+
+    With two modes the bin is rounded down, to leave empty bins between them, else up; ``least`` at the least.
+    """
+    threshold, two = _z_threshold(dz, separation, counts)
+    size = np.nan if np.isnan(threshold) else max(least, float(np.floor(threshold) if two else np.ceil(threshold)))
+    return threshold, size, two
+
+
+def _z_threshold(dz: np.ndarray, separation: float, counts: np.ndarray | None) -> tuple[float, bool]:
     order = np.argsort(dz, kind="stable")
     dz = np.asarray(dz, float)[order]
     n = np.ones(len(dz), np.int64) if counts is None else np.asarray(counts, np.int64)[order]
     if n.sum() < 4:
-        return weighted_percentile(dz, n, 50) if len(dz) else np.nan
+        return (weighted_percentile(dz, n, 50) if len(dz) else np.nan), False
     mean, sd, _ = two_modes(dz, counts=n)
     pooled = np.sqrt((sd**2).mean())
     if pooled > 0 and (mean[1] - mean[0]) / pooled >= separation:
         cut = (mean[0] * sd[1] + mean[1] * sd[0]) / (sd[0] + sd[1])
-        return weighted_percentile(dz[dz <= cut], n[dz <= cut], 90)
-    return weighted_percentile(dz, n, 50)
+        return weighted_percentile(dz[dz <= cut], n[dz <= cut], 90), True
+    return weighted_percentile(dz, n, 50), False
 
 
 def density_floor(counts: np.ndarray, coverage: float = 0.65, hard_min: int = 3, radius: int = 1) -> int:

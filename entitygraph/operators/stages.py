@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
@@ -122,45 +122,48 @@ def reassign(rows: DataFrame, panel: Panel, margin: float = 0.05) -> DataFrame:
 # --- splits, ranks, sizes: windows ----------------------------------------------------------------
 
 
-def z_gap_split(rows: DataFrame, gap: float = 2.0, least: int = 1, kinds: tuple[str, ...] = ("cell", "partial")) -> DataFrame:
+def z_gap_split(rows: DataFrame, gap: float = 2.0, least: int = 1, kinds: tuple[str, ...] = ("cell", "partial"), least_entity: int = 2) -> DataFrame:
     """Entities cut where sorted z jumps by more than ``gap``; the largest part keeps the label.
 
-    Other parts become {parent}-{next free number}; parts smaller than ``least`` are unassigned.
+    Other parts become {parent}-{next free number} and partials (parts of components stay
+    components); parts smaller than ``least`` are unassigned.  Entities without a jump, or of fewer
+    rows than ``least_entity``, stay as they are, and so do components that were cut before.
     """
-    live = F.col("etype").isin(*kinds) & ~L.is_unassigned("entity") & F.col("z").isNotNull()
+    cut = F.col("entity").startswith(L.COMPONENT_PREFIX) & F.col("entity").contains("-")
+    live = F.col("etype").isin(*kinds) & ~L.is_unassigned("entity") & ~cut & F.col("z").isNotNull()
     by_z = Window.partitionBy("entity").orderBy("z", "id")
     r = rows.where(live).withColumn("_jump", F.coalesce((F.col("z") - F.lag("z").over(by_z) > gap).cast("int"), F.lit(0)))
     r = r.withColumn("_part", F.sum("_jump").over(by_z.rowsBetween(Window.unboundedPreceding, 0)))
     sizes = r.groupBy("entity", "_part").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.col("_n").desc(), "_part")) - 1)
+    whole = Window.partitionBy("entity")
+    sizes = sizes.withColumns({"_rank": F.row_number().over(whole.orderBy(F.col("_n").desc(), "_part")) - 1, "_parts": F.count("*").over(whole), "_all": F.sum("_n").over(whole)})
     # The next free number of a parent, over all labels there are.
     child = r"^(.*)-(\d+)$"
     used = rows.select("entity").distinct().where(F.col("entity").rlike(child)).select(F.regexp_extract("entity", child, 1).alias("entity"), F.regexp_extract("entity", child, 2).cast("long").alias("k")).groupBy("entity").agg(F.max("k").alias("_used"))
     # Parents with several parts are few; only their rows change.
-    many = sizes.join(sizes.where("_rank > 0 or (_rank = 0 and _n < {})".format(int(least))).select("entity").distinct(), "entity", "left_semi").join(used, "entity", "left")
+    many = sizes.where((F.col("_parts") > 1) & (F.col("_all") >= least_entity)).drop("_parts", "_all").join(used, "entity", "left")
     name = F.when(F.col("_n") < least, "-1").when(F.col("_rank") == 0, F.col("entity")).otherwise(F.concat_ws("-", "entity", (F.coalesce("_used", F.lit(0)) + F.col("_rank")).cast("string")))
-    kind = F.when(F.col("_n") < least, F.lit("unknown")).when(F.col("_rank") > 0, F.lit("partial"))
+    kind = F.when(F.col("_n") < least, F.lit("unknown")).when((F.col("_rank") > 0) & (F.col("etype") != "component"), F.lit("partial"))
     change = r.join(many, ["entity", "_part"]).select("id", name.alias("_e"), F.coalesce(kind, "etype").alias("etype")).withColumnRenamed("_e", "entity")
     return _relabel(rows, change)
 
 
 def rerank(rows: DataFrame, margin: int = 1) -> DataFrame:
-    """Within a parent, the family of most nuclear rows becomes the main entity if it leads by ``margin``.
+    """Within a parent, the family of most nuclear rows becomes the main entity if it leads the next one by ``margin``.
 
-    Families are the main label and the depth-one partials with their sub-partials.  In
-    parents that swap, the first family takes the bare label and its s sub-partials the
-    numbers 1 to s; the family of rank r becomes number s + r and keeps the second
-    numbers.  Ranks are taken over one aggregated row per family.
+    Families are the main label and the depth-one partials, all with their sub-partials' rows;
+    equal ones rank main first, then by label text.  In parents that swap, the first family takes
+    the bare label and its s sub-partials the numbers 1 to s; the family of rank r becomes
+    number s + r, its sub-partials counted from 1.  Ranks are taken over one aggregated row per family.
     """
     live = rows.where(F.col("etype").isin("cell", "partial") & ~L.is_unassigned("cell") & ~L.is_unassigned("entity"))
     lab = live.where((F.col("entity") == F.col("cell")) | F.col("entity").startswith(F.concat("cell", F.lit("-")))).withColumn("tail", F.substring(F.col("entity"), F.length("cell") + 2, F.length("entity")))
     lab = lab.where(F.col("tail").rlike(r"^(\d+(-\d+)?)?$")).withColumns({"family": F.regexp_extract("tail", r"^(\d*)", 1), "sub": F.regexp_extract("tail", r"^\d+-(\d+)$", 1)})
     names = lab.groupBy("cell", "entity", "family", "sub").agg(F.sum(F.when(F.col("nuclear"), 1).otherwise(0)).alias("n"))
-    fam = names.groupBy("cell", "family").agg(F.sum(F.when(F.col("sub") == "", F.col("n")).otherwise(0)).alias("n"), F.sum((F.col("sub") != "").cast("int")).alias("subs"))
-    order = Window.partitionBy("cell").orderBy(F.col("n").desc(), (F.col("family") != "").cast("int"), F.col("family").try_cast("int"))
-    fam = fam.withColumn("rank", F.row_number().over(order) - 1)
-    main = fam.where("family = ''").select("cell", F.col("n").alias("main_n"))
-    swap = fam.where("rank = 0 and family <> ''").join(main, "cell").where(F.col("n") - F.col("main_n") >= margin).select("cell", F.col("subs").alias("s"))
+    fam = names.groupBy("cell", "family").agg(F.sum("n").alias("n"), F.sum((F.col("sub") != "").cast("int")).alias("subs"))
+    order = Window.partitionBy("cell").orderBy(F.col("n").desc(), (F.col("family") != "").cast("int"), "family")
+    fam = fam.withColumns({"rank": F.row_number().over(order) - 1, "next": F.lead("n").over(order)})
+    swap = fam.where("rank = 0 and family <> ''").where(F.col("n") - F.col("next") >= margin).select("cell", F.col("subs").alias("s"))
     moved = names.join(fam.select("cell", "family", "rank"), ["cell", "family"]).join(swap, "cell")
     turn = F.row_number().over(Window.partitionBy("cell", "family", F.col("sub") != "").orderBy(F.col("sub").try_cast("int")))
     moved = moved.withColumn("turn", turn)
@@ -169,7 +172,7 @@ def rerank(rows: DataFrame, margin: int = 1) -> DataFrame:
         F.when((F.col("rank") == 0) & (F.col("sub") == ""), F.col("cell"))
         .when(F.col("rank") == 0, F.concat_ws("-", "cell", "turn"))
         .when(F.col("sub") == "", F.concat_ws("-", "cell", number))
-        .otherwise(F.concat_ws("-", "cell", number, "sub"))
+        .otherwise(F.concat_ws("-", "cell", number, "turn"))
     )
     moved = moved.withColumn("_e", new).select("cell", "entity", "_e", F.when((F.col("rank") == 0) & (F.col("sub") == ""), "cell").otherwise("partial").alias("_k"))
     change = live.select("id", "cell", "entity").join(moved, ["cell", "entity"]).select("id", F.col("_e").alias("entity"), F.col("_k").alias("etype"))
@@ -194,10 +197,14 @@ def _drop_entities(rows: DataFrame, gone: DataFrame, mark: str) -> DataFrame:
     return j.withColumns({"entity": F.when(hit, mark).otherwise(F.col("entity")), "etype": F.when(hit, "unknown").otherwise(F.col("etype"))}).drop("_gone")
 
 
-def coherence_qc(rows: DataFrame, panel: DataFrame, floor: float = 0.05, real_signal: float = 0.05, absent: str = "zero", kinds: tuple[str, ...] = ("component", "partial")) -> DataFrame:
-    """Entities of some kinds whose coherence is at most ``floor``, or with fewer than two features, are unassigned."""
-    sets = entity.features_of(rows.where(~L.is_unassigned("entity") & F.col("etype").isin(*kinds)))
-    c = entity.coherence(sets, panel, 0.0, absent, real_signal=real_signal)
+def coherence_qc(rows: DataFrame, panel: DataFrame, floor: float = 0.05, real_signal: float = 0.05, absent: str = "zero", kinds: tuple[str, ...] = ("cell", "partial", "component"), tau: float = 0.0) -> DataFrame:
+    """Entities of some kinds whose coherence is at most ``floor``, or with a single feature of the panel, are unassigned.
+
+    Entities without any feature of the panel can't be judged and stay.
+    """
+    known = assoc.symmetric(panel).select(F.col("a").alias("feature")).distinct()
+    sets = entity.features_of(rows.where(~L.is_unassigned("entity") & F.col("etype").isin(*kinds))).join(broadcast_if_small(known), "feature", "left_semi").select("entity", "feature")
+    c = entity.coherence(sets, panel, tau, absent, real_signal=real_signal)
     k = sets.groupBy("entity").agg(F.count("*").alias("k"))
     gone = c.join(k, "entity").where((F.col("coherence") <= floor) | (F.col("k") < 2)).select(F.col("entity").alias("_gone"))
     return _drop_entities(rows, gone, "-1")
@@ -256,12 +263,17 @@ def z_scale(rows: DataFrame, entities: int = 50, least: int = 5) -> float:
 
     The estimator samples entities, chosen by hash here, but no points; below 10 pairs there is no scale.
     """
+    return z_scales(rows, entities, least)[0]
+
+
+def z_scales(rows: DataFrame, entities: int = 50, least: int = 5) -> tuple[float, float, bool]:
+    """The scale of :func:`z_scale`, the bin in z that goes with it, and whether the distances have two modes."""
     live = rows.where(~L.is_unassigned("entity") & F.col("z").isNotNull())
     large = live.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     chosen = large.select("entity").orderBy(F.xxhash64("entity"), "entity").limit(entities)
     found = entity.dz_counts(live.join(F.broadcast(chosen), "entity"), "entity", least).groupBy("dz").agg(F.sum("n").alias("n")).orderBy("dz").toPandas()
     dz, n = found["dz"].to_numpy(float), found["n"].to_numpy(np.int64)
-    return kernels.z_threshold(dz, counts=n) if n.sum() >= 10 else float("nan")
+    return kernels.z_modes(dz, counts=n) if n.sum() >= 10 else (float("nan"), float("nan"), False)
 
 
 # --- rescue ---------------------------------------------------------------------------------------
@@ -274,6 +286,8 @@ def guarded(rows: DataFrame, size: float, peers: int = 3) -> DataFrame:
     return free.join(full, ["feature", "bx", "by"]).select("id")
 
 
+#: The entity that clustered rows form while they are shielded.
+SHIELD = "__SHIELD__"
 #: Admitted (feature, entity) pairs up to which they are broadcast (about 40 bytes each).
 GATE_ROWS = 1_000_000
 
@@ -335,17 +349,23 @@ def gate(pairs: DataFrame, sets: DataFrame, panel: DataFrame, rule: kernels.Admi
     return s.where((F.col("held") == 0) | F.coalesce(ok, F.lit(False))).select("feature", "entity")
 
 
-def rescue(rows: DataFrame, panel: DataFrame, size: float, rule: kernels.Admission | None = None, rank: str = "distance", z_bound: float | None = None, cap: int = 3, divisor: int = 2, least: int = 3, tie: str = "distance", peers: int | None = None) -> DataFrame:
+def rescue(rows: DataFrame, panel: DataFrame, size: float, rule: kernels.Admission | None = None, rank: str = "distance", z_bound: float | None = None, cap: int = 3, divisor: int = 2, least: int = 3, tie: str = "distance", peers: int | None = None, shield: str = "exclude") -> DataFrame:
     """(id, entity, etype) of unassigned rows that a nearby compatible entity takes.
 
     All inputs are those before the pass, so rows do not depend on each other.  By
     ``distance``: the entity of the nearest admitted point.  By ``witness``: the entity
     with most points around, counted up to ``cap`` and half its size, at least
     ``least``; ties by gene fit or distance, then name.  With ``peers``, clustered
-    rows are left out.
+    rows are left out (``shield="exclude"``), or they form one entity that competes for the
+    other rows, and what it wins stays unassigned (``shield="entity"``).
     """
     rule = rule or kernels.Admission()
-    rows = settle(rows.select("id", "feature", "x", "y", "z", "entity", "etype"), "rows")
+    rows = rows.select("id", "feature", "x", "y", "z", "entity", "etype")
+    if peers is not None and shield == "entity":
+        clustered = guarded(rows, size, peers).withColumn("_held", F.lit(True))
+        rows = rows.join(clustered, "id", "left").withColumn("entity", F.when(F.col("_held"), SHIELD).otherwise(F.col("entity"))).drop("_held")
+        peers = None
+    rows = settle(rows, "rows")
     live = rows.where(~L.is_unassigned("entity"))
     near = near_points(rows, size, z_bound, peers)
     sets = settle(entity.features_of(live), "sets")
@@ -365,7 +385,7 @@ def rescue(rows: DataFrame, panel: DataFrame, size: float, rule: kernels.Admissi
         key = F.struct((-F.col("eff")).alias("k"), F.col("t").alias("t"), F.col("entity").alias("entity"))
     best = found.groupBy("id").agg(F.min(key).alias("m")).select("id", F.col("m.entity").alias("entity"))
     kinds = live.groupBy("entity").agg(F.min_by("etype", "id").alias("etype"))
-    return best.join(kinds, "entity").select("id", "entity", "etype")
+    return best.where(F.col("entity") != SHIELD).join(kinds, "entity").select("id", "entity", "etype")
 
 
 def apply_rescue(rows: DataFrame, taken: DataFrame) -> DataFrame:
@@ -444,7 +464,7 @@ def auto_floor(counts: DataFrame, coverage: float = 0.65, hard_min: int = 3, rad
     return at.where(F.col("share") >= coverage).agg(F.greatest(F.coalesce(F.max("m"), F.lit(hard_min)), F.lit(hard_min)).alias("floor"))
 
 
-def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | None = None, floor: int | None = None, radius: int = 1, threshold: float = 0.2, least: int = 3) -> DataFrame:
+def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | None = None, floor: int | None = None, radius: int = 1, threshold: float = 0.2, least: int = 3, coverage: float = 0.65, hard_min: int = 2) -> DataFrame:
     """(id, entity, etype): free rows grouped around the densest bins, by falling density.
 
     Bins that lie within twice the radius are linked; each connected island of bins is
@@ -454,7 +474,7 @@ def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | N
     free = rows.where(L.is_unassigned("entity") & F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "feature", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))
     counts = free.groupBy("bx", "by").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n")).first()[0] or 0
-    low = floor if floor is not None else auto_floor(counts, radius=radius).first()[0]
+    low = floor if floor is not None else auto_floor(counts, coverage, hard_min, radius).first()[0]
     high = ceiling if ceiling is not None else top
     reach = 2 * radius
     half = [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if dx > 0 or (dx == 0 and dy > 0)]
@@ -517,25 +537,47 @@ def stitch(rows: DataFrame, panel: Panel, pairs: DataFrame, rule: kernels.Stitch
         return pd.DataFrame({"entity": f["entity"], "root": [f["entity"][r] for r in root], "etype": f["etype"], "n": f["n"]})
 
     merged = table.join(linked, "component").groupBy("component").applyInPandas(run, "entity string, root string, etype string, n bigint")
-    return stitch_labels(merged)
+    return stitch_labels(merged, info.where("etype = 'partial'").select("entity"))
+
 
+def stitch_labels(merged: DataFrame, partials: DataFrame | None = None) -> DataFrame:
+    """Labels of mergers (entity, root, etype, n): one row per entity that was asked about.
 
-def stitch_labels(merged: DataFrame) -> DataFrame:
-    """Labels of mergers (entity, root, etype, n): one row per entity that was asked about."""
+    Cells come before partials before components, the first by name among them.  Several
+    partials become {cell}-{depth1}-{number} under that of the greatest first number, then second
+    number, then size, then the first name.  Numbers go on after the greatest one in use among
+    ``partials`` (entity), by default those of ``merged``, in the order of the mergers' first names.
+    """
     rank = F.when(F.col("etype") == "cell", 0).when(F.col("etype") == "partial", 1).otherwise(2)
-    parts = L.label_parts("entity")
-    m = merged.withColumns({"r": rank, "p": parts})
-    order = F.struct(F.col("r"), F.coalesce(F.col("p.depth1"), F.lit(0)), F.coalesce(F.col("p.depth2"), F.lit(0)), (-F.col("n")).alias("n"), F.col("entity").alias("entity"))
-    g = m.groupBy("root").agg(F.count("*").alias("size"), F.min(order).alias("o"), F.sum((F.col("r") == 1).cast("int")).alias("n_partial"))
-    first = g.select("root", "size", "n_partial", F.col("o.entity").alias("head"), F.col("o.r").alias("r"))
-    head = first.withColumn("hp", L.label_parts("head"))
-    fresh = (F.col("r") == 1) & (F.col("n_partial") > 1) & F.col("hp.depth1").isNotNull()
-    number = F.row_number().over(Window.partitionBy("hp.cell", "hp.depth1").orderBy("head"))
-    new = head.where(fresh).select("root", F.concat_ws("-", "hp.cell", "hp.depth1", number).alias("stitched"))
-    label = head.join(new, "root", "left").select("root", F.coalesce("stitched", "head").alias("stitched"), F.when(F.col("r") == 0, "cell").when(F.col("r") == 1, "partial").otherwise("component").alias("etype"))
+    m = merged.withColumns({"r": rank, "p": numbered_label("entity")})
+    known = (F.col("r") == 1) & F.col("p.depth1").isNotNull()
+    top = F.struct((-F.col("p.depth1")).alias("d1"), (-F.col("p.depth2")).alias("d2"), (-F.col("n")).alias("n"), F.col("entity").alias("entity"), F.col("p.cell").alias("cell"))
+    g = m.groupBy("root").agg(
+        F.min(F.struct("r", "entity")).alias("o"),
+        F.min("entity").alias("name"),
+        F.sum((F.col("r") == 1).cast("int")).alias("n_partial"),
+        F.min(F.when(known, top)).alias("top"),
+    )
+    g = g.select("root", "name", "n_partial", "top", F.col("o.entity").alias("head"), F.col("o.r").alias("r"))
+    fresh = (F.col("r") == 1) & (F.col("n_partial") > 1) & F.col("top").isNotNull()
+    spaces = g.where(fresh).select("root", "name", F.col("top.cell").alias("cell"), (-F.col("top.d1")).alias("d1"))
+    taken = (partials if partials is not None else m.where("r = 1").select("entity")).select(numbered_label("entity").alias("p")).where(F.col("p").isNotNull())
+    taken = taken.groupBy(F.col("p.cell").alias("cell"), F.col("p.depth1").alias("d1")).agg(F.max("p.depth2").alias("used"))
+    number = F.coalesce("used", F.lit(0)) + F.row_number().over(Window.partitionBy("cell", "d1").orderBy("name"))
+    new = spaces.join(taken, ["cell", "d1"], "left").select("root", F.concat_ws("-", "cell", "d1", number).alias("stitched"))
+    label = g.join(new, "root", "left").select("root", F.coalesce("stitched", "head").alias("stitched"), F.when(F.col("r") == 0, "cell").when(F.col("r") == 1, "partial").otherwise("component").alias("etype"))
     return m.select("entity", "root").join(label, "root").select("entity", "stitched", "etype")
 
 
+def numbered_label(label: str) -> Column:
+    """struct(cell, depth1, depth2) of {cell}-{depth1} (depth2 0) and {cell}-{depth1}-{depth2}; null for all other labels."""
+    c = F.col(label)
+    two, one = r"^(.*)-(\d+)-(\d+)$", r"^([^-]*)-(\d+)$"
+    part = lambda pattern, k: F.regexp_extract(c, pattern, k)
+    made = lambda pattern, last: F.struct(part(pattern, 1).alias("cell"), part(pattern, 2).cast("int").alias("depth1"), last.alias("depth2"))
+    return F.when(c.rlike(two), made(two, part(two, 3).cast("int"))).when(c.rlike(one), made(one, F.lit(0)))
+
+
 def apply_stitch(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Rows with the merged label and kind."""
     new = names.select("entity", F.col("stitched").alias("_e"), F.col("etype").alias("_k"))

@@ -12,6 +12,9 @@ from pathlib import Path
 import numpy as np
 
 
+MODES = ("min", "mean", "hybrid")
+
+
 def _require(ok: bool, what: str) -> None:
     if not ok:
         raise ValueError(what)
@@ -19,32 +22,39 @@ def _require(ok: bool, what: str) -> None:
 
 @dataclass(frozen=True)
 class PruneConfig:
-    threshold: float = -0.1
+    threshold: float = 0.2
     floor: float = 0.1
+    mode: str = "hybrid"
     mean_threshold: float = 0.2
-    nuclear_only: bool = False
-    fallback_threshold: float = 0.2
+    min_threshold: float = 0.0
+    percentile: float = 25.0
+    real_signal: float = 0.05
+    negative: float = -0.2
+    nuclear_only: bool = True
     remerge: bool = True
     remerge_floor: float = -0.2
     remerge_distance: float = 1.0
 
     def __post_init__(self) -> None:
-        _require(self.remerge_floor < 0 < self.remerge_distance, "the remerge floor is negative, its distance positive")
+        _require(self.mode in MODES, "mode is min, mean or hybrid")
+        _require(self.remerge_floor <= 0 < self.remerge_distance, "the remerge floor is not positive, its distance positive")
 
 
 @dataclass(frozen=True)
 class SplitConfig:
     gap: float = 2.0
-    min_size: int = 3
+    min_size: int = 1
+    min_entity_size: int = 2
 
     def __post_init__(self) -> None:
-        _require(self.gap > 0 and self.min_size >= 1, "the gap is positive, the size at least 1")
+        _require(self.gap > 0 and self.min_size >= 1 and self.min_entity_size >= 1, "the gap is positive, sizes are at least 1")
 
 
 @dataclass(frozen=True)
 class QcConfig:
     min_size: int = 3
     coherence_floor: float = 0.05
+    coherence_tau: float = 0.2
     real_signal: float = 0.05
 
     def __post_init__(self) -> None:
@@ -53,11 +63,13 @@ class QcConfig:
 
 @dataclass(frozen=True)
 class RerankConfig:
+    enabled: bool = True
     margin: int = 1
 
 
 @dataclass(frozen=True)
 class ReassignConfig:
+    enabled: bool = True
     margin: float = 0.05
 
 
@@ -70,43 +82,58 @@ class DemoteConfig:
 class RescueConfig:
     passes: int = 3
     post_group_passes: int = 3
-    final_passes: int = 3
-    bin_um: float = 5.0
+    bin_um: float = 2.0
     z_bound_um: float | None = None
-    rank: str = "distance"
+    rank: str = "witness"
     mode: str = "hybrid"
-    mean_threshold: float = 0.2
+    mean_threshold: float = 0.5
     min_threshold: float = 0.0
+    negative: float = -0.2
     percentile: float = 25.0
     real_signal: float = 0.05
     guard_peers: int = 3
+    guard_shield: str = "entity"
+    small_entity_guard: int = 0
+    witness_min: int = 3
+    witness_cap: int = 3
+    witness_divisor: int = 2
+    witness_tie: str = "gene_fit"
     early_exit_ratio: float = 0.0
 
     def __post_init__(self) -> None:
         _require(self.bin_um > 0, "the bin is positive")
         _require(self.rank in ("distance", "witness"), "rank is distance or witness")
-        _require(self.mode in ("min", "mean", "hybrid"), "mode is min, mean or hybrid")
+        _require(self.witness_tie in ("distance", "gene_fit"), "ties go by distance or gene_fit")
+        _require(self.mode in MODES, "mode is min, mean or hybrid")
+        _require(self.guard_shield in ("entity", "exclude"), "the shield is entity or exclude")
 
 
 @dataclass(frozen=True)
 class GroupConfig:
-    bin_um: float = 5.0
+    bin_um: float = 2.0
     ceiling: int | None = None
     floor: int | None = None
+    coverage: float = 0.65
+    hard_min: int = 2
     radius: int = 1
     threshold: float = 0.2
     min_size: int = 3
 
     def __post_init__(self) -> None:
         _require(self.bin_um > 0 and self.radius >= 0, "the bin is positive, the radius not negative")
+        _require(0 < self.coverage <= 1 and self.hard_min >= 2, "coverage lies in (0, 1], single rows form no group")
 
 
 @dataclass(frozen=True)
 class StitchConfig:
-    bin_um: float = 5.0
-    z_bin_um: float = 5.0
+    bin_um: float = 2.0
+    z_bin_um: float | None = 1.0
+    z_depth: int = 1
     neighborhood: str = "8"
+    reach_um: float | None = 5.0
     witness_min: int = 3
+    tau: float = 0.2
+    penalized: bool = True
     least_gain: float = 0.03
     bypass: float = 0.9
     bypass_size: int = 50
@@ -116,22 +143,34 @@ class StitchConfig:
     housekeeping_tau: float | None = None
 
     def __post_init__(self) -> None:
-        _require(self.depth >= 1 and self.rescue_floor < 0, "the depth is at least 1, the rescue floor negative")
+        _require(self.depth >= 1 and self.rescue_floor <= 0, "the depth is at least 1, the rescue floor not positive")
+        _require(self.rescue_distance is None or self.rescue_distance > 0, "the rescue distance is positive")
 
 
 @dataclass(frozen=True)
 class BootstrapConfig:
-    tau: float = 0.05
+    metric: str = "pmi"
+    tau_low: float = 0.05
+    tau_high: float = 0.20
+    alpha: float = 0.1
     ci: float = 0.95
     max_bootstraps: int = 10_000
     coarse: int = 200
     refine: int = 500
+    least_draws: int = 30
+    subsample: int | None = 25_000
+    least: int = 2
     evidence: float = 10.0
+    evidence_boot: float | None = 10.0
+    set_negative: bool = True
+    bands: tuple[float, float] | None = (0.05, 0.95)
+    sizes: tuple[float, float] | None = None
     nuclear_only: bool = False
     seed: int = 0
 
     def __post_init__(self) -> None:
-        _require(0 < self.ci < 1 and self.tau >= 0, "ci lies between 0 and 1, tau is not negative")
+        _require(0 < self.ci < 1 and 0 <= self.tau_low <= self.tau_high, "ci lies between 0 and 1, taus ascend from 0")
+        _require(self.metric in ("pmi", "npmi"), "the metric is pmi or npmi")
 
 
 @dataclass(frozen=True)
@@ -143,6 +182,7 @@ class PipelineConfig:
     reassign: ReassignConfig = field(default_factory=ReassignConfig)
     demote: DemoteConfig = field(default_factory=DemoteConfig)
     rescue: RescueConfig = field(default_factory=RescueConfig)
+    final_rescue: RescueConfig = field(default_factory=RescueConfig)
     group: GroupConfig = field(default_factory=GroupConfig)
     stitch: StitchConfig = field(default_factory=StitchConfig)
     bootstrap: BootstrapConfig = field(default_factory=BootstrapConfig)
@@ -151,7 +191,7 @@ class PipelineConfig:
 #: What platforms change.
 PLATFORMS: dict[str, dict] = {
     "xenium": {"bootstrap": {"nuclear_only": True}},
-    "noseg": {"rescue": {"post_group_passes": 5}},
+    "noseg": {"rescue": {"post_group_passes": 5}, "final_rescue": {"passes": 5}},
 }
 
 
@@ -182,6 +222,7 @@ def build(tables: dict) -> PipelineConfig:
     for f in dataclasses.fields(PipelineConfig):
         kind = typing.get_type_hints(PipelineConfig)[f.name]
         given = tables.get(f.name, {})
+        given = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
         known = {x.name for x in dataclasses.fields(kind)}
         if extra := set(given) - known:
             raise ValueError(f"unknown keys in [{f.name}]: {sorted(extra)}")
@@ -198,6 +239,8 @@ def load_config(path: str | Path | None = None, platform: str | None = None) ->
         tables = merge(tables, PLATFORMS[platform])
     if path is not None:
         tables = merge(tables, resolve_inherit(tomllib.loads(Path(path).read_text())))
+    # The final rescue starts from the settings of the rescue.
+    tables["final_rescue"] = merge(tables.get("rescue", {}), tables.get("final_rescue", {}))
     return build(tables)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
 from entitygraph.functions.storage import settle
-from entitygraph.operators import assoc, grid, kernels, stages
-from entitygraph.plans.config import PipelineConfig
+from entitygraph.operators import assoc, graph, grid, kernels, stages
+from entitygraph.plans.config import PipelineConfig, RescueConfig
 
 
 @dataclass
@@ -30,46 +31,67 @@ class Run:
         self.progression.append({"stage": name, **counts, "stage_seconds": time.time() - began})
 
 
-def _rescue_rule(cfg: PipelineConfig) -> kernels.Admission:
-    r = cfg.rescue
-    return kernels.Admission(mode=r.mode, mean_threshold=r.mean_threshold, min_threshold=r.min_threshold, percentile=r.percentile, real_signal=r.real_signal)
+def bootstrap_panel(points: DataFrame, cfg: PipelineConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The panel of points (cell, feature[, nuclear]), all pairs, and diagnostics, by the settings."""
+    b = (cfg or PipelineConfig()).bootstrap
+    return assoc.pmi_bootstrap(
+        points, b.metric, b.least, b.evidence, None, b.evidence_boot, b.bands, b.subsample, b.set_negative, nuclear=b.nuclear_only, sizes=b.sizes,
+        tau=(b.tau_low, b.tau_high), ci=b.ci, budget=b.max_bootstraps, coarse=b.coarse, refine=b.refine, seed=b.seed, alpha=b.alpha, least_draws=b.least_draws,
+    )
 
 
-def _rescue(run: Run, name: str, passes: int, cfg: PipelineConfig, panel: DataFrame, guard: bool) -> None:
-    """Passes until none admits a row, or too few of the unassigned."""
-    r = cfg.rescue
+def _rule(r: RescueConfig) -> kernels.Admission:
+    return kernels.Admission(mode=r.mode, mean_threshold=r.mean_threshold, min_threshold=r.min_threshold, negative=r.negative, percentile=r.percentile, real_signal=r.real_signal, guard=r.small_entity_guard)
+
+
+def _rescue(run: Run, name: str, passes: int, r: RescueConfig, panel: DataFrame, guard: bool) -> None:
+    """Passes until none admits a row; the final rescue also ends when one admits too few of the unassigned."""
     for k in range(passes):
-        free = run.rows.where(L.is_unassigned("entity")).count()
-        taken = settle(stages.rescue(run.rows, panel, r.bin_um, _rescue_rule(cfg), r.rank, r.z_bound_um, peers=r.guard_peers if guard else None), "taken")
+        taken = stages.rescue(run.rows, panel, r.bin_um, _rule(r), r.rank, r.z_bound_um, r.witness_cap, r.witness_divisor, r.witness_min, r.witness_tie, r.guard_peers if guard and r.guard_peers > 0 else None, r.guard_shield)
+        taken = settle(taken, "taken")
         n = taken.count()
         if n == 0:
             break
+        free = run.progression[-1]["n_unassigned"]
         run.step(f"{name} {k + 1}", lambda rows, taken=taken: stages.apply_rescue(rows, taken))
-        if n <= r.early_exit_ratio * free:
+        if not guard and n < r.early_exit_ratio * free:
             break
 
 
-def _stitch(rows: DataFrame, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig, absent: str) -> DataFrame:
+def _stitch(rows: DataFrame, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig, absent: str, z_bin: float) -> DataFrame:
     s = cfg.stitch
-    index = grid.build_index(rows, s.bin_um, s.z_bin_um)
-    pairs = settle(grid.witness_pairs(index, s.neighborhood, 1, s.witness_min, cap_at_size=True).select(F.col("lo").alias("a"), F.col("hi").alias("b")), "pairs")
-    rule = kernels.StitchRule(s.least_gain, s.bypass, s.bypass_size, s.depth, 0.0, absent == "zero", s.rescue_floor, s.rescue_distance)
+    index = grid.build_index(rows, s.bin_um, s.z_bin_um or z_bin)
+    pairs = settle(grid.witness_pairs(index, s.neighborhood, s.z_depth, s.witness_min, cap_at_size=True).select(F.col("lo").alias("a"), F.col("hi").alias("b")), "pairs")
+    rule = kernels.StitchRule(s.least_gain, s.bypass, s.bypass_size, s.depth, s.tau, absent == "zero", s.rescue_floor, s.rescue_distance, s.penalized)
     keep = assoc.housekeeping(table, s.housekeeping_tau) if s.housekeeping_tau is not None else None
     return stages.apply_stitch(rows, settle(stages.stitch(rows, panel, pairs, rule, keep), "names"))
 
 
-def _finish(run: Run, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig, absent: str) -> None:
-    run.step("Mid-QC", lambda rows: stages.coherence_qc(rows, table, cfg.qc.coherence_floor, cfg.qc.real_signal, absent))
-    _rescue(run, "Post-Group Rescue", cfg.rescue.post_group_passes, cfg, table, guard=True)
-    run.step("Stitch", lambda rows: _stitch(rows, panel, table, cfg, absent))
+def _finish(run: Run, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig, absent: str, z_bin: float) -> None:
+    q = cfg.qc
+    run.step("Split components", lambda r: stages.z_gap_split(r, cfg.split.gap, 1, ("component",)))
+    run.step("Mid-QC", lambda rows: stages.coherence_qc(rows, table, q.coherence_floor, q.real_signal, absent, tau=q.coherence_tau))
+    _rescue(run, "Post-Group Rescue", cfg.rescue.post_group_passes, cfg.rescue, table, guard=True)
+    run.step("Stitch", lambda rows: _stitch(rows, panel, table, cfg, absent, z_bin))
     run.step("Demote", lambda rows: stages.demote_small(rows, cfg.demote.min_size))
-    _rescue(run, "Final Rescue", cfg.rescue.final_passes, cfg, table, guard=False)
+    _rescue(run, "Final Rescue", cfg.final_rescue.passes, cfg.final_rescue, table, guard=False)
     run.step("Finalize", lambda rows: L.finalize(rows, "entity", "cell"))
 
 
 def _grouped(rows: DataFrame, panel: stages.Panel, cfg: PipelineConfig) -> DataFrame:
     g = cfg.group
-    return stages._relabel(rows, stages.density_cascade(rows, panel, g.bin_um, g.ceiling, g.floor, g.radius, g.threshold, g.min_size))
+    return stages._relabel(rows, stages.density_cascade(rows, panel, g.bin_um, g.ceiling, g.floor, g.radius, g.threshold, g.min_size, g.coverage, g.hard_min))
+
+
+def _z_bin(rows: DataFrame) -> float:
+    """The bin in z that fits the entities there are; 1 where they don't tell."""
+    size = stages.z_scales(rows)[1]
+    return 1.0 if math.isnan(size) else size
+
+
+def _together(rows: DataFrame, z_bin: float) -> DataFrame:
+    """Entities cut into the parts that hang together over neighbouring bins."""
+    return stages.spatial_split(rows, settle(graph.bin_edges(rows.where(~L.is_unassigned("entity")), 2.0, z_bin), "near"))
 
 
 def segmented(points: DataFrame, panel: DataFrame, cfg: PipelineConfig | None = None, absent: str = "zero", nuclear: bool | None = None) -> Run:
@@ -86,23 +108,28 @@ def segmented(points: DataFrame, panel: DataFrame, cfg: PipelineConfig | None =
     skip = stages.Panel(table)
     main = skip if nuclear else stages.Panel(table, absent)
     run = Run(rows.withColumns({"entity": F.col("cell"), "etype": L.etype_of_label("cell")}))
+    z_bin = _z_bin(run.rows)
     p = cfg.prune
     if nuclear:
-        rule = kernels.Admission(mode="mean", mean_threshold=p.mean_threshold, inclusive=True)
+        # By the plain mean a feature must reach the threshold of the conflicts.
+        mean = p.threshold if p.mode == "mean" else p.mean_threshold
+        rule = kernels.Admission(p.mode, mean, p.min_threshold, p.negative, p.percentile, p.real_signal, inclusive=p.mode == "mean")
         run.step("Prune", lambda r: stages.prune(r, main, True, p.threshold, p.floor, rule, p.nuclear_only))
-        run.step("Reassign", lambda r: stages.reassign(r, main, cfg.reassign.margin))
+        if cfg.reassign.enabled:
+            run.step("Reassign", lambda r: stages.reassign(r, main, cfg.reassign.margin))
     else:
-        run.step("Prune", lambda r: stages.prune(r, main, False, p.fallback_threshold))
-    run.step("Split", lambda r: stages.z_gap_split(r, cfg.split.gap, cfg.split.min_size))
-    if nuclear:
+        run.step("Prune", lambda r: stages.prune(r, main, False, p.threshold))
+    run.step("Split", lambda r: stages.z_gap_split(r, cfg.split.gap, cfg.split.min_size, least_entity=cfg.split.min_entity_size))
+    if nuclear and cfg.rerank.enabled:
         run.step("Rerank", lambda r: stages.rerank(r, cfg.rerank.margin))
     run.step("QC", lambda r: stages.size_qc(r, cfg.qc.min_size))
     if p.remerge:
-        run.step("Remerge", lambda r: stages.maha_remerge(r, table, cfg.rescue.bin_um, cfg.stitch.z_bin_um, p.remerge_floor, p.remerge_distance, absent))
-    _rescue(run, "Rescue", cfg.rescue.passes, cfg, table, guard=True)
+        run.step("Remerge", lambda r: stages.maha_remerge(r, table, cfg.stitch.bin_um, cfg.stitch.z_bin_um or z_bin, p.remerge_floor, p.remerge_distance, absent))
+    if not nuclear:
+        run.step("Coherence in space", lambda r: _together(r, z_bin))
+    _rescue(run, "Rescue", cfg.rescue.passes, cfg.rescue, table, guard=True)
     run.step("Group", lambda r: _grouped(r, skip, cfg))
-    run.step("Split components", lambda r: stages.z_gap_split(r, cfg.split.gap, cfg.split.min_size, ("component", "partial")))
-    _finish(run, skip, table, cfg, absent)
+    _finish(run, skip, table, cfg, absent, z_bin)
     return run
 
 
@@ -115,7 +142,7 @@ def unsegmented(points: DataFrame, panel: DataFrame, cfg: PipelineConfig | None
     dense = stages.Panel(table)
     run = Run(rows.withColumns({"cell": F.lit("-1"), "entity": F.lit("-1"), "etype": F.lit("unknown")}))
     run.step("Group", lambda r: _grouped(r, dense, cfg))
-    _finish(run, dense, table, cfg, "skip")
+    _finish(run, dense, table, cfg, "skip", 1.0)
     return run
 
 

@@ -146,7 +146,16 @@ def test_z_gap_split(spark):
     data = [(k, "c-x", "g", 0.0, 0.0, float(v), False, "c-x", "cell") for k, v in enumerate(z)] + [(50, "c-x", "g", 0.0, 0.0, 0.0, False, "c-x-4", "partial"), (51, "d", "g", 0.0, 0.0, None, False, "d", "cell")]
     got = labels_after(stages.z_gap_split(rows_of(spark, data), 2.0, 2))
     assert [got[k] for k in range(6)] == [("c-x", "cell")] * 3 + [("c-x-5", "partial")] * 2 + [("-1", "unknown")]
-    assert got[50] == ("-1", "unknown") and got[51] == ("d", "cell")
+    # Entities without a jump stay, however small they are.
+    assert got[50] == ("c-x-4", "partial") and got[51] == ("d", "cell")
+
+
+def test_z_gap_split_of_components(spark):
+    data = [(k, "-1", "g", 0.0, 0.0, float(z), False, e, "component") for k, (e, z) in enumerate([("UNASSIGNED_3", z) for z in (0, 1, 9)] + [("UNASSIGNED_4-1", z) for z in (0, 9)])]
+    got = labels_after(stages.z_gap_split(rows_of(spark, data), 2.0, 1, ("component",)))
+    assert [got[k] for k in range(5)] == [("UNASSIGNED_3", "component")] * 2 + [("UNASSIGNED_3-1", "component")] + [("UNASSIGNED_4-1", "component")] * 2
+    pair = [(k, "c", "g", 0.0, 0.0, z, False, "c", "cell") for k, z in enumerate((0.0, 9.0))]
+    assert {e for e, _ in labels_after(stages.z_gap_split(rows_of(spark, pair), 2.0, 1, least_entity=3)).values()} == {"c"}
 
 
 def test_rerank(spark):
@@ -158,6 +167,77 @@ def test_rerank(spark):
     assert labels_after(stages.rerank(still)) == labels_after(still)
 
 
+def family(spark, sizes, margin=1):
+    """Nuclear rows by label before and after."""
+    data, k = [], 0
+    for label, n in sizes.items():
+        data += [(k + i, "42", "g", 0.0, 0.0, 0.0, True, label, "cell" if label == "42" else "partial") for i in range(n)]
+        k += n
+    got = labels_after(stages.rerank(rows_of(spark, data), margin))
+    return {e: sum(x[0] == e for x in got.values()) for e, _ in got.values()}
+
+
+def test_rerank_of_families(spark):
+    assert family(spark, {"42": 2, "42-1": 4, "42-2": 7}) == {"42": 7, "42-1": 4, "42-2": 2}
+    assert family(spark, {"42": 2, "42-1": 4, "42-1-1": 2}) == {"42": 4, "42-1": 2, "42-2": 2}
+    assert family(spark, {"42": 1, "42-1": 5, "42-2": 5}) == {"42": 1, "42-1": 5, "42-2": 5}  # the two first are equal
+    assert family(spark, {"42": 4, "42-1": 3, "42-1-1": 4}) == {"42": 3, "42-1": 4, "42-2": 4}  # a family counts whole
+    assert family(spark, {"42": 3, "42-1": 4}, 3) == {"42": 3, "42-1": 4}
+    assert family(spark, {"42": 4, "42-1": 4}) == {"42": 4, "42-1": 4}
+    assert family(spark, {"42-1": 2, "42-2": 4, "42-2-7": 1}) == {"42": 4, "42-1": 1, "42-2": 2}  # a parent without a main label
+    assert family(spark, {"42": 1, "42-1": 5, "42-2": 2, "42-2-4": 1, "42-2-9": 1}) == {"42": 5, "42-1": 2, "42-1-1": 1, "42-1-2": 1, "42-2": 1}
+
+
+def test_admission_at_the_prune():
+    w = np.full((11, 11), 0.6)
+    np.fill_diagonal(w, NAN)
+    w[10, :10] = w[:10, 10] = [0.5] * 7 + [-0.7] * 3
+    genes, nuclear = np.arange(11), np.arange(11) < 10
+    code = lambda rule: kernels.nuclear_seed(genes, nuclear, w, 0.0, 0.1, rule)[10]
+    assert code(kernels.Admission(mode="mean", mean_threshold=0.1, inclusive=True)) == 0
+    assert code(kernels.Admission(mode="hybrid", mean_threshold=0.2)) == 2
+    w[10, :10] = w[:10, 10] = [-0.1, 0.9] * 5  # the mean is 0.4, the lower quartile -0.1
+    assert code(kernels.Admission(mode="mean", mean_threshold=0.2, inclusive=True)) == 0
+    w[10, :10] = w[:10, 10] = 0.01  # weak pairs count in a mean
+    assert code(kernels.Admission(mode="mean", mean_threshold=0.2, inclusive=True)) == 2
+
+
+def test_labels_of_mergers(spark):
+    def named(rows, partials=None):
+        m = spark.createDataFrame(rows, "entity string, root string, etype string, n long")
+        p = spark.createDataFrame([(x,) for x in partials], "entity string") if partials else None
+        return {r.entity: (r.stitched, r.etype) for r in stages.stitch_labels(m, p).collect()}
+
+    part = lambda e, root, n=5: (e, root, "partial", n)
+    assert named([part("7-1", "r"), part("7-2", "r")]) == {e: ("7-2-1", "partial") for e in ("7-1", "7-2")}
+    assert named([part("7-1", "r"), part("8-1", "r", 9)], ["7-1", "8-1", "8-1-4"]) == {e: ("8-1-5", "partial") for e in ("7-1", "8-1")}
+    assert named([part("7-1", "r"), part("7-1-3", "r"), part("7-1-2", "s")])["7-1"] == ("7-1-4", "partial")
+    assert named([part("7-1", "r")]) == {"7-1": ("7-1", "partial")}
+    assert named([("9", "r", "cell", 1), ("10", "r", "cell", 1), part("7-1", "r")])["7-1"] == ("10", "cell")
+    assert named([("UNASSIGNED_7", "r", "component", 90), ("UNASSIGNED_3", "r", "component", 1)])["UNASSIGNED_7"] == ("UNASSIGNED_3", "component")
+    two = named([part("7-1", "r"), part("7-1-1", "r"), part("7-1-2", "s"), part("6-1", "s")])
+    assert two["6-1"] == ("7-1-3", "partial") and two["7-1"] == ("7-1-4", "partial")  # in the order of first names
+
+
+def test_shielded_rows_compete(spark):
+    data = [(k, "-1", "a", 0.1 * k, 0.0, 0.0, False, "-1", "unknown") for k in range(5)] + [(9, "-1", "b", 0.2, 0.0, 0.0, False, "-1", "unknown")]
+    data += [(20 + k, "c", "b", 1.5, 0.1 * k, 0.0, False, "c", "cell") for k in range(3)]
+    panel = spark.createDataFrame([("a", "b", 0.9)], "gi string, gj string, w double")
+    take = lambda shield: {r.id: r.entity for r in stages.rescue(rows_of(spark, data), panel, 2.0, rank="distance", peers=3, shield=shield).collect()}
+    assert take("exclude") == {9: "c"} and take("entity") == {}
+
+
+def test_bin_edges_hang_together_as_all_edges(spark):
+    from entitygraph.operators import graph
+
+    rng = np.random.default_rng(5)
+    data = [(k, "c", "g", *map(float, rng.uniform(0, 14, 2)), float(rng.uniform(0, 6)), False, f"e{k % 3}", "cell") for k in range(150)]
+    rows = rows_of(spark, data)
+    few, all_ = graph.bin_edges(rows, 2.0, 1.0), graph.grid_edges(rows, 2.0, "8", 1.0, 1)
+    assert few.count() < all_.count()
+    assert labels_after(stages.spatial_split(rows, few)) == labels_after(stages.spatial_split(rows, all_))
+
+
 def test_sizes_and_finalize(spark):
     data = [(k, "c", "g", 0.0, 0.0, 0.0, False, e, t) for k, (e, t) in enumerate([("a", "cell")] * 2 + [("b-1", "partial")] * 2 + [("u", "cell")] * 4 + [(None, "unknown")])]
     rows = rows_of(spark, data)
@@ -266,13 +346,38 @@ def test_config(tmp_path):
     path.write_text("[rescue]\nbinn = 3.0\n")
     with pytest.raises(ValueError, match="unknown keys"):
         config.load_config(path)
-    for bad in ({"rescue": {"bin_um": 0}}, {"rescue": {"rank": "x"}}, {"stitch": {"depth": 0}}, {"bootstrap": {"ci": 1.0}}):
+    path.write_text("[rescue]\nbin_um = 3.0\n[final_rescue]\npasses = 7\n[bootstrap]\nbands = [0.1, 0.9]\n")
+    got = config.load_config(path)
+    assert (got.final_rescue.bin_um, got.final_rescue.passes, got.rescue.passes, got.bootstrap.bands) == (3.0, 7, 3, (0.1, 0.9))
+    for bad in ({"rescue": {"bin_um": 0}}, {"rescue": {"rank": "x"}}, {"stitch": {"depth": 0}}, {"bootstrap": {"ci": 1.0}}, {"prune": {"mode": "x"}}, {"group": {"hard_min": 1}}):
         with pytest.raises(ValueError):
             config.build(bad)
     with pytest.raises(ValueError):
         config.load_config(platform="none")
 
 
+def test_default_settings():
+    """The published defaults of the surveyed pipeline."""
+    c = config.PipelineConfig()
+    assert (c.prune.threshold, c.prune.floor, c.prune.mode, c.prune.nuclear_only, c.prune.mean_threshold, c.prune.percentile) == (0.2, 0.1, "hybrid", True, 0.2, 25.0)
+    assert (c.split.gap, c.split.min_size, c.split.min_entity_size, c.qc.min_size, c.qc.coherence_floor, c.demote.min_size) == (2.0, 1, 2, 3, 0.05, 5)
+    assert (c.rescue.mode, c.rescue.mean_threshold, c.rescue.negative, c.rescue.bin_um, c.rescue.rank, c.rescue.witness_tie) == ("hybrid", 0.5, -0.2, 2.0, "witness", "gene_fit")
+    assert (c.rescue.witness_min, c.rescue.witness_cap, c.rescue.witness_divisor, c.rescue.guard_peers, c.rescue.guard_shield) == (3, 3, 2, 3, "entity")
+    assert (c.group.bin_um, c.group.coverage, c.group.hard_min, c.group.threshold, c.group.min_size) == (2.0, 0.65, 2, 0.2, 3)
+    assert (c.stitch.bin_um, c.stitch.z_bin_um, c.stitch.tau, c.stitch.least_gain, c.stitch.bypass, c.stitch.bypass_size, c.stitch.depth) == (2.0, 1.0, 0.2, 0.03, 0.9, 50, 3)
+    assert (c.bootstrap.metric, c.bootstrap.tau_low, c.bootstrap.tau_high, c.bootstrap.alpha, c.bootstrap.max_bootstraps, c.bootstrap.refine, c.bootstrap.subsample) == ("pmi", 0.05, 0.2, 0.1, 10_000, 500, 25_000)
+    assert c.bootstrap.bands == (0.05, 0.95) and config.load_config(platform="noseg").final_rescue.passes == 5
+
+
+def test_labels_with_the_delimiter(spark):
+    df = spark.createDataFrame([("42",)], "c string")
+    one, two, parts = df.select(L.partial_label("c", 3), L.subpartial_label(L.partial_label("c"), 2), L.split_label(F.lit("ado-1-tr-1-tr-4"))).first()
+    assert (one, two, parts["cell"], parts["indices"]) == ("42-tr-3", "42-tr-1-tr-2", "ado-1", [1, 4])
+    assert df.select(L.split_label("c")).first()[0]["indices"] == []
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        df.select(L.split_label(F.lit("a-tr-x"))).collect()
+
+
 def test_readers(spark, tmp_path):
     project = tmp_path / "lung"
     (project / "data").mkdir(parents=True)
