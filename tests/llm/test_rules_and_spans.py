@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -169,7 +170,7 @@ def test_planted_passages_go_whole(spark, lines, words):
     block = lambda n, w: ["\n".join(" ".join(f"w{k}" for k in rng.integers(0, 10**6, w)) for _ in range(n))]
     planted = [block(lines, words) for _ in range(20)]
     rows = [(2 * i + j, "\n".join(block(3, 9) + p + block(4, 9))) for i, p in enumerate(planted) for j in (0, 1)]
-    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i].text == t and got[i].n_removed == 0 for i, t in rows if i % 2 == 0)
     assert all(got[i].n_removed == lines and got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if not 3 <= k < 3 + lines) for i, t in rows if i % 2)
 
@@ -189,7 +190,7 @@ def test_passages_equal_brute_force(spark):
                     if origin is not None and (origin[0] != i or origin[1] + b - a <= a):
                         want |= {(i, k) for k in range(a, b)}
                     earlier.append(((i, a), t[a:b]))
-    found = line_dedup.passages(spark.createDataFrame([(i, "\n".join(t)) for i, t in docs.items()], "doc_id long, text string")).collect()
+    found = line_dedup.repeats(spark.createDataFrame([(i, "\n".join(t)) for i, t in docs.items()], "doc_id long, text string")).where(F.col("kind") == line_dedup.PASSAGE).collect()
     got = {(r._id, k) for r in found for k in range(r.start, r.start + r.n_lines)}
     full = lambda s: {(i, k) for i, k in s if docs[i][k]}
     assert want and full(got) == full(want) and got <= want
