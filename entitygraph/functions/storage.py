@@ -17,23 +17,30 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share.
+
+    Where none is named, a local session (tests) gets a temporary one; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='ckpt-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def settle(df: DataFrame, name: str = "stage", compact: bool = False) -> DataFrame:
+def settle(df: DataFrame, name: str = "stage", compact: bool = False, heavy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors.
 
     ``compact`` is for tables of ids, which iterations write again and again: two files a
-    core of the cluster at most, however many partitions the shuffle had.
+    core of the cluster at most, however many partitions the shuffle had.  Where making the rows
+    is ``heavy``, they are shuffled into these files, so that the work keeps its own partitions.
     """
     spark = df.sparkSession
     if compact:
-        df = df.coalesce(2 * max(1, spark.sparkContext.defaultParallelism))
+        files = 2 * max(1, spark.sparkContext.defaultParallelism)
+        df = df.repartition(files) if heavy else df.coalesce(files)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
