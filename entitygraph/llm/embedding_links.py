@@ -2,21 +2,26 @@
 
 Vectors meet in the buckets of several sign-hash tables; the number of tables
 follows from the number of bits so that a pair at the threshold meets nowhere
-with probability at most ``MISS``.  Within a bucket, tiles of bounded size are
-multiplied as int8: with u = s q + e and v = t r + f, the true product differs from
-s t <q, r> by at most |f| (1 + |e|) + |e|.  Only pairs that this bound leaves
-possible are recomputed in double precision.
+with probability at most ``MISS``.  A vector is quantised once, to 16 bits a component
+whose upper byte is its int8 code; codes, scale and error bounds are all that is dealt to the tables.
+Within a bucket, tiles of bounded size are multiplied as int8: with u = s q + e and
+v = t r + f, the true product differs from s t <q, r> by at most |f| (1 + |e|) + |e|.
+Pairs that this bound leaves possible are multiplied with both bytes, whose bound is some
+250 times narrower, and the few that still straddle the threshold are recomputed in
+double precision from the vectors themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from entitygraph.llm.common import broadcast_if_small, settle, small_batches
 from entitygraph.operators.components import components
@@ -40,37 +45,66 @@ def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return min(bits, 31), math.ceil(math.log(MISS) / math.log1p(-meet))
 
 
-def codes_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The bucket of every vector in every table."""
+def signs_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The side of every hyperplane of every table on which a vector lies."""
     planes = np.random.default_rng([SEED, x.shape[1]]).standard_normal((x.shape[1], bits * tables))
-    signs = (x @ planes > 0).reshape(len(x), tables, bits)
-    return (signs * (1 << np.arange(bits))).sum(2).astype(np.int32)
+    return x @ planes > 0
+
+
+def buckets(signs: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket of every vector in every table."""
+    return (signs.reshape(len(signs), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.int32)
+
+
+def quantize(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit codes of unit rows, and their scales; the int8 code of a component is :func:`upper` of it."""
+    scale = np.abs(u).max(1) / 32_512  # 127 * 256
+    return np.rint(u / scale[:, None]).astype(np.int16), scale
+
+
+def upper(q: np.ndarray) -> np.ndarray:
+    return ((q.astype(np.int32) + 128) >> 8).astype(np.int8)
 
 
-def quantize(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 vectors, their scales, and bounds on the length of what rounding has lost."""
-    scale = np.abs(u).max(1) / 127
-    q = np.rint(u / scale[:, None]).astype(np.int8)
-    lost = np.sqrt(((u - q * scale[:, None]) ** 2).sum(1)) * (1 + 1e-12) + 1e-12
-    return q, scale, lost
+def lost(u: np.ndarray, q: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Bounds on the length of what rounding has lost."""
+    return np.sqrt(((u - q * scale[:, None]) ** 2).sum(1)) * (1 + 1e-12) + 1e-12
 
 
-def tile_links(u: np.ndarray, v: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit rows whose double-precision product reaches the threshold."""
-    (q, s, e), (r, t, f) = quantize(u), quantize(v)
+@dataclass
+class Side:
+    """One side of a tile: 16-bit codes, scales, and the bounds of upper bytes and of whole codes."""
+
+    q: np.ndarray
+    scale: np.ndarray
+    coarse: np.ndarray
+    fine: np.ndarray
+
+    def part(self, rows) -> Side:
+        return Side(self.q[rows], self.scale[rows], self.coarse[rows], self.fine[rows])
+
+    @classmethod
+    def of(cls, u: np.ndarray) -> Side:
+        q, scale = quantize(u)
+        return cls(q, scale, lost(u, upper(q), 256 * scale), lost(u, q, scale))
+
+
+def tile_links(left: Side, right: Side, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs whose product may reach the threshold, and whether it surely does."""
     # Integer products below 2^24 are exact in single precision; wider vectors use double.
-    exact = np.float32 if u.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    near = (q.astype(exact) @ r.astype(exact).T) * s.astype(exact)[:, None] * t.astype(exact)[None, :]
-    near += (e + 1e-5).astype(exact)[:, None]
-    near += (f * (1 + e.max())).astype(exact)[None, :]
-    possible = near >= threshold
-    i, j = np.nonzero(possible)
-    if len(i) > 0.02 * possible.size:
-        i, j = np.nonzero(possible & (u @ v.T >= threshold))
-        return i, j
-    keep = [np.einsum("ij,ij->i", u[i[a : a + 65536]], v[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)]
-    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return i[keep], j[keep]
+    exact = np.float32 if left.q.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    product = upper(left.q).astype(exact) @ upper(right.q).astype(exact).T
+    least = threshold - left.coarse - right.coarse.max() * (1 + left.coarse)
+    # The margin covers what single precision rounds off the bound itself.
+    bound = np.multiply.outer((least / (256 * left.scale)).astype(exact), (1 / (256 * right.scale)).astype(exact))
+    bound -= np.abs(bound) * exact(1e-6)
+    i, j = np.nonzero(product >= bound)
+    near, error = np.empty(len(i)), left.fine[i] + right.fine[j] * (1 + left.fine[i]) + 1e-12
+    for a in range(0, len(i), 65536):
+        x, y = i[a : a + 65536], j[a : a + 65536]
+        near[a : a + 65536] = np.einsum("ij,ij->i", left.q[x].astype(np.float64), right.q[y].astype(np.float64)) * left.scale[x] * right.scale[y]
+    keep = near + error >= threshold
+    return i[keep], j[keep], (near - error >= threshold)[keep]
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -88,8 +122,8 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", tile: int = TILE) -> DataFrame:
     """Links of every vector: (key, n_links, component_id, kept).
 
-    Vectors that are null, zero, or hold null or non-finite components link with
-    nothing, and neither do vectors of different lengths.  Rows are vectors: repeated
+    Keys may be of any type that has an order.  Vectors that are null, zero, or hold null or
+    non-finite components link with nothing, and neither do vectors of different lengths.  Rows are vectors: repeated
     rows link with each other.  Rows with a null key are returned with no links and a
     null component.  Equal vectors are first taken together, by a partially aggregated
     group; links are found between their representatives and weighted by the groups'
@@ -103,21 +137,27 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     bits, tables = plan(rows.count(), threshold)
     classes = rows.where("_ok").groupBy("_v").agg(F.min("_id").alias("rep"), F.count("*").alias("size"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(0).to_pylist()
-            codes: list = [None] * len(found)
+            made: list = [None] * len(found)
             for width in {len(v) for v in found}:
                 own = [k for k, v in enumerate(found) if len(v) == width]
                 x = np.array([found[k] for k in own], np.float64)
                 x /= np.abs(x).max(1, keepdims=True)
-                for k, c in zip(own, codes_of(x, bits, tables), strict=True):
-                    codes[k] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int32()))], names=[*batch.schema.names, "codes"])
+                u = x / np.sqrt((x * x).sum(1, keepdims=True))
+                side = Side.of(u)
+                for k, q, rest, signs in zip(own, side.q.astype("<i2"), np.stack([side.scale, side.coarse, side.fine], 1).tolist(), signs_of(x, bits, tables), strict=True):
+                    made[k] = (q.tobytes(), *rest, np.packbits(signs).tobytes(), buckets(signs[None], bits, tables)[0])
+            q, scale, coarse, fine, signs, codes = ([m[k] for m in made] for k in range(6))
+            more = [pa.array(q, pa.binary()), *(pa.array(c, pa.float64()) for c in (scale, coarse, fine)), pa.array(signs, pa.binary()), pa.array(codes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "q", "scale", "coarse", "fine", "signs", "codes"])
 
     element = classes.schema["_v"].dataType.simpleString()
-    classes = settle(classes.mapInArrow(hashed, f"_v {element}, rep {classes.schema['rep'].dataType.simpleString()}, size bigint, codes array<int>"), "classes")
-    placed = classes.select("rep", "size", "_v", "codes", F.size("_v").alias("width"), F.posexplode("codes").alias("t", "code"))
+    kind = classes.schema["rep"].dataType.simpleString()
+    id_type = to_arrow_type(classes.schema["rep"].dataType)
+    classes = settle(classes.mapInArrow(coded, f"_v {element}, rep {kind}, size bigint, q binary, scale double, coarse double, fine double, signs binary, codes array<int>"), "classes")
+    placed = classes.select("rep", "size", "q", "scale", "coarse", "fine", "signs", F.size("_v").alias("width"), F.posexplode("codes").alias("t", "code"))
     # Buckets of more than one tile: at most (vectors * tables / tile) rows.
     wide = classes.select(F.size("_v").alias("width"), F.posexplode("codes").alias("t", "code")).groupBy("width", "t", "code").count().where(F.col("count") > tile)
     wide = settle(wide.select("width", "t", "code", F.ceil(F.col("count") / tile).cast("int").alias("m")), "wide", compact=True)
@@ -128,51 +168,52 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
         placed = placed.withColumn("m", F.lit(None).cast("int"))
     placed = placed.withColumn("m", F.coalesce("m", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("m")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("width", "t", "code", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "size", "_v", "codes")
+    dealt = dealt.select("width", "t", "code", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "size", "q", "scale", "coarse", "fine", "signs")
 
     def tiles(table: pa.Table) -> pa.Table:
         lo, hi, t = table["lo"][0].as_py(), table["hi"][0].as_py(), table["t"][0].as_py()
         n = table.num_rows
-        empty = out_schema.empty_table()
         if n < 2:
-            return empty
+            return out_schema.empty_table()
         ids, size = table["rep"].combine_chunks(), table["size"].to_numpy()
-        width = len(table["_v"][0])
-        u = table["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, width)
-        u /= np.abs(u).max(1, keepdims=True)
-        u /= np.sqrt((u * u).sum(1, keepdims=True))
-        codes = table["codes"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        bytes_of = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(n, -1)
+        all_ = Side(bytes_of("q", "<i2"), *(table[c].to_numpy() for c in ("scale", "coarse", "fine")))
+        codes = buckets(np.unpackbits(bytes_of("signs", np.uint8), axis=1)[:, : bits * tables], bits, tables)
         own = table["own"].to_numpy()
         left, right = (np.arange(n), np.arange(n)) if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
-        links, pairs = np.zeros(n, np.int64), []
+        links, pairs, open_ = np.zeros(n, np.int64), [], []
         for a in range(0, len(left), tile):
             for b in range(0, len(right), tile):
                 if lo == hi and b < a:
                     continue
-                i, j = tile_links(u[left[a : a + tile]], u[right[b : b + tile]], threshold)
-                i, j = left[a : a + tile][i], right[b : b + tile][j]
-                if lo == hi:
-                    i, j = i[i < j], j[i < j]
+                x, y = left[a : a + tile], right[b : b + tile]
+                i, j, sure = tile_links(all_.part(x), all_.part(y), threshold)
+                i, j = x[i], y[j]
                 # A pair counts in the first table in which it meets.
-                first = np.ones(len(i), bool)
+                first = (i < j) if lo == hi else np.ones(len(i), bool)
                 for k in range(t):
                     first &= codes[i, k] != codes[j, k]
-                i, j = i[first], j[first]
+                open_.append((i[first & ~sure], j[first & ~sure]))
+                i, j = i[first & sure], j[first & sure]
                 links += np.bincount(i, size[j], n).astype(np.int64) + np.bincount(j, size[i], n).astype(np.int64)
                 pairs.append((i, j))
-        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+        (i, j), (x, y) = (tuple(np.concatenate(c) for c in zip(*p, strict=True)) if p else (np.zeros(0, int),) * 2 for p in (pairs, open_))
         found = np.flatnonzero(links)
-        if not len(found):
-            return empty
-        roots = local_roots(n, i, j)
-        return pa.Table.from_arrays([ids.take(pa.array(found)), pa.array(links[found]), ids.take(pa.array(roots[found]))], schema=out_schema)
-
-    kind = classes.schema["rep"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    out_schema = pa.schema([("rep", id_type), ("links", pa.int64()), ("root", id_type)])
-    found = settle(dealt.groupBy("width", "t", "code", "lo", "hi").applyInArrow(tiles, f"rep {kind}, links bigint, root {kind}"), "links", compact=True)
-    reach = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.select("_v", "rep", "size").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(reach.withColumnRenamed("node", "rep"), "rep", "left")
+        root = local_roots(n, i, j)[found]
+        ends = [ids.take(pa.array(np.concatenate(c))) for c in ((found, x), (root, y))]
+        return pa.Table.from_arrays([ends[0], pa.array(np.concatenate([links[found], np.zeros(len(x), np.int64)])), ends[1], pa.array(np.arange(len(found) + len(x)) >= len(found))], schema=out_schema)
+
+    out_schema = pa.schema([("rep", id_type), ("links", pa.int64()), ("root", id_type), ("open", pa.bool_())])
+    found = settle(dealt.groupBy("width", "t", "code", "lo", "hi").applyInArrow(tiles, f"rep {kind}, links bigint, root {kind}, open boolean"), "links", compact=True, heavy=True)
+    # What the bounds leave open is decided on the vectors themselves.
+    end = lambda s: classes.select(F.col("rep").alias(s), F.transform("_v", lambda x: x.cast("double")).alias(f"v_{s}"), F.col("size").alias(f"size_{s}"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
+    doubtful = found.where("open").select(F.col("rep").alias("a"), F.col("root").alias("b")).join(end("a"), "a").join(end("b"), "b")
+    sure = doubtful.where(dot("v_a", "v_b") >= threshold * F.sqrt(dot("v_a", "v_a")) * F.sqrt(dot("v_b", "v_b"))).select("a", "b", "size_a", "size_b")
+    sure = settle(sure, "decided", compact=True)
+    links = found.where("not open").select("rep", "links").unionByName(sure.select(F.col("a").alias("rep"), F.col("size_b").alias("links"))).unionByName(sure.select(F.col("b").alias("rep"), F.col("size_a").alias("links")))
+    reach = components(found.where("not open").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(sure.select("a", "b")))
+    known = classes.select("_v", "rep", "size").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(reach.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("_v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     good = rows.where("_ok").join(known, "_v").select("_id", "n_links", "component")
     out = good.unionByName(rows.where("not _ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component")))

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from entitygraph.llm import embedding_links, jaccard_join, registry
@@ -57,9 +58,47 @@ def test_links_equal_brute_force(spark, tile):
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 300, 24)))
-    (q, s, e), (p, t, f) = embedding_links.quantize(u), embedding_links.quantize(v)
-    rough = (q.astype(float) @ p.astype(float).T) * s[:, None] * t
-    assert (np.abs(rough - u @ v.T) <= e[:, None] + f * (1 + e[:, None]) + 1e-12).all()
+    x, y = embedding_links.Side.of(u), embedding_links.Side.of(v)
+    for q, p, e, f, unit in ((x.q, y.q, x.fine, y.fine, 1), (embedding_links.upper(x.q), embedding_links.upper(y.q), x.coarse, y.coarse, 256)):
+        rough = (q.astype(float) @ p.astype(float).T) * (unit * x.scale)[:, None] * unit * y.scale
+        assert (np.abs(rough - u @ v.T) <= e[:, None] + f * (1 + e[:, None]) + 1e-12).all()
+    assert embedding_links.upper(x.q).dtype == np.int8 and (x.fine < 0.01 * x.coarse).all()
+
+
+def test_tiles_miss_nothing_and_are_sure_of_nothing_wrong():
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(40, 24))[rng.integers(0, 40, 500)] + 0.25 * rng.normal(size=(500, 24))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    side = embedding_links.Side.of(u)
+    true = u @ u.T
+    i, j, sure = embedding_links.tile_links(side, side, 0.95)
+    found = np.zeros(true.shape, bool)
+    found[i, j] = True
+    assert found[true >= 0.95].all() and (true[i[sure], j[sure]] >= 0.95).all() and (~sure).mean() < 0.01
+
+
+def test_pairs_at_the_threshold(spark):
+    """Cosines within rounding of the threshold are decided on the vectors: 0.95 and its neighbours."""
+    rows = [(0, [1.0, 0.0])] + [(k, [c, (1 - c * c) ** 0.5]) for k, c in ((1, 0.95), (2, 0.95 - 1e-9), (3, 0.95 + 1e-9), (4, 0.95 - 1e-6), (5, 0.95 + 1e-6))]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    dot, size = x @ x.T, np.sqrt((x * x).sum(1))
+    want = (dot >= 0.95 * size[:, None] * size).sum(1) - 1
+    assert [r.n_links for r in embedding_links.link(docs).orderBy("vec_id").collect()] == want.tolist()
+
+
+def test_recall_over_many_vectors(spark):
+    """All links of 50,000 vectors, most of them near the threshold, against brute force in blocks."""
+    rng = np.random.default_rng(9)
+    n, dims = 50_000, 32
+    x = rng.normal(size=(n // 8, dims))[rng.integers(0, n // 8, n)] + rng.normal(size=(n, dims)) * rng.choice([0.1, 0.2, 0.24], (n, 1))
+    x = np.round(x, 6)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(u[a : a + 2000] @ u.T >= 0.95).sum(1) - 1 for a in range(0, n, 2000)])
+    assert embedding_links.plan(n)[0] > 4 and want.sum() > 100_000
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    got = embedding_links.link(df).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    assert (got == want).all()
 
 
 def test_more_bits_get_more_tables():
