@@ -113,6 +113,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)
-    OR 100 * n_shout > 50 * n_words OR 100 * n_stutters > 25 * n_words) AS kept
+    OR 100 * n_shout > 50 * n_words OR 100 * n_stutters > 25 * n_words) AS kept,
+  CAST(CAST(n_words < 20 AS INT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS INT) + 4 * CAST(10 * n_symbols > n_words AS INT)
+    + 8 * CAST(n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines AS INT) + 16 * CAST(100 * n_shout > 50 * n_words AS INT)
+    + 32 * CAST(100 * n_stutters > 25 * n_words AS INT) + 64 * CAST(word_chars > 25 * n_words AS INT) AS BIGINT) AS failures, '2' AS policy
 FROM a
 """

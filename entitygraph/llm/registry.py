@@ -33,7 +33,7 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.ledger(read(spark, sf_dir, "documents"))
     base = ~quality_rules.passes("base")
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.passes().alias("kept"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.passes().alias("kept"), "failures", F.lit(quality_rules.CURRENT).alias("policy"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = "filter(spans, s -> s.kind in ('email', 'ip', 'card', 'phone'))"
     said = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.stop)), ',')"
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(f"cast({said.format(base)} as binary)"), 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"))
+    added = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS if k not in pii.BASE_KINDS]
+    scores = F.expr("array_join(transform(spans, s -> format_number(s.score, 1)), ',')").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(F.expr(f"cast({said.format(base)} as binary)"), 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"), *added, scores)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
