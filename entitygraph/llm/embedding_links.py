@@ -96,9 +96,9 @@ def tile_links(left: Side, right: Side, threshold: float = THRESHOLD) -> tuple[n
     product = upper(left.q).astype(exact) @ upper(right.q).astype(exact).T
     least = threshold - left.coarse - right.coarse.max() * (1 + left.coarse)
     # The margin covers what single precision rounds off the bound itself.
+    least -= np.abs(least) * 1e-6
     bound = np.multiply.outer((least / (256 * left.scale)).astype(exact), (1 / (256 * right.scale)).astype(exact))
-    bound -= np.abs(bound) * exact(1e-6)
-    i, j = np.nonzero(product >= bound)
+    i, j = np.divmod(np.flatnonzero(product >= bound), len(right.scale))
     near, error = np.empty(len(i)), left.fine[i] + right.fine[j] * (1 + left.fine[i]) + 1e-12
     for a in range(0, len(i), 65536):
         x, y = i[a : a + 65536], j[a : a + 65536]
