@@ -16,7 +16,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 #: Measured of every text, in this order.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shout_words", "n_stutters", "n_distinct_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shout_words", "n_stutters", "n_distinct_words", "n_window_distinct", "n_window_words")
+#: Words of a window of n_window_distinct: the text's windows one after another, the last one up to its end.
+VARIETY_WINDOW = 60
 
 
 def repeated_window_words(codes: np.ndarray, distinct: int, window: int = WINDOW) -> int:
@@ -44,6 +46,18 @@ def repeated_window_words(codes: np.ndarray, distinct: int, window: int = WINDOW
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def window_distinct(codes: np.ndarray, window: int = VARIETY_WINDOW) -> tuple[int, int]:
+    """Distinct words summed over successive windows of the whole text, and the words of these windows."""
+    n = len(codes)
+    if n <= window:
+        return len(set(codes.tolist())), n
+    rows = codes[: n - n % window].reshape(-1, window)
+    if n % window:
+        rows = np.vstack([rows, codes[-window:]])
+    rows = np.sort(rows, 1)
+    return int((rows[:, 1:] != rows[:, :-1]).sum()) + len(rows), rows.size
+
+
 def measure(text: str) -> tuple[int, ...]:
     """The MEASURES of one text."""
     words = _words.findall(text)
@@ -63,4 +77,4 @@ def measure(text: str) -> tuple[int, ...]:
             else:
                 seen.add(line)
     shout = sum(1 for w in words if _shout.fullmatch(w)) if not text.islower() else 0
-    return (n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dups, repeated_window_words(codes, distinct), lines, shout, stutters, distinct)
+    return (n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dups, repeated_window_words(codes, distinct), lines, shout, stutters, distinct, *window_distinct(codes))

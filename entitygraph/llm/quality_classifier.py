@@ -2,7 +2,7 @@
 
 Class covariances over transformed statistics are shrunk towards their mean
 variance; scores are differences of Mahalanobis log densities, computed with
-Cholesky factors that are cached in the model.
+Cholesky factors that are inverted once and cached in the model.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def features(text: str) -> np.ndarray:
             share(m["n_stutters"], n, 0.0),
             share(m["n_repeat_words"], n, 0.0, 40.0),
             share(m["n_dup_lines"], m["n_lines"], 0.0, 4.0),
-            share(min(m["n_distinct_words"], 60), min(n, 60), 0.9),
+            share(m["n_window_distinct"], m["n_window_words"], 0.9),
             np.log((m["word_chars"] + 10 * 5.0) / (n + 10)),
             share(min(marks, n), n, 0.15),
             share(chars - spaces - digits, chars, 0.83, 40.0),
@@ -58,10 +58,10 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Means, Cholesky factors and log constants of the two classes."""
+    """Means, inverted Cholesky factors and log constants of the two classes."""
 
     means: np.ndarray
-    factors: np.ndarray
+    inverses: np.ndarray
     constants: np.ndarray
     fitted: bool = True
 
@@ -71,14 +71,14 @@ class Model:
             return np.full(len(x), 0.5)
         density = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.inverses[k] @ (x - self.means[k]).T
             density.append(self.constants[k] - 0.5 * (z * z).sum(0))
         return 1.0 / (1.0 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, float] | None = None, shrinkage: float = SHRINKAGE) -> Model:
     """A discriminant from features and 0/1 labels; a class without rows leaves the model unfitted."""
-    means, factors, constants = [], [], []
+    means, inverses, constants = [], [], []
     if min((y == 0).sum(), (y == 1).sum()) == 0:
         return Model(np.zeros((2, x.shape[1])), np.zeros((2, 1, 1)), np.zeros(2), fitted=False)
     prior = prior or ((y == 0).mean(), (y == 1).mean())
@@ -92,9 +92,9 @@ def fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, float] | None = None,
         cov = (1 - lam) * spread + lam * np.diag(0.1 * scale + 0.9 * np.minimum(np.diag(spread), scale)) + 1e-4 * np.diag(scale)
         factor = np.linalg.cholesky(cov)
         means.append(mean)
-        factors.append(factor)
+        inverses.append(np.linalg.inv(factor))
         constants.append(np.log(prior[k]) - np.log(np.diag(factor)).sum())
-    return Model(np.array(means), np.array(factors), np.array(constants))
+    return Model(np.array(means), np.array(inverses), np.array(constants))
 
 
 def featurize(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:

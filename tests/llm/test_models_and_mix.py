@@ -3,6 +3,7 @@
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from entitygraph.llm import language_id, quality_classifier, registry, source_mix
@@ -35,6 +36,53 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(docs.where("false"), model).collect() == []
 
 
+def grams(text):
+    """The distinct 1- to 3-grams of a text's symbols, plainly."""
+    s = [c if c.isalpha() else "" for c in text.lower()]
+    return {tuple(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1)}
+
+
+def test_kernel_equals_brute_force():
+    texts = ["The cat, the mat", "der Hund 7", "日本語 と 中文", "", "a", "привет мир", "čeština áé", "the cat " * 50]
+    codes = [language_id.codes_of(t) for t in texts]
+    sets = [grams(t) for t in texts]
+    assert [len(c) for c in codes] == [len(s) for s in sets]  # no two of these n-grams share a code
+    model = language_id.fit([("x", c) for c in codes], per_language=len(texts))
+    want = [[len(a & b) / max(1, len(a)) ** 0.5 / max(1, len(b)) ** 0.5 for b in sets] for a in sets]
+    assert np.allclose(model.kernel(codes), want, atol=1e-6)
+
+
+def test_prediction_equals_plain_ridge_regression():
+    """With all rows as landmarks the features are exact: primal weights give the plain weighted kernel ridge regression."""
+    words = {"en": "the cat sat on a mat and looked at some other cat", "de": "der hund und die katze liegen auf der matte", "fr": "le chat est sur le tapis et regarde"}
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(rng.choice(w.split(), 6))) for k, w in words.items() for _ in range(5)]
+    coded = [(k, language_id.codes_of(t)) for k, t in rows]
+    model = language_id.fit(coded, per_language=5)
+    sets = [grams(t) for _, t in rows]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if j == lang else -1.0 for lang in sorted(words)] for j, _ in rows])
+    # All classes are of one size, so the weights of rows are all 1/5.
+    dual = np.linalg.solve(k / 5 + language_id.RIDGE * np.eye(len(k)), y / 5)
+    for t in ("the mat", "die matte", "le tapis est", "cat katze chat"):
+        want = np.array([kernel(grams(t), s) for s in sets]) @ dual
+        got = (model.kernel([language_id.codes_of(t)]) @ model.weights)[0]
+        assert np.allclose(got, want, atol=1e-3) and model.predict([t])[0] == [sorted(words)[int(want.argmax())]]
+
+
+def test_scripts_stay_apart(spark):
+    """Scripts of many letters and languages told by what comes late in long texts."""
+    rng = np.random.default_rng(0)
+    han, hangul = ["".join(map(chr, rng.integers(0x4E00, 0x5200, 400))) for _ in range(2)], "".join(map(chr, rng.integers(0xAC00, 0xB000, 400)))
+    late = "abc " * 8000
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([(h[i : i + 60], f"han{n}") for n, h in enumerate(han) for i in range(0, 300, 10)] + [(hangul[i : i + 60], "hangul") for i in range(0, 300, 10)] + [(late + "der hund", "de")] * 9 + [(late + "the cat", "en")] * 9)]
+    model = language_id.train(spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string, lang string"))
+    assert model.predict([han[0][150:200], han[1][150:200], hangul[150:200], late + "the cat"])[0] == ["han0", "han1", "hangul", "en"]
+    with pytest.raises(ValueError, match="distinct values"):
+        language_id.train(spark.range(1100).selectExpr("id as doc_id", "'a' as text", "cast(id as string) as lang"))
+
+
 def test_quality_accuracy(spark):
     label = {r.doc_id: r.quality for r in rows_of(spark, "labels").collect()}
     got = registry.op10_quality_classifier(spark, SF).collect()
@@ -43,6 +91,34 @@ def test_quality_accuracy(spark):
     assert sum(r.predicted == label[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_quality_scores_equal_brute_force():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (200, 4)), rng.normal(0.7, 2, (150, 4)) @ rng.normal(size=(4, 4))])
+    y = np.repeat([0, 1], [200, 150])
+    model = quality_classifier.fit(x, y, (0.4, 0.6))
+    logs = []
+    for k, prior in ((0, 0.4), (1, 0.6)):
+        own, scale = x[y == k], x.var(0) + 1e-6
+        s = np.cov(own.T)
+        lam = max(quality_classifier.SHRINKAGE, 4 / (4 + len(own)))
+        cov = (1 - lam) * s + lam * np.diag(0.1 * scale + 0.9 * np.minimum(np.diag(s), scale)) + 1e-4 * np.diag(scale)
+        d = x - own.mean(0)
+        logs.append(np.log(prior) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-9)
+
+
+def test_variety_does_not_depend_on_length():
+    from entitygraph.llm.doc_stats import MEASURES, measure
+
+    at = lambda t: dict(zip(MEASURES, measure(t), strict=True))
+    vary = lambda t: at(t)["n_window_distinct"] / at(t)["n_window_words"]
+    circle = " ".join(f"w{k % 12}" for k in range(2000))
+    clean = " ".join(f"w{k}" for k in range(2000))
+    assert vary(circle) == pytest.approx(0.2) and vary(clean) == 1.0 and at("a b a")["n_window_distinct"] == 2 and at("")["n_window_words"] == 0
+    words = [f"w{k}" for k in np.random.default_rng(0).integers(0, 40, 150)]
+    assert at(" ".join(words))["n_window_distinct"] == sum(len(set(words[a : a + 60])) for a in (0, 60, 90))
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (3, "word " * 100_000, 0.1), (None, "a b c", 0.1), (1, None, 0.1)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
