@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from entitygraph.llm.common import broadcast_if_small, mix64, settle, slices, small_batches, texts_of
 from entitygraph.operators.components import components
@@ -39,6 +40,8 @@ BANDS, BAND_ROWS = 48, 5
 TILE = 1024
 #: Most sets on a side where members of a band are asked across tiles; smaller, as bands repeat members.
 BAND_TILE = 256
+#: Most shingles of one search, on average over the tiles of a group (8 bytes each, and some 40 in the lists).
+TILE_SHINGLES = 2_000_000
 #: Rows of (id, group) up to which they are broadcast to the documents (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: DivideSkip's weight of a binary search against a merge step.
@@ -197,29 +200,33 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
 
     Null and empty texts, and texts without words, have an empty set and link with
     nothing; their component is their own key.  Repeated texts share a class and
-    link; keys are taken to be unique and not null (rows with a null key are returned
-    with an empty component).  Other columns are not read.  An empty table gives an
+    link.  Several texts under one key are one node with all their links; rows with a null
+    key are returned with an empty component.  Keys are of any type that has an order.  Other columns are not read.  An empty table gives an
     empty result.
     """
     sig = settle(signatures(docs, key, text), "signatures")
     kind = sig.schema["_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_kind = to_arrow_type(sig.schema["_id"].dataType)
     classes = sig.where("n > 0 and _id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("_id", "bands")).alias("s"))
     classes = settle(classes.select("k1", "k2", "n", F.col("s._id").alias("rep"), F.col("s.bands").alias("bands")), "classes")
     keyed = classes.select("rep", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
+    # Written before it is joined back, so that a band of a third of all rows is split by the skew join.
+    shared = settle(keyed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first"), "shared", compact=True)
     near = keyed.join(shared, "band").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     groups = components(near).withColumnsRenamed({"node": "rep", "component": "gid"})
     # Groups of several tiles alone are looked up, and they are few: at most (representatives / tile).
-    groups = settle(groups, "reach", compact=True)
-    wide = settle(groups.groupBy("gid").agg(F.ceil(F.count("*") / tile).cast("int").alias("m")).where("m > 1"), "wide", compact=True)
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    groups = settle(groups.join(sizes, "rep"), "reach", compact=True)
+    parts = F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / TILE_SHINGLES)).cast("int")
+    wide = settle(groups.groupBy("gid").agg(parts.alias("m")).where("m > 1"), "wide", compact=True)
+    groups = groups.drop("n")
     groups = settle(groups.join(broadcast_if_small(wide, wide.count(), BROADCAST_ROWS), "gid", "left").withColumn("m", F.coalesce("m", F.lit(1))), "groups", compact=True)
     n_groups = groups.count()
     own = F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("m")).cast("int")
     # The smallest member stands in every tile of its group.
     dealt = shingles_of(docs, groups, n_groups, key, text).withColumn("tile", F.explode(F.when(F.col("rep") == F.col("gid"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(own))))
     dealt = dealt.withColumns({"ask": F.lit(True), "label": F.xxhash64("rep")})
-    links = settle(dealt.groupBy("gid", "tile").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "links", compact=True)
+    links = settle(dealt.groupBy("gid", "tile").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "links", compact=True, heavy=True)
     reach = components(links)
     wide = groups.where("m > 1").select("rep")
     if wide.limit(1).count():
@@ -251,7 +258,7 @@ def _across_tiles(docs, classes, wide, reach, key, text, tile, kind, arrow_kind)
     asks = rows.where("label != top").select("band", "rep", "label", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("tile"), mine.alias("part"))
     held = rows.select("band", "rep", "label", F.lit(False).alias("ask"), own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("mq") - 1)).alias("part"))
     dealt = asks.unionByName(held).join(sets, "rep")
-    return settle(dealt.groupBy("band", "tile", "part").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "more", compact=True)
+    return settle(dealt.groupBy("band", "tile", "part").applyInArrow(_joiner(arrow_kind), f"a {kind}, b {kind}"), "more", compact=True, heavy=True)
 
 
 #: The join in DuckDB SQL, for small tables: all pairs that share a shingle, counted.
