@@ -139,16 +139,18 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(0).to_pylist()
-            made: list = [None] * len(found)
-            for width in {len(v) for v in found}:
-                own = [k for k, v in enumerate(found) if len(v) == width]
-                x = np.array([found[k] for k in own], np.float64)
+            lists = batch.column(0)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            widths = np.diff(ends)
+            made: list = [None] * len(lists)
+            for width in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == width)
+                x = flat[ends[own][:, None] + np.arange(width)].astype(np.float64)
                 x /= np.abs(x).max(1, keepdims=True)
-                u = x / np.sqrt((x * x).sum(1, keepdims=True))
-                side = Side.of(u)
-                for k, q, rest, signs in zip(own, side.q.astype("<i2"), np.stack([side.scale, side.coarse, side.fine], 1).tolist(), signs_of(x, bits, tables), strict=True):
-                    made[k] = (q.tobytes(), *rest, np.packbits(signs).tobytes(), buckets(signs[None], bits, tables)[0])
+                side, signs = Side.of(x / np.sqrt((x * x).sum(1, keepdims=True))), signs_of(x, bits, tables)
+                rest = zip(side.scale.tolist(), side.coarse.tolist(), side.fine.tolist(), np.packbits(signs, axis=1), buckets(signs, bits, tables), strict=True)
+                for k, q, (scale, coarse, fine, packed, codes) in zip(own.tolist(), side.q.astype("<i2"), rest, strict=True):
+                    made[k] = (q.tobytes(), scale, coarse, fine, packed.tobytes(), codes)
             q, scale, coarse, fine, signs, codes = ([m[k] for m in made] for k in range(6))
             more = [pa.array(q, pa.binary()), *(pa.array(c, pa.float64()) for c in (scale, coarse, fine)), pa.array(signs, pa.binary()), pa.array(codes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "q", "scale", "coarse", "fine", "signs", "codes"])
