@@ -411,3 +411,72 @@ def dilate(mask: np.ndarray, radius: int = 1) -> np.ndarray:
         for dy in range(-radius, radius + 1):
             out[max(0, dx) : n + min(0, dx), max(0, dy) : m + min(0, dy)] |= mask[max(0, -dx) : n + min(0, -dx), max(0, -dy) : m + min(0, -dy)]
     return out
+
+
+@dataclass(frozen=True)
+class NearRule:
+    """How rows choose among admitted entities nearby."""
+
+    z_bound: float
+    rank: str = "distance"
+    tie: str = "distance"
+    cap: int = 3
+    divisor: int = 2
+    least: int = 3
+
+
+#: Pairs of points, and cells of a table of rows and entities, that are held at once.
+MOST_NEAR = 2_000_000
+
+
+def choose_near(free: np.ndarray, f: np.ndarray, held: np.ndarray, e: np.ndarray, size: np.ndarray, pairs: np.ndarray, fits: np.ndarray, n_e: int, rule: NearRule) -> np.ndarray:
+    """The number of the entity that each free point takes, -1 for none.
+
+    Points are rows of (x, y, z).  ``f`` and ``e`` number features and entities, ``size`` counts
+    a held point's entity, ``pairs`` holds the admitted f * n_e + e in ascending order and
+    ``fits`` their fits.  Only points near in z are paired, found in their order by z.
+    """
+    out = np.full(len(free), -1, np.int64)
+    if not len(free) or not len(held) or not len(pairs):
+        return out
+    by_z = np.argsort(held[:, 2], kind="stable")
+    held, (names, own) = held[by_z], np.unique(e[by_z], return_inverse=True)
+    kinds, kind = np.unique(f, return_inverse=True)
+    # Admission and fit of what there is here; sizes are those of the entities.
+    wanted = kinds[:, None].astype(np.int64) * n_e + names[None, :]
+    at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+    good, fit = pairs[at] == wanted, np.round(np.nan_to_num(fits[at], nan=-1e9), 9)
+    weight = np.zeros(len(names), np.int64)
+    weight[own] = size[by_z]
+    # The margin keeps points at the bound, which are then tested as they are.
+    lo = np.searchsorted(held[:, 2], free[:, 2] - rule.z_bound - 1e-9, "left")
+    hi = np.searchsorted(held[:, 2], free[:, 2] + rule.z_bound + 1e-9, "right")
+    till = np.cumsum(hi - lo)
+    a = 0
+    while a < len(free):
+        done = till[a - 1] if a else 0
+        b = max(a + 1, min(int(np.searchsorted(till, done + MOST_NEAR, "right")), a + max(1, MOST_NEAR // len(names))))
+        runs = (hi - lo)[a:b]
+        owner = np.repeat(np.arange(b - a), runs)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs) + lo[a:b][owner]
+        entity = own[place]
+        keep = good[kind[a:b][owner], entity] & (np.abs(free[a:b, 2][owner] - held[place, 2]) <= rule.z_bound)
+        owner, place, entity = owner[keep], place[keep], entity[keep]
+        if rule.rank == "witness" and len(owner):
+            cell = owner * len(names) + entity
+            count = np.bincount(cell, minlength=(b - a) * len(names)).reshape(b - a, -1)
+            eff = np.minimum(np.minimum(count, rule.cap), -(-weight // rule.divisor)[None, :])
+            top = np.where(count > 0, eff, -1).max(1)
+            keep = (eff[owner, entity] == top[owner]) & (top[owner] >= rule.least)
+            owner, place, entity = owner[keep], place[keep], entity[keep]
+        if len(owner):
+            if rule.rank == "witness" and rule.tie == "gene_fit":
+                score = -fit[kind[a:b][owner], entity]
+            else:
+                d = free[a:b][owner] - held[place]
+                score = np.round((d * d).sum(1), 9)
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = np.repeat(np.minimum.reduceat(score, starts), np.diff(starts, append=len(owner)))
+            out[a + owner[starts]] = names[np.minimum.reduceat(np.where(score == best, entity, len(names)), starts)]
+        a = b
+    return out

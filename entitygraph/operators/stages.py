@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,36 +287,55 @@ def guarded(rows: DataFrame, size: float, peers: int = 3) -> DataFrame:
     return free.join(full, ["feature", "bx", "by"]).select("id")
 
 
+#: Free rows of a bin that one task works off.
+BIN_ROWS = 4096
 #: The entity that clustered rows form while they are shielded.
 SHIELD = "__SHIELD__"
 #: Admitted (feature, entity) pairs up to which they are broadcast (about 40 bytes each).
 GATE_ROWS = 1_000_000
 
 
-def near_points(rows: DataFrame, size: float, z_bound: float | None = None, peers: int | None = None) -> DataFrame:
-    """(id, feature, entity, d2): every assigned point in the nine bins around an unassigned row and near in z.
+def near_points(free: DataFrame, held: DataFrame, size: float, z_bound: float | None = None, of: tuple[str, ...] = ("id", "feature"), to: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """(bx, by, bz, *of, *to, d2): every held point in the bins around a free one and near in z.
 
-    With ``peers``, clustered rows are left out beforehand.
+    (bx, by, bz) is the free point's own bin, as wide as the reach in z.  Held points are dealt to the bins
+    around them, so that all points near a free one meet in one partition, and counting
+    them by bin and point shuffles nothing again.
     """
     z_bound = z_bound if z_bound is not None else size * 2**0.5
+    bins = bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"), bin_of("z", z_bound if z_bound > 0 else 1.0).alias("bz")
+    offsets = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
+    a = free.select(*of, F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), *bins)
+    b = held.select(*to, "x", "y", "z", *bins).withColumn("o", F.explode(offsets_column(offsets)))
+    b = b.select(*to, "x", "y", "z", *((F.col(c) + F.col(f"o.d{k}")).alias(c) for k, c in enumerate(("bx", "by", "bz"))))
+    dx, dy, dz = (F.col(f"{c}a") - F.col(c) for c in "xyz")
+    return a.join(b, ["bx", "by", "bz"]).where(F.abs(dz) <= z_bound).select("bx", "by", "bz", *of, *to, (dx * dx + dy * dy + dz * dz).alias("d2"))
+
+
+def free_and_held(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unassigned rows with a feature, and assigned ones; both with coordinates."""
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
-    free = rows.where(L.is_unassigned("entity") & ok & F.col("feature").isNotNull())
-    if peers is not None:
-        free = free.join(guarded(rows, size, peers), "id", "left_anti")
-    held = rows.where(~L.is_unassigned("entity") & ok)
-    offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    bins = bin_of("x", size).alias("bx"), bin_of("y", size).alias("by")
-    a = free.select("id", "feature", "x", "y", "z", *bins).withColumn("o", F.explode(offsets_column(offsets)))
-    a = a.select("id", "feature", F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), (F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by"))
-    b = held.select("entity", "x", "y", "z", *bins)
-    d2 = F.pow(F.col("xa") - F.col("x"), F.lit(2)) + F.pow(F.col("ya") - F.col("y"), F.lit(2)) + F.pow(F.col("za") - F.col("z"), F.lit(2))
-    return a.join(b, ["bx", "by"]).where(F.abs(F.col("za") - F.col("z")) <= z_bound).select("id", "feature", "entity", d2.alias("d2"))
+    return rows.where(L.is_unassigned("entity") & ok & F.col("feature").isNotNull()), rows.where(~L.is_unassigned("entity") & ok)
 
 
 def candidates(rows: DataFrame, size: float, z_bound: float | None = None) -> DataFrame:
     """(id, feature, entity, n, d2): the entities around each unassigned row, with the number of their points there
     and the smallest squared distance."""
-    return near_points(rows, size, z_bound).groupBy("id", "feature", "entity").agg(F.count("*").alias("n"), F.min("d2").alias("d2"))
+    found = near_points(*free_and_held(rows), size, z_bound).groupBy("bx", "by", "bz", "id", "feature", "entity").agg(F.count("*").alias("n"), F.min("d2").alias("d2"))
+    return found.drop("bx", "by", "bz")
+
+
+def gate_pairs(rows: DataFrame, sets: DataFrame, size: float) -> DataFrame:
+    """(feature, entity) that may meet: all of them where they are few enough to be broadcast, else those whose bins do."""
+    free = rows.where(L.is_unassigned("entity") & F.col("feature").isNotNull())
+    features, entities = free.select("feature").distinct(), sets.select("entity").distinct()
+    if features.count() * entities.count() <= GATE_ROWS:
+        return F.broadcast(features).join(entities, F.lit(True))
+    bins = bin_of("x", size).alias("bx"), bin_of("y", size).alias("by")
+    offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    a = free.select("feature", *bins).distinct().withColumn("o", F.explode(offsets_column(offsets))).select("feature", (F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by")).distinct()
+    b = rows.where(~L.is_unassigned("entity")).select("entity", *bins).distinct()
+    return a.join(b, ["bx", "by"]).select("feature", "entity").distinct()
 
 
 def gate(pairs: DataFrame, sets: DataFrame, panel: DataFrame, rule: kernels.Admission) -> DataFrame:
@@ -323,6 +343,9 @@ def gate(pairs: DataFrame, sets: DataFrame, panel: DataFrame, rule: kernels.Admi
     both = panel.select(F.col("gi").alias("feature"), F.col("gj").alias("other"), "w").unionByName(panel.select(F.col("gj").alias("feature"), F.col("gi").alias("other"), "w"))
     q = pairs.select("feature", "entity").distinct()
     known = both.select("feature").distinct()
+    # Few rows whose scoring is dear: as many parts as cores.
+    cores = max(1, panel.sparkSession.sparkContext.defaultParallelism)
+    q, sets = q.repartition(cores, "entity"), sets.repartition(cores, "entity")
     j = q.join(broadcast_if_small(known), "feature").join(sets.withColumnRenamed("feature", "other"), "entity", "left").join(broadcast_if_small(both), ["feature", "other"], "left")
     signal = F.when(F.abs("w") > rule.real_signal, F.col("w")) if rule.real_signal > 0 else F.col("w")
     s = j.groupBy("feature", "entity").agg(
@@ -367,25 +390,73 @@ def rescue(rows: DataFrame, panel: DataFrame, size: float, rule: kernels.Admissi
         peers = None
     rows = settle(rows, "rows")
     live = rows.where(~L.is_unassigned("entity"))
-    near = near_points(rows, size, z_bound, peers)
+    free, held = free_and_held(rows)
+    if peers is not None:
+        free = free.join(guarded(rows, size, peers), "id", "left_anti")
     sets = settle(entity.features_of(live), "sets")
-    # The gate is computed once per distinct pair and comes before anything is counted or shuffled by row.
-    admitted = settle(gate(near, sets, panel, rule), "admitted")
-    found = near.join(broadcast_if_small(admitted, limit=GATE_ROWS), ["feature", "entity"])
+    # The gate is computed once per distinct pair, and comes before points are paired.
+    admitted = settle(gate(gate_pairs(rows, sets, size), sets, panel, rule), "admitted")
+    if rank != "distance" and tie == "gene_fit":
+        admitted = settle(entity.mean_fit(admitted, sets, panel).join(admitted, ["feature", "entity"], "right"), "fits")
+    else:
+        admitted = admitted.withColumn("fit", F.lit(None).cast("double"))
+    # Points are paired by numbers that keep the order of the names.
+    names = settle(numbered(sets.select("entity").distinct(), ["entity"], "e"), "names")
+    kinds_of = settle(numbered(free.select("feature").distinct(), ["feature"], "f"), "features")
+    n_names, n_kinds = names.count(), kinds_of.count()
+    names_, kinds_ = broadcast_if_small(names, n_names), broadcast_if_small(kinds_of, n_kinds)
+    admitted = admitted.join(names_, "entity").join(kinds_, "feature").select((F.col("f") * F.lit(n_names) + F.col("e")).alias("pair"), "fit")
+    sized = live.groupBy("entity").agg(F.count("*").alias("s"), F.min_by("etype", "id").alias("etype")).join(names_, "entity").select("e", "s", "entity", "etype")
+    sized = settle(sized.where(F.col("entity").isNotNull()), "sized")
+    if admitted.limit(GATE_ROWS + 1).count() <= GATE_ROWS:
+        near = kernels.NearRule(z_bound if z_bound is not None else size * 2**0.5, rank, tie, cap, divisor, least)
+        best = _choose(free.join(kinds_, "feature"), held.join(broadcast_if_small(sized.select("entity", "e", "s"), n_names), "entity"), size, admitted, n_names, near)
+        return best.join(broadcast_if_small(sized.where(F.col("entity") != SHIELD), n_names), "e").select("id", "entity", "etype")
+    near = near_points(free.join(kinds_, "feature"), held.join(names_, "entity"), size, z_bound, ("id", "f"), ("e",))
+    found = near.withColumn("pair", F.col("f") * F.lit(n_names) + F.col("e")).join(broadcast_if_small(admitted, limit=GATE_ROWS), "pair")
     if rank == "distance":
-        key = F.struct(F.round("d2", 9).alias("k"), F.col("entity").alias("entity"))
+        key = F.struct(F.round("d2", 9).alias("k"), F.col("e").alias("e"))
     else:
-        found = found.groupBy("id", "feature", "entity").agg(F.count("*").alias("n"), F.min("d2").alias("d2"))
-        sizes = live.groupBy("entity").agg(F.count("*").alias("s"))
-        found = found.join(broadcast_if_small(sizes), "entity").withColumn("eff", F.least(F.col("n"), F.lit(cap), F.ceil(F.col("s") / divisor))).where(F.col("eff") >= least)
-        if tie == "gene_fit":
-            found = found.join(entity.mean_fit(found, sets, panel), ["feature", "entity"], "left").withColumn("t", -F.round(F.coalesce("fit", F.lit(-1e9)), 9))
-        else:
-            found = found.withColumn("t", F.round("d2", 9))
-        key = F.struct((-F.col("eff")).alias("k"), F.col("t").alias("t"), F.col("entity").alias("entity"))
-    best = found.groupBy("id").agg(F.min(key).alias("m")).select("id", F.col("m.entity").alias("entity"))
-    kinds = live.groupBy("entity").agg(F.min_by("etype", "id").alias("etype"))
-    return best.where(F.col("entity") != SHIELD).join(kinds, "entity").select("id", "entity", "etype")
+        found = found.groupBy("bx", "by", "bz", "id", "e").agg(F.count("*").alias("n"), F.min("d2").alias("d2"), F.max("fit").alias("fit"))
+        found = found.join(broadcast_if_small(sized.select("e", "s"), n_names), "e").withColumn("eff", F.least(F.col("n"), F.lit(cap), F.ceil(F.col("s") / divisor))).where(F.col("eff") >= least)
+        found = found.withColumn("t", -F.round(F.coalesce("fit", F.lit(-1e9)), 9) if tie == "gene_fit" else F.round("d2", 9))
+        key = F.struct((-F.col("eff")).alias("k"), F.col("t").alias("t"), F.col("e").alias("e"))
+    best = found.groupBy("bx", "by", "bz", "id").agg(F.min(key).alias("m")).select("id", F.col("m.e").alias("e"))
+    return best.join(broadcast_if_small(sized.where(F.col("entity") != SHIELD), n_names), "e").select("id", "entity", "etype")
+
+
+def _choose(free: DataFrame, held: DataFrame, size: float, admitted: DataFrame, n_names: int, rule: kernels.NearRule) -> DataFrame:
+    """(id, e): what each free row (f) takes of the held rows (e, s) around it, bin by bin.
+
+    Counting pairs of points by row and entity in a hash table costs several times what the kernel
+    does, as nearly every pair is a group of its own.  Held rows are dealt to the nine bins around
+    them; bins of many free rows are cut into parts that all see the held rows.
+    """
+    pairs = admitted.orderBy("pair").toPandas()  # at most GATE_ROWS
+    shared = free.sparkSession.sparkContext.broadcast((pairs["pair"].to_numpy(np.int64), pairs["fit"].to_numpy(float)))
+    bins = bin_of("x", size).alias("bx"), bin_of("y", size).alias("by")
+    a = free.select("id", "f", "x", "y", "z", *bins)
+    wide = settle(a.groupBy("bx", "by").agg(F.ceil(F.count("*") / BIN_ROWS).cast("int").alias("m")).where("m > 1"), "wide", compact=True)
+    n_wide = wide.count()
+    parts = lambda df: (df.join(broadcast_if_small(wide, n_wide), ["bx", "by"], "left") if n_wide else df.withColumn("m", F.lit(None).cast("int"))).withColumn("m", F.coalesce("m", F.lit(1)))
+    a = parts(a).withColumn("part", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    b = held.select("e", "s", "x", "y", "z", *bins).withColumn("o", F.explode(offsets_column(offsets)))
+    b = b.select("e", "s", "x", "y", "z", (F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by"))
+    b = parts(b.join(broadcast_if_small(a.select("bx", "by").distinct()), ["bx", "by"], "left_semi")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    kind = _schema(free, "id")
+    both = a.select("bx", "by", "part", "id", F.col("f").alias("k"), F.lit(None).cast("long").alias("s"), "x", "y", "z").unionByName(b.select("bx", "by", "part", F.lit(None).cast(kind.split(" ", 1)[1]).alias("id"), F.col("e").alias("k"), "s", "x", "y", "z"))
+
+    def run(table: pa.Table) -> pa.Table:
+        is_free = table["s"].is_null().to_numpy()
+        x, k = np.stack([table[c].cast(pa.float64()).to_numpy() for c in "xyz"], 1), table["k"].to_numpy()
+        s = table["s"].fill_null(0).to_numpy()[~is_free]
+        took = kernels.choose_near(x[is_free], k[is_free], x[~is_free], k[~is_free], s, *shared.value, n_names, rule)
+        ids = table["id"].filter(pa.array(is_free)).combine_chunks()
+        hit = np.flatnonzero(took >= 0)
+        return pa.table({"id": ids.take(pa.array(hit)), "e": pa.array(took[hit], pa.int64())})
+
+    return both.groupBy("bx", "by", "part").applyInArrow(run, f"{kind}, e bigint")
 
 
 def apply_rescue(rows: DataFrame, taken: DataFrame) -> DataFrame:

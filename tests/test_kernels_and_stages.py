@@ -394,3 +394,50 @@ def test_readers(spark, tmp_path):
     vertices = spark.createDataFrame([("c", k, float(k % 2), float(k // 2)) for k in range(4)] + [("d", 0, 0.0, 0.0)], "cell string, order int, x double, y double")
     assert [(r.polygon, len(r.ring)) for r in io.polygons_of(vertices).collect()] == [("c", 4)]
     assert io.markdown_table(vertices.where("cell = 'd'")).count("\n") == 2
+
+
+def brute_choice(free, f, held, e, size, pairs, fits, n_e, rule):
+    out = []
+    for x, kind in zip(free, f, strict=True):
+        near = {}
+        for y, name in zip(held, e, strict=True):
+            if abs(x[2] - y[2]) <= rule.z_bound and kind * n_e + name in pairs:
+                near.setdefault(name, []).append(round(float(((x - y) ** 2).sum()), 9))
+        if rule.rank == "distance":
+            out.append(min(((min(d), name) for name, d in near.items()), default=(0, -1))[1])
+            continue
+        eff = {name: min(len(d), rule.cap, -(-size[name] // rule.divisor)) for name, d in near.items()}
+        tie = {name: -round(fits[list(pairs).index(kind * n_e + name)], 9) if rule.tie == "gene_fit" else min(near[name]) for name in near}
+        out.append(min(((-eff[name], tie[name], name) for name in near if eff[name] >= rule.least), default=(0, 0, -1))[2])
+    return out
+
+
+@pytest.mark.parametrize("rank", ["distance", "witness"])
+@pytest.mark.parametrize("tie", ["distance", "gene_fit"])
+def test_choice_equals_brute_force(rank, tie, monkeypatch):
+    rng = np.random.default_rng(7)
+    for least, most in ((1, 2_000_000), (2, 40), (3, 1)):
+        monkeypatch.setattr(kernels, "MOST_NEAR", most)
+        free, held = np.round(rng.uniform(0, 4, (30, 3))), np.round(rng.uniform(0, 4, (80, 3)))
+        f, e, n_e = rng.integers(0, 4, 30), rng.integers(0, 9, 80), 9
+        size = np.bincount(e, minlength=n_e)
+        pairs = np.sort(rng.choice(4 * n_e, 20, replace=False))
+        fits = np.round(rng.uniform(-1, 1, 20), 1)
+        rule = kernels.NearRule(1.0, rank, tie, 3, 2, least)
+        got = kernels.choose_near(free, f, held, e, size[e], pairs, fits, n_e, rule).tolist()
+        assert got == brute_choice(free, f, held, e, size, pairs.tolist(), fits, n_e, rule)
+
+
+@pytest.mark.parametrize("rank", ["distance", "witness"])
+def test_rescue_of_many_bins_and_pairs(spark, rank, monkeypatch):
+    """The same rows are taken by the kernel, by its cut bins, and by joins where the gate is too large to share."""
+    rng = np.random.default_rng(3)
+    at = np.round(rng.uniform(0, 9, (400, 3)), 1)
+    data = [(k, "c", f"g{rng.integers(4)}", *map(float, at[k]), False, "-1" if k % 3 else f"e{rng.integers(12)}", "unknown" if k % 3 else "cell") for k in range(400)]
+    panel = spark.createDataFrame([(f"g{i}", f"g{j}", float(w)) for (i, j), w in zip(itertools.combinations(range(4), 2), (0.8, -0.5, 0.3, 0.1, -0.1, 0.6), strict=True)], "gi string, gj string, w double")
+    take = lambda: {r.id: (r.entity, r.etype) for r in stages.rescue(rows_of(spark, data), panel, 1.5, kernels.Admission(mean_threshold=0.1), rank, least=1, tie="gene_fit").collect()}
+    first = take()
+    monkeypatch.setattr(stages, "BIN_ROWS", 2)
+    assert first and take() == first
+    monkeypatch.setattr(stages, "GATE_ROWS", 5)
+    assert take() == first
