@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitygraph.llm import bpe, jaccard_join, line_dedup, quality_classifier, source_mix
@@ -13,7 +13,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as class 1; the columns of ``docs``."""
+    """Documents that the quality classifier predicts as class 1; the columns of ``docs``.
+
+    Each row is judged by its own text, null and empty ones as texts without words; repeated rows share a verdict.
+    """
     held = F.coalesce(quality_classifier.held_out(), F.lit(False))
     model = quality_classifier.train(docs, read(spark, sf_dir, "labels"), ~held)
     names = fresh(docs, "_score"), fresh(docs, "_predicted")
@@ -21,30 +24,60 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the line chunks and passages that occur earlier; ``n_chars`` follows the text."""
+    """All documents without the line chunks and passages that occur earlier; ``n_chars`` follows the text.
+
+    Repeated rows count as one document and are cleared alike; null texts and rows without an id stay as they are.
+    """
     cleared = line_dedup.dedup(docs)
     if "n_chars" in docs.columns:
         cleared = cleared.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleared.select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells documents apart: the id, in the order of whole numbers, and the text; a null id stands last."""
+    name = F.col("doc_id").cast("string")
+    name = F.when(F.length(name) < 20, F.lpad(name, 20, "0")).otherwise(F.coalesce(name, F.lit("~")))
+    return F.concat_ws(":", name, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of the Jaccard join."""
-    gone = settle(jaccard_join.join(docs).where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest id, of each component of the Jaccard join.
+
+    Documents are told apart by id and text: of rows that repeat both, one stays; different
+    texts under one id, or without an id, are documents of their own.  Texts without words link
+    with nothing.  An empty table stays empty.
+    """
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    found = settle(jaccard_join.join(keyed, key), "found")
+    gone = settle(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    left = keyed.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), key, "left_anti")
+    again = settle(found.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key), "again")
+    n = again.count()
+    if n:
+        # Repeated rows alone are shuffled with their texts.
+        again = broadcast_if_small(again, n, BROADCAST_ROWS)
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+    return left.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes its words, to the nearest whole copy."""
-    copies, copy = fresh(docs, "_copies"), fresh(docs, "_copy")
-    taken = source_mix.mix(docs).taken.where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(copies))
+    """Every document as often as the mix takes its words, to the nearest whole copy.
+
+    Documents are told apart by id and text, so rows without an id take part; repeated rows share
+    alike.  Documents without words are not drawn.  An empty table stays empty.
+    """
+    key, copies, copy = (fresh(docs, n) for n in ("_key", "_copies", "_copy"))
+    keyed = docs.withColumn(key, row_key(docs))
+    taken = source_mix.mix(keyed, key).taken.where("taken > 0").groupBy(key).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(copies))
     taken = settle(taken.where(F.col(copies) > 0), "taken")
-    drawn = docs.join(broadcast_if_small(taken, taken.count(), BROADCAST_ROWS), "doc_id")
+    drawn = keyed.join(broadcast_if_small(taken, taken.count(), BROADCAST_ROWS), key)
     return drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed) of every document and the text that they decode to."""
+    """Token ids (packed) of every document and the text that they decode to; null and empty texts have none."""
     return bpe.encode_documents(docs, keep=("doc_id", "source"))
 
 
