@@ -232,3 +232,19 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     rows_of(spark, "documents").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     rows_of(spark, "labels").where("false").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_of_repeated_rows_and_null_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = [" ".join(f"{a}{k}" for k in range(60)) for a in "pqrst"]
+    rows = [(1, text[0], "a"), (1, text[0], "b"), (1, text[1], "a"), (2, text[0] + " end", "a"), (3, text[0], "a"), (None, text[2], "a"), (None, text[2], "a"), (None, text[3], "a"), (4, None, "a"), (5, "", "a"), (5, "", "a"), (6, text[4] * 40, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    got = sorted(((r.doc_id or 0), r.text or "") for r in kept)
+    assert got == sorted([(0, text[2]), (0, text[3]), (1, text[0]), (1, text[1]), (4, ""), (5, ""), (6, text[4] * 40)])
+    mixed = pipeline.mix_sources(spark, docs, "").collect()
+    assert {r.doc_id for r in mixed} <= {None, 1, 2, 3, 6} and None in {r.doc_id for r in mixed} and not [r for r in mixed if not r.text]
+    cleared = pipeline.remove_repeated_lines(spark, docs, "").collect()
+    assert len(cleared) == len(rows) and sum(r.text is None for r in cleared) == 1
+    empty = docs.where("false")
+    assert pipeline.keep_one_of_each_group(spark, empty, "").collect() == [] == pipeline.mix_sources(spark, empty, "").collect()
