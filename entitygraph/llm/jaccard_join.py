@@ -211,7 +211,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
     classes = settle(classes.select("k1", "k2", "n", F.col("s._id").alias("rep"), F.col("s.bands").alias("bands")), "classes")
     keyed = classes.select("rep", F.explode("bands").alias("band"))
     # Written before it is joined back, so that a band of a third of all rows is split by the skew join.
-    shared = settle(keyed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first"), "shared", compact=True)
+    shared = settle(keyed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first"), "shared", compact=True, heavy=True)
     near = keyed.join(shared, "band").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     groups = components(near).withColumnsRenamed({"node": "rep", "component": "gid"})
     # Groups of several tiles alone are looked up, and they are few: at most (representatives / tile).
