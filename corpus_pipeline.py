@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from entitygraph.llm import bpe, jaccard_join, line_dedup, quality_classifier, source_mix
 from entitygraph.llm.common import broadcast_if_small, fresh, read, settle
@@ -35,10 +36,14 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def row_key(docs: DataFrame) -> Column:
-    """What tells documents apart: the id, in the order of whole numbers, and the text; a null id stands last."""
-    name = F.col("doc_id").cast("string")
-    name = F.when(F.length(name) < 20, F.lpad(name, 20, "0")).otherwise(F.coalesce(name, F.lit("~")))
-    return F.concat_ws(":", name, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    """What tells documents apart, in 17 bytes for whole numbers: the id, in its order, and a hash of the text; a null id stands last."""
+    digits = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        name = digits(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63))))
+    else:
+        name = F.col("doc_id").cast("string").cast("binary")
+    known, none = F.lit(bytearray(b"\x00")), F.lit(bytearray(b"\x01"))
+    return F.concat(F.when(F.col("doc_id").isNull(), none).otherwise(F.concat(known, name)), digits(F.coalesce(F.xxhash64("text"), F.lit(0))))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
