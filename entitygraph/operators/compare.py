@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
+from entitygraph.functions.storage import broadcast_if_small, numbered, settle
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -109,10 +110,13 @@ def pair_classes(rows: DataFrame, a: str, b: str, tile: str) -> DataFrame:
     return out.select(*(c for n in names for c in (F.col(f"{n}_same_tile"), (F.col(f"{n}_all") - F.col(f"{n}_same_tile")).alias(f"{n}_cross_tile"))))
 
 
-def coverage(rows: DataFrame, before: str, after: str) -> DataFrame:
-    """One row: share of assigned rows, cells kept of those before, and cells lost."""
+def coverage(rows: DataFrame, before: str, after: str, kind: str | None = None) -> DataFrame:
+    """One row: share of assigned rows, cells kept of those before, and cells lost.
+
+    ``kind`` names a column with the kinds of ``after``; without it labels are parsed, which takes names with a dash for partials.
+    """
     was, now = ~L.is_unassigned(before), ~L.is_unassigned(after)
-    kept = F.countDistinct(F.when(now & (L.etype_of_label(after) == "cell"), F.col(after)))
+    kept = F.countDistinct(F.when(now & ((F.col(kind) if kind else L.etype_of_label(after)) == "cell"), F.col(after)))
     had = F.countDistinct(F.when(was, F.col(before)))
     return rows.agg((F.avg(now.cast("int")) * 100).alias("coverage_pct"), had.alias("n_cells_before"), kept.alias("n_cells_after")).withColumns(
         {"retention_pct": F.when(F.col("n_cells_before") > 0, 100.0 * F.col("n_cells_after") / F.col("n_cells_before")), "cells_lost": F.col("n_cells_before") - F.col("n_cells_after")}
@@ -154,13 +158,12 @@ def pearson_residuals(counts: DataFrame, theta: float = 100.0) -> DataFrame:
 def principal_components(counts: DataFrame, k: int = 2) -> DataFrame:
     """(cell, pc array<double>): principal components of a sparse long matrix (cell, feature, value)."""
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    names = [r[0] for r in counts.select("feature").distinct().orderBy("feature").collect()]
-    number = F.create_map(*(v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))))
-    size = len(names)
-    vector = F.udf(lambda p: Vectors.sparse(size, sorted((int(i), float(v)) for i, v in p)), VectorUDT())
-    rows = counts.groupBy("cell").agg(F.collect_list(F.struct(number[F.col("feature")].alias("i"), F.col("value").alias("v"))).alias("p"))
-    rows = rows.select("cell", vector("p").alias("features"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    number = settle(numbered(counts.select("feature").distinct(), ["feature"], "i"), "features")
+    size = number.count()
+    placed = counts.join(broadcast_if_small(number, size), "feature")
+    rows = placed.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("value").cast("double")))).alias("p"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("p", i), F.lit(0.0)))
+    rows = rows.select("cell", array_to_vector(dense).alias("features"))
     return PCA(k=k, inputCol="features", outputCol="pc").fit(rows).transform(rows).select("cell", vector_to_array("pc").alias("pc"))

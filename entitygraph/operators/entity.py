@@ -28,6 +28,12 @@ def entity_table(rows: DataFrame, entity: str = "entity", etype: str | None = No
     return live.groupBy(F.col(entity).alias("entity")).agg(*axes, F.array_sort(F.collect_set("feature")).alias("genes"), F.min_by("_kind", "id").alias("etype"), F.count("*").alias("n"))
 
 
+def shared_and_own(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two tables of the same columns, without repeats, and their ``side``: both, left or right."""
+    mark = lambda df, side: df.withColumn("side", F.lit(side))
+    return mark(left.intersect(right), "both").unionByName(mark(left.subtract(right), "left")).unionByName(mark(right.subtract(left), "right"))
+
+
 def features_of(rows: DataFrame, entity: str = "entity") -> DataFrame:
     """Distinct (entity, feature)."""
     return rows.select(F.col(entity).alias("entity"), "feature").where(F.col("entity").isNotNull() & F.col("feature").isNotNull()).distinct()
@@ -147,17 +153,19 @@ def pair_stats(sets: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def dz_stats(rows: DataFrame, entity: str = "entity", percentiles: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
-    """Per entity: pairs, mean and largest difference in z, from sorted ranks rather than from pairs.
+    """Per entity: pairs, mean, largest and percentiles (``dz_p``, in order of ``percentiles``) of differences in z.
 
-    With z sorted ascending, z_(i) enters the sum of differences 2i - n - 1 times, so an
-    entity of n rows costs a sort and not n^2 pairs.
+    The mean comes from sorted ranks: z_(i) enters the sum of differences 2i - n - 1 times, so an
+    entity of n rows costs a sort and not n^2 pairs.  Percentiles come from pairs of distinct values.
     """
     rank = F.row_number().over(Window.partitionBy(entity).orderBy("z", "id"))
     r = rows.where(F.col("z").isNotNull()).withColumn("_i", rank)
     n = F.count("*")
     s = r.groupBy(F.col(entity).alias("entity")).agg(n.alias("n"), F.sum(2 * F.col("_i") * F.col("z")).alias("s"), F.sum("z").alias("t"), (F.max("z") - F.min("z")).alias("dz_max"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return s.where("n > 1").select("entity", pairs.cast("long").alias("n_pairs"), ((F.col("s") - (F.col("n") + 1) * F.col("t")) / pairs).alias("dz_mean"), "dz_max")
+    s = s.where("n > 1").select("entity", pairs.cast("long").alias("n_pairs"), ((F.col("s") - (F.col("n") + 1) * F.col("t")) / pairs).alias("dz_mean"), "dz_max")
+    p = dz_counts(rows, entity, 2).groupBy("entity").agg(F.percentile("dz", F.array(*map(F.lit, percentiles)), F.col("n")).alias("dz_p"))
+    return s.join(p, "entity")
 
 
 def dz_counts(rows: DataFrame, entity: str = "entity", least: int = 5) -> DataFrame:

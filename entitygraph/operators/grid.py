@@ -22,6 +22,8 @@ def build_index(rows: DataFrame, size: float, z_size: float | None = None, entit
         raise ValueError("bin sizes must be positive")
     live = rows.where(~L.is_unassigned(entity) & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     bz = bin_of("z", z_size) if z_size is not None else F.lit(0)
+    far = F.greatest(F.abs(F.col("x")), F.abs(F.col("y"))) / F.lit(float(size)) >= F.lit(float(LARGEST_BIN))
+    live = live.where(F.when(far, F.raise_error(F.lit("coordinates lie beyond the largest bin")).cast("boolean")).otherwise(F.lit(True)))
     return live.groupBy(bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"), bz.alias("bz"), F.col(entity).alias("entity")).agg(F.count("*").alias("n"))
 
 

@@ -224,14 +224,38 @@ def coherence(genes: np.ndarray, w: np.ndarray, tau: float = 0.0, absent_counts:
     return float(((seen > tau).sum() - (seen < -tau).sum()) / total) if total else 0.0
 
 
-def mahalanobis(a: np.ndarray, b: np.ndarray) -> float:
+@dataclass(frozen=True)
+class Cloud:
+    """Number, mean and centred scatter matrix of points: all that merging and distances need."""
+
+    n: int
+    mean: np.ndarray
+    scatter: np.ndarray
+
+    @classmethod
+    def of(cls, points: np.ndarray) -> Cloud:
+        if not len(points):
+            return cls(0, np.zeros(points.shape[1]), np.zeros((points.shape[1],) * 2))
+        d = points - points.mean(0)
+        return cls(len(points), points.mean(0), d.T @ d)
+
+    def merged(self, other: Cloud) -> Cloud:
+        n = self.n + other.n
+        if not n:
+            return self
+        d = other.mean - self.mean
+        return Cloud(n, self.mean + d * (other.n / n), self.scatter + other.scatter + np.outer(d, d) * (self.n * other.n / n))
+
+
+def mahalanobis(a: Cloud | np.ndarray, b: Cloud | np.ndarray) -> float:
     """Distance of two clouds' centres under their pooled covariance; NaN where it is not defined."""
-    if len(a) < 2 or len(b) < 2:
+    a, b = (c if isinstance(c, Cloud) else Cloud.of(c) for c in (a, b))
+    if a.n < 2 or b.n < 2:
         return np.nan
-    pooled = ((len(a) - 1) * np.cov(a.T) + (len(b) - 1) * np.cov(b.T)) / (len(a) + len(b) - 2)
+    pooled = (a.scatter + b.scatter) / (a.n + b.n - 2)
     if np.linalg.matrix_rank(pooled) < pooled.shape[0] or np.linalg.cond(pooled) > 1e12:
         return np.nan
-    d = a.mean(0) - b.mean(0)
+    d = a.mean - b.mean
     return float(np.sqrt(d @ np.linalg.solve(pooled, d)))
 
 
@@ -260,10 +284,14 @@ class Part:
     genes: np.ndarray
     n: int
     is_cell: bool
-    points: np.ndarray
+    cloud: Cloud | np.ndarray
     depth: int = 0
     members: int = 1
 
+    def __post_init__(self) -> None:
+        if not isinstance(self.cloud, Cloud):
+            self.cloud = Cloud.of(self.cloud)
+
 
 def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray, rule: StitchRule) -> np.ndarray:
     """The root of every part after greedy merging by falling gain.
@@ -297,7 +325,7 @@ def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray,
             return False
         if rule.most_members is not None and now[a].members + now[b].members > rule.most_members:
             return False
-        return rule.reach is None or float(np.linalg.norm(now[a].points.mean(0) - now[b].points.mean(0))) <= rule.reach
+        return rule.reach is None or float(np.linalg.norm(now[a].cloud.mean - now[b].cloud.mean)) <= rule.reach
 
     def passes(dc: float, union: float, a: int, b: int) -> bool:
         return dc >= rule.least_gain or (union >= rule.bypass and now[a].n + now[b].n <= rule.bypass_size)
@@ -317,11 +345,11 @@ def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray,
         if a == b or not allowed(a, b):
             continue
         dc, union = gain(a, b)
-        if not passes(dc, union, a, b) and not (rescued(dc) and mahalanobis(now[a].points, now[b].points) <= rule.rescue_distance):
+        if not passes(dc, union, a, b) and not (rescued(dc) and mahalanobis(now[a].cloud, now[b].cloud) <= rule.rescue_distance):
             continue
         keep, gone = min(a, b), max(a, b)
         parent[gone] = keep
-        now[keep] = Part(np.union1d(now[a].genes, now[b].genes), now[a].n + now[b].n, now[a].is_cell or now[b].is_cell, np.vstack([now[a].points, now[b].points]), max(now[a].depth, now[b].depth) + 1, now[a].members + now[b].members)
+        now[keep] = Part(np.union1d(now[a].genes, now[b].genes), now[a].n + now[b].n, now[a].is_cell or now[b].is_cell, now[a].cloud.merged(now[b].cloud), max(now[a].depth, now[b].depth) + 1, now[a].members + now[b].members)
         values.pop(keep, None)
     return np.array([find(k) for k in range(len(parts))])
 

@@ -586,28 +586,31 @@ def stitch(rows: DataFrame, panel: Panel, pairs: DataFrame, rule: kernels.Stitch
     else:
         counted = live
     sets = counted.groupBy("entity").agg(F.array_sort(F.collect_set("feature")).alias("genes"))
-    info = live.groupBy("entity").agg(F.min_by("etype", "id").alias("etype"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("x", "y", "z"))).alias("points"))
-    comp = components(pairs).withColumnRenamed("node", "entity")
+    cov = [F.covar_samp(p, q).alias(f"c{p}{q}") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    info = live.groupBy("entity").agg(F.min_by("etype", "id").alias("etype"), F.count("*").alias("n"), F.count("x").alias("np"), *(F.avg(c).alias(f"m{c}") for c in "xyz"), *cov)
+    comp = settle(components(pairs).withColumnRenamed("node", "entity"), "linked", compact=True)
     table = info.join(sets, "entity", "left").join(comp, "entity")
-    linked = pairs.join(comp.withColumnRenamed("entity", "a"), "a").select("component", "a", "b").distinct()
-    linked = linked.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("pairs"))
+    linked = pairs.join(comp.withColumnRenamed("entity", "a"), "a").select(F.col("component").alias("island"), "a", "b").distinct()
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def run(f: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("entity").reset_index(drop=True)
         at = {e: k for k, e in enumerate(f["entity"])}
-        parts = []
         sets = [panel.codes(pd.Series([] if g is None else list(g), dtype=object)) for g in f["genes"]]
-        own = np.unique(np.concatenate(sets))
+        own = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
         own = own[own >= 0]
         w = panel.block(own)
-        for g, (n, k, p) in zip(sets, f[["n", "etype", "points"]].itertuples(index=False), strict=True):
+        spread = np.nan_to_num(f[["cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz"]].to_numpy(float)).reshape(-1, 3, 3)
+        means, sizes = np.nan_to_num(f[["mx", "my", "mz"]].to_numpy(float)), f["np"].to_numpy(int)
+        parts = []
+        for k, (g, n, kind) in enumerate(zip(sets, f["n"], f["etype"], strict=True)):
             codes = np.searchsorted(own, np.sort(g[g >= 0]))
-            parts.append(kernels.Part(codes, int(n), k == "cell", np.array([[v["x"], v["y"], v["z"]] for v in p], float)))
-        wanted = next((p for p in f["pairs"] if p is not None), [])
-        root = kernels.stitch(parts, [(at[p["a"]], at[p["b"]]) for p in wanted if p["a"] in at and p["b"] in at], w, rule)
+            parts.append(kernels.Part(codes, int(n), kind == "cell", kernels.Cloud(int(sizes[k]), means[k], spread[k] * max(0, sizes[k] - 1))))
+        asked = [(at[a], at[b]) for a, b in wanted.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False) if a in at and b in at]
+        root = kernels.stitch(parts, asked, w, rule)
         return pd.DataFrame({"entity": f["entity"], "root": [f["entity"][r] for r in root], "etype": f["etype"], "n": f["n"]})
 
-    merged = table.join(linked, "component").groupBy("component").applyInPandas(run, "entity string, root string, etype string, n bigint")
+    # A component's entities come as moments and its pairs beside them; no points are gathered.
+    merged = table.groupBy("component").cogroup(linked.groupBy("island")).applyInPandas(run, "entity string, root string, etype string, n bigint")
     return stitch_labels(merged, info.where("etype = 'partial'").select("entity"))
 
 

@@ -447,10 +447,11 @@ def mean_pmi_fit(spark, d):
 
 @register(
     "dz_stats",
-    f"""WITH {POINTS} SELECT a.cell AS entity, count(*) AS n_pairs, {r("avg(abs(a.z - b.z))")} AS dz_mean, {r("max(abs(a.z - b.z))")} AS dz_max FROM pts a JOIN pts b ON a.cell = b.cell AND a.id < b.id GROUP BY 1""",
+    f"""WITH {POINTS} SELECT a.cell AS entity, count(*) AS n_pairs, {r("avg(abs(a.z - b.z))")} AS dz_mean, {r("max(abs(a.z - b.z))")} AS dz_max, {r("quantile_cont(abs(a.z - b.z), 0.5)")} AS dz_p50, {r("quantile_cont(abs(a.z - b.z), 0.9)")} AS dz_p90 FROM pts a JOIN pts b ON a.cell = b.cell AND a.id < b.id GROUP BY 1""",
 )
 def dz_stats(spark, d):
-    return entity.dz_stats(_points(spark, d), "cell").select("entity", "n_pairs", rnd("dz_mean", "dz_mean"), rnd("dz_max", "dz_max"))
+    s = entity.dz_stats(_points(spark, d), "cell")
+    return s.select("entity", "n_pairs", rnd("dz_mean", "dz_mean"), rnd("dz_max", "dz_max"), rnd(F.col("dz_p")[0], "dz_p50"), rnd(F.col("dz_p")[1], "dz_p90"))
 
 
 @register(
@@ -563,16 +564,20 @@ def knn_capped(spark, d):
     return _knn(spark, d).select("src", "dst", rnd("length", "length"))
 
 
-@register("knn_per_label")
+OWN_KNN = f"""ol AS (SELECT a.label, a.id AS src, b.id AS dst, sqrt({D2}) AS len FROM emb a JOIN emb b ON a.label = b.label AND a.id <> b.id),
+  ok_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(len, 6), dst) AS k FROM ol) WHERE k <= 3)"""
+
+
+@register("knn_per_label", f"WITH {EMB}, {OWN_KNN} SELECT label, src, dst, {r('len')} AS length FROM ok_")
 def knn_per_label(spark, d):
-    return spatial_join.knn_per_label(adapters.embedding_points(spark, d), 3)
+    return spatial_join.knn_per_label(adapters.embedding_points(spark, d), 3).select("label", "src", "dst", rnd("length", "length"))
 
 
-@register("nearest_seed", f"WITH {POINTS}, s AS (SELECT CAST(s_suppkey AS BIGINT) AS id, (s_suppkey * 7 % 50) + 0.25 AS x, (s_suppkey * 11 % 52) + 0.125 AS y FROM supplier) SELECT p.id, min({r('pow(p.x - s.x, 2) + pow(p.y - s.y, 2)')}) AS d2 FROM pts p CROSS JOIN s GROUP BY 1")
+@register("nearest_seed", f"WITH {POINTS}, s AS (SELECT CAST(s_suppkey AS BIGINT) AS id, (s_suppkey * 7 % 50) + 0.25 AS x, (s_suppkey * 11 % 52) + 0.125 AS y FROM supplier) SELECT id, seed, {r('d2')} AS d2 FROM (SELECT p.id, s.id AS seed, pow(p.x - s.x, 2) + pow(p.y - s.y, 2) AS d2, row_number() OVER (PARTITION BY p.id ORDER BY pow(p.x - s.x, 2) + pow(p.y - s.y, 2), s.id) AS k FROM pts p CROSS JOIN s) WHERE k = 1")
 def nearest_seed(spark, d):
     k = F.col("s_suppkey")
     seeds = read_table(spark, d, "supplier").select(k.cast("long").alias("id"), ((k * 7 % 50) + F.lit(0.25)).cast("double").alias("x"), ((k * 11 % 52) + F.lit(0.125)).cast("double").alias("y"))
-    return spatial_join.nearest_seed(_points(spark, d), seeds).select("id", rnd("d2", "d2"))
+    return spatial_join.nearest_seed(_points(spark, d), seeds).select("id", "seed", rnd("d2", "d2"))
 
 
 @register("nearest_centroid", f"""WITH {EMB}, c AS (SELECT label AS entity, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM emb GROUP BY 1), k AS (SELECT a.id AS src, b.entity, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY round({D2}, 9), b.entity) AS k FROM emb a JOIN c b ON {D2} <= 16.0)
@@ -687,9 +692,20 @@ def component_stitch(spark, d):
     return stages.stitch_components(e.drop("entity"), reach, _panel(spark, d), 10.0)
 
 
-@register("hulls")
+# An edge of a hull has all other points on its left, or on the line between its ends; a hull's vertices are its edges' first ends.
+@register(
+    "hulls",
+    f"""WITH {POINTS}, p AS (SELECT DISTINCT cell, x, y FROM pts), k AS (SELECT cell FROM pts GROUP BY 1 HAVING count(*) >= 3),
+    e AS (SELECT a.cell, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN k USING (cell) JOIN p b ON a.cell = b.cell AND (a.x <> b.x OR a.y <> b.y)),
+    c AS (SELECT e.*, min((bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax)) AS least, max(CASE WHEN (bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax) = 0 AND (c.x - ax) * (c.x - bx) + (c.y - ay) * (c.y - by_) > 0 THEN 1 ELSE 0 END) AS beyond,
+        max(abs((bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax))) AS wide FROM e JOIN p c ON c.cell = e.cell GROUP BY 1, 2, 3, 4, 5)
+    SELECT cell AS polygon, count(*) AS n_vertices, {r("sum(ax * by_ - bx * ay) / 2")} AS area, {r("sum(sqrt(pow(ax - bx, 2) + pow(ay - by_, 2)))")} AS length FROM c WHERE least >= 0 AND beyond = 0 AND wide > 0 GROUP BY 1""",
+)
 def hulls(spark, d):
-    return graph.hulls(_points(spark, d), "cell").select("polygon", F.size("ring").alias("n_vertices"))
+    ends = F.transform("ring", lambda v, i: F.struct(v.alias("a"), F.element_at("ring", F.pmod(i + 1, F.size("ring")) + 1).alias("b")))
+    total = lambda f: F.aggregate(ends, F.lit(0.0), lambda s, e: s + f(e.a, e.b))
+    area, length = total(lambda a, b: a.x * b.y - b.x * a.y) / 2, total(lambda a, b: F.sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))
+    return graph.hulls(_points(spark, d), "cell").select("polygon", lng(F.size("ring"), "n_vertices"), rnd(area, "area"), rnd(length, "length"))
 
 
 # --- label stages -----------------------------------------------------------------------------------
@@ -699,8 +715,8 @@ def hulls(spark, d):
     "z_gap_split",
     f"""WITH {POINTS}, l AS (SELECT * FROM pts), j AS (SELECT id, cell, coalesce(z - lag(z) OVER w > 1.5, false) AS jump, z FROM l WINDOW w AS (PARTITION BY cell ORDER BY z, id)),
     p AS (SELECT id, cell, sum(CAST(jump AS INT)) OVER (PARTITION BY cell ORDER BY z, id ROWS UNBOUNDED PRECEDING) AS part FROM j), s AS (SELECT cell, part, count(*) AS n FROM p GROUP BY 1, 2),
-    k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, part) - 1 AS k FROM s)
-    SELECT id, CASE WHEN n < 2 THEN '-1' WHEN k = 0 THEN cell ELSE cell || '-' || k END AS entity, CASE WHEN n < 2 THEN 'unknown' WHEN k = 0 THEN 'cell' ELSE 'partial' END AS etype FROM p JOIN k USING (cell, part)""",
+    k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, part) - 1 AS k, count(*) OVER (PARTITION BY cell) > 1 AS cut FROM s)
+    SELECT id, CASE WHEN cut AND n < 2 THEN '-1' WHEN k = 0 THEN cell ELSE cell || '-' || k END AS entity, CASE WHEN cut AND n < 2 THEN 'unknown' WHEN k = 0 THEN 'cell' ELSE 'partial' END AS etype FROM p JOIN k USING (cell, part)""",
 )
 def z_gap_split(spark, d):
     rows = _points(spark, d).withColumns({"entity": F.col("cell"), "etype": F.lit("cell")})
@@ -797,14 +813,21 @@ def auto_floor(spark, d):
     return stages.auto_floor(stages.bin_counts(_rows(spark, d).where(L.is_unassigned("entity")), 2.0)).select(lng("floor"))
 
 
+@register("shared_and_own", f"""WITH {POINTS}, a AS (SELECT cell, feature FROM pts WHERE nuclear), b AS (SELECT cell, feature FROM pts WHERE NOT nuclear)
+    SELECT *, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'left' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def shared_and_own(spark, d):
+    p = _points(spark, d)
+    return entity.shared_and_own(p.where("nuclear").select("cell", "feature"), p.where("not nuclear").select("cell", "feature"))
+
+
 @register("greedy_prune")
 def greedy_prune(spark, d):
     return stages.prune(_points(spark, d), stages.Panel(_panel(spark, d)), nuclear=False, threshold=NEGATIVE / 2).select("id", "entity", "etype")
 
 
 def _pruned(spark, d):
-    rule = kernels.Admission(mode="mean", mean_threshold=0.0, real_signal=SIGNAL, inclusive=True)
-    return stages.prune(_points(spark, d), stages.Panel(_panel(spark, d)), True, NEGATIVE / 2, -1.0, rule)
+    rule = kernels.Admission(mode="mean", mean_threshold=0.0, inclusive=True)
+    return stages.prune(_points(spark, d), stages.Panel(_panel(spark, d)), True, NEGATIVE / 2, 0.0, rule)
 
 
 @register("nuclear_seed")
@@ -817,9 +840,23 @@ def reassign_partial(spark, d):
     return stages.reassign(_pruned(spark, d), stages.Panel(_panel(spark, d)), 0.01).select("id", "entity", "etype")
 
 
-@register("rerank")
+@register(
+    "rerank",
+    f"""WITH {POINTS}, l AS (SELECT id, cell, nuclear, CASE id % 8 WHEN 1 THEN '-1' WHEN 2 THEN '-2' WHEN 3 THEN '-2-4' WHEN 4 THEN '-2-9' WHEN 5 THEN '-10' WHEN 6 THEN '-1-3' ELSE '' END AS tail FROM pts),
+    n AS (SELECT *, split_part(tail, '-', 2) AS fam, split_part(tail, '-', 3) AS sub FROM l),
+    f AS (SELECT cell, fam, count(*) FILTER (nuclear) AS n, count(DISTINCT sub) FILTER (sub <> '') AS subs FROM n GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER w - 1 AS rank, lead(n) OVER w AS next FROM f WINDOW w AS (PARTITION BY cell ORDER BY n DESC, fam <> '', fam)),
+    t AS (SELECT cell, subs FROM k WHERE rank = 0 AND fam <> '' AND n - next >= 1),
+    u AS (SELECT cell, fam, sub, row_number() OVER (PARTITION BY cell, fam ORDER BY CAST(sub AS INT)) AS turn FROM (SELECT DISTINCT cell, fam, sub FROM n WHERE sub <> ''))
+    SELECT id, CASE WHEN t.cell IS NULL THEN n.cell || tail WHEN rank = 0 THEN n.cell || coalesce('-' || turn, '') ELSE n.cell || '-' || (t.subs + rank) || coalesce('-' || turn, '') END AS entity,
+      CASE WHEN t.cell IS NULL THEN CASE WHEN tail = '' THEN 'cell' ELSE 'partial' END WHEN rank = 0 AND n.sub = '' THEN 'cell' ELSE 'partial' END AS etype
+    FROM n JOIN k ON k.cell = n.cell AND k.fam = n.fam LEFT JOIN t ON t.cell = n.cell LEFT JOIN u ON u.cell = n.cell AND u.fam = n.fam AND u.sub = n.sub""",
+)
 def rerank(spark, d):
-    return stages.rerank(_pruned(spark, d)).select("id", "entity", "etype")
+    turn = F.col("id") % 8
+    tail = F.when(turn == 1, "-1").when(turn == 2, "-2").when(turn == 3, "-2-4").when(turn == 4, "-2-9").when(turn == 5, "-10").when(turn == 6, "-1-3").otherwise("")
+    rows = _points(spark, d).withColumns({"entity": F.concat("cell", tail), "etype": F.when(tail == "", "cell").otherwise("partial")})
+    return stages.rerank(rows).select("id", "entity", "etype")
 
 
 @register("cascade")
@@ -829,7 +866,7 @@ def cascade(spark, d):
 
 @register("pipeline_seg")
 def pipeline_seg(spark, d):
-    return pipeline.segmented(_points(spark, d).drop("label"), _panel(spark, d), _tuned()).rows.select("id", "cell", "entity", "etype")
+    return pipeline.segmented(_blocks(spark, d), _panel(spark, d), _tuned()).rows.select("id", "cell", "entity", "etype")
 
 
 @register("pipeline_noseg")
@@ -843,25 +880,38 @@ def _cloud(spark, d):
 
 
 def _tuned(**rescue):
-    """Thresholds for association as weak as that of the driver tables; passes are the defaults unless given."""
+    """The defaults, with all thresholds on association a tenth of the usual ones, as it is on the driver tables."""
     from entitygraph.plans import config as C
 
+    rules = C.RescueConfig(mean_threshold=0.05, negative=-TAU, real_signal=SIGNAL, **rescue)
     return C.PipelineConfig(
-        prune=C.PruneConfig(threshold=NEGATIVE, floor=-1.0, mean_threshold=-1.0),
-        rescue=C.RescueConfig(bin_um=2.0, mean_threshold=NEGATIVE, real_signal=SIGNAL, **rescue),
-        group=C.GroupConfig(bin_um=2.0, threshold=NEGATIVE),
-        stitch=C.StitchConfig(bin_um=2.0, z_bin_um=2.0, witness_min=2),
-        qc=C.QcConfig(coherence_floor=-1.0, real_signal=SIGNAL),
+        prune=C.PruneConfig(threshold=TAU, floor=0.01, mean_threshold=TAU, negative=-TAU, real_signal=SIGNAL),
+        rescue=rules,
+        final_rescue=rules,
+        group=C.GroupConfig(threshold=TAU),
+        stitch=C.StitchConfig(tau=TAU),
+        qc=C.QcConfig(coherence_tau=TAU, real_signal=SIGNAL),
     )
 
 
+def _blocks(spark, d):
+    """All points, with blocks of space as prior cells: customers, the cells elsewhere, are spread over all of it."""
+    return _points(spark, d).drop("label").withColumn("cell", F.concat_ws("_", F.floor(F.col("x") / 4), F.floor(F.col("y") / 4), F.floor(F.col("z") / 3)))
+
+
 @register("maha_remerge")
 def maha_remerge(spark, d):
     rows = _cloud(spark, d).withColumns({"entity": F.col("cell"), "etype": F.lit("partial")})
     return stages.maha_remerge(rows, _panel(spark, d), 2.0, 2.0, floor=-0.5).select("id", "entity", "etype")
 
 
-@register("knn_split")
+@register(
+    "knn_split",
+    f"""WITH RECURSIVE {EMB}, {OWN_KNN}, cu AS (SELECT label, quantile_cont(len, 0.9) AS cut FROM ok_ GROUP BY 1), ke AS (SELECT src, dst FROM ok_ JOIN cu USING (label) WHERE len <= cut),
+    lu AS (SELECT src AS a, dst AS b FROM ke UNION SELECT dst, src FROM ke), rc AS (SELECT id AS a, id AS c FROM emb UNION SELECT lu.b, rc.c FROM rc JOIN lu ON lu.a = rc.a), cc AS (SELECT a AS id, min(c) AS component FROM rc GROUP BY 1),
+    s AS (SELECT label, component, count(*) AS n FROM emb JOIN cc USING (id) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, component) AS k FROM s)
+    SELECT id, CASE WHEN k = 1 THEN label ELSE label || '-' || k END AS entity FROM emb JOIN cc USING (id) JOIN k USING (label, component)""",
+)
 def knn_split(spark, d):
     rows = _cloud(spark, d).withColumns({"entity": F.col("cell"), "etype": F.lit("cell")})
     return stages.knn_split(rows, 3, 0.1).select("id", "entity")
@@ -916,7 +966,15 @@ def nmi_v_measure(spark, d):
     return t.select(*(rnd(c, c) for c in ("mi", "nmi", "homogeneity", "completeness", "v_measure")))
 
 
-@register("adjusted_information")
+# The expected information of random partitions with the same sizes, by the hypergeometric law of each pair of classes.
+@register(
+    "adjusted_information",
+    f"""WITH {CT}, t AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM ct), ma AS (SELECT a, CAST(sum(n) AS DOUBLE) AS m FROM ct GROUP BY 1), mb AS (SELECT b, CAST(sum(n) AS DOUBLE) AS m FROM ct GROUP BY 1),
+    x AS (SELECT ma.m AS x, mb.m AS y, t, CAST(unnest(range(CAST(greatest(1, ma.m + mb.m - t) AS BIGINT), CAST(least(ma.m, mb.m) AS BIGINT) + 1)) AS DOUBLE) AS k FROM ma, mb, t),
+    e AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS emi FROM x),
+    v AS (SELECT (SELECT sum(n / t * ln(n * t / (ma.m * mb.m))) FROM ct JOIN ma USING (a) JOIN mb USING (b), t) AS mi, (SELECT sum(-m / t * ln(m / t)) FROM ma, t) AS ha, (SELECT sum(-m / t * ln(m / t)) FROM mb, t) AS hb)
+    SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami FROM v, e""",
+)
 def adjusted_information(spark, d):
     v = compare.adjusted_information(compare.contingency(_partitions(spark, d), "o_orderstatus", "o_orderpriority"))
     return spark.createDataFrame([(round(v, 6),)], "ami double")
@@ -1013,13 +1071,26 @@ def chunk_summary(spark, d):
     return tiling.chunk_summary(tiling.chunk_points(p.select("id", "cell", "x", "y"), parted))
 
 
-@register("balanced_partition")
+ZBITS = " + ".join(f"(((sx >> {k}) & 1) << {2 * k}) + (((sy >> {k}) & 1) << {2 * k + 1})" for k in range(10))
+
+
+@register(
+    "balanced_partition",
+    f"""WITH {POINTS}, c AS (SELECT cell AS entity, avg(x) AS x, avg(y) AS y FROM pts GROUP BY 1), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c),
+    s AS (SELECT entity, CAST(least(floor((x - x0) / (x1 - x0) * 1024), 1023) AS BIGINT) AS sx, CAST(least(floor((y - y0) / (y1 - y0) * 1024), 1023) AS BIGINT) AS sy FROM c, b),
+    o AS (SELECT entity, row_number() OVER (ORDER BY {ZBITS}, entity) - 1 AS r, count(*) OVER () AS n FROM s) SELECT entity, CAST(r * 8 // n AS INT) AS part FROM o""",
+)
 def balanced_partition(spark, d):
     return tiling.balanced_partition(tiling.centroids(_points(spark, d)), 8).select("entity", "part")
 
 
-@register("footprint", f"""WITH {EMB}, b AS (SELECT DISTINCT label AS entity, CAST(floor(x / 1.0) AS INT) AS bx, CAST(floor(y / 1.0) AS INT) AS by_ FROM emb), o AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)),
-    h AS (SELECT entity, bx + dx AS bx, by_ + dy AS by_ FROM b, o GROUP BY 1, 2, 3 HAVING count(*) = 4) SELECT entity, bx, by_ AS "by" FROM b UNION SELECT entity, bx, by_ FROM h""")
+# Empty bins that the rim of an entity's box does not reach are enclosed.
+@register("footprint", f"""WITH RECURSIVE {EMB}, b AS (SELECT DISTINCT label AS entity, CAST(floor(x / 1.0) AS INT) AS bx, CAST(floor(y / 1.0) AS INT) AS by_ FROM emb), o AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)),
+    e AS (SELECT entity, min(bx) - 1 AS x0, max(bx) + 1 AS x1, min(by_) - 1 AS y0, max(by_) + 1 AS y1 FROM b GROUP BY 1),
+    a AS (SELECT entity, x0, x1, y0, y1, bx, unnest(range(y0, y1 + 1)) AS by_ FROM (SELECT *, unnest(range(x0, x1 + 1)) AS bx FROM e)),
+    f AS (SELECT a.* FROM a LEFT JOIN b USING (entity, bx, by_) WHERE b.entity IS NULL),
+    t AS (SELECT entity, bx, by_ FROM f WHERE bx IN (x0, x1) OR by_ IN (y0, y1) UNION SELECT f.entity, f.bx, f.by_ FROM t, o, f WHERE f.entity = t.entity AND f.bx = t.bx + dx AND f.by_ = t.by_ + dy)
+    SELECT entity, CAST(bx AS INT) AS bx, CAST(by_ AS INT) AS "by" FROM a LEFT JOIN t USING (entity, bx, by_) WHERE t.entity IS NULL""")
 def footprint(spark, d):
     return tiling.footprint(_emb(spark, d), 1.0)
 

@@ -107,7 +107,7 @@ def brute_stitch(parts, pairs, w, rule):
             continue
         k, g = min(a, b), max(a, b)
         root[g] = k
-        parts[k] = kernels.Part(np.union1d(parts[a].genes, parts[b].genes), parts[a].n + parts[b].n, parts[a].is_cell or parts[b].is_cell, parts[k].points, max(parts[a].depth, parts[b].depth) + 1)
+        parts[k] = kernels.Part(np.union1d(parts[a].genes, parts[b].genes), parts[a].n + parts[b].n, parts[a].is_cell or parts[b].is_cell, parts[k].cloud, max(parts[a].depth, parts[b].depth) + 1)
     out = []
     for k in range(len(parts)):
         while root[k] != k:

@@ -40,7 +40,7 @@ def test_returns_rows(spark, sf_dir, name):
 def test_pipelines_run_all_passes_over_all_points(spark, sf_dir, monkeypatch, name, plan, passes):
     def run(points, panel, cfg):
         assert points.count() == Q._points(spark, sf_dir).count()
-        assert (cfg.rescue.passes, cfg.rescue.post_group_passes, cfg.rescue.final_passes) == passes
+        assert (cfg.rescue.passes, cfg.rescue.post_group_passes, cfg.final_rescue.passes) == passes
         return Q.pipeline.Run(points.withColumns({"entity": points.cell, "etype": points.cell}))
 
     monkeypatch.setattr(Q.pipeline, plan, run)
