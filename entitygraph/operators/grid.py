@@ -6,7 +6,7 @@ of a dense bin is that of its entities, not of its points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
@@ -16,11 +16,15 @@ from entitygraph.functions.scalars import bin_of, offsets_column, xy_half_offset
 LARGEST_BIN = 2**31 - 1
 
 
+def _live(rows: DataFrame, entity: str) -> DataFrame:
+    return rows.where(~L.is_unassigned(entity) & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+
+
 def build_index(rows: DataFrame, size: float, z_size: float | None = None, entity: str = "entity") -> DataFrame:
     """(bx, by, bz, entity, n) of assigned rows with coordinates; bz is 0 without ``z_size``."""
     if size <= 0 or (z_size is not None and z_size <= 0):
         raise ValueError("bin sizes must be positive")
-    live = rows.where(~L.is_unassigned(entity) & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    live = _live(rows, entity)
     bz = bin_of("z", z_size) if z_size is not None else F.lit(0)
     far = F.greatest(F.abs(F.col("x")), F.abs(F.col("y"))) / F.lit(float(size)) >= F.lit(float(LARGEST_BIN))
     live = live.where(F.when(far, F.raise_error(F.lit("coordinates lie beyond the largest bin")).cast("boolean")).otherwise(F.lit(True)))
@@ -50,6 +54,67 @@ def witness_pairs(index: DataFrame, neighborhood: str = "8", z_depth: int = 0, w
     return out.where((F.col("n_lo") >= F.least(F.lit(witness_min), "s_lo")) & (F.col("n_hi") >= F.least(F.lit(witness_min), "s_hi"))).select("lo", "hi", "n_lo", "n_hi", "n_records")
 
 
+def supported(met: DataFrame, least: int | str, index: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`witness_pairs` that at least ``least`` pairs of points speak for.
+
+    ``"min"`` asks for as many as the smaller entity of a pair has points in ``index``.
+    """
+    if least != "min":
+        return met.where(F.col("n_records") >= int(least))
+    if index is None:
+        raise ValueError("'min' needs the index that the pairs come from")
+    size = index.groupBy("entity").agg(F.sum("n").alias("s"))
+    sized = met.join(size.select(F.col("entity").alias("lo"), F.col("s").alias("s_lo")), "lo").join(size.select(F.col("entity").alias("hi"), F.col("s").alias("s_hi")), "hi")
+    return sized.where(F.col("n_records") >= F.least("s_lo", "s_hi")).select(*met.columns)
+
+
+#: Parts of a unit of z that distances in z are counted in, so that bounds are met exactly.
+Z_PARTS = 10**9
+
+
+def _near_in_z(pairs: DataFrame, rows: DataFrame, bound: int, entity: str) -> DataFrame:
+    """(a, b, n_all, n_near, below, above) of pairs (a, b): their pairs of points, those at most ``bound`` parts apart in z,
+    the greatest such distance and the least beyond.
+
+    Both entities' levels of z are put on one line, a's twice, where its reach begins and
+    ends; running sums of b's points then count, so no pair of points is made.
+    """
+    level = _live(rows, entity).where(F.col("z").isNotNull() & ~F.isnan("z")).groupBy(F.col(entity).alias("e"), F.round(F.col("z") * Z_PARTS).cast("long").alias("z")).agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("long")
+    ends = F.explode(F.array(*(F.struct((F.col("z") + k * bound).alias("at"), F.lit(k).alias("kind")) for k in (-1, 1))))
+    a = pairs.select("a", "b").join(level.withColumnRenamed("e", "a"), "a").select("a", "b", ends.alias("end"), "z", "n").select("a", "b", "end.at", "end.kind", F.col("z").alias("za"), none.alias("zb"), "n", none.alias("m"))
+    b = pairs.select("a", "b").join(level.withColumnRenamed("e", "b"), "b").select("a", "b", F.col("z").alias("at"), F.lit(0).alias("kind"), none.alias("za"), F.col("z").alias("zb"), none.alias("n"), F.col("n").alias("m"))
+    up = Window.partitionBy("a", "b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("a", "b").orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    line = a.unionByName(b).withColumns({"seen": F.coalesce(F.sum("m").over(up), F.lit(0)), "last": F.max("zb").over(up)}).withColumn("next", F.min("zb").over(down))
+    inner, outer = (F.when(F.col("kind") == s, F.col("last")).when(F.col("kind") == -s, F.col("next")) for s in (1, -1))
+    reach = F.abs(inner - F.col("za"))
+    return line.groupBy("a", "b").agg(
+        (F.sum(F.when(F.col("kind") == 1, F.col("n"))) * F.sum("m")).alias("n_all"),
+        F.sum(F.col("kind") * F.col("n") * F.col("seen")).alias("n_near"),
+        F.max(F.when(reach <= bound, reach)).alias("below"),
+        F.min(F.abs(outer - F.col("za"))).alias("above"),
+    )
+
+
+def close_in_z(pairs: DataFrame, rows: DataFrame, most_median: float | None = None, close: float | None = None, least_close: int = 0, entity: str = "entity") -> DataFrame:
+    """The pairs (a, b) of entities whose pairs of points lie close enough in z; other columns are dropped.
+
+    ``most_median`` bounds the median of all their distances in z; ``least_close`` pairs of
+    points must be nearer than ``close``.  Pairs of entities without z drop out where a gate is set.
+    """
+    if (most_median is not None and most_median < 0) or (close is not None and close <= 0):
+        raise ValueError("bounds of distances in z must be positive")
+    out = pairs.select("a", "b")
+    if most_median is not None:
+        bound = round(most_median * Z_PARTS)
+        half = (2 * F.col("n_near") == F.col("n_all")) & (F.col("below") + F.col("above") <= 2 * bound)
+        out = _near_in_z(out, rows, bound, entity).where((2 * F.col("n_near") > F.col("n_all")) | half).select("a", "b")
+    if close is not None and least_close > 0:
+        out = _near_in_z(out, rows, round(close * Z_PARTS) - 1, entity).where(F.col("n_near") >= least_close).select("a", "b")
+    return out
+
+
 def neighbor_entities(index: DataFrame, bx: int, by: int, bz: int = 0, neighborhood: str = "8", z_depth: int = 0) -> DataFrame:
     """(entity, bins): the entities in the bins around one bin, and their bins there."""
     near = [(bx + dx, by + dy, bz + dz) for dx, dy in xy_offsets(neighborhood) for dz in range(-z_depth, z_depth + 1)]

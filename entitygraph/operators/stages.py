@@ -535,26 +535,53 @@ def auto_floor(counts: DataFrame, coverage: float = 0.65, hard_min: int = 3, rad
     return at.where(F.col("share") >= coverage).agg(F.greatest(F.coalesce(F.max("m"), F.lit(hard_min)), F.lit(hard_min)).alias("floor"))
 
 
-def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | None = None, floor: int | None = None, radius: int = 1, threshold: float = 0.2, least: int = 3, coverage: float = 0.65, hard_min: int = 2) -> DataFrame:
+#: Rows of an island of bins that one worker groups; larger ones are worked off in bands of density first.
+ISLAND_ROWS = 200_000
+
+
+def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | None = None, floor: int | None = None, radius: int = 1, threshold: float = 0.2, least: int = 3, coverage: float = 0.65, hard_min: int = 2, island_rows: int = ISLAND_ROWS) -> DataFrame:
     """(id, entity, etype): free rows grouped around the densest bins, by falling density.
 
-    Bins that lie within twice the radius are linked; each connected island of bins is
-    worked off on its own, as nothing crosses between islands.  Anchors are numbered over
-    all islands by threshold, density and bin.
+    Bins dense enough to be centres that lie within twice the radius are linked; each
+    connected island of them, with the bins around, is worked off on its own, as nothing
+    crosses between islands.  Where one holds more than ``island_rows`` rows, the upper half of
+    the thresholds comes first: fewer bins reach them, so islands fall apart, and what
+    they take is gone from those of the lower half.  The result is the same.  Anchors are
+    numbered over all islands by threshold, density and bin.
     """
     free = rows.where(L.is_unassigned("entity") & F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "feature", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))
     counts = free.groupBy("bx", "by").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n")).first()[0] or 0
     low = floor if floor is not None else auto_floor(counts, coverage, hard_min, radius).first()[0]
-    high = ceiling if ceiling is not None else top
-    reach = 2 * radius
-    half = [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if dx > 0 or (dx == 0 and dy > 0)]
-    name = lambda x, y: F.concat_ws("_", x, y)
-    b = counts.select("bx", "by")
-    shifted = b.withColumn("o", F.explode(offsets_column(half))).select(name("bx", "by").alias("a"), (F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by"))
-    links = shifted.join(b, ["bx", "by"]).select("a", name("bx", "by").alias("b"))
+    found = _cascade_band(free, panel, ceiling if ceiling is not None else top, low, radius, threshold, least, island_rows, f"{_schema(rows, 'id')}, t int, density int, ax int, ay int")
+    found = found.withColumns({"nt": -F.col("t"), "nd": -F.col("density")}).drop("t", "density")
+    anchors = numbered(found.select("nt", "nd", "ax", "ay").distinct(), ["nt", "nd", "ax", "ay"], "k")
+    return found.join(anchors, ["nt", "nd", "ax", "ay"]).select("id", F.concat(F.lit("cascade_"), "k", F.lit("-1")).alias("entity"), F.lit("partial").alias("etype"))
+
+
+def _islands(counts: DataFrame, low: int, radius: int) -> DataFrame:
+    """(bx, by, island) of the bins (bx, by, n) around those that hold ``low`` rows; centres that share a bin share an island."""
+    square = lambda k: [(dx, dy) for dx in range(-k, k + 1) for dy in range(-k, k + 1)]
+    moved = lambda df, offsets, *keep: df.withColumn("o", F.explode(offsets_column(offsets))).select(*keep, (F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by"))
+    name = F.concat_ws("_", "bx", "by")
+    hot = counts.where(F.col("n") >= low).select("bx", "by", name.alias("bin"))
+    links = moved(hot.withColumnRenamed("bin", "a"), [o for o in square(2 * radius) if o > (0, 0)], "a").join(hot.withColumnRenamed("bin", "b"), ["bx", "by"]).select("a", "b")
     island = components(links).withColumnRenamed("node", "bin")
-    keyed = free.withColumn("bin", name("bx", "by")).join(island, "bin", "left").withColumn("island", F.coalesce("component", "bin"))
+    own = hot.join(island, "bin", "left").withColumn("island", F.coalesce("component", "bin"))
+    return moved(own, square(radius), "island").distinct()
+
+
+def _cascade_band(free: DataFrame, panel: Panel, high: int, low: int, radius: int, threshold: float, least: int, island_rows: int, schema: str) -> DataFrame:
+    """The rows (id, feature, bx, by) taken at thresholds ``high`` to ``low``, with threshold, density and bin of their anchors."""
+    counts = settle(free.groupBy("bx", "by").agg(F.count("*").alias("n")), "bins", compact=True)
+    island = settle(_islands(counts, low, radius), "islands", compact=True)
+    if high > low:
+        largest = counts.join(island, ["bx", "by"]).groupBy("island").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest > island_rows:
+            middle = min(high, max(low + 1, int((high * low) ** 0.5)))
+            upper = _cascade_band(free, panel, high, middle, radius, threshold, least, island_rows, schema)
+            rest = settle(free.join(upper.select("id"), "id", "left_anti"), "rest")
+            return upper.unionByName(_cascade_band(rest, panel, middle - 1, low, radius, threshold, least, island_rows, schema))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id").reset_index(drop=True)
@@ -563,10 +590,7 @@ def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | N
         out = [(f["id"][r], t, n, x, y) for t, n, x, y, taken in found for r in taken.tolist()]
         return pd.DataFrame(out, columns=["id", "t", "density", "ax", "ay"])
 
-    rows_ = keyed.select("island", "id", "feature", "bx", "by").groupBy("island").applyInPandas(run, f"{_schema(rows, 'id')}, t int, density int, ax int, ay int")
-    rows_ = settle(rows_.withColumns({"nt": -F.col("t"), "nd": -F.col("density")}).drop("t", "density"), "anchored")
-    anchors = numbered(rows_.select("nt", "nd", "ax", "ay").distinct(), ["nt", "nd", "ax", "ay"], "k")
-    return rows_.join(anchors, ["nt", "nd", "ax", "ay"]).select("id", F.concat(F.lit("cascade_"), "k", F.lit("-1")).alias("entity"), F.lit("partial").alias("etype"))
+    return settle(free.join(island, ["bx", "by"]).select("island", "id", "feature", "bx", "by").groupBy("island").applyInPandas(run, schema), "anchored")
 
 
 # --- stitching ------------------------------------------------------------------------------------

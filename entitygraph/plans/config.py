@@ -141,8 +141,18 @@ class StitchConfig:
     rescue_floor: float = -0.2
     rescue_distance: float | None = 1.0
     housekeeping_tau: float | None = None
+    #: Pairs of points that must speak for a candidate ("min": as many as its smaller entity has).
+    least_records: int | str = 0
+    #: Greatest median distance in z of a candidate's pairs of points.
+    most_median_dz: float | None = None
+    #: How many of these pairs must be nearer in z than ``close_dz``.
+    close_dz: float | None = None
+    close_n: int = 0
 
     def __post_init__(self) -> None:
+        _require(self.least_records == "min" or (not isinstance(self.least_records, str) and self.least_records >= 0), "least_records is a number or 'min'")
+        _require(self.most_median_dz is None or self.most_median_dz >= 0, "distances in z are not negative")
+        _require(self.close_n >= 0 and (self.close_dz is None or self.close_dz > 0), "close_dz is positive, close_n not negative")
         _require(self.depth >= 1 and self.rescue_floor <= 0, "the depth is at least 1, the rescue floor not positive")
         _require(self.rescue_distance is None or self.rescue_distance > 0, "the rescue distance is positive")
 

@@ -61,7 +61,10 @@ def _rescue(run: Run, name: str, passes: int, r: RescueConfig, panel: DataFrame,
 def _stitch(rows: DataFrame, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig, absent: str, z_bin: float) -> DataFrame:
     s = cfg.stitch
     index = grid.build_index(rows, s.bin_um, s.z_bin_um or z_bin)
-    pairs = settle(grid.witness_pairs(index, s.neighborhood, s.z_depth, s.witness_min, cap_at_size=True).select(F.col("lo").alias("a"), F.col("hi").alias("b")), "pairs")
+    met = grid.witness_pairs(index, s.neighborhood, s.z_depth, s.witness_min, cap_at_size=True)
+    if s.least_records:
+        met = grid.supported(met, s.least_records, index)
+    pairs = settle(grid.close_in_z(met.select(F.col("lo").alias("a"), F.col("hi").alias("b")), rows, s.most_median_dz, s.close_dz, s.close_n), "pairs")
     rule = kernels.StitchRule(s.least_gain, s.bypass, s.bypass_size, s.depth, s.tau, absent == "zero", s.rescue_floor, s.rescue_distance, s.penalized)
     keep = assoc.housekeeping(table, s.housekeeping_tau) if s.housekeeping_tau is not None else None
     return stages.apply_stitch(rows, settle(stages.stitch(rows, panel, pairs, rule, keep), "names"))

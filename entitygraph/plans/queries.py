@@ -532,6 +532,20 @@ def grid_witness_pairs(spark, d):
     return grid.witness_pairs(grid.build_index(_emb(spark, d), 2.0, 2.0), "8", 1, 3)
 
 
+@register(
+    "stitch_candidates",
+    f"""WITH {EMB}, {BINS}, c AS (SELECT a.entity AS a, b.entity AS b, sum(a.n * b.n) AS k FROM ix a JOIN ix b
+      ON a.entity < b.entity AND abs(a.bx - b.bx) <= 1 AND abs(a.by_ - b.by_) <= 1 AND abs(a.bz - b.bz) <= 1 GROUP BY 1, 2),
+    s AS (SELECT a, b FROM c WHERE k >= 480),
+    d AS (SELECT s.a, s.b, abs(CAST(round(p.z * 1e9) AS BIGINT) - CAST(round(q.z * 1e9) AS BIGINT)) AS dz FROM s JOIN emb p ON p.label = s.a JOIN emb q ON q.label = s.b)
+    SELECT a, b FROM d GROUP BY 1, 2 HAVING median(dz) <= 2.45e9 AND count(CASE WHEN dz < 5e8 THEN 1 END) >= 260""",
+)
+def stitch_candidates(spark, d):
+    rows = _emb(spark, d)
+    met = grid.supported(grid.witness_pairs(grid.build_index(rows, 2.0, 2.0), "8", 1, 1), 480)
+    return grid.close_in_z(met.select(F.col("lo").alias("a"), F.col("hi").alias("b")), rows, 2.45, 0.5, 260)
+
+
 @register("neighbor_entities", f"WITH {EMB}, {BINS} SELECT entity, array_to_string(list_sort(list(bx || ',' || by_ || ',' || bz)), ' ') AS bins FROM ix WHERE abs(bx) <= 1 AND abs(by_) <= 1 AND bz = 0 GROUP BY 1")
 def neighbor_entities(spark, d):
     n = grid.neighbor_entities(grid.build_index(_emb(spark, d), 2.0, 2.0), 0, 0, 0)

@@ -265,15 +265,15 @@ def test_absent_policies(spark):
     assert value(absent="zero", real_signal=0.1) == {"e": (0.5, 0.5), "s": (0.0, 0.0)}
 
 
-def test_cascade_does_not_depend_on_islands(spark):
+@pytest.mark.parametrize(("n", "island_rows"), [(120, stages.ISLAND_ROWS), (400, 40), (400, 1)])
+def test_cascade_does_not_depend_on_islands(spark, n, island_rows):
     rng = np.random.default_rng(2)
-    n = 120
     bx, by, genes = rng.integers(0, 14, n), rng.integers(0, 14, n), rng.integers(0, 6, n)
     w = matrix(6, 1, 0.0)
-    whole = kernels.cascade(bx, by, genes, w, 5, 1, threshold=-0.5)
+    whole = kernels.cascade(bx, by, genes, w, 9, 1, threshold=-0.5)
     data = [(k, "-1", f"g{genes[k]}", float(bx[k]) + 0.5, float(by[k]) + 0.5, 0.0, False, "-1", "unknown") for k in range(n)]
     panel = spark.createDataFrame([(f"g{i}", f"g{j}", float(w[i, j])) for i in range(6) for j in range(i + 1, 6)], "gi string, gj string, w double")
-    got = {r.id: r.entity for r in stages.density_cascade(rows_of(spark, data), stages.Panel(panel), 1.0, 5, 1, threshold=-0.5).collect()}
+    got = {r.id: r.entity for r in stages.density_cascade(rows_of(spark, data), stages.Panel(panel), 1.0, 9, 1, threshold=-0.5, island_rows=island_rows).collect()}
     want = {}
     for k, (_, _, _, _, rows) in enumerate(sorted(whole, key=lambda a: (-a[0], -a[1], a[2], a[3]))):
         want |= {int(r): f"cascade_{k}-1" for r in rows}

@@ -79,6 +79,40 @@ def test_witness_pairs(spark, cloud, hood, depth):
     assert got == {k: (sum(a.values()), sum(c.values()), n) for k, (a, c, n) in want.items()}
 
 
+def test_supported_pairs(spark, cloud):
+    index = grid.build_index(cloud[1], 2.0, 2.0)
+    met = grid.witness_pairs(index, "8", 1)
+    size = {r.entity: r.n for r in index.groupBy("entity").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    all_ = {(r.lo, r.hi): r.n_records for r in met.collect()}
+    for least, want in ((150, {p for p, n in all_.items() if n >= 150}), ("min", {p for p, n in all_.items() if n >= min(size[p[0]], size[p[1]])})):
+        assert {(r.lo, r.hi) for r in grid.supported(met, least, index).collect()} == want
+    with pytest.raises(ValueError):
+        grid.supported(met, "min")
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_close_in_z_equals_all_pairs_of_points(spark, seed):
+    rng = np.random.default_rng(seed)
+    # Levels a half apart make distances that meet the bounds, and even numbers of pairs with two middles.
+    z = {f"e{k}": rng.integers(0, 9, rng.integers(1, 7)) / 2 + k / 2 for k in range(9)}
+    rows = [(e, 0.0, 0.0, float(v)) for e, vs in z.items() for v in vs] + [("e0", 0.0, 0.0, None), ("e9", 0.0, 0.0, None), ("-1", 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "entity string, x double, y double, z double")
+    names = sorted(z)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    asked = spark.createDataFrame([*pairs, ("e0", "e9"), ("e0", "none")], "a string, b string")
+    dz = {(a, b): np.abs(z[a][:, None] - z[b][None, :]).ravel() for a, b in pairs}
+    got = lambda **gate: sorted((r.a, r.b) for r in grid.close_in_z(asked, df, **gate).collect())
+    for bound in (0.0, 0.5, 1.25, 1.5):
+        assert got(most_median=bound) == [p for p in pairs if np.median(dz[p]) <= bound]
+    for near, n in ((0.5, 2), (1.0, 3)):
+        assert got(close=near, least_close=n) == [p for p in pairs if (dz[p] < near).sum() >= n]
+    assert got(most_median=1.5, close=1.0, least_close=3) == [p for p in pairs if np.median(dz[p]) <= 1.5 and (dz[p] < 1.0).sum() >= 3]
+    assert len(got()) == len(pairs) + 2
+    for bad in ({"most_median": -1.0}, {"close": 0.0, "least_close": 1}):
+        with pytest.raises(ValueError):
+            grid.close_in_z(asked, df, **bad)
+
+
 def test_grid_edges(cloud):
     xyz, df = cloud
     b = np.floor(xyz / 2.0).astype(int)
