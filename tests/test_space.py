@@ -47,6 +47,20 @@ def test_knn_per_label(cloud):
         assert {j for s, j in got if s == i} == {j for _, j in sorted(d)[:2]}
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_knn_per_label_by_growing_cubes_equals_one_worker(spark, k):
+    rng = np.random.default_rng(k)
+    # A dense clump, a plane, points of one place, a label of one place alone, far outliers and a pair.
+    xyz = [("a", *p) for p in rng.normal(0, 0.01, (60, 3))] + [("a", *p) for p in rng.uniform(-20, 20, (60, 3))]
+    xyz += [("flat", *p, 1.0) for p in np.round(rng.uniform(0, 5, (50, 2)), 1)] + [("a", 1.0, 1.0, 1.0)] * 15 + [("same", 2.0, 2.0, 2.0)] * 12
+    xyz += [("a", 900.0, 0.0, 0.0), ("two", 0.0, 0.0, 0.0), ("two", 7.0, 0.0, 0.0), ("a", None, 0.0, 0.0), (None, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame([(e, i, *(None if v is None else float(v) for v in p)) for i, (e, *p) in enumerate(xyz)], "label string, id long, x double, y double, z double")
+    found = lambda rows: sorted((r.label, r.src, r.dst, round(r.length, 9)) for r in spatial_join.knn_per_label(df, k, label_rows=rows).collect())
+    want = found(1000)
+    assert len({w[1] for w in want}) == len(xyz) - 2
+    assert found(1) == want and found(40) == want
+
+
 def test_nearest_seed_and_polygons(spark, cloud):
     xyz, df = cloud
     seeds = spark.createDataFrame([(k, float(p[0]), float(p[1])) for k, p in enumerate(xyz[:20])], "id long, x double, y double")
