@@ -90,7 +90,8 @@ def knn_per_label(points: DataFrame, k: int, label: str = "label", block: int =
     """(label, src, dst, length): k nearest others of the same label, without a radius; ties by rounded distance, then id.
 
     Labels of up to ``label_rows`` rows go to a worker each; the rest are joined by cubes.
-    Points without label or with a null coordinate meet nothing.
+    Points without label or with a coordinate that is null or not finite meet nothing.  Ids are unique in a label;
+    where one repeats, large labels do not pair its rows with each other.
     """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -107,13 +108,14 @@ def knn_per_label(points: DataFrame, k: int, label: str = "label", block: int =
     kinds = dict(points.dtypes)
     live = points.select(label, "id", *(F.col(c).cast("double").alias(c) for c in AXES)).where(F.col(label).isNotNull())
     for c in AXES:
-        live = live.where(F.col(c).isNotNull() & ~F.isnan(c))
+        live = live.where(F.abs(c) < float("inf"))
     extent = live.groupBy(label).agg(F.count("*").alias("_n"), *((F.max(c) - F.min(c)).alias(f"_{c}") for c in AXES))
     # The side of a cube that holds some k of the points, were they spread evenly over the axes that they vary in.
     wide = [F.when(F.col(f"_{c}") > 0, F.col(f"_{c}")) for c in AXES]
     volume, ways = math.prod(F.coalesce(w, F.lit(1.0)) for w in wide), sum(w.isNotNull().cast("int") for w in wide)
     side = F.when(ways == 0, 1.0).otherwise(F.pow(volume * 2 * k / F.col("_n"), 1 / ways))
-    large = settle(extent.where(F.col("_n") > max(1, label_rows)).select(label, side.alias("_side"), F.least(F.lit(k), F.col("_n") - 1).alias("_most")), "large-labels", compact=True)
+    reach = F.sqrt(sum((F.pow(F.col(f"_{c}"), F.lit(2)) for c in AXES), F.lit(0.0)))
+    large = settle(extent.where(F.col("_n") > max(1, label_rows)).select(label, side.alias("_side"), reach.alias("_reach"), F.least(F.lit(k), F.col("_n") - 1).alias("_most")), "large-labels", compact=True)
     n_large = large.count()
     small = live.join(broadcast_if_small(large.select(label), n_large), label, "left_anti") if n_large else live
     out = small.groupBy(label).applyInPandas(run, f"{label} {kinds[label]}, src {kinds['id']}, dst {kinds['id']}, length double")
@@ -125,26 +127,26 @@ def _knn_growing(points: DataFrame, k: int, label: str) -> DataFrame:
 
     Rows whose neighbours are not all nearer than a cube's side are asked again with twice the
     side, from an eighth on, so that dense places are settled while cubes are small.  Of points in
-    one place, k + 1 can be neighbours.
+    one place, k + 1 can be neighbours.  Cubes wider than a label's extent have shown all there is.
     """
     rank = lambda *keys: Window.partitionBy(label, *keys)
-    others = points.withColumn("_r", F.row_number().over(rank(*AXES).orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r", "_most")
+    others = points.withColumn("_r", F.row_number().over(rank(*AXES).orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r", "_most", "_reach")
     todo, others = settle(points, "asked"), settle(others, "others")
     offsets = offsets_column([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
     bins, share, done = ["_b0", "_b1", "_b2"], 0.125, None
     while True:
         size = F.col("_side") * share
         at = [F.floor(F.col(c) / size) for c in AXES]
-        a = todo.withColumn("_o", F.explode(offsets)).select(label, F.col("id").alias("src"), "_most", size.alias("_size"), *(F.col(c).alias(f"{c}_a") for c in AXES), *((v + F.col(f"_o.d{i}")).alias(bins[i]) for i, v in enumerate(at)))
+        a = todo.withColumn("_o", F.explode(offsets)).select(label, F.col("id").alias("src"), "_most", "_reach", size.alias("_size"), *(F.col(c).alias(f"{c}_a") for c in AXES), *((v + F.col(f"_o.d{i}")).alias(bins[i]) for i, v in enumerate(at)))
         b = others.select(label, F.col("id").alias("dst"), *(F.col(c).alias(f"{c}_b") for c in AXES), *(v.alias(bins[i]) for i, v in enumerate(at)))
         length = F.sqrt(sum((F.pow(F.col(f"{c}_a") - F.col(f"{c}_b"), F.lit(2)) for c in AXES), F.lit(0.0)))
         near = a.join(b, [label, *bins]).where("src <> dst").withColumn("length", length).where(F.round("length", 6) < F.round("_size", 6))
         near = near.withColumn("_r", F.row_number().over(rank("src").orderBy(F.round("length", 6), "dst"))).where(F.col("_r") <= F.col("_most"))
-        near = settle(near.select(label, "src", "dst", "length", "_r", "_most"), "near")
+        near = settle(near.select(label, "src", "dst", "length", "_r", "_most", "_size", "_reach"), "near")
         full = near.where("_r = _most").select(label, "src")
-        found = near.join(full, [label, "src"], "left_semi").select(label, "src", "dst", "length")
+        found = near.join(full.unionByName(near.where("round(_size, 6) > round(_reach, 6)").select(label, "src")), [label, "src"], "left_semi").select(label, "src", "dst", "length")
         done = found if done is None else done.unionByName(found)
-        todo = settle(todo.join(full.withColumnRenamed("src", "id"), [label, "id"], "left_anti"), "asked")
+        todo = settle(todo.where(F.round(size, 6) <= F.round("_reach", 6)).join(full.withColumnRenamed("src", "id"), [label, "id"], "left_anti"), "asked")
         if todo.isEmpty():
             return done
         share *= 2

@@ -61,6 +61,13 @@ def test_knn_per_label_by_growing_cubes_equals_one_worker(spark, k):
     assert found(1) == want and found(40) == want
 
 
+def test_knn_per_label_ends_on_infinite_places_and_repeated_ids(spark):
+    rows = [("a", 1, 0.0), ("a", 2, 1.0), ("a", 3, float("inf")), ("a", 4, float("nan")), ("b", 5, 0.0), ("b", 5, 0.0), ("b", 6, 3.0)]
+    df = spark.createDataFrame([(e, i, x, 0.0, 0.0) for e, i, x in rows], "label string, id long, x double, y double, z double")
+    got = {(r.label, r.src, r.dst, r.length) for r in spatial_join.knn_per_label(df, 2, label_rows=1).collect()}
+    assert got == {("a", 1, 2, 1.0), ("a", 2, 1, 1.0), ("b", 5, 6, 3.0), ("b", 6, 5, 3.0)}
+
+
 def test_nearest_seed_and_polygons(spark, cloud):
     xyz, df = cloud
     seeds = spark.createDataFrame([(k, float(p[0]), float(p[1])) for k, p in enumerate(xyz[:20])], "id long, x double, y double")
