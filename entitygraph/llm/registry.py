@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitygraph.llm import bpe, embedding_links, jaccard_join, language_id, license_scan, line_dedup, pii, quality_classifier, quality_rules, source_mix, token_counts
+from entitygraph.llm import bpe, conversation_trie, embedding_links, jaccard_join, language_id, license_scan, line_dedup, pii, quality_classifier, quality_rules, source_mix, token_counts
 from entitygraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
@@ -83,7 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_license_scan": op12_license_scan,
 }
 
-SQL: dict[str, str] = {"op1_embedding_links": embedding_links.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_quality_rules": quality_rules.SQL, "op7_source_mix": source_mix.SQL, "op9_line_dedup": line_dedup.SQL, "op12_license_scan": license_scan.SQL}
+SQL: dict[str, str] = {"op1_embedding_links": embedding_links.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_quality_rules": quality_rules.SQL, "op7_source_mix": source_mix.SQL, "op9_line_dedup": line_dedup.SQL, "op11_conversation_trie": conversation_trie.SQL, "op12_license_scan": license_scan.SQL}
