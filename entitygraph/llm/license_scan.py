@@ -20,6 +20,8 @@ from entitygraph.llm.common import broadcast_if_small, fresh, settle
 
 #: Words of texts and templates: runs of ASCII digits, small letters and anything beyond ASCII.
 LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words where A-Z have not been made small.
+CASED_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words whose hash is joined; no template is shorter.
 GRAM = 3
 #: Share of a notice's words that may be inserted, deleted or replaced.
@@ -171,7 +173,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Se
     found = settle(verified(keyed, spans, named, "_text"), "licenses", compact=True, heavy=True)
     licenses, kh, th = fresh(docs, "licenses"), fresh(docs, "_kh"), fresh(docs, "_th")
     of = found.groupBy(F.col("_kh").alias(kh), F.col("_th").alias(th)).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "label", "base", "score"))).alias(licenses))
-    rows = docs.select(key, F.xxhash64(key).alias(kh), F.xxhash64(text).alias(th), F.size(words_of(text)).cast("long").alias("n_words"))
+    rows = docs.select(key, F.xxhash64(key).alias(kh), F.xxhash64(text).alias(th), F.coalesce(F.regexp_count(text, F.lit(CASED_WORDS)), F.lit(0)).cast("long").alias("n_words"))
     rows = rows.join(broadcast_if_small(of, limit=BROADCAST_ROWS), [kh, th], "left")
     return rows.select(key, "n_words", F.coalesce(F.col(licenses), F.array().cast(of.schema[licenses].dataType)).alias("licenses"))
 
