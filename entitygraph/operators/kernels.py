@@ -6,7 +6,7 @@ pairs are NaN.  Every tie is broken by the smaller number or identifier.
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -259,6 +259,94 @@ def mahalanobis(a: Cloud | np.ndarray, b: Cloud | np.ndarray) -> float:
     return float(np.sqrt(d @ np.linalg.solve(pooled, d)))
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Pairs of features: how many lie above tau, how many below -tau, and how many count at all.
+
+    Counts of disjoint sets of pairs add up, so the coherence of a merger is a sum over its segments.
+    """
+
+    above: int = 0
+    below: int = 0
+    total: int = 0
+
+    @classmethod
+    def of(cls, values: np.ndarray, tau: float, absent_counts: bool) -> Counts:
+        with np.errstate(invalid="ignore"):
+            return cls(int((values > tau).sum()), int((values < -tau).sum()), values.size if absent_counts else int((~np.isnan(values)).sum()))
+
+    def __add__(self, other: Counts) -> Counts:
+        return Counts(self.above + other.above, self.below + other.below, self.total + other.total)
+
+    def __sub__(self, other: Counts) -> Counts:
+        return Counts(self.above - other.above, self.below - other.below, self.total - other.total)
+
+    @property
+    def coherence(self) -> float:
+        return (self.above - self.below) / self.total if self.total else 0.0
+
+
+#: Weights among features: a matrix over their numbers, or a function that cuts the rows and columns of two sets out of one.
+Weights = np.ndarray | Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def cut(w: Weights, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return w(a, b) if callable(w) else w[np.ix_(a, b)]
+
+
+def within(genes: np.ndarray, w: Weights, tau: float = 0.0, absent_counts: bool = True) -> Counts:
+    """Counts of the pairs of a set."""
+    if len(genes) < 2:
+        return Counts()
+    return Counts.of(cut(w, genes, genes)[np.triu_indices(len(genes), 1)], tau, absent_counts)
+
+
+def across(a: np.ndarray, b: np.ndarray, w: Weights, tau: float = 0.0, absent_counts: bool = True) -> Counts:
+    """Counts of the pairs of one feature each of two disjoint sets."""
+    return Counts.of(cut(w, a, b), tau, absent_counts) if len(a) and len(b) else Counts()
+
+
+def union_counts(a: np.ndarray, in_a: Counts, b: np.ndarray, in_b: Counts, w: Weights, tau: float = 0.0, absent_counts: bool = True) -> Counts:
+    """Counts of the union of two sets from theirs: the pairs of what both hold count once, those between what only one holds are added."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    only_a, only_b = np.setdiff1d(a, both, assume_unique=True), np.setdiff1d(b, both, assume_unique=True)
+    return in_a + in_b - within(both, w, tau, absent_counts) + across(only_a, only_b, w, tau, absent_counts)
+
+
+@dataclass(frozen=True)
+class Rim:
+    """The smallest and the largest coordinates of a cloud of ``n`` points, ascending, per axis.
+
+    With ``most`` values kept at either end, rims merge exactly: the ends of a union are among the
+    ends of its parts.  None keeps all.
+    """
+
+    n: int
+    low: tuple[np.ndarray, ...]
+    high: tuple[np.ndarray, ...]
+    most: int | None = None
+
+    @classmethod
+    def of(cls, points: np.ndarray, most: int | None = None) -> Rim:
+        axes = [np.sort(c) for c in points.T]
+        return cls(len(points), tuple(c[:most] for c in axes), tuple(c if most is None else c[max(0, len(c) - most) :] for c in axes), most)
+
+    def merged(self, other: Rim) -> Rim:
+        low = tuple(np.sort(np.concatenate(p))[: self.most] for p in zip(self.low, other.low, strict=True))
+        high = tuple(np.sort(np.concatenate(p)) for p in zip(self.high, other.high, strict=True))
+        return Rim(self.n + other.n, low, high if self.most is None else tuple(c[max(0, len(c) - self.most) :] for c in high), self.most)
+
+    def surrounds(self, centre: np.ndarray, k: int) -> bool:
+        """Whether k points lie beyond a centre on every side; for k = 1 the box with its sides decides."""
+        if not self.n:
+            return False
+        if k <= 1:
+            return all(low[0] <= c <= high[-1] for c, low, high in zip(centre, self.low, self.high, strict=True))
+        if self.n < 2 * k or any(len(v) < k for v in (*self.low, *self.high)):
+            return False
+        return all(low[k - 1] < c < high[-k] for c, low, high in zip(centre, self.low, self.high, strict=True))
+
+
 @dataclass(frozen=True)
 class StitchRule:
     least_gain: float = 0.03
@@ -269,12 +357,23 @@ class StitchRule:
     absent_counts: bool = True
     rescue_floor: float = -0.2
     rescue_distance: float | None = 1.0
-    #: Whether the gain pays for small entities (less 1/n each).
+    #: Whether the gain pays for small sets of features (less one over their number each).
     penalized: bool = True
     #: Greatest distance of two centres that may merge; None: any.
     reach: float | None = None
     #: Greatest number of members of a merger; None: any.
     most_members: int | None = None
+    #: A pair whose smaller entity's centre lies inside the larger one's points merges "first", whatever the gain, or "last", where the gain fails; None: no such gate.
+    centre_gate: str | None = None
+    #: Points that must lie beyond the centre on every side, a third of the larger entity's at least.
+    centre_k: int = 1
+    #: Ask whether the larger entity's centre lies inside the smaller one's points, of which a third at most must lie beyond.
+    flipped: bool = False
+
+    @property
+    def rim(self) -> int | None:
+        """How many coordinates at either end the gate on centres needs; a third of a merger can be any of its points."""
+        return max(1, self.centre_k) if self.flipped else None
 
 
 @dataclass
@@ -287,71 +386,136 @@ class Part:
     cloud: Cloud | np.ndarray
     depth: int = 0
     members: int = 1
+    counts: Counts | None = None
+    rim: Rim | None = None
 
     def __post_init__(self) -> None:
         if not isinstance(self.cloud, Cloud):
+            if self.rim is None:
+                self.rim = Rim.of(self.cloud)
             self.cloud = Cloud.of(self.cloud)
 
 
-def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: np.ndarray, rule: StitchRule) -> np.ndarray:
-    """The root of every part after greedy merging by falling gain.
+#: The gain of a pair that the gate on centres lets merge first.
+FIRST = 1e9
 
-    Never two cells; no deeper than ``depth``; stale entries are valued again on the
-    current mergers when popped and not queued again.
-    """
-    parent = list(range(len(parts)))
-    now = list(parts)
-    values: dict[int, float] = {}
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
+
+class Mergers:
+    """Parts and what has become of them: values, permissions and merging by a rule."""
+
+    def __init__(self, parts: list[Part], w: Weights, rule: StitchRule) -> None:
+        self.now, self.w, self.rule = list(parts), w, rule
+        self.parent = list(range(len(parts)))
+
+    def find(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
         return k
 
-    def own(k: int) -> float:
-        if k not in values:
-            values[k] = coherence(now[k].genes, w, rule.tau, rule.absent_counts)
-        return values[k]
+    def counts(self, k: int) -> Counts:
+        p = self.now[k]
+        if p.counts is None:
+            p.counts = within(p.genes, self.w, self.rule.tau, self.rule.absent_counts)
+        return p.counts
 
-    def gain(a: int, b: int) -> tuple[float, float]:
-        union = coherence(np.union1d(now[a].genes, now[b].genes), w, rule.tau, rule.absent_counts)
-        na, nb = max(1, now[a].n), max(1, now[b].n)
-        cost = 1.0 if rule.penalized else 0.0
-        return union - cost / (na + nb) - max(own(a) - cost / na, own(b) - cost / nb), union
+    def union(self, a: int, b: int) -> Counts:
+        return union_counts(self.now[a].genes, self.counts(a), self.now[b].genes, self.counts(b), self.w, self.rule.tau, self.rule.absent_counts)
 
-    def allowed(a: int, b: int) -> bool:
-        if (now[a].is_cell and now[b].is_cell) or max(now[a].depth, now[b].depth) >= rule.depth:
+    def inside(self, a: int, b: int) -> bool:
+        """The gate on centres, for two mergers as they are now."""
+        small, large = (self.now[a], self.now[b]) if self.now[a].n <= self.now[b].n else (self.now[b], self.now[a])
+        if small.rim is None or large.rim is None:
             return False
-        if rule.most_members is not None and now[a].members + now[b].members > rule.most_members:
+        if self.rule.flipped:
+            return small.rim.surrounds(large.cloud.mean, min(self.rule.centre_k, max(1, -(-small.n // 3))))
+        return large.rim.surrounds(small.cloud.mean, max(self.rule.centre_k, -(-large.n // 3)))
+
+    def gain(self, a: int, b: int) -> tuple[float, float]:
+        """What merging gains in coherence, and the coherence of the union."""
+        if self.rule.centre_gate == "first" and self.inside(a, b):
+            return FIRST, 1.0
+        union = self.union(a, b).coherence
+        # The penalty counts features, those of both twice.
+        na, nb = max(1, len(self.now[a].genes)), max(1, len(self.now[b].genes))
+        cost = 1.0 if self.rule.penalized else 0.0
+        return union - cost / (na + nb) - max(self.counts(a).coherence - cost / na, self.counts(b).coherence - cost / nb), union
+
+    def passes(self, dc: float, union: float, a: int, b: int) -> bool:
+        return dc >= self.rule.least_gain or (union >= self.rule.bypass and self.now[a].n + self.now[b].n <= self.rule.bypass_size)
+
+    def rescued(self, dc: float) -> bool:
+        return self.rule.rescue_distance is not None and self.rule.rescue_floor < dc < 0
+
+    def first_gain(self, a: int, b: int) -> float | None:
+        """The gain by which a pair of parts is ranked, None where it never merges."""
+        dc, union = self.gain(a, b)
+        wanted = self.passes(dc, union, a, b) or self.rescued(dc) or (self.rule.centre_gate == "last" and self.inside(a, b))
+        return dc if wanted else None
+
+    def barred(self, a: int, b: int) -> bool:
+        """Whether two mergers can't merge, now or later."""
+        p, q = self.now[a], self.now[b]
+        if (p.is_cell and q.is_cell) or max(p.depth, q.depth) >= self.rule.depth:
+            return True
+        return self.rule.most_members is not None and p.members + q.members > self.rule.most_members
+
+    def accepts(self, a: int, b: int) -> bool:
+        p, q = self.now[a], self.now[b]
+        if self.rule.reach is not None and float(np.linalg.norm(p.cloud.mean - q.cloud.mean)) > self.rule.reach:
             return False
-        return rule.reach is None or float(np.linalg.norm(now[a].cloud.mean - now[b].cloud.mean)) <= rule.reach
+        dc, union = self.gain(a, b)
+        if self.passes(dc, union, a, b):
+            return True
+        if self.rule.centre_gate == "last" and self.inside(a, b):
+            return True
+        return self.rescued(dc) and mahalanobis(p.cloud, q.cloud) <= self.rule.rescue_distance
 
-    def passes(dc: float, union: float, a: int, b: int) -> bool:
-        return dc >= rule.least_gain or (union >= rule.bypass and now[a].n + now[b].n <= rule.bypass_size)
+    def merge(self, a: int, b: int) -> int:
+        keep, gone = min(a, b), max(a, b)
+        p, q = self.now[keep], self.now[gone]
+        rim = p.rim.merged(q.rim) if p.rim is not None and q.rim is not None else None
+        merged = Part(np.union1d(p.genes, q.genes), p.n + q.n, p.is_cell or q.is_cell, p.cloud.merged(q.cloud), max(p.depth, q.depth) + 1, p.members + q.members, self.union(a, b), rim)
+        self.parent[gone], self.now[keep] = keep, merged
+        return keep
 
-    def rescued(dc: float) -> bool:
-        return rule.rescue_distance is not None and rule.rescue_floor < dc < 0
 
-    queue = []
-    for a, b in sorted({(min(p), max(p)) for p in candidates if p[0] != p[1]}):
-        dc, union = gain(a, b)
-        if passes(dc, union, a, b) or rescued(dc):
-            queue.append((-dc, a, b))
-    heapq.heapify(queue)
-    while queue:
-        _, a, b = heapq.heappop(queue)
-        a, b = find(a), find(b)
-        if a == b or not allowed(a, b):
-            continue
-        dc, union = gain(a, b)
-        if not passes(dc, union, a, b) and not (rescued(dc) and mahalanobis(now[a].cloud, now[b].cloud) <= rule.rescue_distance):
+def stitch_some(parts: list[Part], edges: list[tuple[tuple, int, int]], limits: list[tuple | None], w: Weights, rule: StitchRule) -> tuple[Mergers, list[tuple[tuple, int, int]]]:
+    """Greedy merging along ranked edges (rank, a, b), as far as it can't be overtaken by what is not here.
+
+    An edge is tried on the mergers that its ends belong to by then.  ``limits`` is the least rank of the
+    edges of a part that lead elsewhere: edges of its merger beyond that wait, and what waits
+    holds up later edges of its own mergers.  So every edge is tried on just the mergers that a
+    single walk over all edges would have made.  Returns the mergers and the edges that wait.
+    """
+    m, limit, waiting = Mergers(parts, w, rule), list(limits), []
+    for rank, a, b in sorted(edges):
+        a, b = m.find(a), m.find(b)
+        if a == b or m.barred(a, b):
             continue
-        keep, gone = min(a, b), max(a, b)
-        parent[gone] = keep
-        now[keep] = Part(np.union1d(now[a].genes, now[b].genes), now[a].n + now[b].n, now[a].is_cell or now[b].is_cell, now[a].cloud.merged(now[b].cloud), max(now[a].depth, now[b].depth) + 1, now[a].members + now[b].members)
-        values.pop(keep, None)
-    return np.array([find(k) for k in range(len(parts))])
+        if any(limit[k] is not None and limit[k] < rank for k in (a, b)):
+            waiting.append((rank, a, b))
+            for k in (a, b):
+                limit[k] = rank if limit[k] is None else min(limit[k], rank)
+        elif m.accepts(a, b):
+            known = [limit[k] for k in (a, b) if limit[k] is not None]
+            limit[m.merge(a, b)] = min(known, default=None)
+    return m, [(rank, m.find(a), m.find(b)) for rank, a, b in waiting]
+
+
+def stitch(parts: list[Part], candidates: list[tuple[int, int]], w: Weights, rule: StitchRule) -> np.ndarray:
+    """The root of every part after greedy merging by falling gain of the candidate pairs.
+
+    Never two cells; no deeper than ``depth``; pairs are valued again on the current mergers when their turn comes.
+    """
+    first = Mergers(parts, w, rule)
+    edges = []
+    for a, b in sorted({(min(p), max(p)) for p in candidates if p[0] != p[1]}):
+        dc = first.first_gain(a, b)
+        if dc is not None:
+            edges.append(((-dc, a, b), a, b))
+    m, _ = stitch_some(parts, edges, [None] * len(parts), w, rule)
+    return np.array([m.find(k) for k in range(len(parts))], int)
 
 
 def weighted_percentile(values: np.ndarray, counts: np.ndarray, at: float) -> float:
@@ -419,14 +583,12 @@ def _z_threshold(dz: np.ndarray, separation: float, counts: np.ndarray | None) -
     return weighted_percentile(dz, n, 50), False
 
 
-def density_floor(counts: np.ndarray, coverage: float = 0.65, hard_min: int = 3, radius: int = 1) -> int:
-    """The largest threshold whose bins, spread by ``radius``, cover enough of the occupied bins of a 2-D count grid."""
-    occupied = counts > 0
-    total = int(occupied.sum())
-    if not total:
-        return hard_min
-    for t in range(int(counts.max()), hard_min, -1):
-        if (dilate(counts >= t, radius) & occupied).sum() / total >= coverage:
+def density_floor(counts: np.ndarray, coverage: float = 0.65, hard_min: int = 2, radius: int = 1, ceiling: int | None = None) -> int:
+    """The largest threshold whose bins, spread by ``radius``, hold enough of all rows of a 2-D count grid."""
+    total = int(counts.sum())
+    top = int(counts.max(initial=0)) if ceiling is None else ceiling
+    for t in range(top, hard_min - 1, -1):
+        if total and counts[dilate(counts >= t, radius)].sum() / total >= coverage:
             return t
     return hard_min
 

@@ -43,14 +43,23 @@ class Panel:
         self.absent = 0.0 if absent == "zero" else np.nan
         self._shared = panel.sparkSession.sparkContext.broadcast((number, keys[order], np.tile(rows["w"].to_numpy(float), 2)[order]))
 
+    @property
+    def names(self) -> list[str]:
+        """The features that the panel knows, in order."""
+        return list(self._shared.value[0])
+
     def codes(self, features: pd.Series) -> np.ndarray:
         """Numbers of features over the whole vocabulary, -1 outside it."""
         return features.map(self._shared.value[0]).fillna(-1).astype(np.int64).to_numpy()
 
     def block(self, genes: np.ndarray) -> np.ndarray:
         """The dense weights among some features."""
+        return self.across(genes, genes)
+
+    def across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The weights between two sets of features."""
         number, keys, values = self._shared.value
-        wanted = genes[:, None] * len(number) + genes[None, :]
+        wanted = a[:, None] * len(number) + b[None, :]
         if not len(keys):
             return np.full(wanted.shape, self.absent)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -280,9 +289,20 @@ def z_scales(rows: DataFrame, entities: int = 50, least: int = 5) -> tuple[float
 # --- rescue ---------------------------------------------------------------------------------------
 
 
-def guarded(rows: DataFrame, size: float, peers: int = 3) -> DataFrame:
-    """Ids of unassigned rows that stand with ``peers`` others of their feature in one bin: clusters of their own."""
-    free = rows.where(L.is_unassigned("entity") & F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "feature", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))
+def vocabulary(panel: DataFrame) -> DataFrame:
+    """(feature): what a panel knows."""
+    return panel.select(F.explode(F.array("gi", "gj")).alias("feature")).distinct()
+
+
+def guarded(rows: DataFrame, size: float, peers: int = 3, known: DataFrame | None = None) -> DataFrame:
+    """Ids of unassigned rows that stand with ``peers`` others of their feature in one bin: clusters of their own.
+
+    Rows without a coordinate, and with ``known`` (feature) those of other features, are neither guarded nor peers.
+    """
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    free = rows.where(L.is_unassigned("entity") & placed).select("id", "feature", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))
+    if known is not None:
+        free = free.join(broadcast_if_small(known), "feature", "left_semi")
     full = free.groupBy("feature", "bx", "by").agg(F.count("*").alias("c")).where(F.col("c") - 1 >= peers)
     return free.join(full, ["feature", "bx", "by"]).select("id")
 
@@ -339,10 +359,14 @@ def gate_pairs(rows: DataFrame, sets: DataFrame, size: float) -> DataFrame:
 
 
 def gate(pairs: DataFrame, sets: DataFrame, panel: DataFrame, rule: kernels.Admission) -> DataFrame:
-    """(feature, entity) that the rule admits, computed once for each distinct pair."""
+    """(feature, entity) that the rule admits, computed once for each distinct pair.
+
+    Features outside the panel are not held: an entity of nothing else is an empty set, which admits any feature.
+    """
     both = panel.select(F.col("gi").alias("feature"), F.col("gj").alias("other"), "w").unionByName(panel.select(F.col("gj").alias("feature"), F.col("gi").alias("other"), "w"))
     q = pairs.select("feature", "entity").distinct()
-    known = both.select("feature").distinct()
+    known = settle(vocabulary(panel), "known")
+    sets = sets.join(broadcast_if_small(known), "feature", "left_semi").select("entity", "feature")
     # Few rows whose scoring is dear: as many parts as cores.
     cores = max(1, panel.sparkSession.sparkContext.defaultParallelism)
     q, sets = q.repartition(cores, "entity"), sets.repartition(cores, "entity")
@@ -385,14 +409,14 @@ def rescue(rows: DataFrame, panel: DataFrame, size: float, rule: kernels.Admissi
     rule = rule or kernels.Admission()
     rows = rows.select("id", "feature", "x", "y", "z", "entity", "etype")
     if peers is not None and shield == "entity":
-        clustered = guarded(rows, size, peers).withColumn("_held", F.lit(True))
+        clustered = guarded(rows, size, peers, vocabulary(panel)).withColumn("_held", F.lit(True))
         rows = rows.join(clustered, "id", "left").withColumn("entity", F.when(F.col("_held"), SHIELD).otherwise(F.col("entity"))).drop("_held")
         peers = None
     rows = settle(rows, "rows")
     live = rows.where(~L.is_unassigned("entity"))
     free, held = free_and_held(rows)
     if peers is not None:
-        free = free.join(guarded(rows, size, peers), "id", "left_anti")
+        free = free.join(guarded(rows, size, peers, vocabulary(panel)), "id", "left_anti")
     sets = settle(entity.features_of(live), "sets")
     # The gate is computed once per distinct pair, and comes before points are paired.
     admitted = settle(gate(gate_pairs(rows, sets, size), sets, panel, rule), "admitted")
@@ -517,19 +541,25 @@ def group_components(rows: DataFrame, edges: DataFrame, panel: Panel, least: int
     return r.groupBy("component").applyInPandas(run, f"{_schema(rows, 'id')}, entity string")
 
 
-def bin_counts(rows: DataFrame, size: float) -> DataFrame:
-    return rows.groupBy(bin_of("x", size).alias("bx"), bin_of("y", size).alias("by")).agg(F.count("*").alias("n"))
+def bin_counts(rows: DataFrame, size: float, from_least: bool = False) -> DataFrame:
+    """(bx, by, n): rows of square bins, which begin at zero or, with ``from_least``, at the least x and y of all rows."""
+    if not from_least:
+        return rows.groupBy(bin_of("x", size).alias("bx"), bin_of("y", size).alias("by")).agg(F.count("*").alias("n"))
+    least = rows.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
+    at = lambda c: F.floor((F.col(c) - F.col(f"_{c}0")) / size).cast("int")
+    return rows.crossJoin(F.broadcast(least)).groupBy(at("x").alias("bx"), at("y").alias("by")).agg(F.count("*").alias("n"))
 
 
-def auto_floor(counts: DataFrame, coverage: float = 0.65, hard_min: int = 3, radius: int = 1) -> DataFrame:
-    """One row (floor): the largest threshold whose bins, spread by ``radius``, cover enough occupied bins, else ``hard_min``.
+def auto_floor(counts: DataFrame, coverage: float = 0.65, hard_min: int = 2, radius: int = 1, ceiling: int | None = None) -> DataFrame:
+    """One row (floor): the largest threshold whose bins, spread by ``radius``, hold enough of all rows, else ``hard_min``.
 
-    A bin is covered at t if the densest bin around it holds t rows: one neighbour join gives
-    every occupied bin's largest covering threshold, and a percentile-like count does the rest.
+    Thresholds above ``ceiling`` are not tried.  A bin is covered at t if the densest bin around it holds t rows: one
+    neighbour join gives every bin's largest covering threshold, and a running sum of rows does the rest.
     """
     offsets = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)]
     spread = counts.withColumn("o", F.explode(offsets_column(offsets))).select((F.col("bx") + F.col("o.d0")).alias("bx"), (F.col("by") + F.col("o.d1")).alias("by"), "n").groupBy("bx", "by").agg(F.max("n").alias("m"))
-    top = counts.select("bx", "by").join(spread, ["bx", "by"]).groupBy("m").agg(F.count("*").alias("c"))
+    top = counts.join(spread, ["bx", "by"]).groupBy(F.least("m", F.lit(ceiling)).alias("m") if ceiling is not None else F.col("m")).agg(F.sum("n").alias("c"))
+    # One row for every number of rows that a bin has.
     total = F.sum("c").over(Window.partitionBy())
     at = top.withColumn("share", F.sum("c").over(Window.orderBy(F.col("m").desc()).rowsBetween(Window.unboundedPreceding, 0)) / total)
     return at.where(F.col("share") >= coverage).agg(F.greatest(F.coalesce(F.max("m"), F.lit(hard_min)), F.lit(hard_min)).alias("floor"))
@@ -540,8 +570,10 @@ ISLAND_ROWS = 200_000
 
 
 def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | None = None, floor: int | None = None, radius: int = 1, threshold: float = 0.2, least: int = 3, coverage: float = 0.65, hard_min: int = 2, island_rows: int = ISLAND_ROWS) -> DataFrame:
-    """(id, entity, etype): free rows grouped around the densest bins, by falling density.
+    """(id, entity, etype): free rows of the panel's features grouped around the densest bins, by falling density.
 
+    Rows of other features are never taken and move neither ceiling nor floor; where these
+    are not given, they come from bins that begin at the least x and y.
     Bins dense enough to be centres that lie within twice the radius are linked; each
     connected island of them, with the bins around, is worked off on its own, as nothing
     crosses between islands.  Where one holds more than ``island_rows`` rows, the upper half of
@@ -549,11 +581,13 @@ def density_cascade(rows: DataFrame, panel: Panel, size: float, ceiling: int | N
     they take is gone from those of the lower half.  The result is the same.  Anchors are
     numbered over all islands by threshold, density and bin.
     """
-    free = rows.where(L.is_unassigned("entity") & F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "feature", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))
-    counts = free.groupBy("bx", "by").agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n")).first()[0] or 0
-    low = floor if floor is not None else auto_floor(counts, coverage, hard_min, radius).first()[0]
-    found = _cascade_band(free, panel, ceiling if ceiling is not None else top, low, radius, threshold, least, island_rows, f"{_schema(rows, 'id')}, t int, density int, ax int, ay int")
+    known = broadcast_if_small(rows.sparkSession.createDataFrame([(n,) for n in panel.names], "feature string"), len(panel.names))
+    free = rows.where(L.is_unassigned("entity") & F.col("x").isNotNull() & F.col("y").isNotNull()).join(known, "feature", "left_semi")
+    counts = settle(bin_counts(free, size, from_least=True), "floor-bins", compact=True)
+    high = ceiling if ceiling is not None else (counts.agg(F.max("n")).first()[0] or 0)
+    low = floor if floor is not None else auto_floor(counts, coverage, hard_min, radius, high).first()[0]
+    free = free.select("id", "feature", bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"))
+    found = _cascade_band(free, panel, high, low, radius, threshold, least, island_rows, f"{_schema(rows, 'id')}, t int, density int, ax int, ay int")
     found = found.withColumns({"nt": -F.col("t"), "nd": -F.col("density")}).drop("t", "density")
     anchors = numbered(found.select("nt", "nd", "ax", "ay").distinct(), ["nt", "nd", "ax", "ay"], "k")
     return found.join(anchors, ["nt", "nd", "ax", "ay"]).select("id", F.concat(F.lit("cascade_"), "k", F.lit("-1")).alias("entity"), F.lit("partial").alias("etype"))
@@ -596,8 +630,169 @@ def _cascade_band(free: DataFrame, panel: Panel, high: int, low: int, radius: in
 # --- stitching ------------------------------------------------------------------------------------
 
 
-def stitch(rows: DataFrame, panel: Panel, pairs: DataFrame, rule: kernels.StitchRule | None = None, keep: DataFrame | None = None) -> DataFrame:
-    """(entity, stitched, etype): greedy merging of candidate pairs (a, b), exact per linked component.
+#: Entities of a block that one worker stitches at a time.
+BLOCK_ENTITIES = 5_000
+#: Features up to which a block's weights are cut out as one matrix; beyond, every cut is looked up in the pairs.
+DENSE_FEATURES = 4_000
+#: A merger as a row: sets of features by number, counts of their pairs, moments, and the ends of its coordinates.
+MERGER = (
+    "entity string, n long, is_cell boolean, depth int, members int, genes array<int>, above long, below long, total long, np long, "
+    "mean array<double>, scatter array<double>, low array<array<double>>, high array<array<double>>"
+)
+#: What a block tells: a merger that is left, an edge that waits, or an entity and the one that it merged into.
+TOLD = f"kind string, {MERGER}, neg double, a0 string, b0 string, a string, b string, root string"
+SIDES = ("a", "b")
+
+
+def _weights(panel: Panel, sets: list[np.ndarray]) -> kernels.Weights:
+    """Weights among the features of some sets, by their numbers in the panel."""
+    own = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
+    if len(own) > DENSE_FEATURES:
+        return panel.across
+    dense = panel.block(own)
+    return lambda a, b: dense[np.ix_(np.searchsorted(own, a), np.searchsorted(own, b))]
+
+
+def _part(r: dict, rule: kernels.StitchRule) -> kernels.Part:
+    cloud = kernels.Cloud(int(r["np"]), np.array(r["mean"], float), np.array(r["scatter"], float).reshape(3, 3))
+    rim = None
+    if rule.centre_gate is not None:
+        rim = kernels.Rim(int(r["np"]), tuple(np.array(c, float) for c in r["low"]), tuple(np.array(c, float) for c in r["high"]), rule.rim)
+    return kernels.Part(np.array(r["genes"], np.int64), int(r["n"]), bool(r["is_cell"]), cloud, int(r["depth"]), int(r["members"]), kernels.Counts(int(r["above"]), int(r["below"]), int(r["total"])), rim)
+
+
+def _row(name: str, p: kernels.Part) -> dict:
+    rim = {"low": [c.tolist() for c in p.rim.low], "high": [c.tolist() for c in p.rim.high]} if p.rim is not None else {"low": [], "high": []}
+    return {"entity": name, "n": p.n, "is_cell": p.is_cell, "depth": p.depth, "members": p.members, "genes": p.genes.tolist(), "above": p.counts.above, "below": p.counts.below, "total": p.counts.total, "np": p.cloud.n, "mean": p.cloud.mean.tolist(), "scatter": p.cloud.scatter.ravel().tolist(), **rim}
+
+
+def _ends(live: DataFrame, most: int | None) -> DataFrame:
+    """(entity, low, high): an entity's least and greatest coordinates per axis, ascending; all of them where ``most`` is None."""
+    axes = F.array(*(F.struct(F.lit(k).alias("axis"), F.col(c).alias("v")) for k, c in enumerate("xyz")))
+    values = live.select("entity", F.inline(axes)).where("v is not null")
+    if most is not None:
+        by = Window.partitionBy("entity", "axis")
+        values = values.withColumns({"_up": F.row_number().over(by.orderBy("v")), "_down": F.row_number().over(by.orderBy(F.desc("v")))}).where((F.col("_up") <= most) | (F.col("_down") <= most))
+        pick = lambda c: F.sort_array(F.collect_list(F.when(F.col(c) <= most, F.col("v"))))
+        per = values.groupBy("entity", "axis").agg(pick("_up").alias("low"), pick("_down").alias("high"))
+    else:
+        per = values.groupBy("entity", "axis").agg(F.sort_array(F.collect_list("v")).alias("low")).withColumn("high", F.col("low"))
+    row = F.sort_array(F.collect_list(F.struct("axis", "low", "high")))
+    return per.groupBy("entity").agg(row.alias("r")).select("entity", F.transform("r", lambda r: r.low).alias("low"), F.transform("r", lambda r: r.high).alias("high"))
+
+
+def stitch_parts(live: DataFrame, panel: Panel, rule: kernels.StitchRule, keep: DataFrame | None = None) -> DataFrame:
+    """(MERGER) of every entity of ``live`` before any merger."""
+    counted = live if keep is None else live.join(broadcast_if_small(keep.where("keep").select("feature")), "feature", "left_semi")
+    sets = counted.groupBy("entity").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+    cov = [F.covar_pop(p, q).alias(f"c{p}{q}") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    at = live.groupBy("entity").agg(F.min_by("etype", "id").alias("etype"), F.count("*").alias("n"), F.count("x").alias("np"), *(F.avg(c).alias(f"m{c}") for c in "xyz"), *cov)
+    spread = F.array(*(F.coalesce(F.col(f"c{c}") * F.col("np"), F.lit(0.0)) for c in ("xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz")))
+    table = at.join(sets, "entity", "left").select("entity", "n", (F.col("etype") == "cell").alias("is_cell"), "features", "np", F.array(*(F.coalesce(f"m{c}", F.lit(0.0)) for c in "xyz")).alias("mean"), spread.alias("scatter"))
+    if rule.centre_gate is not None:
+        table = table.join(_ends(live, rule.rim), "entity", "left")
+    else:
+        none = F.array().cast("array<array<double>>")
+        table = table.withColumns({"low": none, "high": none})
+
+    def run(frames):
+        for f in frames:
+            codes = [panel.codes(pd.Series([] if g is None else list(g), dtype=object)) for g in f["features"]]
+            codes = [np.sort(c[c >= 0]) for c in codes]
+            found = [kernels.within(c, panel.across, rule.tau, rule.absent_counts) for c in codes]
+            out = f.drop(columns="features").assign(genes=[c.tolist() for c in codes], depth=0, members=1, above=[c.above for c in found], below=[c.below for c in found], total=[c.total for c in found])
+            yield out[[c.split()[0] for c in MERGER.split(", ")]]
+
+    return table.mapInPandas(run, MERGER)
+
+
+def stitch_edges(parts: DataFrame, panel: Panel, pairs: DataFrame, rule: kernels.StitchRule) -> DataFrame:
+    """(neg, a0, b0, a, b) of the candidate pairs (a, b) that may merge: ranked by falling gain, then by names."""
+    columns = [c.split()[0] for c in MERGER.split(", ")]
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    side = lambda s: parts.select(F.col("entity").alias(s), F.struct(*columns).alias(f"p{s}"))
+    joined = once.join(side("a"), "a").join(side("b"), "b")
+
+    def run(frames):
+        for f in frames:
+            out = []
+            ends = [[_part(r, rule) for r in f[f"p{s}"]] for s in SIDES]
+            w = _weights(panel, [p.genes for e in ends for p in e])
+            for a, b, p, q in zip(f["a"], f["b"], *ends, strict=True):
+                dc = kernels.Mergers([p, q], w, rule).first_gain(0, 1)
+                if dc is not None:
+                    out.append((-dc + 0.0, a, b, a, b))
+            yield pd.DataFrame(out, columns=["neg", "a0", "b0", "a", "b"])
+
+    return joined.mapInPandas(run, "neg double, a0 string, b0 string, a string, b string")
+
+
+def _along_a_curve(parts: DataFrame, turn: int, block: int) -> DataFrame:
+    """``parts`` with ``block``: ranges of a Z-order curve over their centres, equally full however dense a place is.
+
+    The curve is shifted at every turn, so that other pairs share a block.  Centres of one place are parted by name.
+    """
+    x, y = (F.col("mean")[k] for k in (0, 1))
+    box = parts.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n")).first()
+    if box.n <= block:
+        return parts.withColumn("block", F.lit("0"))
+    cells, shift = 1 << 19, int((turn * 0.382 % 1) * (1 << 19))
+    scaled = lambda c, lo, hi: (F.floor((c - lo) / (hi - lo or 1.0) * (cells - 1)).cast("long") + shift)
+    bits = lambda v, to: sum((F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + to) for k in range(20)), F.lit(0).cast("long"))
+    z = bits(F.col("_sx"), 0) + bits(F.col("_sy"), 1)
+    placed = parts.withColumns({"_sx": scaled(x, box.x0, box.x1), "_sy": scaled(y, box.y0, box.y1)}).withColumn("_z", z)
+    dealt = placed.repartitionByRange(-(-box.n // block), "_z", "entity").withColumn("block", F.spark_partition_id().cast("string"))
+    return settle(dealt.drop("_z", "_sx", "_sy"), "blocks")
+
+
+def _by_best_edges(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts`` with ``block``: the two ends of an edge that comes first for both share one, all others stand alone."""
+    rank = F.struct("neg", "a0", "b0")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("entity"), rank.alias("rank"))
+    best = ends.groupBy("entity").agg(F.min("rank").alias("rank"))
+    mutual = best.groupBy("rank").agg(F.count("*").alias("c"), F.min("entity").alias("block")).where("c = 2").select("rank", "block")
+    own = best.join(mutual, "rank", "left").select("entity", "block")
+    return parts.join(own, "entity", "left").withColumn("block", F.coalesce("block", "entity"))
+
+
+def _stitch_turn(parts: DataFrame, edges: DataFrame, panel: Panel, rule: kernels.StitchRule) -> DataFrame:
+    """(TOLD) after working off the edges within the blocks of ``parts``, as far as edges between blocks allow."""
+    columns = [c.split()[0] for c in MERGER.split(", ")]
+    of = lambda s: parts.select(F.col("entity").alias(s), F.col("block").alias(f"block_{s}"))
+    both = edges.join(of("a"), "a").join(of("b"), "b")
+    apart, inner = F.col("block_a") != F.col("block_b"), both.where("block_a = block_b")
+    rank = F.struct("neg", "a0", "b0").alias("rank")
+    limits = both.where(apart).select(F.explode(F.array("a", "b")).alias("entity"), rank).groupBy("entity").agg(F.min("rank").alias("rank"))
+    bounded = parts.join(limits, "entity", "left").select("block", *columns, F.col("rank.neg").alias("lneg"), F.col("rank.a0").alias("la0"), F.col("rank.b0").alias("lb0"))
+    told = [c.split()[0] for c in TOLD.split(", ")]
+
+    def run(f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("entity").reset_index(drop=True)
+        names = f["entity"].tolist()
+        at = {n: k for k, n in enumerate(names)}
+        mergers = [_part(r, rule) for r in f[columns].to_dict("records")]
+        limits = [None if pd.isna(a0) else (neg, a0, b0) for neg, a0, b0 in f[["lneg", "la0", "lb0"]].itertuples(index=False)]
+        ranked = [((neg, a0, b0), at[a], at[b]) for neg, a0, b0, a, b in e[["neg", "a0", "b0", "a", "b"]].itertuples(index=False)]
+        m, waiting = kernels.stitch_some(mergers, ranked, limits, _weights(panel, [p.genes for p in mergers]), rule)
+        none = dict.fromkeys(told)
+        out = [none | {"kind": "part"} | _row(n, m.now[k]) for k, n in enumerate(names) if m.find(k) == k]
+        out += [none | {"kind": "merged", "entity": n, "root": names[m.find(k)]} for k, n in enumerate(names) if m.find(k) != k]
+        out += [none | {"kind": "edge", "neg": r[0], "a0": r[1], "b0": r[2], "a": names[a], "b": names[b]} for r, a, b in waiting]
+        frame = pd.DataFrame(out, columns=told)
+        return frame.astype({c: "Int64" for c in ("n", "depth", "members", "above", "below", "total", "np")} | {"is_cell": "boolean"})
+
+    worked = bounded.groupBy("block").cogroup(inner.select(F.col("block_a").alias("block"), "neg", "a0", "b0", "a", "b").groupBy("block")).applyInPandas(run, TOLD)
+    between = both.where(apart).select(F.lit("edge").alias("kind"), "neg", "a0", "b0", "a", "b")
+    return settle(worked.unionByName(between, allowMissingColumns=True), "stitched")
+
+
+def stitch(rows: DataFrame, panel: Panel, pairs: DataFrame, rule: kernels.StitchRule | None = None, keep: DataFrame | None = None, block: int = BLOCK_ENTITIES) -> DataFrame:
+    """(entity, stitched, etype) of the entities of candidate pairs (a, b), merged greedily by falling gain.
+
+    The result is that of one walk over all pairs by falling gain.  Entities are dealt into blocks of ``block``
+    by place, whatever hangs together; each block works off its own pairs as far as no pair that leads
+    elsewhere comes before, and other blocks are cut at the next turn.  Where a turn gets nowhere, pairs that come
+    first for both ends, of which there is always one, get blocks of their own.
 
     ``keep`` (feature, keep) restricts the features that count.  Mergers with a cell take
     its label, then a partial's, then a component's; several partials of one cell become
@@ -605,37 +800,27 @@ def stitch(rows: DataFrame, panel: Panel, pairs: DataFrame, rule: kernels.Stitch
     """
     rule = rule or kernels.StitchRule()
     live = rows.where(~L.is_unassigned("entity") & F.col("etype").isin("cell", "partial", "component"))
-    if keep is not None:
-        counted = live.join(broadcast_if_small(keep.where("keep").select("feature")), "feature", "left_semi")
-    else:
-        counted = live
-    sets = counted.groupBy("entity").agg(F.array_sort(F.collect_set("feature")).alias("genes"))
-    cov = [F.covar_samp(p, q).alias(f"c{p}{q}") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    info = live.groupBy("entity").agg(F.min_by("etype", "id").alias("etype"), F.count("*").alias("n"), F.count("x").alias("np"), *(F.avg(c).alias(f"m{c}") for c in "xyz"), *cov)
-    comp = settle(components(pairs).withColumnRenamed("node", "entity"), "linked", compact=True)
-    table = info.join(sets, "entity", "left").join(comp, "entity")
-    linked = pairs.join(comp.withColumnRenamed("entity", "a"), "a").select(F.col("component").alias("island"), "a", "b").distinct()
-
-    def run(f: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("entity").reset_index(drop=True)
-        at = {e: k for k, e in enumerate(f["entity"])}
-        sets = [panel.codes(pd.Series([] if g is None else list(g), dtype=object)) for g in f["genes"]]
-        own = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
-        own = own[own >= 0]
-        w = panel.block(own)
-        spread = np.nan_to_num(f[["cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz"]].to_numpy(float)).reshape(-1, 3, 3)
-        means, sizes = np.nan_to_num(f[["mx", "my", "mz"]].to_numpy(float)), f["np"].to_numpy(int)
-        parts = []
-        for k, (g, n, kind) in enumerate(zip(sets, f["n"], f["etype"], strict=True)):
-            codes = np.searchsorted(own, np.sort(g[g >= 0]))
-            parts.append(kernels.Part(codes, int(n), kind == "cell", kernels.Cloud(int(sizes[k]), means[k], spread[k] * max(0, sizes[k] - 1))))
-        asked = [(at[a], at[b]) for a, b in wanted.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False) if a in at and b in at]
-        root = kernels.stitch(parts, asked, w, rule)
-        return pd.DataFrame({"entity": f["entity"], "root": [f["entity"][r] for r in root], "etype": f["etype"], "n": f["n"]})
-
-    # A component's entities come as moments and its pairs beside them; no points are gathered.
-    merged = table.groupBy("component").cogroup(linked.groupBy("island")).applyInPandas(run, "entity string, root string, etype string, n bigint")
-    return stitch_labels(merged, info.where("etype = 'partial'").select("entity"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    parts = settle(stitch_parts(live.join(asked, "entity", "left_semi"), panel, rule, keep), "parts")
+    edges = settle(stitch_edges(parts, panel, pairs, rule), "edges", compact=True)
+    roots, left, turn, stuck = parts.select("entity", F.col("entity").alias("root")), edges.count(), 0, False
+    while left:
+        active = parts.join(edges.select(F.explode(F.array("a", "b")).alias("entity")).distinct(), "entity", "left_semi")
+        placed = _by_best_edges(active, edges) if stuck else _along_a_curve(active, turn, block)
+        told = _stitch_turn(placed, edges, panel, rule)
+        merged = told.where("kind = 'merged'").select("entity", "root")
+        moved = broadcast_if_small(merged.select(F.col("entity").alias("root"), F.col("root").alias("_new")))
+        roots = settle(roots.join(moved, "root", "left").select("entity", F.coalesce("_new", "root").alias("root")), "roots", compact=True)
+        parts = told.where("kind = 'part'").select(*(c.split()[0] for c in MERGER.split(", ")))
+        edges = told.where("kind = 'edge'").select("neg", "a0", "b0", "a", "b")
+        for side in SIDES:
+            to = broadcast_if_small(merged.select(F.col("entity").alias(side), F.col("root").alias("_new")))
+            edges = edges.join(to, side, "left").withColumn(side, F.coalesce("_new", side)).drop("_new")
+        edges = settle(edges.where("a <> b"), "edges", compact=True)
+        before, left = left, edges.count()
+        turn, stuck = turn + 1, left == before and not stuck
+    info = live.groupBy("entity").agg(F.min_by("etype", "id").alias("etype"), F.count("*").alias("n"))
+    return stitch_labels(roots.join(info, "entity"), info.where("etype = 'partial'").select("entity"))
 
 
 def stitch_labels(merged: DataFrame, partials: DataFrame | None = None) -> DataFrame:

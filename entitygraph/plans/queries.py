@@ -821,10 +821,14 @@ def gene_compat(spark, d):
     return stages.rescue_compatible(_rows(spark, d), _panel(spark, d), 1.0, TAU)
 
 
-@register("auto_floor", f"""WITH {POINTS}, bc AS (SELECT floor(x / 2.0) AS bx, floor(y / 2.0) AS by_, count(*) AS n FROM pts WHERE label = '-1' GROUP BY 1, 2), mx AS (SELECT a.bx, a.by_, max(b.n) AS m FROM bc a JOIN bc b ON abs(a.bx - b.bx) <= 1 AND abs(a.by_ - b.by_) <= 1 GROUP BY 1, 2)
-    SELECT CAST(greatest(coalesce(max(t), 3), 3) AS BIGINT) AS floor FROM (SELECT t.m AS t FROM (SELECT DISTINCT m FROM mx) t WHERE (SELECT count(*) FROM mx WHERE mx.m >= t.m) / (SELECT count(*) FROM mx) >= 0.65)""")
+@register(
+    "auto_floor",
+    f"""WITH {POINTS}, q AS (SELECT x, y FROM pts WHERE label = '-1'), o AS (SELECT min(x) AS x0, min(y) AS y0 FROM q), bc AS (SELECT floor((x - x0) / 2.0) AS bx, floor((y - y0) / 2.0) AS by_, count(*) AS n FROM q, o GROUP BY 1, 2),
+    t AS (SELECT unnest(range(2, (SELECT max(n) FROM bc) + 1)) AS t), hot AS (SELECT DISTINCT t, a.bx, a.by_, a.n FROM t JOIN bc b ON b.n >= t JOIN bc a ON abs(a.bx - b.bx) <= 1 AND abs(a.by_ - b.by_) <= 1),
+    cov AS (SELECT t, sum(n) / (SELECT sum(n) FROM bc) AS share FROM hot GROUP BY t) SELECT CAST(coalesce(max(t), 2) AS BIGINT) AS floor FROM cov WHERE share >= 0.65""",
+)
 def auto_floor(spark, d):
-    return stages.auto_floor(stages.bin_counts(_rows(spark, d).where(L.is_unassigned("entity")), 2.0)).select(lng("floor"))
+    return stages.auto_floor(stages.bin_counts(_rows(spark, d).where(L.is_unassigned("entity")), 2.0, from_least=True)).select(lng("floor"))
 
 
 @register("shared_and_own", f"""WITH {POINTS}, a AS (SELECT cell, feature FROM pts WHERE nuclear), b AS (SELECT cell, feature FROM pts WHERE NOT nuclear)
@@ -875,7 +879,9 @@ def rerank(spark, d):
 
 @register("cascade")
 def cascade(spark, d):
-    return stages.density_cascade(_emb(spark, d).withColumns({"entity": F.lit("-1"), "feature": F.concat(F.lit("Brand#"), (F.col("id") % 25 + 1).cast("string"))}), stages.Panel(_panel(spark, d)), 1.0, threshold=NEGATIVE)
+    """Over the lines returned as N; one brand in five is outside the panel."""
+    known = _panel(spark, d).where(~F.col("gi").endswith("5") & ~F.col("gj").endswith("5"))
+    return stages.density_cascade(_rows(spark, d), stages.Panel(known), 1.0, threshold=NEGATIVE).select("id", "entity", "etype")
 
 
 @register("pipeline_seg")

@@ -95,7 +95,7 @@ def test_admission():
 def brute_stitch(parts, pairs, w, rule):
     parts, alive = list(parts), list(range(len(parts)))
     root = list(alive)
-    gain = lambda a, b: kernels.coherence(np.union1d(a.genes, b.genes), w) - 1 / (a.n + b.n) - max(kernels.coherence(a.genes, w) - 1 / a.n, kernels.coherence(b.genes, w) - 1 / b.n)
+    gain = lambda a, b: kernels.coherence(np.union1d(a.genes, b.genes), w) - 1 / (len(a.genes) + len(b.genes)) - max(kernels.coherence(a.genes, w) - 1 / len(a.genes), kernels.coherence(b.genes, w) - 1 / len(b.genes))
     queue = sorted((-gain(parts[a], parts[b]), a, b) for a, b in pairs)
     queue = [q for q in queue if -q[0] >= rule.least_gain]
     for _, a, b in queue:

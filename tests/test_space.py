@@ -220,15 +220,6 @@ def test_translation_and_partitions(cloud):
     assert {(r.lo, r.hi): r.n_records for r in grid.witness_pairs(grid.build_index(moved, 2.0), "8").collect()} == base
 
 
-def test_auto_floor_equals_kernel(spark):
-    rng = np.random.default_rng(5)
-    for k in range(4):
-        counts = rng.poisson(2 + k, (12, 9))
-        rows = [(i, j, int(n)) for (i, j), n in np.ndenumerate(counts) if n]
-        got = stages.auto_floor(spark.createDataFrame(rows, "bx int, by int, n long")).first()[0]
-        assert got == kernels.density_floor(counts)
-
-
 def test_tiles_and_chunks(spark):
     points = synthetic.planted_cells(spark, cells=16, per_cell=20, noise=0.2)
     centres = tiling.centroids(points.where("cell <> '-1'"))
