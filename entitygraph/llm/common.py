@@ -22,8 +22,14 @@ BATCH_ROWS = 512
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, as a batch of long texts must fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the rows of an Arrow batch, as a batch of long texts must fit in a Python worker.
+
+    The session's setting is lowered, never raised, so plans that wait keep their bound; whatever the rows, Spark ends a batch at 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def fresh(df: DataFrame, name: str) -> str:

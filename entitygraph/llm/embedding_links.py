@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from entitygraph.llm.common import broadcast_if_small, settle, small_batches
+from entitygraph.llm.common import broadcast_if_small, settle
 from entitygraph.operators.components import components
 
 THRESHOLD = 0.95
@@ -119,23 +118,27 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", tile: int = TILE) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", tile: int = TILE, exact: bool = False) -> DataFrame:
     """Links of every vector: (key, n_links, component_id, kept).
 
     Keys may be of any type that has an order.  Vectors that are null, zero, or hold null or
     non-finite components link with nothing, and neither do vectors of different lengths.  Rows are vectors: repeated
-    rows link with each other.  Rows with a null key are returned with no links and a
-    null component.  Equal vectors are first taken together, by a partially aggregated
-    group; links are found between their representatives and weighted by the groups'
-    sizes, so copies are never expanded into pairs.  An empty table gives an empty result.
+    rows link with each other, and different vectors under one key have links of their own.
+    Rows with a null key are returned with no links and a null component.  Equal vectors
+    are first taken together as a class, by a partially aggregated group; links are found
+    between classes and weighted by their sizes, so copies are never expanded into
+    pairs.  An empty table gives an empty result.
+
+    ``exact`` compares all tiles with all instead of dealing vectors to tables: no pair is missed
+    with any chance, at a cost that grows with the square of the number of classes.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 4096)
     inf = F.lit(float("inf"))
     usable = F.col("_id").isNotNull() & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("_v", lambda x: x != 0)
     rows = vectors.select(F.col(key).alias("_id"), F.col(vector).alias("_v")).withColumn("_ok", F.coalesce(usable, F.lit(False)))
-    bits, tables = plan(rows.count(), threshold)
-    classes = rows.where("_ok").groupBy("_v").agg(F.min("_id").alias("rep"), F.count("*").alias("size"))
+    bits, tables = (1, 1) if exact else plan(rows.count(), threshold)
+    classes = rows.where("_ok").groupBy("_v").agg(F.min("_id").alias("least"), F.count("*").alias("size"))
+    # Numbers are written once and read from then on; a key may have several classes.
+    classes = classes.select("_v", "least", "size", F.monotonically_increasing_id().alias("rep"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +151,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
                 x = flat[ends[own][:, None] + np.arange(width)].astype(np.float64)
                 x /= np.abs(x).max(1, keepdims=True)
                 side, signs = Side.of(x / np.sqrt((x * x).sum(1, keepdims=True))), signs_of(x, bits, tables)
-                rest = zip(side.scale.tolist(), side.coarse.tolist(), side.fine.tolist(), np.packbits(signs, axis=1), buckets(signs, bits, tables), strict=True)
+                rest = zip(side.scale.tolist(), side.coarse.tolist(), side.fine.tolist(), np.packbits(signs, axis=1), buckets(signs, bits, tables) * (not exact), strict=True)
                 for k, q, (scale, coarse, fine, packed, codes) in zip(own.tolist(), side.q.astype("<i2"), rest, strict=True):
                     made[k] = (q.tobytes(), scale, coarse, fine, packed.tobytes(), codes)
             q, scale, coarse, fine, signs, codes = ([m[k] for m in made] for k in range(6))
@@ -156,9 +159,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "q", "scale", "coarse", "fine", "signs", "codes"])
 
     element = classes.schema["_v"].dataType.simpleString()
-    kind = classes.schema["rep"].dataType.simpleString()
-    id_type = to_arrow_type(classes.schema["rep"].dataType)
-    classes = settle(classes.mapInArrow(coded, f"_v {element}, rep {kind}, size bigint, q binary, scale double, coarse double, fine double, signs binary, codes array<int>"), "classes")
+    kind = classes.schema["least"].dataType.simpleString()
+    classes = settle(classes.mapInArrow(coded, f"_v {element}, least {kind}, size bigint, rep bigint, q binary, scale double, coarse double, fine double, signs binary, codes array<int>"), "classes")
     placed = classes.select("rep", "size", "q", "scale", "coarse", "fine", "signs", F.size("_v").alias("width"), F.posexplode("codes").alias("t", "code"))
     # Buckets of more than one tile: at most (vectors * tables / tile) rows.
     wide = classes.select(F.size("_v").alias("width"), F.posexplode("codes").alias("t", "code")).groupBy("width", "t", "code").count().where(F.col("count") > tile)
@@ -205,18 +207,24 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
         ends = [ids.take(pa.array(np.concatenate(c))) for c in ((found, x), (root, y))]
         return pa.Table.from_arrays([ends[0], pa.array(np.concatenate([links[found], np.zeros(len(x), np.int64)])), ends[1], pa.array(np.arange(len(found) + len(x)) >= len(found))], schema=out_schema)
 
-    out_schema = pa.schema([("rep", id_type), ("links", pa.int64()), ("root", id_type), ("open", pa.bool_())])
-    found = settle(dealt.groupBy("width", "t", "code", "lo", "hi").applyInArrow(tiles, f"rep {kind}, links bigint, root {kind}, open boolean"), "links", compact=True, heavy=True)
+    out_schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("open", pa.bool_())])
+    found = settle(dealt.groupBy("width", "t", "code", "lo", "hi").applyInArrow(tiles, "rep bigint, links bigint, root bigint, open boolean"), "links", compact=True, heavy=True)
     # What the bounds leave open is decided on the vectors themselves.
-    end = lambda s: classes.select(F.col("rep").alias(s), F.transform("_v", lambda x: x.cast("double")).alias(f"v_{s}"), F.col("size").alias(f"size_{s}"))
+    # Divided by the power of two at their largest component, which rounds nothing, products neither vanish nor overflow.
+    largest = F.array_max(F.transform("_v", lambda x: F.abs(x.cast("double"))))
+    scaled = F.transform("_v", lambda x: x.cast("double") / F.pow(F.lit(2.0), F.floor(F.log2(largest))))
+    end = lambda s: classes.select(F.col("rep").alias(s), scaled.alias(f"v_{s}"), F.col("size").alias(f"size_{s}"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
     doubtful = found.where("open").select(F.col("rep").alias("a"), F.col("root").alias("b")).join(end("a"), "a").join(end("b"), "b")
     sure = doubtful.where(dot("v_a", "v_b") >= threshold * F.sqrt(dot("v_a", "v_a")) * F.sqrt(dot("v_b", "v_b"))).select("a", "b", "size_a", "size_b")
     sure = settle(sure, "decided", compact=True)
     links = found.where("not open").select("rep", "links").unionByName(sure.select(F.col("a").alias("rep"), F.col("size_b").alias("links"))).unionByName(sure.select(F.col("b").alias("rep"), F.col("size_a").alias("links")))
     reach = components(found.where("not open").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(sure.select("a", "b")))
-    known = classes.select("_v", "rep", "size").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(reach.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("_v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    reach = settle(reach.withColumnRenamed("node", "rep"), "reach", compact=True)
+    lowest = reach.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("lowest"))
+    known = classes.select("_v", "rep", "size", "least").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(reach, "rep", "left")
+    known = known.join(broadcast_if_small(lowest, limit=BROADCAST_ROWS), "component", "left")
+    known = known.select("_v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lowest", "least").alias("component"))
     good = rows.where("_ok").join(known, "_v").select("_id", "n_links", "component")
     out = good.unionByName(rows.where("not _ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component")))
     return out.select(F.col("_id").alias(key), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("_id") == F.col("component"), F.lit(False)).alias("kept"))

@@ -26,6 +26,8 @@ _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 _ssn = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: Secrets: keys with a telling form, passwords in addresses, and long runs that a validator must find random.
+#: Lengths are part of the forms: chat tokens end at 72 characters and service keys at 120, beyond which a run is no such key (long runs are judged
+#: by their randomness all the same); a login of more than 64 characters on either side of the colon is taken for a path.
 _marked = re.compile(
     r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk-[A-Za-z0-9_-]{20,120}|AIza[0-9A-Za-z_-]{35}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"

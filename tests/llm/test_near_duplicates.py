@@ -1,5 +1,6 @@
 """Embedding links and the Jaccard join against brute force."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -115,6 +116,39 @@ def test_odd_vectors(spark):
     assert got == [(0, 0, None, False), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), *((k, 0, k, True) for k in range(3, 10))]
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200, 1e-310])
+def test_links_do_not_depend_on_the_scale(spark, scale):
+    at = lambda cosine: [cosine, math.sqrt(1 - cosine * cosine)]
+    rows = [(1, [1.0, 0.0]), (2, at(0.95 - 1e-9)), (3, [0.0, -1.0]), (4, at(0.95 + 1e-9))]
+    df = spark.createDataFrame([(i, [x * scale for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_links.link(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 1)}
+
+
+def test_different_vectors_under_one_key(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.01]), (3, [0.01, 0.99]), (0, [0.02, 0.98])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_links.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 2, 0), (1, 1, 1), (1, 2, 0), (2, 1, 1), (3, 2, 0)]
+
+
+def test_exact_mode_compares_all_tiles(spark):
+    vectors = clustered(300, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links.link(df, tile=64, exact=True).collect()}
+    assert got == brute_links(vectors)
+
+
+def test_building_a_plan_does_not_widen_the_batches_of_others(spark, sf_dir):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        registry.op2_token_counts(spark, sf_dir)
+        bounded = int(spark.conf.get(name))
+        registry.op1_embedding_links(spark, sf_dir)
+        assert int(spark.conf.get(name)) == bounded <= 512
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_vectors(spark):
     assert embedding_links.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
