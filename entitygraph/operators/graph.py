@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from entitygraph.functions.scalars import bin_of, offsets_column, xy_half_offsets
 from entitygraph.functions.storage import broadcast_if_small
 from entitygraph.operators.components import components
+from entitygraph.operators.delaunay import neighbours
 
 
 def grid_edges(points: DataFrame, size: float = 8.0, topology: str = "8", z_size: float | None = None, z_depth: int = 1, longest: float | None = None) -> DataFrame:
@@ -106,47 +107,9 @@ def component_summary(points: DataFrame, membership: DataFrame, least: int = 1)
 # --- triangulation of component centres ----------------------------------------------------------
 
 
-def delaunay(points: np.ndarray) -> set[tuple[int, int]]:
-    """Edges of a planar Delaunay triangulation by incremental insertion; for some thousand points."""
-    n = len(points)
-    if n < 3:
-        return {(0, 1)} if n == 2 else set()
-    span = float(np.ptp(points, axis=0).max()) or 1.0
-    mid = points.mean(0)
-    p = np.vstack([points, mid + [[-30 * span, -20 * span], [30 * span, -20 * span], [0, 40 * span]]])
-    triangles = {(n, n + 1, n + 2)}
-
-    def holds(t: tuple[int, int, int], q: np.ndarray) -> bool:
-        a, b, c = (p[k] - q for k in t)
-        m = np.array([[*a, a @ a], [*b, b @ b], [*c, c @ c]])
-        turn = (p[t[1]][0] - p[t[0]][0]) * (p[t[2]][1] - p[t[0]][1]) - (p[t[1]][1] - p[t[0]][1]) * (p[t[2]][0] - p[t[0]][0])
-        return np.linalg.det(m) * np.sign(turn) > 1e-12 * span**4
-
-    for k in range(n):
-        bad = [t for t in triangles if holds(t, p[k])]
-        rim: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
-                rim[tuple(sorted(e))] = rim.get(tuple(sorted(e)), 0) + 1
-        triangles -= set(bad)
-        triangles |= {tuple(sorted((*e, k))) for e, c in rim.items() if c == 1}
-    return {tuple(sorted((a, b))) for t in triangles for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if a < n and b < n}
-
-
-def component_delaunay(centres: DataFrame, tile: str | None = None) -> DataFrame:
-    """(a, b, length) of neighbouring components (component, x, y); within each tile if one is named.
-
-    Few centres come out of the pruned graph, so a tile is triangulated in one worker.
-    """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("component").drop_duplicates(["x", "y"])
-        xy, ids = f[["x", "y"]].to_numpy(float), f["component"].to_numpy()
-        return pd.DataFrame([(ids[i], ids[j], float(np.hypot(*(xy[i] - xy[j])))) for i, j in sorted(delaunay(xy))], columns=["a", "b", "length"])
-
-    kind = dict(centres.dtypes)["component"]
-    keyed = centres.withColumn("_tile", F.col(tile) if tile else F.lit(0))
-    return keyed.select("_tile", "component", "x", "y").groupBy("_tile").applyInPandas(run, f"a {kind}, b {kind}, length double")
+def component_delaunay(centres: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """(a, b, length) of neighbouring components (component, *axes): the Delaunay neighbours of all centres, in the plane or in space."""
+    return neighbours(centres.withColumnRenamed("component", "id"), axes)
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -162,28 +162,62 @@ def inside(px: np.ndarray, py: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return (cross & (px[:, None] < at)).sum(1) % 2 == 1
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(id, polygon): the first polygon, by name, that holds the point; null if none does.
+def polygon_edges(polygons: DataFrame) -> DataFrame:
+    """(polygon, x1, y1, x2, y2) of rings (polygon, ring array<struct<x, y>>) of three vertices or more, closed."""
+    v = F.col("ring")
+    ends = F.arrays_zip(v.alias("p"), F.concat(F.slice(v, F.lit(2), F.size(v) - 1), F.slice(v, 1, 1)).alias("q"))
+    rows = polygons.where(F.col("polygon").isNotNull() & (F.size("ring") >= 3)).select("polygon", F.explode(ends).alias("e"))
+    p, q = (F.col("e")[n] for n in rows.schema["e"].dataType.names)
+    return rows.select("polygon", *(c[k].cast("double").alias(f"{k}{n}") for c, n in ((p, 1), (q, 2)) for k in ("x", "y")))
+
 
-    ``polygons`` is (polygon, ring array<struct<x, y>>), cell or tile outlines; they are read
-    on the driver after a check of their number.
+def raster(edges: DataFrame, size: float) -> DataFrame:
+    """(bx, by, polygon, border): the square bins that a polygon's edges touch, and those that lie inside.
+
+    An edge is followed row by row of bins.  Along the middle of each row, bins between an odd and the next
+    crossing that no edge touches are inside.
     """
-    rows = polygons.orderBy("polygon").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many polygons to send to the executors")
-    rings = [(r["polygon"], np.array([(v["x"], v["y"]) for v in r["ring"]], float)) for r in rows if r["ring"] and len(r["ring"]) >= 3]
-    kind = dict(polygons.dtypes)["polygon"]
+    margin = 1e-9 * size
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    row = F.sequence(F.floor((low - margin) / size), F.floor((high + margin) / size))
+    e = edges.select("*", F.explode(row).alias("by"))
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    level = F.col("y1") == F.col("y2")
+    a, b = (F.when(level, F.col(x)).otherwise(at(F.least(F.greatest(y * size, low), high))) for x, y in (("x1", F.col("by")), ("x2", F.col("by") + 1)))
+    columns = F.sequence(F.floor((F.least(a, b) - margin) / size), F.floor((F.greatest(a, b) + margin) / size))
+    border = e.select("polygon", F.explode(columns).alias("bx"), "by").distinct()
+    middle = (F.col("by") + 0.5) * size
+    crossed = e.where((F.col("y1") > middle) != (F.col("y2") > middle)).select("polygon", "by", at(middle).alias("x"))
+    order = Window.partitionBy("polygon", "by").orderBy("x")
+    spans = crossed.withColumns({"k": F.row_number().over(order), "to": F.lead("x").over(order)}).where("k % 2 = 1 and to is not null")
+    within = spans.select("polygon", F.explode(F.sequence(F.floor(F.col("x") / size), F.floor(F.col("to") / size))).alias("bx"), "by").distinct()
+    whole = within.join(border, ["polygon", "bx", "by"], "left_anti")
+    return border.withColumn("border", F.lit(True)).unionByName(whole.withColumn("border", F.lit(False))).select("bx", "by", "polygon", "border")
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
+    """(id, polygon): the first polygon, by name, that holds the point; null if none does.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x, y, out = f["x"].to_numpy(float), f["y"].to_numpy(float), np.full(len(f), None, object)
-            for name, ring in rings:
-                box = np.flatnonzero(pd.isna(out) & (x >= ring[:, 0].min()) & (x <= ring[:, 0].max()) & (y >= ring[:, 1].min()) & (y <= ring[:, 1].max()))
-                if len(box):
-                    out[box[inside(x[box], y[box], ring)]] = name
-            yield pd.DataFrame({"id": f["id"], "polygon": out})
-
-    return points.select("id", "x", "y").mapInPandas(run, f"id {dict(points.dtypes)['id']}, polygon {kind}")
+    ``polygons`` is (polygon, ring array<struct<x, y>>), cell or tile outlines.  They are laid on square bins and
+    points meet them by bin: inside bins settle a point at once, the ray is cast for bins on a border alone.
+    By default bins are so large that a polygon's box has some sixteen on average.  Points with null
+    coordinates lie in none.
+    """
+    edges = settle(polygon_edges(polygons), "polygon-edges", compact=True)
+    if size is None:
+        box = edges.groupBy("polygon").agg(((F.max("x1") - F.min("x1")) * (F.max("y1") - F.min("y1"))).alias("area"), F.greatest(F.max("x1") - F.min("x1"), F.max("y1") - F.min("y1")).alias("side"))
+        mean = box.agg(F.avg("area").alias("area"), F.avg("side").alias("side")).first()
+        size = max(math.sqrt((mean.area or 0.0) / 16), (mean.side or 0.0) / 64) or 1.0
+    ids = points.select("id", "x", "y")
+    placed = ids.where("x is not null and y is not null").select("id", "x", "y", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
+    met = placed.join(raster(edges, size), ["bx", "by"])
+    sides = edges.groupBy("polygon").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("sides"))
+    at = lambda e: e.x1 + (F.col("y") - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
+    crosses = lambda e: ((e.y1 > F.col("y")) != (e.y2 > F.col("y"))) & (F.col("x") < at(e))
+    inner = met.where("not border").select("id", "polygon")
+    rim = met.where("border").join(sides, "polygon").where(F.size(F.filter("sides", crosses)) % 2 == 1).select("id", "polygon")
+    first = inner.unionByName(rim).groupBy("id").agg(F.min("polygon").alias("polygon"))
+    return ids.select("id").join(first, "id", "left")
 
 
 def cross_tile_pairs(centroids: DataFrame, radius: float) -> DataFrame:

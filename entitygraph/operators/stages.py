@@ -870,18 +870,16 @@ def apply_stitch(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 
-def stitch_components(points: DataFrame, membership: DataFrame, panel: DataFrame, tile: float | None = None, least_gain: float = 0.0) -> DataFrame:
+def stitch_components(points: DataFrame, membership: DataFrame, panel: DataFrame, axes: tuple[str, ...] = ("x", "y"), least_gain: float = 0.0) -> DataFrame:
     """(component, stitched, gain): components of a pruned graph joined along neighbouring centres whose merge gains coherence.
 
-    ``tile`` triangulates within squares of that size, for more centres than one worker takes.
+    ``axes`` are those of the centres, two or three.
     """
     from entitygraph.operators.graph import component_delaunay
 
     p = points.join(membership, "id")
-    centres = p.groupBy("component").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    if tile is not None:
-        centres = centres.withColumn("tile", F.concat_ws("_", bin_of("x", tile), bin_of("y", tile)))
-    near = component_delaunay(centres, "tile" if tile is not None else None).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    centres = p.groupBy("component").agg(*(F.avg(c).alias(c) for c in axes))
+    near = component_delaunay(centres, axes).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
     sets = p.select(F.col("component").cast("string").alias("entity"), "feature").distinct()
     gains = settle(entity.component_delta_c(sets, near, panel).where(F.col("delta_c") >= least_gain), "gains")
     ends = gains.select(F.explode(F.array("a", "b")).alias("entity"), "delta_c").groupBy("entity").agg(F.max("delta_c").alias("gain"))

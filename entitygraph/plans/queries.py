@@ -601,6 +601,24 @@ def nearest_centroid(spark, d):
     return spatial_join.nearest_centroid(e, tiling.centroids(e, "entity").drop("n"), 4.0).select("src", "entity", rnd("d", "d"))
 
 
+# Diamonds between the extremes and means of the points of each tile of 8 by 8.
+DIAMONDS = """q AS (SELECT concat_ws('_', floor(x / 8)::bigint, floor(y / 8)::bigint) AS polygon, min(x) AS x0, max(x) AS x1, avg(x) AS xm, min(y) AS y0, max(y) AS y1, avg(y) AS ym FROM pts GROUP BY 1),
+    e AS (SELECT polygon, x0 AS ax, ym AS ay, xm AS bx, y1 AS by_ FROM q UNION ALL SELECT polygon, xm, y1, x1, ym FROM q UNION ALL SELECT polygon, x1, ym, xm, y0 FROM q UNION ALL SELECT polygon, xm, y0, x0, ym FROM q)"""
+
+
+@register(
+    "points_in_polygons",
+    f"""WITH {POINTS}, {DIAMONDS}, h AS (SELECT id, polygon FROM pts JOIN e ON (ay > y) <> (by_ > y) AND x < ax + (y - ay) * (bx - ax) / (by_ - ay) GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+    SELECT id, min(polygon) AS polygon FROM pts LEFT JOIN h USING (id) GROUP BY 1""",
+)
+def points_in_polygons(spark, d):
+    p = _points(spark, d).select("id", "x", "y")
+    tile = F.concat_ws("_", *(F.floor(F.col(c) / 8).cast("string") for c in "xy"))
+    q = p.groupBy(tile.alias("polygon")).agg(*(f(c).alias(f"{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max), ("m", F.avg))))
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return spatial_join.point_in_polygon(p, q.select("polygon", F.array(corner("x0", "ym"), corner("xm", "y1"), corner("x1", "ym"), corner("xm", "y0")).alias("ring")))
+
+
 @register("cross_tile_pairs", f"""WITH {POINTS}, c AS (SELECT cell AS entity, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY 1), t AS (SELECT *, floor(x) % 2 AS tile FROM c)
     SELECT a.entity AS a, b.entity AS b, {r(f"sqrt({D2})")} AS d FROM t a JOIN t b ON a.entity < b.entity AND a.tile <> b.tile AND {D2} <= 0.0625""")
 def cross_tile_pairs(spark, d):
@@ -695,15 +713,15 @@ def cc_summary(spark, d):
 
 @register("component_delaunay")
 def component_delaunay(spark, d):
-    c = tiling.centroids(_points(spark, d)).withColumnRenamed("entity", "component").withColumn("tile", F.concat_ws("_", F.floor(F.col("x") / 2), F.floor(F.col("y") / 2)))
-    return graph.component_delaunay(c, "tile")
+    near = graph.component_delaunay(tiling.centroids(_points(spark, d)).withColumnRenamed("entity", "component"))
+    return near.select("a", "b", rnd("length", "length"))
 
 
 @register("component_stitch")
 def component_stitch(spark, d):
     e = _featured(spark, d)
     reach = settle(graph.all_components(e, _edges(spark, d)), "reach")
-    return stages.stitch_components(e.drop("entity"), reach, _panel(spark, d), 10.0)
+    return stages.stitch_components(e.drop("entity"), reach, _panel(spark, d), ("x", "y", "z"))
 
 
 # An edge of a hull has all other points on its left, or on the line between its ends; a hull's vertices are its edges' first ends.

@@ -182,35 +182,34 @@ def test_hulls_of_a_dense_disc_equal_brute_force(spark):
         assert len(got["disc"]) == len(want) and set(got["disc"]) == want
 
 
-def test_hull_and_delaunay():
-    rng = np.random.default_rng(0)
-    p = rng.random((40, 2))
+def test_hull_holds_its_middle():
+    p = np.random.default_rng(0).random((40, 2))
     ring = graph.hull(p)
     assert spatial_join.inside(p.mean(0)[:1], p.mean(0)[1:], ring)[0]
-    edges = graph.delaunay(p)
-    inner = 3 * len(p) - 3 - len(ring)
-    assert len(edges) == inner
-    tri = [t for t in itertools.combinations(range(12), 3)]
-    q = p[:12]
-    want = set()
-    for t in tri:
-        a, b, c = q[list(t)]
-        d = 2 * (a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1]))
-        ux = ((a @ a) * (b[1] - c[1]) + (b @ b) * (c[1] - a[1]) + (c @ c) * (a[1] - b[1])) / d
-        uy = ((a @ a) * (c[0] - b[0]) + (b @ b) * (a[0] - c[0]) + (c @ c) * (b[0] - a[0])) / d
-        r = np.hypot(ux - a[0], uy - a[1])
-        if all(np.hypot(ux - x, uy - y) >= r - 1e-12 for k, (x, y) in enumerate(q) if k not in t):
-            want |= set(itertools.combinations(t, 2))
-    assert graph.delaunay(q) == want
-
-
-def test_mahalanobis_equals_numpy(spark):
-    rng = np.random.default_rng(4)
-    clouds = {e: rng.normal(k, 1 + k, (n, 3)) for k, (e, n) in enumerate([("a", 20), ("b", 15), ("c", 1)])}
-    rows = spark.createDataFrame([(i, e, *map(float, p)) for e, ps in clouds.items() for i, p in enumerate(ps)], "id long, entity string, x double, y double, z double")
-    cand = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
-    got = {(r.a, r.b): r.d for r in entity.mahalanobis(entity.moments(rows), cand).collect()}
-    assert got["a", "b"] == pytest.approx(kernels.mahalanobis(clouds["a"], clouds["b"])) and got["a", "c"] is None
+
+
+def test_component_delaunay_query_loses_no_edge(spark, sf_dir):
+    from entitygraph.plans import queries as Q
+
+    centres = tiling.centroids(Q._points(spark, sf_dir)).select("x", "y").distinct().toPandas().to_numpy(float)
+    assert Q.QUERIES["component_delaunay"](spark, sf_dir).count() == 3 * len(centres) - 3 - len(graph.hull(centres))
+
+
+@pytest.mark.parametrize("size", [None, 0.7, 50.0])
+def test_points_in_polygons_equal_rays_against_all(spark, size):
+    """Stars, a sliver, a polygon with level and upright sides, one across everything, and points on vertices and bin borders."""
+    rng = np.random.default_rng(1)
+    rings = {f"star{k}": [(cx + r * np.cos(t), cy + r * np.sin(t)) for t, r in zip(np.linspace(0, 6, 9), rng.uniform(0.2, 3, 9), strict=True)] for k, (cx, cy) in enumerate(rng.uniform(-5, 10, (15, 2)))}
+    rings |= {"box": [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)], "sliver": [(-6.0, -6.0), (12.0, 12.0), (12.0, 12.01)], "zall": [(-90.0, -90.0), (90.0, -90.0), (0.0, 120.0)], "two": [(0.0, 0.0), (1.0, 1.0)]}
+    at = np.concatenate([rng.uniform(-7, 13, (400, 2)), rng.integers(-5, 9, (150, 2)) * 0.5, [v for r in rings.values() for v in r]])
+    want = []
+    for x, y in at:
+        held = [n for n, r in rings.items() if len(r) > 2 and spatial_join.inside(np.array([x]), np.array([y]), np.array(r))[0]]
+        want.append(min(held, default=None))
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(-1, None, 1.0)], "id long, x double, y double")
+    polygons = spark.createDataFrame([(n, [{"x": float(x), "y": float(y)} for x, y in r]) for n, r in rings.items()] + [("none", None)], "polygon string, ring array<struct<x:double,y:double>>")
+    got = {r.id: r.polygon for r in spatial_join.point_in_polygon(points, polygons, size).collect()}
+    assert got.pop(-1) is None and [got[i] for i in range(len(at))] == want and len(set(want)) > 10
 
 
 def test_translation_and_partitions(cloud):
