@@ -7,12 +7,17 @@ denominator, ``absent="zero"`` counts it there.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
 from entitygraph.functions.scalars import relu_symmetric
-from entitygraph.functions.storage import broadcast_if_small
+from entitygraph.functions.storage import broadcast_if_small, settle
+from entitygraph.operators import kernels
 
 EPS = 1e-8
 
@@ -152,35 +157,72 @@ def pair_stats(sets: DataFrame, panel: DataFrame) -> DataFrame:
     return s.select("entity", "w_sum", "w_min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "n")
 
 
-def dz_stats(rows: DataFrame, entity: str = "entity", percentiles: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
-    """Per entity: pairs, mean, largest and percentiles (``dz_p``, in order of ``percentiles``) of differences in z.
-
-    The mean comes from sorted ranks: z_(i) enters the sum of differences 2i - n - 1 times, so an
-    entity of n rows costs a sort and not n^2 pairs.  Percentiles come from pairs of distinct values.
-    """
-    rank = F.row_number().over(Window.partitionBy(entity).orderBy("z", "id"))
-    r = rows.where(F.col("z").isNotNull()).withColumn("_i", rank)
-    n = F.count("*")
-    s = r.groupBy(F.col(entity).alias("entity")).agg(n.alias("n"), F.sum(2 * F.col("_i") * F.col("z")).alias("s"), F.sum("z").alias("t"), (F.max("z") - F.min("z")).alias("dz_max"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    s = s.where("n > 1").select("entity", pairs.cast("long").alias("n_pairs"), ((F.col("s") - (F.col("n") + 1) * F.col("t")) / pairs).alias("dz_mean"), "dz_max")
-    p = dz_counts(rows, entity, 2).groupBy("entity").agg(F.percentile("dz", F.array(*map(F.lit, percentiles)), F.col("n")).alias("dz_p"))
-    return s.join(p, "entity")
+def z_values(rows: DataFrame, entity: str = "entity", least: int = 5) -> DataFrame:
+    """(entity, z, c, n): an entity's distinct z in order, how often each occurs, and its rows; entities of fewer than ``least`` rows are left out."""
+    live = rows.where(F.col(entity).isNotNull() & F.col("z").isNotNull()).select(F.col(entity).alias("entity"), F.col("z").cast("double").alias("z"))
+    values = live.groupBy("entity", "z").agg(F.count("*").alias("c"))
+    row = values.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("z", "c"))).alias("v"), F.sum("c").alias("n")).where(F.col("n") >= max(2, least))
+    return row.select("entity", F.transform("v", lambda v: v.z).alias("z"), F.transform("v", lambda v: v.c).alias("c"), "n")
 
 
-def dz_counts(rows: DataFrame, entity: str = "entity", least: int = 5) -> DataFrame:
-    """(entity, dz, n): how many pairs of an entity's rows lie dz apart in z; entities of fewer than ``least`` rows are left out.
+def dz_stats(rows: DataFrame, entity: str = "entity", percentiles: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """Per entity: pairs, mean, largest and percentiles (``dz_p``, in order of ``percentiles``) of differences in z.
 
-    Distinct values of z are paired, weighted by their rows, and not the rows themselves.
+    Nothing is paired: percentiles are found by counting how many pairs differ by no more than a bound.
     """
-    live = rows.where(F.col(entity).isNotNull() & F.col("z").isNotNull()).select(F.col(entity).alias("entity"), F.col("z").cast("double").alias("z"))
-    values = live.groupBy("entity", "z").agg(F.count("*").alias("c"))
-    large = values.groupBy("entity").agg(F.sum("c").alias("n")).where(F.col("n") >= max(2, least))
-    values = values.join(large.select("entity"), "entity", "left_semi")
-    same = values.where("c > 1").select("entity", F.lit(0.0).alias("dz"), F.expr("c * (c - 1) div 2").alias("n"))
-    other = values.select("entity", F.col("z").alias("z2"), F.col("c").alias("c2"))
-    apart = values.join(other, "entity").where("z < z2").select("entity", (F.col("z2") - F.col("z")).alias("dz"), (F.col("c") * F.col("c2")).alias("n"))
-    return same.unionByName(apart).groupBy("entity", "dz").agg(F.sum("n").alias("n"))
+    kind = dict(rows.dtypes)[entity]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for name, z, c in f[["entity", "z", "c"]].itertuples(index=False):
+                top = np.array([z[-1] - z[0]])
+                n, s = kernels.differences_up_to(z, c, top)
+                places = [(int(n[0]) - 1) * q for q in percentiles]
+                ranks = sorted({int(r) for p in places for r in (np.floor(p), np.ceil(p))})
+                at = dict(zip(ranks, kernels.kth_differences(z, c, ranks), strict=True))
+                out.append((name, int(n[0]), s[0] / n[0], top[0], [at[int(p)] + (at[int(np.ceil(p))] - at[int(p)]) * (p - int(p)) for p in places]))
+            yield pd.DataFrame(out, columns=["entity", "n_pairs", "dz_mean", "dz_max", "dz_p"])
+
+    return z_values(rows, entity, 2).mapInPandas(run, f"entity {kind}, n_pairs long, dz_mean double, dz_max double, dz_p array<double>")
+
+
+#: Parts into which a span of differences is cut at a time.
+SPAN_PARTS = 64
+
+
+def difference_counts(values: DataFrame, spans: list[tuple[float, float]], parts: int = SPAN_PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """Over all entities of :func:`z_values`, for ``parts`` bounds up the way of each span: how many pairs differ by no more, and the sum of
+    their differences.  Executors add up what they hold; some rows a span reach the driver."""
+    bounds = np.concatenate([np.linspace(low, high, parts + 1)[1:] for low, high in spans])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s = np.zeros(len(bounds), np.int64), np.zeros(len(bounds))
+        for f in frames:
+            for z, c in f[["z", "c"]].itertuples(index=False):
+                more = kernels.differences_up_to(z, c, bounds)
+                n, s = n + more[0], s + more[1]
+        yield pd.DataFrame({"k": np.arange(len(bounds)), "n": n, "s": s})
+
+    found = values.select("z", "c").mapInPandas(run, "k int, n long, s double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("k").collect()
+    return np.array([r.n for r in found], np.int64).reshape(len(spans), -1), np.array([r.s for r in found], float).reshape(len(spans), -1)
+
+
+def pooled_differences(values: DataFrame, places: list[float], top: float, rounds: int = 8) -> list[float]:
+    """Differences at some places (from 0, between ranks by interpolation) among those of all pairs within entities, the largest being ``top``."""
+    ranks = sorted({int(r) for p in places for r in (np.floor(p), np.ceil(p))})
+    spans, below, at = [(0.0, top)] * len(ranks), [(0, 0.0)] * len(ranks), [0.0] * len(ranks)
+    for _ in range(rounds):
+        n, s = difference_counts(values, spans)
+        for i, rank in enumerate(ranks):
+            bounds = np.linspace(*spans[i], n.shape[1] + 1)
+            k = int(np.searchsorted(n[i], rank, "right"))
+            if k:
+                below[i] = int(n[i, k - 1]), float(s[i, k - 1])
+            at[i] = (s[i, k] - below[i][1]) / (n[i, k] - below[i][0])
+            spans[i] = float(bounds[k]), float(bounds[k + 1])
+    found = dict(zip(ranks, at, strict=True))
+    return [found[int(p)] + (found[int(np.ceil(p))] - found[int(p)]) * (p - int(p)) for p in places]
 
 
 def pooled_dz(rows: DataFrame, entity: str = "entity", at: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99), kinds: tuple[str, ...] | None = ("cell",), least: int = 5, etype: str = "etype") -> DataFrame:
@@ -189,15 +231,14 @@ def pooled_dz(rows: DataFrame, entity: str = "entity", at: tuple[float, ...] = (
     live = rows.where(~F.coalesce(F.col(entity) == "-1", F.lit(True)))
     if kinds is not None:
         live = live.where((F.col(etype) if etype in rows.columns else L.etype_of_label(entity)).isin(*kinds))
-    counts = dz_counts(live, entity, least)
-    return counts.agg(
-        F.percentile("dz", F.array(*map(F.lit, at)), F.col("n")).alias("p"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.count_distinct("entity").alias("n_entities"),
-        (F.sum(F.col("dz") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("dz", F.lit(0.5), F.col("n")).alias("median"),
-        F.max("dz").alias("max"),
-    )
+    values = settle(z_values(live, entity, least), "z-values", compact=True)
+    ends = values.agg(F.count("*").alias("e"), F.sum(F.expr("n * (n - 1) div 2")).alias("n"), F.max(F.element_at("z", -1) - F.element_at("z", 1)).alias("top")).first()
+    schema = "p array<double>, n long, n_entities long, mean double, median double, max double"
+    if not ends.e:
+        return rows.sparkSession.createDataFrame([(None, 0, 0, None, None, None)], schema)
+    found = pooled_differences(values, [(ends.n - 1) * q for q in (*at, 0.5)], ends.top)
+    total = difference_counts(values, [(0.0, ends.top)], 1)[1][0, 0]
+    return rows.sparkSession.createDataFrame([([float(v) for v in found[:-1]], ends.n, ends.e, float(total / ends.n), float(found[-1]), float(ends.top))], schema)
 
 
 def moments(rows: DataFrame, entity: str = "entity") -> DataFrame:

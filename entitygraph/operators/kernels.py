@@ -565,22 +565,84 @@ def z_modes(dz: np.ndarray, separation: float = 3.0, counts: np.ndarray | None =
     With two modes the bin is rounded down, to leave empty bins between them, else up; ``least`` at the least.
     """
     threshold, two = _z_threshold(dz, separation, counts)
-    size = np.nan if np.isnan(threshold) else max(least, float(np.floor(threshold) if two else np.ceil(threshold)))
-    return threshold, size, two
+    return threshold, z_bin(threshold, two, least), two
 
 
 def _z_threshold(dz: np.ndarray, separation: float, counts: np.ndarray | None) -> tuple[float, bool]:
     order = np.argsort(dz, kind="stable")
     dz = np.asarray(dz, float)[order]
     n = np.ones(len(dz), np.int64) if counts is None else np.asarray(counts, np.int64)[order]
-    if n.sum() < 4:
+    cut_at = mode_cut(dz, n, separation)
+    if cut_at is None:
         return (weighted_percentile(dz, n, 50) if len(dz) else np.nan), False
-    mean, sd, _ = two_modes(dz, counts=n)
+    return weighted_percentile(dz[dz <= cut_at], n[dz <= cut_at], 90), True
+
+
+def mode_cut(values: np.ndarray, counts: np.ndarray, separation: float = 3.0) -> float | None:
+    """Where two modes of sorted values that occur ``counts`` times part; None where they don't lie far apart."""
+    if counts.sum() < 4:
+        return None
+    mean, sd, _ = two_modes(values, counts=counts)
     pooled = np.sqrt((sd**2).mean())
-    if pooled > 0 and (mean[1] - mean[0]) / pooled >= separation:
-        cut = (mean[0] * sd[1] + mean[1] * sd[0]) / (sd[0] + sd[1])
-        return weighted_percentile(dz[dz <= cut], n[dz <= cut], 90), True
-    return weighted_percentile(dz, n, 50), False
+    return float((mean[0] * sd[1] + mean[1] * sd[0]) / (sd[0] + sd[1])) if pooled > 0 and (mean[1] - mean[0]) / pooled >= separation else None
+
+
+def z_bin(threshold: float, two: bool, least: float = 1.0) -> float:
+    """The bin in z that goes with a threshold: rounded down between two modes, to leave empty bins between them, else up."""
+    return np.nan if np.isnan(threshold) else max(least, float(np.floor(threshold) if two else np.ceil(threshold)))
+
+
+#: Cells of a table of values and bounds that is held at once.
+MOST_BOUNDS = 500_000
+#: Distinct values up to which their differences are simply listed.
+FEW_VALUES = 64
+
+
+def differences_up_to(z: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many pairs differ by no more than each bound, and the sum of their differences.
+
+    ``z`` are distinct values in order that occur ``c`` times each.  Pairs are counted by places in the running
+    counts, so their number never matters.
+    """
+    till, total = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0.0], np.cumsum(c * z)])
+    same, after = int((c * (c - 1) // 2).sum()), np.arange(1, len(z) + 1)
+    n, s = np.zeros(len(bounds), np.int64), np.zeros(len(bounds))
+    step = max(1, MOST_BOUNDS // max(1, len(z)))
+    for a in range(0, len(bounds), step):
+        bound = np.asarray(bounds[a : a + step], float)[:, None]
+        to = np.searchsorted(z, z + bound, "right")
+        # The difference itself decides, as the sum may be rounded either way.
+        to += (to < len(z)) & (z[np.minimum(to, len(z) - 1)] - z <= bound)
+        to -= z[to - 1] - z > bound
+        to = np.maximum(to, after)
+        met = till[to] - till[after]
+        n[a : a + step] = np.where(bound[:, 0] < 0, 0, same + (c * met).sum(1))
+        s[a : a + step] = (c * (total[to] - total[after] - z * met)).sum(1)
+    return n, s
+
+
+def kth_differences(z: np.ndarray, c: np.ndarray, ranks: list[int], parts: int = 16, rounds: int = 13) -> np.ndarray:
+    """The differences of pairs at some ranks (from 0) among all in order, by narrowing a span around each."""
+    if len(z) <= FEW_VALUES:
+        i, j = np.triu_indices(len(z), 1)
+        d, n = np.concatenate([np.zeros(len(z)), z[j] - z[i]]), np.concatenate([c * (c - 1) // 2, c[i] * c[j]])
+        order = np.argsort(d, kind="stable")
+        return d[order][np.searchsorted(np.cumsum(n[order]), ranks, "right")]
+    out = []
+    for rank in ranks:
+        low, high, below, below_s, value = None, float(z[-1] - z[0]), 0, 0.0, 0.0
+        for _ in range(rounds):
+            bounds = (low or 0.0) + (high - (low or 0.0)) * np.arange(1, parts + 1) / parts
+            bounds[-1] = high
+            n, s = differences_up_to(z, c, bounds)
+            k = int(np.searchsorted(n, rank, "right"))
+            if k:
+                low, below, below_s = float(bounds[k - 1]), int(n[k - 1]), float(s[k - 1])
+            high, value = float(bounds[k]), (s[k] - below_s) / (n[k] - below)
+            if n[k] - below == 1 or high <= (low or 0.0):
+                break
+        out.append(value)
+    return np.array(out)
 
 
 def density_floor(counts: np.ndarray, coverage: float = 0.65, hard_min: int = 2, radius: int = 1, ceiling: int | None = None) -> int:

@@ -268,6 +268,10 @@ def knn_split(rows: DataFrame, k: int = 5, trim: float = 0.1, least: int = 1) ->
     return spatial_split(rows, kept, least)
 
 
+#: Parts of the distances' range to which the modes are fitted.
+MODE_PARTS = 512
+
+
 def z_scale(rows: DataFrame, entities: int = 50, least: int = 5) -> float:
     """The usual distance in z within an entity, from all pairs of each of ``entities`` entities of ``least`` points or more.
 
@@ -281,9 +285,16 @@ def z_scales(rows: DataFrame, entities: int = 50, least: int = 5) -> tuple[float
     live = rows.where(~L.is_unassigned("entity") & F.col("z").isNotNull())
     large = live.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     chosen = large.select("entity").orderBy(F.xxhash64("entity"), "entity").limit(entities)
-    found = entity.dz_counts(live.join(F.broadcast(chosen), "entity"), "entity", least).groupBy("dz").agg(F.sum("n").alias("n")).orderBy("dz").toPandas()
-    dz, n = found["dz"].to_numpy(float), found["n"].to_numpy(np.int64)
-    return kernels.z_modes(dz, counts=n) if n.sum() >= 10 else (float("nan"), float("nan"), False)
+    values = settle(entity.z_values(live.join(F.broadcast(chosen), "entity"), "entity", least), "z-values", compact=True)
+    ends = values.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("n"), F.max(F.element_at("z", -1) - F.element_at("z", 1)).alias("top")).first()
+    if (ends.n or 0) < 10:
+        return float("nan"), float("nan"), False
+    # The modes are fitted to the means of narrow parts of the distances' range; percentiles are exact.
+    n, s = (np.diff(v[0], prepend=0) for v in entity.difference_counts(values, [(0.0, ends.top)], MODE_PARTS))
+    cut = kernels.mode_cut(s[n > 0] / n[n > 0], n[n > 0])
+    upto, at = (ends.n, 0.5) if cut is None else (int(entity.difference_counts(values, [(0.0, cut)], 1)[0][0, 0]), 0.9)
+    threshold = float(entity.pooled_differences(values, [(upto - 1) * at], ends.top)[0])
+    return threshold, float(kernels.z_bin(threshold, cut is not None)), cut is not None
 
 
 # --- rescue ---------------------------------------------------------------------------------------
