@@ -73,3 +73,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame
     ahead = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_ahead"))  # one row a part
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return placed.withColumn("_within", rank).join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col("_within")).drop("_part", "_within", "_ahead")
+
+
+def running_sum(df: DataFrame, order: list[str], column: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``column`` over all rows ahead in a total order, found range by range as in :func:`numbered`."""
+    placed = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "placed")
+    sums = placed.groupBy("_part").agg(F.sum(column).alias("_s"))
+    ahead = sums.select("_part", (F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_ahead"))  # one row a part
+    within = F.sum(column).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(column)
+    return placed.withColumn("_within", within).join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col("_within")).drop("_part", "_within", "_ahead")

@@ -1,15 +1,16 @@
-"""Agreement of two partitions of the same rows, from their contingency table."""
+"""Agreement of two partitions of the same rows, from their contingency table; values of contexts and what marks groups of them."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
-from entitygraph.functions.storage import broadcast_if_small, numbered, settle
+from entitygraph.functions.storage import broadcast_if_small, numbered, running_sum, settle
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -63,16 +64,20 @@ def information(table: DataFrame, beta: float = 1.0) -> DataFrame:
 
 
 def expected_information(a: dict[int, int], b: dict[int, int], n: int) -> float:
-    """Expected mutual information of random partitions with these class sizes (size -> number of classes)."""
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    """Expected mutual information of random partitions with these class sizes (size -> number of classes).
+
+    The overlap of two classes is hypergeometric; its terms are worked off in blocks.
+    """
+    log_fact = np.vectorize(lambda k: math.lgamma(k + 1), otypes=[float])
     out = 0.0
     for x, cx in a.items():
         for y, cy in b.items():
-            k = np.arange(max(1, x + y - n), min(x, y) + 1)
-            if not len(k):
-                continue
-            log_p = log_fact[x] + log_fact[y] + log_fact[n - x] + log_fact[n - y] - log_fact[n] - log_fact[k] - log_fact[x - k] - log_fact[y - k] - log_fact[n - x - y + k]
-            out += cx * cy * float((k / n * np.log(n * k / (x * y)) * np.exp(log_p)).sum())
+            first, last = max(1, x + y - n), min(x, y)
+            fixed = sum(math.lgamma(k + 1) for k in (x, y, n - x, n - y)) - math.lgamma(n + 1)
+            for k0 in range(first, last + 1, 1 << 16):
+                k = np.arange(k0, min(last, k0 + (1 << 16) - 1) + 1)
+                log_p = fixed - log_fact(k) - log_fact(x - k) - log_fact(y - k) - log_fact(n - x - y + k)
+                out += cx * cy * float((k / n * np.log(n * k / (x * y)) * np.exp(log_p)).sum())
     return out
 
 
@@ -167,3 +172,53 @@ def principal_components(counts: DataFrame, k: int = 2) -> DataFrame:
     dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("p", i), F.lit(0.0)))
     rows = rows.select("cell", array_to_vector(dense).alias("features"))
     return PCA(k=k, inputCol="features", outputCol="pc").fit(rows).transform(rows).select("cell", vector_to_array("pc").alias("pc"))
+
+
+def rank_markers(values: DataFrame, groups: DataFrame, tie_correct: bool = False) -> DataFrame:
+    """Features that mark groups of contexts, by Wilcoxon's rank sums: (grp, feature, score, p_value, p_adjusted, log_fold, share_in, share_out).
+
+    ``values`` is (cell, feature, value) with positive values alone, at most one a cell and feature; ``groups`` is
+    (cell, grp), one row a cell.  Zeros are counted and not stored: they share the lowest ranks.  Ties
+    take their mean rank.  The score is the normal deviate of a group's rank sum against all other cells, with
+    ``tie_correct`` under the variance that ties leave; p-values are two-sided and adjusted within
+    a group by Benjamini and Hochberg; ``log_fold`` compares mean values taken as log(1 + x).  Cells without a group and
+    values of other cells are left out; a group that holds all cells has null scores.
+    """
+    placed = groups.where("grp is not null")
+    held = values.where("value > 0").join(placed, "cell")
+    size = placed.groupBy("grp").agg(F.count("*").alias("n1"))
+    n = placed.agg(F.count("*").alias("n"))
+    # Ranks of distinct values: what lies ahead within the feature, found over ranges of all values.
+    counted = held.groupBy("feature", "value").agg(F.count("*").alias("c"))
+    ahead = settle(running_sum(counted, ["feature", "value"], "c", "before"), "ahead")
+    total = settle(ahead.groupBy("feature").agg(F.min("before").alias("start"), F.sum("c").alias("stored"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3)) - F.col("c")).alias("ties")), "stored", compact=True)
+    rank = ahead.join(broadcast_if_small(total.select("feature", "start")), "feature").select("feature", "value", (F.col("before") - F.col("start") + (F.col("c") + 1) / 2).alias("rank"))
+    own = held.groupBy("grp", "feature", "value").agg(F.count("*").alias("c")).join(rank, ["feature", "value"])
+    own = own.groupBy("grp", "feature").agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("k"), F.sum(F.col("c") * F.col("value")).alias("s"))
+    sums = held.groupBy("feature").agg(F.sum("value").alias("all_s"))
+    # Every group has a row for every feature: the result itself.
+    every = total.join(sums, "feature").join(F.broadcast(size), F.lit(True)).crossJoin(F.broadcast(n)).join(own, ["grp", "feature"], "left")
+    zeros, k = F.col("n") - F.col("stored"), F.coalesce("k", F.lit(0))
+    # Stored values rank above all zeros, which share the mean of the lowest ranks.
+    ranks = F.coalesce("r", F.lit(0.0)) + k * zeros + (F.col("n1") - k) * (zeros + 1) / 2
+    n2 = F.col("n") - F.col("n1")
+    spread = F.col("n") + 1.0
+    if tie_correct:
+        spread = spread - (F.col("ties") + F.pow(zeros.cast("double"), F.lit(3)) - zeros) / (F.col("n").cast("double") * (F.col("n") - 1))
+    deviation = F.sqrt(F.col("n1").cast("double") * n2 / 12 * spread)
+    s1 = F.coalesce("s", F.lit(0.0))
+    mean1, mean2 = s1 / F.col("n1"), (F.col("all_s") - s1) / n2
+    fold = F.log2((F.expm1(mean1) + 1e-9) / (F.expm1(mean2) + 1e-9))
+    out = every.select("grp", "feature", F.when((n2 > 0) & (deviation > 0), (ranks - F.col("n1") * (F.col("n") + 1) / 2) / deviation).alias("score"), F.when(n2 > 0, fold).alias("log_fold"), (k / F.col("n1")).alias("share_in"), F.when(n2 > 0, (F.col("stored") - k) / n2).alias("share_out"))
+
+    @F.pandas_udf("double")
+    def two_sided(score: pd.Series) -> pd.Series:
+        return score.map(lambda z: math.erfc(abs(z) / math.sqrt(2)), na_action="ignore").astype(float)
+
+    by = Window.partitionBy("grp").orderBy(F.desc("p_value"), "feature")
+    m = F.count("p_value").over(Window.partitionBy("grp"))
+    place = F.count("p_value").over(Window.partitionBy("grp").orderBy("p_value").rangeBetween(Window.unboundedPreceding, 0))
+    scored = settle(out.withColumn("p_value", two_sided("score")), "scored", compact=True, heavy=True)
+    raised = scored.withColumn("_q", F.when(F.col("p_value").isNotNull(), F.col("p_value") * m / place))
+    adjusted = F.least(F.min("_q").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
+    return raised.withColumn("p_adjusted", F.when(F.col("p_value").isNotNull(), adjusted)).select("grp", "feature", "score", "p_value", "p_adjusted", "log_fold", "share_in", "share_out")

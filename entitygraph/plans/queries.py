@@ -1074,6 +1074,25 @@ def metrics_summary(spark, d):
 COUNTS = "x AS (SELECT cell, feature, count(*) AS n FROM pts GROUP BY 1, 2), t AS (SELECT cell, sum(n) AS t FROM x GROUP BY 1)"
 
 
+@register(
+    "rank_markers",
+    f"""WITH {POINTS}, g AS (SELECT CAST(c_custkey AS VARCHAR) AS cell, c_mktsegment AS grp FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT cell FROM pts)), k AS (SELECT cell, feature, count(*) AS v FROM pts GROUP BY 1, 2),
+    d AS (SELECT g.cell, g.grp, f.feature, coalesce(v, 0) AS v FROM g CROSS JOIN (SELECT DISTINCT feature FROM pts) f LEFT JOIN k ON k.cell = g.cell AND k.feature = f.feature),
+    r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY feature, v) AS t, count(*) OVER (PARTITION BY feature) AS n FROM d),
+    q AS (SELECT feature, sum(CAST(t AS DOUBLE) * t - 1) AS ties, sum(v) AS s, sum((v > 0)::INT) AS st FROM r GROUP BY 1),
+    o AS (SELECT grp, feature, count(*) AS n1, sum(r) AS r, any_value(n) AS n, sum(v) AS s1, sum((v > 0)::INT) AS k1 FROM r GROUP BY 1, 2)
+    SELECT grp, feature, {r("(r - n1 * (n + 1) / 2) / sqrt(CAST(n1 AS DOUBLE) * (n - n1) / 12 * (n + 1 - ties / (CAST(n AS DOUBLE) * (n - 1))))")} AS score,
+      {r("log2((exp(s1 / n1) - 1 + 1e-9) / (exp((s - s1) / (n - n1)) - 1 + 1e-9))")} AS log_fold, {r("k1 / n1")} AS share_in, {r("(st - k1) / (n - n1)")} AS share_out FROM o JOIN q USING (feature)""",
+)
+def rank_markers(spark, d):
+    """Brands that mark the customers of a market segment, by their numbers of lines."""
+    counts = assoc.feature_counts(_points(spark, d)).withColumnRenamed("n", "value")
+    groups = read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("cell"), F.col("c_mktsegment").alias("grp"))
+    groups = groups.join(counts.select("cell").distinct(), "cell", "left_semi")
+    found = compare.rank_markers(counts, groups, tie_correct=True)
+    return found.select("grp", "feature", *(rnd(c, c) for c in ("score", "log_fold", "share_in", "share_out")))
+
+
 @register("normalized_log", f"WITH {POINTS}, {COUNTS} SELECT cell, feature, {r('ln(1 + n / t * 10000.0)')} AS value FROM x JOIN t USING (cell)")
 def normalized_log(spark, d):
     return compare.normalized_log(assoc.feature_counts(_points(spark, d))).select("cell", "feature", rnd("value", "value"))
