@@ -130,6 +130,9 @@ class StitchConfig:
     z_bin_um: float | None = 1.0
     z_depth: int = 1
     neighborhood: str = "8"
+    #: Where candidate pairs come from: bins that entities share or touch ("grid"), or the Delaunay neighbours of their centres ("delaunay").
+    source: str = "grid"
+    #: Greatest length of a Delaunay candidate.
     reach_um: float | None = 5.0
     witness_min: int = 3
     tau: float = 0.2
@@ -148,8 +151,17 @@ class StitchConfig:
     #: How many of these pairs must be nearer in z than ``close_dz``.
     close_dz: float | None = None
     close_n: int = 0
+    #: The gate on centres: "first" (it overrides the gain), "last" (where the gain fails) or None; see ``kernels.StitchRule``.
+    centre_gate: str | None = None
+    centre_k: int = 1
+    centre_flipped: bool = False
+    #: Greatest number of entities of a merger.
+    most_members: int | None = None
 
     def __post_init__(self) -> None:
+        _require(self.source in ("grid", "delaunay") and self.centre_gate in (None, "first", "last"), "sources are grid and delaunay, gates first and last")
+        _require((self.reach_um is None or self.reach_um > 0) and self.centre_k >= 1, "the reach is positive, the gate takes a point or more")
+        _require(self.most_members is None or self.most_members >= 2, "a merger has two members or more")
         _require(self.least_records == "min" or (not isinstance(self.least_records, str) and self.least_records >= 0), "least_records is a number or 'min'")
         _require(self.most_median_dz is None or self.most_median_dz >= 0, "distances in z are not negative")
         _require(self.close_n >= 0 and (self.close_dz is None or self.close_dz > 0), "close_dz is positive, close_n not negative")

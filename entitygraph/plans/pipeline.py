@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
 from entitygraph.functions.storage import settle
-from entitygraph.operators import assoc, graph, grid, kernels, stages
-from entitygraph.plans.config import PipelineConfig, RescueConfig
+from entitygraph.operators import assoc, graph, grid, kernels, stages, tiling
+from entitygraph.plans.config import PipelineConfig, RescueConfig, StitchConfig
 
 
 @dataclass
@@ -58,16 +58,32 @@ def _rescue(run: Run, name: str, passes: int, r: RescueConfig, panel: DataFrame,
             break
 
 
+def stitch_candidates(rows: DataFrame, s: StitchConfig, z_bin: float) -> DataFrame:
+    """(a, b) of the entities that may be stitched: those whose bins meet with enough points, or Delaunay neighbours within reach.
+
+    Delaunay candidates are those of the entities before any merger.  The gates on z hold for both.
+    """
+    index = grid.build_index(rows, s.bin_um, s.z_bin_um or z_bin)
+    if s.source == "delaunay":
+        centres = tiling.centroids(rows.where(~L.is_unassigned("entity")), "entity").withColumnRenamed("entity", "component")
+        near = graph.component_delaunay(centres, ("x", "y", "z"))
+        pairs = (near.where(F.col("length") <= s.reach_um) if s.reach_um is not None else near).select("a", "b")
+    else:
+        met = grid.witness_pairs(index, s.neighborhood, s.z_depth, s.witness_min, cap_at_size=True)
+        if s.least_records:
+            met = grid.supported(met, s.least_records, index)
+        pairs = met.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    return settle(grid.close_in_z(pairs, rows, s.most_median_dz, s.close_dz, s.close_n), "pairs")
+
+
 def _stitch(rows: DataFrame, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig, absent: str, z_bin: float) -> DataFrame:
     s = cfg.stitch
-    index = grid.build_index(rows, s.bin_um, s.z_bin_um or z_bin)
-    met = grid.witness_pairs(index, s.neighborhood, s.z_depth, s.witness_min, cap_at_size=True)
-    if s.least_records:
-        met = grid.supported(met, s.least_records, index)
-    pairs = settle(grid.close_in_z(met.select(F.col("lo").alias("a"), F.col("hi").alias("b")), rows, s.most_median_dz, s.close_dz, s.close_n), "pairs")
-    rule = kernels.StitchRule(s.least_gain, s.bypass, s.bypass_size, s.depth, s.tau, absent == "zero", s.rescue_floor, s.rescue_distance, s.penalized)
+    rule = kernels.StitchRule(
+        s.least_gain, s.bypass, s.bypass_size, s.depth, s.tau, absent == "zero", s.rescue_floor, s.rescue_distance, s.penalized,
+        most_members=s.most_members, centre_gate=s.centre_gate, centre_k=s.centre_k, flipped=s.centre_flipped,
+    )
     keep = assoc.housekeeping(table, s.housekeeping_tau) if s.housekeeping_tau is not None else None
-    return stages.apply_stitch(rows, settle(stages.stitch(rows, panel, pairs, rule, keep), "names"))
+    return stages.apply_stitch(rows, settle(stages.stitch(rows, panel, stitch_candidates(rows, s, z_bin), rule, keep), "names"))
 
 
 def _finish(run: Run, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig, absent: str, z_bin: float) -> None:

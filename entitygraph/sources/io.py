@@ -112,7 +112,8 @@ def write_json(value: object, path: str | Path) -> None:
 
 
 def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A report table of a small result."""
-    found = rows.limit(most).collect()
+    """A report table of a small result; of more than ``most`` rows, the last line says that some are left out."""
+    found = rows.limit(most + 1).collect()
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)])
+    lines = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found[:most]]
+    return "\n".join([head, *lines, *([f"(more than {most} rows; the rest is left out)"] if len(found) > most else [])])

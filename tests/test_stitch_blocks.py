@@ -143,3 +143,25 @@ def test_the_penalty_counts_features():
     w = np.full((4, 4), 0.5)
     a, b = kernels.Part(np.array([0, 1]), 1000, False, np.zeros((0, 3))), kernels.Part(np.array([1, 2]), 1000, False, np.zeros((0, 3)))
     assert kernels.Mergers([a, b], w, kernels.StitchRule()).gain(0, 1)[0] == pytest.approx(1 - 1 / 4 - (1 - 1 / 2))
+
+
+def test_candidates_from_delaunay_neighbours(spark):
+    from entitygraph.operators import delaunay
+    from entitygraph.plans import config, pipeline
+
+    rows, parts, _ = world(9, 40, 12.0)
+    df = spark.createDataFrame([*rows, (-1, "-1", "unknown", "g00", 1.0, 1.0, 0.0)], "id long, entity string, etype string, feature string, x double, y double, z double")
+    centres = np.array([p.cloud.mean for p in parts])
+    near = {tuple(sorted((k, int(j)))) for k in range(40) for j in delaunay.cell_of(centres[k], centres, 1e5)[0]}
+    want = {(a, b) for a, b in near if np.linalg.norm(centres[a] - centres[b]) <= 2.5}
+    got = pipeline.stitch_candidates(df, config.StitchConfig(source="delaunay", reach_um=2.5), 1.0).collect()
+    assert {(int(r.a[1:]), int(r.b[1:])) for r in got} == want and 20 < len(want) < len(near)
+
+
+def test_settings_of_gates():
+    from entitygraph.plans import config
+
+    assert config.StitchConfig().source == "grid" and config.StitchConfig().centre_gate is None
+    for bad in ({"source": "x"}, {"centre_gate": "x"}, {"centre_k": 0}, {"reach_um": 0}, {"most_members": 1}):
+        with pytest.raises(ValueError):
+            config.StitchConfig(**bad)
