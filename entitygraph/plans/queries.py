@@ -963,8 +963,11 @@ def group_components(spark, d):
 
 @register("stitch")
 def stitch(spark, d):
-    rows = _cloud(spark, d).withColumns({"entity": F.concat("cell", F.lit("-"), (F.col("id") % 4 + 1).cast("string")), "etype": F.lit("partial")})
-    pairs = grid.witness_pairs(grid.build_index(rows, 2.0, 2.0), "8", 1, 2).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    """All points, as partials of square blocks cut in z, stitched along bins that meet."""
+    cell = F.concat_ws("_", *(F.floor(F.col(c) / 2).cast("string") for c in "xy"))
+    rows = _points(spark, d).withColumns({"entity": F.concat(cell, F.lit("-"), (F.floor(F.col("z") / 3) + 1).cast("string")), "etype": F.lit("partial")})
+    rows = settle(rows.select("id", "entity", "etype", "feature", "x", "y", "z"), "blocks")
+    pairs = grid.witness_pairs(grid.build_index(rows, 2.0, 3.0), "8", 1, 2).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     return stages.stitch(rows, stages.Panel(_panel(spark, d)), settle(pairs, "pairs"))
 
 

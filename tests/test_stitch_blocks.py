@@ -165,3 +165,33 @@ def test_settings_of_gates():
     for bad in ({"source": "x"}, {"centre_gate": "x"}, {"centre_k": 0}, {"reach_um": 0}, {"most_members": 1}):
         with pytest.raises(ValueError):
             config.StitchConfig(**bad)
+
+
+def test_stitch_query_equals_one_walk(spark, sf_dir):
+    """Entities, candidates and mergers of the registered query restated on the driver."""
+    from collections import defaultdict
+
+    from entitygraph.plans import queries as Q
+
+    held = defaultdict(list)
+    for r in sorted(Q._points(spark, sf_dir).collect(), key=lambda r: r.id):
+        held[f"{int(r.x // 2)}_{int(r.y // 2)}-{int(r.z // 3) + 1}"].append(r)
+    names = sorted(held)
+    at = {n: k for k, n in enumerate(names)}
+    panel = Q._panel(spark, sf_dir).collect()
+    code = {g: k for k, g in enumerate(sorted({g for r in panel for g in (r.gi, r.gj)}))}
+    w = np.full((len(code), len(code)), np.nan)
+    for r in panel:
+        w[code[r.gi], code[r.gj]] = w[code[r.gj], code[r.gi]] = r.w
+    parts = [kernels.Part(np.unique([code[r.feature] for r in held[n] if r.feature in code]).astype(int), len(held[n]), False, np.array([(r.x, r.y, r.z) for r in held[n]], float)) for n in names]
+    place = {tuple(map(int, n.replace("-", "_").split("_"))): n for n in names}
+    pairs = [(at[n], at[place[q]]) for p, n in place.items() for dx, dy, dz in itertools.product((-1, 0, 1), repeat=3) if (q := (p[0] + dx, p[1] + dy, p[2] + dz)) in place and place[q] > n and min(len(held[n]), len(held[place[q]])) >= 2]
+    root = kernels.stitch(parts, pairs, w, kernels.StitchRule())
+    want = defaultdict(set)
+    for k in {k for p in pairs for k in p}:
+        want[root[k]].add(names[k])
+    got = defaultdict(set)
+    for r in Q.QUERIES["stitch"](spark, sf_dir).collect():
+        got[r.stitched].add(r.entity)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert sum(len(g) > 1 for g in got.values()) > 50
