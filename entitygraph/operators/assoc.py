@@ -277,6 +277,50 @@ def pmi_bootstrap(obs: DataFrame, metric: str = "npmi", least: int = 2, evidence
     return panel, full, kinds.groupBy("kind").agg(F.count("*").alias("n_pairs"))
 
 
+def filter_drops(obs: DataFrame, excluded: tuple[str, ...] = NO_CONTEXT, nuclear: bool = False, nuclear_column: str = "nuclear", sizes: tuple[float, float] | None = None, cell: str = "cell") -> DataFrame:
+    """One row: how many rows :func:`usable_contexts` reads, drops at each step, and keeps; from one aggregate by context."""
+    flag = as_flag(nuclear_column, dict(obs.dtypes)[nuclear_column]) if nuclear else F.lit(True)
+    per = obs.groupBy(F.col(cell).alias("cell")).agg(F.count("*").alias("rows"), F.sum(flag.cast("int")).alias("size"))
+    named = F.col("cell").isNotNull() & ~F.col("cell").isin(*excluded) if excluded else F.lit(True)
+    per = per.withColumn("named", F.coalesce(named, F.lit(False)))
+    live = F.when(F.col("named") & (F.col("size") > 0), F.col("size"))
+    low, high = sizes or (0.0, 1.0)
+    band = per.agg(F.percentile(live, F.array(F.lit(low), F.lit(high))).alias("p"))
+    inside = F.lit(True) if sizes is None else F.col("size").between(F.col("p")[0], F.col("p")[1])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    of = lambda c, v: F.when(c, v).otherwise(0)
+    return per.crossJoin(F.broadcast(band)).agg(
+        total("rows").alias("n_input_rows"),
+        total(of(~F.col("named"), F.col("rows"))).alias("n_dropped_excluded"),
+        total(of(F.col("named"), F.col("rows") - F.col("size"))).alias("n_dropped_nuclear"),
+        total(of(F.col("named") & ~inside, F.col("size"))).alias("n_dropped_percentile"),
+        total(of(F.col("named") & inside, F.col("size"))).alias("n_kept_rows"),
+    )
+
+
+def bootstrap_diagnostics(full: DataFrame, kinds: DataFrame, drops: DataFrame, metric: str = "npmi", tau: float | tuple[float, float] = 0.05, evidence: float = 10, refine: int = 500, subsample: int | None = None) -> DataFrame:
+    """One row that tells of a bootstrap: pairs of every kind and of kinds together, when pairs settled, its settings, and the rows dropped before.
+
+    ``full`` and ``kinds`` are the pairs and the numbers of kinds of :func:`pmi_bootstrap`, ``drops`` is that of
+    :func:`filter_drops`.  ``settled_at_hist`` counts settled pairs by their draws, in buckets of ``refine``.
+    """
+    low, high = (tau, tau) if isinstance(tau, (int, float)) else tau
+    number = lambda *names: F.coalesce(F.sum(F.when(F.col("kind").isin(*names), F.col("n_pairs"))), F.lit(0)).cast("long")
+    single = {f"n_{k}": (k,) for k in ("neg_one", "indeterminate", "low_evidence", "legacy_only", "pos_strong", "pos_weak", "neg_strong", "neg_weak", "tight_null", "unsettled")}
+    joint = {"n_dead_zone_only": ("dead_zone",), "n_dead_zone": ("tight_null", "dead_zone"), "n_pos": ("pos_strong", "pos_weak"), "n_neg": ("neg_strong", "neg_weak")}
+    counted = kinds.agg(*(number(*v).alias(k) for k, v in {**single, **joint}.items()))
+    drawn = full.where(F.col("n_draws").isNotNull()).groupBy("n_draws", (F.col("kind") != "unsettled").alias("settled")).agg(F.count("*").alias("c"))
+    most = drawn.agg(F.coalesce(F.max("n_draws"), F.lit(0)).cast("long").alias("total_bootstraps_run"))
+    # The last bucket holds its upper end too.
+    last = F.ceil((F.col("total_bootstraps_run") + refine) / refine) - 2
+    bucket = (F.least(F.floor(F.col("n_draws") / refine), last) + 1) * refine
+    settled = drawn.where("settled").crossJoin(F.broadcast(most)).groupBy(F.concat(F.lit("<="), bucket.cast("string")).alias("b")).agg(F.sum("c").alias("c"))
+    hist = settled.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("b", "c")))).alias("settled_at_hist"))
+    size = F.lit(subsample).cast("long").alias("subsample_size")
+    settings = [size, F.lit(float(evidence)).alias("min_expected_cooccur_for_evidence"), F.lit(metric).alias("metric"), F.lit(float(low)).alias("tau_low"), F.lit(float(high)).alias("tau_high"), F.lit(low != high).alias("is_dual_tau")]
+    return counted.crossJoin(most).crossJoin(hist).crossJoin(drops).select("*", *settings)
+
+
 # --- panels -------------------------------------------------------------------------------------
 
 

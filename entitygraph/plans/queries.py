@@ -255,6 +255,26 @@ def pmi_panel(spark, d):
     return assoc.pmi_bootstrap(_points(spark, d))[0]
 
 
+@register(
+    "bootstrap_diagnostics",
+    f"""WITH {POINTS}, l AS (SELECT label AS cell, feature, nuclear FROM pts), u AS (SELECT cell, feature FROM l WHERE cell <> '-1' AND nuclear), sz AS (SELECT cell, count(*) AS s FROM u GROUP BY 1),
+    kp AS (SELECT cell, feature FROM u JOIN sz USING (cell) WHERE s BETWEEN (SELECT quantile_cont(s, 0.2) FROM sz) AND (SELECT quantile_cont(s, 0.8) FROM sz)), pres AS (SELECT cell, feature FROM kp GROUP BY 1, 2 HAVING count(*) >= 2),
+    m AS (SELECT feature, count(*) AS k FROM pres GROUP BY 1), n AS (SELECT count(DISTINCT cell) AS n FROM pres), co AS (SELECT a.feature AS gi, b.feature AS gj, count(*) AS c FROM pres a JOIN pres b ON a.cell = b.cell AND a.feature < b.feature GROUP BY 1, 2),
+    e AS (SELECT coalesce(c, 0) AS k, CAST(a.k AS DOUBLE) * b.k / n AS x FROM m a JOIN m b ON a.feature < b.feature CROSS JOIN n LEFT JOIN co ON gi = a.feature AND gj = b.feature)
+    SELECT count(*) FILTER (k = 0 AND x >= 10) AS n_neg_one, count(*) FILTER (k = 0 AND x < 10) AS n_indeterminate, count(*) FILTER (k > 0 AND greatest(k, x) < 10) AS n_low_evidence, count(*) FILTER (k > 0 AND greatest(k, x) >= 10) AS n_drawn, 0 AS n_legacy_only,
+      (SELECT count(*) FROM l) AS n_input_rows, (SELECT count(*) FROM l WHERE cell = '-1') AS n_dropped_excluded, (SELECT count(*) FROM l WHERE cell <> '-1' AND NOT nuclear) AS n_dropped_nuclear,
+      (SELECT count(*) FROM u) - (SELECT count(*) FROM kp) AS n_dropped_percentile, (SELECT count(*) FROM kp) AS n_kept_rows FROM e""",
+)
+def bootstrap_diagnostics(spark, d):
+    """What does not hang on draws, over nuclear lines of customers of usual size."""
+    obs = _points(spark, d).withColumn("cell", F.col("label"))
+    _, full, kinds = assoc.pmi_bootstrap(obs, nuclear=True, sizes=(0.2, 0.8))
+    found = assoc.bootstrap_diagnostics(settle(full, "full", compact=True), settle(kinds, "kinds", compact=True), assoc.filter_drops(obs, nuclear=True, sizes=(0.2, 0.8)))
+    drawn = F.col("n_pos") + F.col("n_neg") + F.col("n_dead_zone") + F.col("n_unsettled")
+    names = ["n_neg_one", "n_indeterminate", "n_low_evidence", "n_legacy_only", "n_input_rows", "n_dropped_excluded", "n_dropped_nuclear", "n_dropped_percentile", "n_kept_rows"]
+    return found.select(drawn.cast("long").alias("n_drawn"), *(lng(c) for c in names))
+
+
 # --- filters, labels, bins -------------------------------------------------------------------------
 
 

@@ -126,3 +126,23 @@ def test_stream_counts(spark, tmp_path):
     batch = cooccurrence.feature_counts(events)
     assert done.count() > 0 and done.exceptAll(batch).count() == 0
     assert cooccurrence.window_pairs(done).count() > 0
+
+
+def test_diagnostics_of_a_bootstrap(spark):
+    """Kinds, buckets and drops literally; the steps of the filter against the filter itself."""
+    full = [("a", "b", "pos_strong", 200), ("a", "c", "neg_weak", 1000), ("b", "c", "dead_zone", 1000), ("b", "d", "tight_null", 700), ("c", "d", "unsettled", 1000), ("a", "d", "legacy_only", None)]
+    full = spark.createDataFrame(full, "gi string, gj string, kind string, n_draws int")
+    kinds = full.groupBy("kind").count().withColumnRenamed("count", "n_pairs").unionByName(spark.createDataFrame([("neg_one", 4), ("indeterminate", 9)], "kind string, n_pairs long"))
+    rows = [(f"c{c}", "g", bool(i % 2)) for c in range(8) for i in range(c + 1)] + [("-1", "g", True)] * 3 + [(None, "g", True)]
+    obs = spark.createDataFrame(rows, "cell string, feature string, nuclear boolean")
+    drops = assoc.filter_drops(obs, nuclear=True, sizes=(0.2, 0.8))
+    r = assoc.bootstrap_diagnostics(full, kinds, drops, tau=(0.05, 0.2), subsample=None).first()
+    assert (r.n_pos, r.n_pos_strong, r.n_pos_weak, r.n_neg, r.n_neg_weak, r.n_dead_zone, r.n_dead_zone_only, r.n_tight_null, r.n_unsettled) == (1, 1, 0, 1, 1, 2, 1, 1, 1)
+    assert (r.n_neg_one, r.n_indeterminate, r.n_legacy_only, r.n_low_evidence) == (4, 9, 1, 0)
+    assert r.settled_at_hist == {"<=500": 1, "<=1000": 3} and r.total_bootstraps_run == 1000
+    assert (r.metric, r.tau_low, r.tau_high, r.is_dual_tau, r.subsample_size, r.min_expected_cooccur_for_evidence) == ("npmi", 0.05, 0.2, True, None, 10.0)
+    kept = assoc.usable_contexts(obs, nuclear=True, sizes=(0.2, 0.8)).count()
+    assert (r.n_input_rows, r.n_dropped_excluded, r.n_dropped_nuclear, r.n_kept_rows) == (40, 4, sum(not n for c, _, n in rows if c and c != "-1"), kept)
+    assert r.n_dropped_percentile == 40 - 4 - r.n_dropped_nuclear - kept and len(r.asDict()) >= 25
+    none = assoc.bootstrap_diagnostics(full.limit(0), kinds.limit(0), assoc.filter_drops(obs.limit(0))).first()
+    assert (none.n_pos, none.total_bootstraps_run, none.settled_at_hist, none.n_input_rows) == (0, 0, {}, 0)
