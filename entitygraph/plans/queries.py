@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from entitygraph.functions import labels as L
 from entitygraph.functions import scalars as S
 from entitygraph.functions.storage import read_table, settle
-from entitygraph.operators import assoc, compare, entity, graph, grid, kernels, spatial_join, stages, tiling
+from entitygraph.operators import assoc, compare, entity, graph, grid, kernels, permutation, spatial_join, stages, tiling
 from entitygraph.plans import pipeline
 from entitygraph.sources import adapters
 from entitygraph.streaming import cooccurrence
@@ -1116,6 +1116,15 @@ def rank_markers(spark, d):
     return found.select("grp", "feature", *(rnd(c, c) for c in ("score", "log_fold", "share_in", "share_out")))
 
 
+@register("pair_permutation")
+def pair_permutation(spark, d):
+    """Pairs of brands between market segments, by their numbers of lines per customer."""
+    counts = assoc.feature_counts(_points(spark, d)).withColumnRenamed("n", "value")
+    groups = read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("cell"), F.col("c_mktsegment").alias("grp"))
+    pairs = _panel(spark, d).select(F.col("gi").alias("a"), F.col("gj").alias("b"))
+    return permutation.permutation_test(counts, groups.join(counts.select("cell").distinct(), "cell", "left_semi"), pairs)
+
+
 @register("normalized_log", f"WITH {POINTS}, {COUNTS} SELECT cell, feature, {r('ln(1 + n / t * 10000.0)')} AS value FROM x JOIN t USING (cell)")
 def normalized_log(spark, d):
     return compare.normalized_log(assoc.feature_counts(_points(spark, d))).select("cell", "feature", rnd("value", "value"))
