@@ -44,9 +44,9 @@ def summary(cells: DataFrame) -> DataFrame:
 
 
 def write_by_tile(table: DataFrame, path: str, some: bool) -> None:
-    """Replace the tiles of ``table`` only (``some``), or everything."""
+    """Replace the tiles of ``table`` only (``some``), or everything; a crowded tile is written by several tasks."""
     mode = "dynamic" if some else "static"
-    table.repartition("tile").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("tile").parquet(path)
+    table.repartitionByRange("tile", *(c for c in ("entity", "band") if c in table.columns)).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("tile").parquet(path)
 
 
 def run(spark: SparkSession, tables: str, out: str, config: Mapping[str, Any] | None = None) -> dict[str, int]:

@@ -107,7 +107,8 @@ def run(spark: SparkSession, documents: str, vocabulary: str, out: str, checkpoi
 
     def add(batch: DataFrame, number: int) -> None:
         # A batch that is repeated after a failure has its number again and replaces its counts.
-        counts(batch, known).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/counts/batch={number}")
+        # The aggregation keeps its partitions; its few rows make one file.
+        counts(batch, known).repartition(1).write.mode("overwrite").parquet(f"{checkpoint}/counts/batch={number}")
         took["batches"] += 1
 
     docs = spark.readStream.schema(spark.read.parquet(documents).schema).option("maxFilesPerTrigger", c["files_per_batch"]).option("maxFileAge", ANY_AGE).parquet(folder_or_file(documents))

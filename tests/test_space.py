@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entitygraph.operators import entity, graph, grid, kernels, spatial_join, stages, tiling
+from entitygraph.operators import graph, grid, spatial_join, tiling
 from entitygraph.operators.components import components
 from entitygraph.sources import synthetic
 
