@@ -1,9 +1,7 @@
-"""Tiles: assignment of entities and points, balanced partitions, chunks and outlines."""
+"""Tiles: assignment of entities and points, balanced partitions, chunks."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,32 +68,3 @@ def disambiguate(rows: DataFrame, tile: str = "tile", label: str = "entity") ->
     """Labels that pipelines number anew in each tile get the tile as prefix."""
     own = F.col(label).startswith("cascade_") | F.col(label).startswith("UNASSIGNED_")
     return rows.withColumn(label, F.when(own, F.concat(F.lit("tile"), F.col(tile), F.lit("_"), F.col(label))).otherwise(F.col(label)))
-
-
-def footprint(rows: DataFrame, size: float, entity: str = "entity") -> DataFrame:
-    """(entity, bx, by) of the occupied bins of each entity, with all empty bins that they enclose on four sides filled.
-
-    The empty bins of an entity's box are flooded from its rim; what stays dry is enclosed.  One worker holds one entity's bins.
-    """
-    bins = rows.select(F.col(entity).alias("entity"), F.floor(F.col("x") / size).cast("int").alias("bx"), F.floor(F.col("y") / size).cast("int").alias("by")).distinct()
-
-    def fill(f: pd.DataFrame) -> pd.DataFrame:
-        x, y = f["bx"].to_numpy(), f["by"].to_numpy()
-        full = np.zeros((int(np.ptp(x)) + 3, int(np.ptp(y)) + 3), bool)
-        full[x - x.min() + 1, y - y.min() + 1] = True
-        wet = np.ones_like(full)
-        wet[1:-1, 1:-1] = False
-        while True:
-            more = wet.copy()
-            more[1:] |= wet[:-1]
-            more[:-1] |= wet[1:]
-            more[:, 1:] |= wet[:, :-1]
-            more[:, :-1] |= wet[:, 1:]
-            more &= ~full
-            if (more == wet).all():
-                break
-            wet = more
-        i, j = np.nonzero(~wet)
-        return pd.DataFrame({"entity": f["entity"].iloc[0], "bx": (i + x.min() - 1).astype(np.int32), "by": (j + y.min() - 1).astype(np.int32)})
-
-    return bins.groupBy("entity").applyInPandas(fill, f"entity {dict(bins.dtypes)['entity']}, bx int, by int")

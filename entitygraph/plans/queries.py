@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from entitygraph.functions import labels as L
 from entitygraph.functions import scalars as S
 from entitygraph.functions.storage import read_table, settle
-from entitygraph.operators import assoc, compare, entity, graph, grid, kernels, permutation, spatial_join, stages, tiling
+from entitygraph.operators import assoc, compare, entity, footprints, graph, grid, kernels, permutation, spatial_join, stages, tiling
 from entitygraph.plans import pipeline
 from entitygraph.sources import adapters
 from entitygraph.streaming import cooccurrence
@@ -1181,7 +1181,36 @@ def balanced_partition(spark, d):
     t AS (SELECT entity, bx, by_ FROM f WHERE bx IN (x0, x1) OR by_ IN (y0, y1) UNION SELECT f.entity, f.bx, f.by_ FROM t, o, f WHERE f.entity = t.entity AND f.bx = t.bx + dx AND f.by_ = t.by_ + dy)
     SELECT entity, CAST(bx AS INT) AS bx, CAST(by_ AS INT) AS "by" FROM a LEFT JOIN t USING (entity, bx, by_) WHERE t.entity IS NULL""")
 def footprint(spark, d):
-    return tiling.footprint(_emb(spark, d), 1.0)
+    return footprints.footprint(_emb(spark, d), 1.0)
+
+
+# Parts by reach over sides; links join the tree's parts and the rest by the smallest (d, lo, hi), one part a turn;
+# lines step along the longer axis; then empty bins that the rim does not reach are holes.
+@register("footprint_density", f"""WITH RECURSIVE {POINTS}, b AS (SELECT cell AS entity, CAST(floor(x / 8.0) AS INT) AS bx, CAST(floor(y / 8.0) AS INT) AS by_, count(*) AS n FROM pts GROUP BY ALL),
+    o AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)),
+    rc AS (SELECT entity, bx, by_, bx AS px, by_ AS py FROM b UNION SELECT b.entity, b.bx, b.by_, px, py FROM rc, o, b WHERE b.entity = rc.entity AND b.bx = rc.bx + dx AND b.by_ = rc.by_ + dy),
+    p AS (SELECT entity, bx, by_, min(px * 1000 + py) AS part FROM rc GROUP BY 1, 2, 3),
+    pe AS (SELECT u.entity, u.part AS pa, v.part AS pb, abs(u.bx - v.bx) + abs(u.by_ - v.by_) AS d, u.bx AS lx, u.by_ AS ly, v.bx AS hx, v.by_ AS hy
+      FROM p u JOIN p v ON u.entity = v.entity AND u.part <> v.part AND (u.bx, u.by_) < (v.bx, v.by_)),
+    tree AS (SELECT entity, [min(part)] AS inside, NULL::STRUCT(d INT, lx INT, ly INT, hx INT, hy INT, pa BIGINT, pb BIGINT) AS e FROM p GROUP BY 1 UNION ALL
+      SELECT entity, list_append(inside, CASE WHEN list_contains(inside, e.pa) THEN e.pb ELSE e.pa END), e
+      FROM (SELECT t.entity, t.inside, min(struct_pack(d := d, lx := lx, ly := ly, hx := hx, hy := hy, pa := pa, pb := pb)) AS e
+        FROM tree t JOIN pe ON pe.entity = t.entity AND list_contains(inside, pa) <> list_contains(inside, pb) GROUP BY 1, 2)),
+    l AS (SELECT entity, e.lx AS lx, e.ly AS ly, e.hx - e.lx AS dx, e.hy - e.ly AS dy, greatest(abs(e.hx - e.lx), abs(e.hy - e.ly)) AS n, least(abs(e.hx - e.lx), abs(e.hy - e.ly)) AS m FROM tree WHERE e IS NOT NULL),
+    k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM l), ln AS (SELECT *, CAST(ceil((2 * k * m - n) / (2.0 * n)) AS INT) AS s FROM k),
+    br AS (SELECT DISTINCT entity, CAST(lx + sign(dx) * CASE WHEN abs(dx) = n THEN k ELSE s END AS INT) AS bx, CAST(ly + sign(dy) * CASE WHEN abs(dy) = n THEN k ELSE s END AS INT) AS by_ FROM ln),
+    w AS (SELECT entity, bx, by_, 'raw' AS kind FROM b UNION ALL SELECT br.*, 'bridge' FROM br ANTI JOIN b USING (entity, bx, by_)),
+    ex AS (SELECT entity, min(bx) - 1 AS x0, max(bx) + 1 AS x1, min(by_) - 1 AS y0, max(by_) + 1 AS y1 FROM w GROUP BY 1),
+    a AS (SELECT entity, x0, x1, y0, y1, bx, unnest(range(y0, y1 + 1)) AS by_ FROM (SELECT *, unnest(range(x0, x1 + 1)) AS bx FROM ex)),
+    f AS (SELECT a.* FROM a ANTI JOIN w USING (entity, bx, by_)),
+    t AS (SELECT entity, bx, by_ FROM f WHERE bx IN (x0, x1) OR by_ IN (y0, y1) UNION SELECT f.entity, f.bx, f.by_ FROM t, o, f WHERE f.entity = t.entity AND f.bx = t.bx + dx AND f.by_ = t.by_ + dy),
+    h AS (SELECT entity, count(*) AS n_hole FROM f ANTI JOIN t USING (entity, bx, by_) GROUP BY 1),
+    q AS (SELECT entity, sum(n) AS n_points, count(*) AS n_raw FROM b GROUP BY 1), g AS (SELECT entity, count(*) AS n_bridge FROM w WHERE kind = 'bridge' GROUP BY 1)
+    SELECT entity, CAST(n_points AS BIGINT) AS n_points, n_raw, coalesce(n_bridge, 0) AS n_bridge, coalesce(n_hole, 0) AS n_hole, n_raw + coalesce(n_bridge, 0) + coalesce(n_hole, 0) AS n_filled,
+      {r("n_points / (n_raw + coalesce(n_bridge, 0) + coalesce(n_hole, 0))")} AS density FROM q LEFT JOIN g USING (entity) LEFT JOIN h USING (entity)""")
+def footprint_density(spark, d):
+    s = footprints.footprint_density(_points(spark, d), 8.0, "cell")
+    return s.select("entity", "n_points", "n_raw", "n_bridge", "n_hole", "n_filled", rnd("density", "density"))
 
 
 @register("event_pairs", """WITH c AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, user_id AS u, event_type AS f FROM events GROUP BY ALL)
