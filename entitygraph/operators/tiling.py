@@ -27,17 +27,20 @@ def interior(x: str, y: str, bounds: tuple[str, str, str, str], buffer: float) -
     return F.least(F.col(x) - x0, x1 - F.col(x), F.col(y) - y0, y1 - F.col(y)) >= buffer
 
 
+def z_order(centres: DataFrame) -> DataFrame:
+    """Centres with ``_z``: the place of their cell on a Z-order curve over 2^10 by 2^10 cells of their extent."""
+    box = centres.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    scaled = lambda c: F.least(F.coalesce(F.floor((F.col(c) - F.col(f"{c}0")) / F.nullif(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(0.0)) * 1024), F.lit(0)), F.lit(1023)).cast("long")
+    bits = lambda v, shift: sum((F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + shift) for k in range(10)), F.lit(0).cast("long"))
+    return centres.crossJoin(F.broadcast(box)).withColumn("_z", bits(scaled("x"), 0) + bits(scaled("y"), 1)).drop("x0", "x1", "y0", "y1")
+
+
 def balanced_partition(centres: DataFrame, parts: int) -> DataFrame:
     """Centres with ``part``: equal numbers along a Z-order curve of 2^10 by 2^10 cells, so parts are compact.
 
-    It is not the minimal cut of a neighbour graph.
+    Edges are not looked at; :func:`entitygraph.operators.cuts.min_cut_partition` does.
     """
-    box = centres.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    scaled = lambda c: F.least(F.coalesce(F.floor((F.col(c) - F.col(f"{c}0")) / F.nullif(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(0.0)) * 1024), F.lit(0)), F.lit(1023)).cast("long")
-    bits = lambda v, shift: sum((F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + shift) for k in range(10)), F.lit(0).cast("long"))
-    z = bits(scaled("x"), 0) + bits(scaled("y"), 1)
-    keyed = centres.crossJoin(F.broadcast(box)).withColumn("_z", z).drop("x0", "x1", "y0", "y1")
-    placed = numbered(keyed, ["_z", "entity"], "_r")
+    placed = numbered(z_order(centres), ["_z", "entity"], "_r")
     total = centres.agg(F.count("*").alias("_total"))
     return placed.crossJoin(F.broadcast(total)).withColumn("part", F.floor(F.col("_r") * parts / F.col("_total")).cast("int")).drop("_z", "_r", "_total")
 

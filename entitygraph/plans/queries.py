@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from entitygraph.functions import labels as L
 from entitygraph.functions import scalars as S
 from entitygraph.functions.storage import read_table, settle
-from entitygraph.operators import assoc, compare, entity, footprints, graph, grid, kernels, permutation, spatial_join, stages, tiling
+from entitygraph.operators import assoc, compare, cuts, entity, footprints, graph, grid, kernels, permutation, spatial_join, stages, tiling
 from entitygraph.plans import pipeline
 from entitygraph.sources import adapters
 from entitygraph.streaming import cooccurrence
@@ -1173,6 +1173,14 @@ def balanced_partition(spark, d):
     return tiling.balanced_partition(tiling.centroids(_points(spark, d)), 8).select("entity", "part")
 
 
+@register("min_cut_partition")
+def min_cut_partition(spark, d):
+    """Blocks of space in eight parts that cut little of the weight between them, the points that meet in neighbouring bins."""
+    rows = settle(_blocks(spark, d).select("id", F.col("cell").alias("entity"), "x", "y", "z"), "blocks")
+    edges = grid.witness_pairs(grid.build_index(rows, 1.0), "8").select(F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col("n_records").alias("w"))
+    return cuts.min_cut_partition(tiling.centroids(rows, "entity"), edges, 8).select("entity", "part")
+
+
 # Empty bins that the rim of an entity's box does not reach are enclosed.
 @register("footprint", f"""WITH RECURSIVE {EMB}, b AS (SELECT DISTINCT label AS entity, CAST(floor(x / 1.0) AS INT) AS bx, CAST(floor(y / 1.0) AS INT) AS by_ FROM emb), o AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)),
     e AS (SELECT entity, min(bx) - 1 AS x0, max(bx) + 1 AS x1, min(by_) - 1 AS y0, max(by_) + 1 AS y1 FROM b GROUP BY 1),
