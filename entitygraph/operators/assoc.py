@@ -364,6 +364,12 @@ def gene_thresholds(ranked: DataFrame, top: int = 10, npmi_range: tuple[float, f
     return ranked.where("not dropped").groupBy("gi").agg(at_rank("npmi", npmi_range).alias("npmi_thresh"), at_rank("cond_prob", cond_range).alias("cond_thresh"))
 
 
+def reclip(thresholds: DataFrame, npmi_range: tuple[float, float] = (0.01, 0.2), cond_range: tuple[float, float] = (0.001, 0.2)) -> DataFrame:
+    """(gi, npmi_thresh, cond_thresh) within the ranges that pruning looks them up in; nulls stay, repeated features count once."""
+    bound = lambda c, ends: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(ends[0])), F.lit(ends[1]))).alias(c)
+    return thresholds.select("gi", bound("npmi_thresh", npmi_range), bound("cond_thresh", cond_range)).dropDuplicates(["gi"])
+
+
 def housekeeping(panel: DataFrame, tau: float, least: int = 5) -> DataFrame:
     """(feature, n_pos, n_neg, keep): a feature stays with enough neighbours above tau or below -tau."""
     both = symmetric(panel).where("w <> 0")

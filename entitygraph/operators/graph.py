@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from entitygraph.functions.scalars import bin_of, offsets_column, xy_half_offsets
 from entitygraph.functions.storage import broadcast_if_small
+from entitygraph.operators import entity
 from entitygraph.operators.components import components
 from entitygraph.operators.delaunay import neighbours
 
@@ -33,12 +34,12 @@ def grid_edges(points: DataFrame, size: float = 8.0, topology: str = "8", z_size
     return met.select(F.least("a", "id").alias("src"), F.greatest("a", "id").alias("dst"))
 
 
-def bin_edges(rows: DataFrame, size: float, z_size: float, z_depth: int = 1, entity: str = "entity") -> DataFrame:
+def bin_edges(rows: DataFrame, size: float, z_size: float, z_depth: int = 1, label: str = "entity") -> DataFrame:
     """(src, dst) that hang an entity's points together as the graph of equal and neighbouring bins does, with fewer edges.
 
     Points of one bin hang on their smallest id, and smallest ids on those of neighbouring bins of the same entity.
     """
-    binned = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select("id", F.col(entity).alias("entity"), bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"), bin_of("z", z_size).alias("bz"))
+    binned = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select("id", F.col(label).alias("entity"), bin_of("x", size).alias("bx"), bin_of("y", size).alias("by"), bin_of("z", z_size).alias("bz"))
     key = ["entity", "bx", "by", "bz"]
     reps = binned.groupBy(*key).agg(F.min("id").alias("rep"))
     star = binned.join(reps, key).where("id != rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
@@ -95,13 +96,26 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def component_summary(points: DataFrame, membership: DataFrame, least: int = 1) -> DataFrame:
-    """Per component: nodes, features, centre, the prior cell of most nodes and its share; by size."""
+def component_summary(points: DataFrame, membership: DataFrame, least: int = 1, panel: DataFrame | None = None, threshold: float = 0.0, tau: float = 0.0) -> DataFrame:
+    """Per component: nodes, features, centre, the prior cell of most nodes and its share; largest first.
+
+    With a panel also purity and conflict over the pairs of its features, their relative parts and
+    the signal strength after symmetric thresholding; components of one feature have none.
+    Equal sizes come by purity, then by component.
+    """
     p = points.join(membership, "id")
     cells = p.groupBy("component", "cell").agg(F.count("*").alias("c"))
     top = cells.groupBy("component").agg(F.min(F.struct((-F.col("c")).alias("m"), F.col("cell").alias("cell"))).alias("t"))
     s = p.groupBy("component").agg(F.count("*").alias("n_nodes"), F.countDistinct("feature").alias("n_features"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
-    return s.where(F.col("n_nodes") >= least).join(top, "component").select("component", "n_nodes", "n_features", "x", "y", "z", F.col("t.cell").alias("majority_cell"), (-F.col("t.m") / F.col("n_nodes")).alias("majority_share"))
+    s = s.where(F.col("n_nodes") >= least).join(top, "component").select("component", "n_nodes", "n_features", "x", "y", "z", F.col("t.cell").alias("majority_cell"), (-F.col("t.m") / F.col("n_nodes")).alias("majority_share"))
+    order = [F.col("n_nodes").desc(), F.col("component")]
+    if panel is not None:
+        large = p.join(broadcast_if_small(s.select("component")), "component", "left_semi")
+        sets = entity.features_of(large, "component")
+        scores = entity.relu_scores(entity.purity_conflict(entity.pair_aggregate(sets, panel, threshold, tau)))
+        s = s.join(scores.select(F.col("entity").alias("component"), "purity", "conflict", "relative_purity", "relative_conflict", "signal_strength"), "component", "left")
+        order.insert(1, F.col("purity").desc_nulls_last())
+    return s.orderBy(*order)
 
 
 # --- triangulation of component centres ----------------------------------------------------------

@@ -242,16 +242,21 @@ def maha_remerge(rows: DataFrame, panel: DataFrame, size: float, z_size: float |
     return j.withColumns({"entity": F.coalesce("_to", "entity"), "etype": F.when(F.col("_to").isNotNull(), F.col("_kind")).otherwise(F.col("etype"))}).drop("_to", "_kind")
 
 
-def spatial_split(rows: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:
-    """Each entity cut into the components of the edges within it; the largest keeps the label, others get -2, -3, ..."""
+def spatial_split(rows: DataFrame, edges: DataFrame, least: int = 1, skip_clean: bool = False) -> DataFrame:
+    """Each entity cut into the components of the edges within it; the largest keeps the label, others get -2, -3, ...
+
+    Others of fewer than ``least`` rows are unassigned.  With ``skip_clean``, labels of whole cells (without a dash, and not of free components) are not cut.
+    """
     from entitygraph.operators.graph import constrained_components
 
     live = rows.where(~L.is_unassigned("entity"))
+    if skip_clean:
+        live = live.where(F.col("entity").contains("-") | F.col("entity").startswith(L.COMPONENT_PREFIX))
     comp = constrained_components(live.select("id", F.col("entity").alias("label")), edges)
     r = live.select("id", "entity", "etype").join(comp, "id")
     sizes = r.groupBy("entity", "component").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy(F.col("n").desc(), "component")))
-    moved = r.join(sizes.where((F.col("k") > 1) | (F.col("n") < least)), ["entity", "component"])
+    moved = r.join(sizes.where("k > 1"), ["entity", "component"])
     name = F.when(F.col("n") < least, "-1").otherwise(F.concat_ws("-", "entity", "k"))
     return _relabel(rows, moved.select("id", name.alias("_e"), F.when(F.col("n") < least, "unknown").otherwise(F.col("etype")).alias("etype")).withColumnRenamed("_e", "entity"))
 
@@ -498,9 +503,20 @@ def apply_rescue(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return _relabel(rows, taken)
 
 
-def rescue_nearest(rows: DataFrame, panel: DataFrame, radius: float, veto: float = -0.2) -> DataFrame:
-    """(id, entity): the entity of the nearest assigned point within a radius that holds no feature at or below ``veto``."""
+def rescue_nearest(rows: DataFrame, panel: DataFrame, radius: float, veto: float = -0.2, known: bool = False, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, entity): the entity of the nearest assigned point within a radius that holds no feature at or below ``veto``.
+
+    With ``known``, rows of features outside the panel stay free and entities without a feature of it take none;
+    with ``kinds``, only entities of these kinds take rows.
+    """
     free, held = rows.where(L.is_unassigned("entity")), rows.where(~L.is_unassigned("entity"))
+    if kinds is not None:
+        held = held.where(F.col("etype").isin(*kinds))
+    if known:
+        words = broadcast_if_small(vocabulary(panel))
+        free = free.join(words, "feature", "left_semi")
+        judged = held.join(words, "feature", "left_semi").select("entity").distinct()
+        held = held.join(broadcast_if_small(judged), "entity", "left_semi")
     near = radius_join(free, held, radius).join(free.select(F.col("id").alias("src"), "feature"), "src").join(held.select(F.col("id").alias("dst"), "entity"), "dst")
     near = near.groupBy("src", "feature", "entity").agg(F.min("d2").alias("d2"))
     bad = assoc.negative_set(panel, veto).select(F.col("a").alias("feature"), F.col("b").alias("other"))

@@ -731,6 +731,22 @@ def cc_summary(spark, d):
     return s.select("component", "n_nodes", "n_features", rnd("x", "x"), rnd("y", "y"), "majority_cell", rnd("majority_share", "majority_share"))
 
 
+@register(
+    "cc_summary_scores",
+    f"""{SCORED}, bl AS (SELECT concat_ws('_', CAST(floor(x / 4) AS BIGINT), CAST(floor(y / 4) AS BIGINT), CAST(floor(z / 3) AS BIGINT)) AS component, feature FROM pts),
+    g AS (SELECT component, count(*) AS n_nodes, count(DISTINCT feature) AS k FROM bl GROUP BY 1 HAVING count(*) >= 20), s AS (SELECT DISTINCT component, feature FROM bl),
+    q AS (SELECT a.component, count(*) FILTER (w > 0) AS up, coalesce(sum(-w) FILTER (w < 0), 0) AS down, coalesce(sum(w - {TAU}) FILTER (w > {TAU}), 0) AS ru, coalesce(sum(-w - {TAU}) FILTER (w < -{TAU}), 0) AS rd, count(*) AS n_pairs
+      FROM s a JOIN s b ON a.component = b.component AND a.feature < b.feature LEFT JOIN panel p ON p.gi = a.feature AND p.gj = b.feature GROUP BY 1)
+    SELECT component, n_nodes, k AS n_features, {r("up / n_pairs")} AS purity, {r("down / n_pairs")} AS conflict, {r("(ru + rd) / n_pairs")} AS signal_strength,
+      {r("(ru / n_pairs) / ((ru + rd) / n_pairs + 1e-8)")} AS relative_purity FROM g LEFT JOIN q USING (component)""",
+)
+def cc_summary_scores(spark, d):
+    """Blocks of space as components, scored against the panel of all points."""
+    rows = settle(_blocks(spark, d), "blocks")
+    s = graph.component_summary(rows, rows.select("id", F.col("cell").alias("component")), 20, _panel(spark, d), tau=TAU)
+    return s.select("component", "n_nodes", "n_features", *(rnd(c, c) for c in ("purity", "conflict", "signal_strength", "relative_purity")))
+
+
 @register("component_delaunay")
 def component_delaunay(spark, d):
     near = graph.component_delaunay(tiling.centroids(_points(spark, d)).withColumnRenamed("entity", "component"))
