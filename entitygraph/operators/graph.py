@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitygraph.functions.scalars import bin_of, offsets_column, xy_half_offsets
-from entitygraph.functions.storage import broadcast_if_small
+from entitygraph.functions.storage import broadcast_if_small, settle
 from entitygraph.operators import entity
 from entitygraph.operators.components import components
 from entitygraph.operators.delaunay import neighbours
@@ -128,19 +129,19 @@ def component_delaunay(centres: DataFrame, axes: tuple[str, ...] = ("x", "y")) -
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Vertices of the convex hull, counter-clockwise (monotone chains)."""
-    p = np.unique(points, axis=0)
+    p = sorted({(x, y) for x, y in points.tolist()})
     if len(p) < 3:
-        return p
+        return np.array(p, float).reshape(-1, 2)
 
-    def chain(rows: Iterator[np.ndarray]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def chain(rows: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
         for q in rows:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
 
-    return np.array(chain(iter(p)) + chain(iter(p[::-1])))
+    return np.array(chain(p) + chain(p[::-1]))
 
 
 #: Rows of a key that one worker reduces to their hull at a time (about), and rows of a key from which it is dealt out.
@@ -155,17 +156,28 @@ def hulls(points: DataFrame, key: str, least: int = 3, part_rows: int = HULL_ROW
     """
     kind = dict(points.dtypes)[key]
     named = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(key).alias("polygon"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    sizes = named.groupBy("polygon").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    parts = F.ceil(F.col("n") / F.lit(part_rows))
-    dealt = named.join(broadcast_if_small(sizes), "polygon").select("polygon", F.pmod(F.xxhash64("x", "y"), parts).alias("part"), "x", "y")
-
-    def rim(f: pd.DataFrame) -> pd.DataFrame:
-        ring = hull(f[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"polygon": [f["polygon"].iloc[0]] * len(ring), "x": ring[:, 0], "y": ring[:, 1]})
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        ring = hull(f[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"polygon": [f["polygon"].iloc[0]], "ring": [[{"x": float(x), "y": float(y)} for x, y in ring]]})
-
-    ends = dealt.groupBy("polygon", "part").applyInPandas(rim, f"polygon {kind}, x double, y double")
-    return ends.groupBy("polygon").applyInPandas(run, f"polygon {kind}, ring array<struct<x:double,y:double>>").where(F.size("ring") >= 3)
+    sizes = named.groupBy("polygon").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") > part_rows))
+    large = settle(sizes.select("polygon", F.ceil(F.col("n") / F.lit(part_rows)).alias("m")), "large-keys", compact=True)
+    n_large = large.count()
+    out = f"polygon {kind}, ring array<struct<x:double,y:double>>"
+    row = F.collect_list(F.struct("x", "y")).alias("ring")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Keys are small and many: a batch holds many of them.
+        for batch in (b for b in batches if b.num_rows):
+            rows = batch.column("ring")
+            xy = np.column_stack([c.to_numpy(zero_copy_only=False) for c in rows.flatten().flatten()])
+            ends = np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False))
+            rings = [hull(part) for part in np.split(xy, ends[:-1])]
+            found = np.concatenate(rings)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype(np.int32)
+            struct = pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("polygon"), pa.ListArray.from_arrays(pa.array(offsets), struct)], ["polygon", "ring"])
+
+    small = named.join(broadcast_if_small(large.select("polygon"), n_large), "polygon", "left_anti") if n_large else named
+    rings = small.groupBy("polygon").agg(row).where(F.size("ring") >= least).mapInArrow(run, out)
+    if n_large:
+        dealt = named.join(broadcast_if_small(large, n_large), "polygon").select("polygon", F.pmod(F.xxhash64("x", "y"), "m").alias("part"), "x", "y")
+        rims = dealt.groupBy("polygon", "part").agg(row).select("polygon", "ring").mapInArrow(run, out).select("polygon", F.inline("ring"))
+        rings = rings.unionByName(rims.groupBy("polygon").agg(row).mapInArrow(run, out))
+    return rings.where(F.size("ring") >= 3)

@@ -10,6 +10,16 @@ def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_hulls_of_many_small_keys_share_a_call(spark):
+    r = np.random.default_rng(3)
+    data = [(f"k{k}", float(x), float(y)) for k in range(40) for x, y in r.integers(0, 6, (k % 9 + 1, 2))]
+    got = graph.hulls(spark.createDataFrame(data, "k string, x double, y double"), "k")
+    assert "FlatMapGroupsInPandas" not in plan_of(got)
+    found = {q.polygon: [tuple(v) for v in q.ring] for q in got.collect()}
+    want = {k: [tuple(v) for v in graph.hull(np.array([d[1:] for d in data if d[0] == k]))] for k in {d[0] for d in data if sum(e[0] == d[0] for e in data) >= 3}}
+    assert found == {k: v for k, v in want.items() if len(v) >= 3}
+
+
 def test_seeds_beyond_the_limit_in_few_places(spark):
     seeds = spark.range(200_500).select("id", (F.col("id") * 7 % 50 + 0.25).alias("x"), (F.col("id") * 11 % 52 + 0.125).alias("y"))
     r = np.random.default_rng(5)
