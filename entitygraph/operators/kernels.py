@@ -732,3 +732,43 @@ def choose_near(free: np.ndarray, f: np.ndarray, held: np.ndarray, e: np.ndarray
             out[a + owner[starts]] = names[np.minimum.reduceat(np.where(score == best, entity, len(names)), starts)]
         a = b
     return out
+
+
+def choose_counted(free_z: np.ndarray, f: np.ndarray, z: np.ndarray, e: np.ndarray, size: np.ndarray, n: np.ndarray, pairs: np.ndarray, fits: np.ndarray, n_e: int, rule: NearRule) -> np.ndarray:
+    """What :func:`choose_near` tells by witnesses with ties by gene fit, of held points counted (``n``) by entity and z.
+
+    An entity's points within the bound are counted by two searches in their order by z, so no pair of points is made.
+    """
+    out = np.full(len(f), -1, np.int64)
+    if not len(f) or not len(e) or not len(pairs):
+        return out
+    names, first, own = np.unique(e, return_index=True, return_inverse=True)
+    levels, at_z = np.unique(z, return_inverse=True)
+    order = np.argsort(own * (len(levels) + 1) + at_z, kind="stable")
+    key = (own * (len(levels) + 1) + at_z)[order]
+    till = np.concatenate([[0], np.cumsum(n[order])])
+    kinds, kind = np.unique(f, return_inverse=True)
+    wanted = kinds[:, None].astype(np.int64) * n_e + names[None, :]
+    at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+    good, fit = pairs[at] == wanted, np.round(np.nan_to_num(fits[at], nan=-1e9), 9)
+    most = np.minimum(rule.cap, -(-size[first] // rule.divisor))
+    heights, height = np.unique(free_z, return_inverse=True)
+    # The margin keeps levels at the bound, which are then tested as they are.
+    lo = np.searchsorted(levels, heights - rule.z_bound - 1e-9, "left")
+    hi = np.searchsorted(levels, heights + rule.z_bound + 1e-9, "right")
+    while (off := (lo < hi) & (heights - levels[np.minimum(lo, len(levels) - 1)] > rule.z_bound)).any():
+        lo[off] += 1
+    while (off := (lo < hi) & (levels[np.maximum(hi, 1) - 1] - heights > rule.z_bound)).any():
+        hi[off] -= 1
+    base = np.arange(len(names)) * (len(levels) + 1)
+    by_height = np.argsort(height, kind="stable")
+    step = max(1, MOST_NEAR // len(names))
+    for a in range(0, len(f), step):
+        some = by_height[a : a + step]
+        here, row = np.unique(height[some], return_inverse=True)
+        count = till[np.searchsorted(key, base[None, :] + hi[here, None])] - till[np.searchsorted(key, base[None, :] + lo[here, None])]
+        eff = np.where(good[kind[some]] & (count > 0)[row], np.minimum(count, most)[row], -1)
+        top = eff.max(1)
+        score = np.where(eff == top[:, None], -fit[kind[some]], np.inf)
+        out[some] = np.where((top >= rule.least) & (top > -1), names[score.argmin(1)], -1)
+    return out

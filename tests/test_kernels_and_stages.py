@@ -428,6 +428,37 @@ def test_choice_equals_brute_force(rank, tie, monkeypatch):
         assert got == brute_choice(free, f, held, e, size, pairs.tolist(), fits, n_e, rule)
 
 
+def test_counted_choice_equals_brute_force_and_makes_no_pairs_of_points(monkeypatch):
+    rng = np.random.default_rng(8)
+    for least, most, digits in ((1, 2_000_000, 0), (2, 40, 1), (3, 1, 0), (1, 1, 3)):
+        monkeypatch.setattr(kernels, "MOST_NEAR", most)
+        free, held = np.round(rng.uniform(0, 4, (30, 3)), digits), np.round(rng.uniform(0, 4, (80, 3)), digits)
+        f, e, n_e = rng.integers(0, 4, 30), rng.integers(0, 9, 80), 9
+        size = np.bincount(e, minlength=n_e)
+        pairs = np.sort(rng.choice(4 * n_e, 20, replace=False))
+        fits = np.round(rng.uniform(-1, 1, 20), 1)
+        rule = kernels.NearRule(1.0, "witness", "gene_fit", 3, 2, least)
+        keys, n = np.unique(np.column_stack([e, held[:, 2]]), axis=0, return_counts=True)
+        of, z = keys[:, 0].astype(int), keys[:, 1]
+        got = kernels.choose_counted(free[:, 2], f, z, of, size[of], n, pairs, fits, n_e, rule).tolist()
+        assert got == brute_choice(free, f, held, e, size, pairs.tolist(), fits, n_e, rule)
+        # Ten million times as many points cost the same.
+        full = kernels.NearRule(1.0, "witness", "gene_fit", 3 * 10**7, 2, least * 10**7)
+        assert kernels.choose_counted(free[:, 2], f, z, of, size[of] * 10**7, n * 10**7, pairs, fits, n_e, full).tolist() == [-1 if k < 0 else k for k in brute_counted(free[:, 2], f, z, of, size * 10**7, n * 10**7, pairs.tolist(), fits, n_e, full)]
+
+
+def brute_counted(free_z, f, z, e, size, n, pairs, fits, n_e, rule):
+    out = []
+    for x, kind in zip(free_z, f, strict=True):
+        count = {}
+        for level, name, c in zip(z, e, n, strict=True):
+            if abs(x - level) <= rule.z_bound and kind * n_e + name in pairs:
+                count[name] = count.get(name, 0) + c
+        eff = {k: min(c, rule.cap, -(-size[k] // rule.divisor)) for k, c in count.items()}
+        out.append(min(((-eff[k], -round(fits[pairs.index(kind * n_e + k)], 9), k) for k in eff if eff[k] >= rule.least), default=(0, 0, -1))[2])
+    return out
+
+
 @pytest.mark.parametrize("rank", ["distance", "witness"])
 def test_rescue_of_many_bins_and_pairs(spark, rank, monkeypatch):
     """The same rows are taken by the kernel, by its cut bins, and by joins where the gate is too large to share."""
