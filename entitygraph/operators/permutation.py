@@ -19,6 +19,8 @@ from entitygraph.functions.storage import broadcast_if_small, numbered, settle
 
 #: Permutations that a task evaluates at a time.
 BLOCK = 50
+#: Cells of a group's sums for every row of a cell up to which all of them are added up at once.
+DENSE_SHARE = 40
 #: Tested combinations of pairs and groups up to which they are sent to the tasks.
 MOST_TESTS = 5_000_000
 ROUNDS = 4
@@ -42,16 +44,23 @@ def shuffled(numbers: np.ndarray, n: int, seed: int, draws: np.ndarray) -> np.nd
     keys = np.random.default_rng(seed).integers(0, 1 << 63, ROUNDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         draw = _mixed(draws.astype(np.uint64), np.uint64(seed))[:, None]
-        x = np.broadcast_to(numbers.astype(np.uint64), (len(draws), len(numbers))).copy()
-        draw = np.broadcast_to(draw, x.shape)
-        todo = np.ones(x.shape, bool)
-        while todo.any():
-            v, d = x[todo], draw[todo]
+        v = np.broadcast_to(numbers.astype(np.uint64), (len(draws), len(numbers))).ravel()
+        draw = np.broadcast_to(draw, (len(draws), len(numbers))).ravel()
+        x, todo = np.empty(len(v), np.uint64), None
+        while len(v):
             left, right = v >> half_, v & mask
             for key in keys:
-                left, right = right, left ^ (_mixed(right, d ^ key) & mask)
-            x[todo] = (left << half_) | right
-            todo &= x >= n
+                left, right = right, left ^ (_mixed(right, draw ^ key) & mask)
+            v = (left << half_) | right
+            if todo is None:
+                x[:] = v
+            else:
+                x[todo] = v
+            # Only those that landed beyond go on.
+            beyond = np.flatnonzero(v >= n)
+            todo = beyond if todo is None else todo[beyond]
+            v, draw = v[beyond], draw[beyond]
+        x = x.reshape(len(draws), len(numbers))
     return x.astype(np.int64)
 
 
@@ -79,7 +88,9 @@ def permutation_test(values: DataFrame, groups: DataFrame, pairs: DataFrame, per
     number = numbered(placed, ["cell"])
     known = broadcast_if_small(spark.createDataFrame([(k, f) for f, k in code.items()], "f int, feature string"), f_)
     group = broadcast_if_small(spark.createDataFrame([(k, r.grp) for k, r in enumerate(sizes)], "g int, grp string"), g)
-    rows = settle(values.join(number, "cell").join(known, "feature").join(group, "grp").select("number", "g", "f", F.col("value").cast("double").alias("value")), "test-rows")
+    rows = values.join(number, "cell").join(known, "feature").join(group, "grp").select("number", "g", "f", F.col("value").cast("double").alias("value"))
+    # A cell's rows stand together, so that its draws are made once.
+    rows = settle(rows.repartition("number").sortWithinPartitions("number"), "test-rows")
     own = rows.groupBy("g", "f").agg(F.sum("value").alias("s"), F.sum((F.col("value") > 0).cast("int")).alias("k")).collect()
     observed, share = np.zeros((g, f_)), np.zeros((g, f_))
     for r in own:
@@ -95,9 +106,17 @@ def permutation_test(values: DataFrame, groups: DataFrame, pairs: DataFrame, per
         for frame in frames:
             cells, place = np.unique(frame["number"].to_numpy(np.int64), return_inverse=True)
             f, v = frame["f"].to_numpy(np.int64), frame["value"].to_numpy(float)
+            # One product of matrices a group costs less than to add up row by row, unless cells hold few of the features.
+            dense = None
+            if g * f_ <= DENSE_SHARE * len(frame) / len(cells):
+                dense = np.bincount(place * f_ + f, weights=v, minlength=len(cells) * f_).reshape(len(cells), f_)
             for a in range(0, permutations, BLOCK):
                 draws = np.arange(a, min(permutations, a + BLOCK))
                 label = np.searchsorted(ends, shuffled(cells, n, seed, draws), "right")
+                if dense is not None:
+                    for k in range(g):
+                        total[draws, k * f_ : (k + 1) * f_] += (label == k).astype(float) @ dense
+                    continue
                 for k, d in enumerate(draws):
                     total[d] += np.bincount(label[k][place] * f_ + f, weights=v, minlength=g * f_)
         for a in range(0, permutations, BLOCK):

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from entitygraph.operators import permutation as P
 
@@ -59,3 +60,21 @@ def test_nothing_to_test(spark):
     pairs = spark.createDataFrame([p for p in itertools.combinations("abc", 2)], "a string, b string")
     got = P.permutation_test(empty("cell string, feature string, value double"), groups, pairs, 10).collect()
     assert [(r.mean, r.p_value) for r in got] == [(0.0, None)] * 3
+
+
+def test_draws_are_made_once_a_cell_and_sums_are_those_row_by_row(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = spark.createDataFrame([(f"c{c}", f"f{f}", float(rng.integers(1, 5))) for c in range(60) for f in range(5) if rng.random() < 0.7], "cell string, feature string, value double").repartition(3)
+    groups = spark.createDataFrame([(f"c{c}", f"g{c % 3}") for c in range(60)], "cell string, grp string")
+    pairs = spark.createDataFrame([("f0", "f1"), ("f2", "f4")], "a string, b string")
+    kept = []
+    settle = P.settle
+    monkeypatch.setattr(P, "settle", lambda df, name, *a, **k: kept.append(df) or settle(df, name, *a, **k))
+    take = lambda: sorted(map(tuple, P.permutation_test(values, groups, pairs, 200).collect()), key=str)
+    first = take()
+    assert len(first) == 18
+    for number in (r.numbers for r in kept[-1].groupBy(F.spark_partition_id()).agg(F.collect_list("number").alias("numbers")).collect()):
+        assert number == sorted(number)
+    assert kept[-1].withColumn("p", F.spark_partition_id()).groupBy("number").agg(F.countDistinct("p").alias("k")).where("k > 1").count() == 0
+    monkeypatch.setattr(P, "DENSE_SHARE", 0)
+    assert take() == first
