@@ -472,3 +472,17 @@ def test_rescue_of_many_bins_and_pairs(spark, rank, monkeypatch):
     assert first and take() == first
     monkeypatch.setattr(stages, "GATE_ROWS", 5)
     assert take() == first
+
+
+def test_rescue_by_gene_fit_in_parts_of_a_bin(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    at = np.round(rng.uniform(0, 9, (300, 3)), 1)
+    data = [(k, "c", f"g{rng.integers(4)}", *map(float, at[k]), False, "-1" if k % 3 else f"e{rng.integers(12)}", "unknown" if k % 3 else "cell") for k in range(300)]
+    panel = spark.createDataFrame([(f"g{i}", f"g{j}", float(w)) for (i, j), w in zip(itertools.combinations(range(4), 2), (0.8, -0.5, 0.3, 0.1, -0.1, 0.6), strict=True)], "gi string, gj string, w double")
+    take = lambda: {r.id: (r.entity, r.etype) for r in stages.rescue(rows_of(spark, data), panel, 1.5, kernels.Admission(mean_threshold=0.1), "witness", least=1, tie="gene_fit").collect()}
+    first = take()
+    # Some bins are cut into parts, others not.
+    monkeypatch.setattr(stages, "ASKED_ROWS", 6)
+    assert first and take() == first
+    monkeypatch.setattr(stages, "GATE_ROWS", 5)
+    assert take() == first
