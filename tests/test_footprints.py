@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from entitygraph.operators import footprints
@@ -115,3 +116,29 @@ def test_density_counts_and_empty_tables(spark):
     assert got == {"ring": (9, 8, 0, 1, 9, 1.0), "pair": (2, 2, 4, 0, 6, 2 / 6)}
     assert footprints.footprint_density(rows.limit(0), 1.0).count() == 0
     assert footprints.footprint(rows.limit(0), 1.0).count() == 0
+
+
+def test_small_entities_travel_whole_and_agree_with_large_ones(spark, monkeypatch):
+    rows = table(spark, {f"{e}/{seed}": b for seed in (1, 2) for e, b in sets_of(seed).items()})
+    split = sorted(footprints.kinds(rows, 1.0, small_bins=0).collect())
+
+    def never(*a, **k):
+        raise AssertionError("no rounds for small entities")
+
+    monkeypatch.setattr(footprints, "components", never)
+    monkeypatch.setattr(footprints, "SMALL_BOX", 10**6)
+    assert sorted(footprints.kinds(rows, 1.0).collect()) == split
+    counts = sorted((r.entity, r.n_raw, r.n_bridge, r.n_hole) for r in footprints.footprint_density(rows, 1.0).collect())
+    number = lambda e, k: sum(r.entity == e and r.kind == k for r in split)
+    assert counts == [(e, number(e, "raw"), number(e, "bridge"), number(e, "hole")) for e in sorted({r.entity for r in split})]
+
+
+def test_many_small_entities_at_a_time(monkeypatch):
+    bins = [(e, *b) for seed in range(30) for e, b in enumerate(sets_of(seed).values(), 20 * seed) for b in sorted(b)]
+    owner, x, y = np.array(bins).T
+    both = list(zip(*(c.tolist() for c in footprints.fill(owner, x, y)), strict=True))
+    apart = [r for e in np.unique(owner) for r in zip(*(c.tolist() for c in footprints.fill(owner[owner == e], x[owner == e], y[owner == e])), strict=True)]
+    assert sorted(both) == sorted(apart)
+    filled = list(zip(*(c.tolist() for c in footprints.fill(owner, x, y, bridged=False)), strict=True))
+    for e in np.unique(owner).tolist():
+        assert {(a, b) for o, a, b, k in filled if o == e and k == 2} == brute_holes({(a, b) for o, a, b in bins if o == e})
