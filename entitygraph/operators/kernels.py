@@ -181,37 +181,46 @@ def reassign_rows(genes: np.ndarray, movable: np.ndarray, main: np.ndarray, part
     return to
 
 
-def cascade(bx: np.ndarray, by: np.ndarray, genes: np.ndarray, w: np.ndarray, ceiling: int, floor: int, radius: int = 1, threshold: float = 0.2, least: int = 3) -> list[tuple[int, int, int, int, np.ndarray]]:
-    """Anchors of one island as (t, density, bx, by, rows), by falling density.
+def cascade(bx: np.ndarray, by: np.ndarray, genes: np.ndarray, w: np.ndarray, ceiling: int, floor: int, radius: int = 1, threshold: float = 0.2, least: int = 3, n: np.ndarray | None = None) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """Anchors of one island as (t, density, bx, by, places), by falling density; a place stands for ``n`` rows of a bin and feature, or for one.
 
     For every threshold from the ceiling down, bins that hold as many free rows become
     centres, densest first (then by bin); a centre's square of bins is pruned to a set of
-    agreeing features, whose rows it takes.
+    agreeing features, all of whose rows it takes.  A centre that failed is tried again once a
+    row around it is gone; thresholds at which there is nothing to try are passed over.
     """
+    n = np.ones(len(genes), np.int64) if n is None else n
     bins: dict[tuple[int, int], list[int]] = {}
     for r, b in enumerate(zip(bx.tolist(), by.tolist(), strict=True)):
         if genes[r] >= 0:
             bins.setdefault(b, []).append(r)
     free, out = np.ones(len(genes), bool), []
-    count = {b: len(rows) for b, rows in bins.items()}
-    for t in range(ceiling, floor - 1, -1):
-        hot = sorted(((n, b) for b, n in count.items() if n >= t), key=lambda x: (-x[0], x[1]))
+    count = {b: int(n[rows].sum()) for b, rows in bins.items()}
+    around = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)]
+    failed: set[tuple[int, int]] = set()
+    t = ceiling
+    while t >= floor:
+        hot = sorted(((c, b) for b, c in count.items() if c >= t), key=lambda x: (-x[0], x[1]))
         for density, b in hot:
-            if count[b] < t:
+            if count[b] < t or b in failed:
                 continue
-            rows = np.array([r for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) for r in bins.get((b[0] + dx, b[1] + dy), ()) if free[r]])
-            if len(rows) < least:
+            failed.add(b)
+            near = np.array([r for dx, dy in around for r in bins.get((b[0] + dx, b[1] + dy), ()) if free[r]], int)
+            if n[near].sum() < least:
                 continue
-            seed = greedy_prune(np.unique(genes[rows]), w, threshold)
+            seed = greedy_prune(np.unique(genes[near]), w, threshold)
             if len(seed) < 2:
                 continue
-            taken = rows[np.isin(genes[rows], seed)]
-            if len(taken) < least:
+            taken = near[np.isin(genes[near], seed)]
+            if n[taken].sum() < least:
                 continue
             free[taken] = False
             for r in taken.tolist():
-                count[bx[r], by[r]] -= 1
+                x, y = int(bx[r]), int(by[r])
+                count[x, y] -= int(n[r])
+                failed.difference_update((x + dx, y + dy) for dx, dy in around)
             out.append((t, density, *b, taken))
+        t = min(t - 1, max((c for b, c in count.items() if b not in failed), default=floor - 1))
     return out
 
 

@@ -122,3 +122,28 @@ def test_cascade_query_equals_its_rule(spark, sf_dir, grouped, monkeypatch, isla
     got = Q.QUERIES["cascade"](spark, sf_dir).groupBy("entity").agg(F.collect_set("id").alias("ids")).collect()
     assert len(grouped) > 20
     assert sorted(sorted(r.ids) for r in got) == sorted(sorted(g) for g in grouped)
+
+
+def test_the_cascade_by_counts_takes_what_it_takes_row_by_row():
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        rows = rng.integers(0, 4, (90, 2))
+        genes = rng.integers(0, 6, 90)
+        w = np.round(rng.normal(0, 1, (6, 6)), 2)
+        w = w + w.T
+        groups, n = np.unique(np.column_stack([rows, genes]), axis=0, return_counts=True)
+        by_row = [(t, d, x, y, len(r)) for t, d, x, y, r in kernels.cascade(*rows.T, genes, w, 1000, 1, threshold=-1.0)]
+        taken = kernels.cascade(*groups.T, w, 1000, 1, threshold=-1.0, n=n)
+        assert [(t, d, x, y, n[r].sum()) for t, d, x, y, r in taken] == by_row
+        # The plain rule: every threshold, every centre.
+        free, plain = Counter({tuple(g): c for g, c in zip(groups.tolist(), n.tolist(), strict=True)}), []
+        for t in range(n.sum(), 0, -1):
+            size = lambda b: sum(c for (x, y, _), c in free.items() if (x, y) == b)
+            for d, b in sorted(((size(b), b) for b in {g[:2] for g in free} if size(b) >= t), key=lambda p: (-p[0], p[1])):
+                near = {g: c for g, c in free.items() if max(abs(g[0] - b[0]), abs(g[1] - b[1])) <= 1 and c}
+                seed = kernels.greedy_prune(np.unique([g[2] for g in near]), w, -1.0) if size(b) >= t and sum(near.values()) >= 3 else ()
+                mine = {g: c for g, c in near.items() if g[2] in seed}
+                if len(seed) >= 2 and sum(mine.values()) >= 3:
+                    plain.append((t, d, *b, sum(mine.values())))
+                    free -= Counter(mine)
+        assert plain == by_row
