@@ -13,6 +13,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entitygraph.functions import labels as L
+from entitygraph.functions.storage import settle
 from entitygraph.operators import assoc, entity
 from entitygraph.sources import adapters
 from jobs.common import command, log, with_defaults
@@ -27,9 +29,14 @@ def report(points: DataFrame, c: Mapping[str, Any]) -> DataFrame:
     purity and conflict are null and its band is mixed.
     """
     usable = assoc.exclude_contexts(points)
-    panel = assoc.centred_panel(assoc.association(assoc.pairs(assoc.presence(usable))))
-    scored = entity.purity_conflict(entity.pair_aggregate(entity.features_of(usable, "cell"), panel, 0.0, c["tau"]))
-    placed = entity.entity_table(usable, "cell").select("entity", F.col("n").alias("n_points"), "x", "y")
+    # Points are read once: all that follows works on one row a cell and feature.
+    total = lambda a: F.sum(a).alias(f"sum_{a}")
+    counted = settle(usable.groupBy("cell", "feature").agg(F.count("*").alias("n"), total("x"), total("y"), F.count("x").alias("n_x"), F.count("y").alias("n_y")), "counted")
+    panel = settle(assoc.centred_panel(assoc.association(assoc.pairs(counted.where("n >= 2").select("cell", "feature")))), "panel", compact=True)
+    scored = entity.purity_conflict(entity.pair_aggregate(entity.features_of(counted, "cell"), panel, 0.0, c["tau"]))
+    mean = lambda a: (F.sum(f"sum_{a}") / F.nullif(F.sum(f"n_{a}"), F.lit(0))).alias(a)
+    cells_only = L.etype_of_label("cell").isin("cell", "partial", "component") & ~F.col("cell").isin("DROP", "nan")
+    placed = counted.where(cells_only).groupBy(F.col("cell").alias("entity")).agg(F.sum("n").alias("n_points"), mean("x"), mean("y"))
     value = lambda name: (F.round(F.col(name) + 1e-9, 6) + 0.0).alias(name)
     cells = placed.join(scored, "entity").select("entity", "n_points", F.col("k").alias("n_features"), *(value(v) for v in ("x", "y", "purity", "conflict")))
     few, conflicted, pure = F.col("n_points") < c["least_points"], F.col("conflict") >= c["conflict_from"], F.col("purity") >= c["pure_from"]

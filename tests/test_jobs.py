@@ -159,3 +159,18 @@ def test_command_line(sf_dir, tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.word_panel", *args], cwd=root, capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": root})
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read 200 new rows" in done.stderr and os.path.isdir(f"{tmp_path}/out/panel/tier=bootstrap")
+
+
+def test_the_cell_report_reads_its_points_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for f in batches:
+            read.add(len(f))
+            yield f
+
+    rows = [(k, str(k % 3), "abc"[k % 2 + k // 7 % 2], float(k), 0.5 * k, 0.0) for k in range(40)] + [(99, "DROP", "a", 1.0, 1.0, 0.0)]
+    points = spark.createDataFrame(rows, "id long, cell string, feature string, x double, y double, z double")
+    got = {r.entity: r for r in cell_report.report(points.mapInPandas(seen, points.schema), cell_report.DEFAULTS).collect()}
+    assert read.value == len(rows)
+    assert {e: (r.n_points, r.x, r.y) for e, r in got.items()} == {str(c): (len(range(c, 40, 3)), sum(range(c, 40, 3)) / len(range(c, 40, 3)), sum(range(c, 40, 3)) / len(range(c, 40, 3)) / 2) for c in range(3)}
