@@ -76,3 +76,32 @@ def test_awkward_points(spark):
     assert [(r.a, r.b) for r in delaunay.neighbours(df).collect()] == [(2, 3)]
     with pytest.raises(ValueError, match="axes"):
         delaunay.neighbours(df, ("x",))
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_cells_cut_together_equal_cells_cut_alone(monkeypatch, dims):
+    """Many cells in step, from the nearest and from what lies nearest to their corners; a lattice keeps no diagonal."""
+    rng = np.random.default_rng(dims)
+    lattice = np.stack(np.meshgrid(*[np.arange(5.0)] * dims), -1).reshape(-1, dims)
+    for points in (np.concatenate([rng.normal(0, 0.01, (80, dims)), rng.normal(3, 2, (60, dims))]), lattice):
+        want = {(k, int(j)) for k in range(len(points)) for j in delaunay.cell_of(points[k], points, 1e5)[0]}
+        with monkeypatch.context() as m:
+            m.setattr(delaunay, "cell_of", None)  # no cell is cut by itself
+            cells, others, _ = delaunay.cells_of(points, points, 1e5)
+        assert set(zip(cells.tolist(), others.tolist(), strict=True)) == want and len(cells) == len(want)
+
+
+def test_open_cells_meet_open_cells_only(spark, monkeypatch):
+    """Clusters with voids between: later turns get the points that stayed open, not all, and lose no edge."""
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.normal(c, 0.3, (250, 2)) for c in ((0, 0), (30, 4), (11, 25), (40, 40))])
+    dealt, tiles = [], delaunay._settle_tiles
+
+    def seen(open_, *k):
+        dealt.append(open_.count())
+        return tiles(open_, *k)
+
+    monkeypatch.setattr(delaunay, "_settle_tiles", seen)
+    got = edges(spark, points, tile_points=20, open_points=5, part_points=40)
+    assert got == {tuple(sorted((k, int(j)))) for k in range(len(points)) for j in delaunay.cell_of(points[k], points, 1e6)[0]}
+    assert len(dealt) > 1 and dealt[0] == len(points) and all(n < len(points) / 2 for n in dealt[1:])
