@@ -101,13 +101,14 @@ def finalize(df: DataFrame, label: str = "entity", cell: str = "cell_id") -> Dat
 def stage_counts(df: DataFrame, label: str = "entity", kind: str | None = None) -> DataFrame:
     """One row: entities of each kind and unassigned rows."""
     k = F.col(kind) if kind else etype_of_label(label)
-    live = ~is_unassigned(label)
-    count = lambda name: F.countDistinct(F.when(live & (k == name), F.col(label)))
-    return df.agg(
+    labels = df.groupBy(F.col(label).alias("_label"), k.alias("_kind")).agg(F.count("*").alias("_n"))
+    live = ~is_unassigned("_label")
+    count = lambda name: F.count(F.when(live & (F.col("_kind") == name), 1))
+    return labels.agg(
         count("cell").alias("n_cells"),
         count("partial").alias("n_partials"),
         count("component").alias("n_components"),
-        F.coalesce(F.sum(F.when(live, 0).otherwise(1)), F.lit(0)).alias("n_unassigned"),
+        F.coalesce(F.sum(F.when(live, 0).otherwise(F.col("_n"))), F.lit(0)).alias("n_unassigned"),
     )
 
 

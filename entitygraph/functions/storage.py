@@ -48,6 +48,20 @@ def settle(df: DataFrame, name: str = "stage", compact: bool = False, heavy: boo
     return out
 
 
+def in_place(rows: DataFrame, after: DataFrame) -> DataFrame:
+    """``after``, which is ``rows`` with other values and no shuffle, marked with the files it reads (``_base``) and how many such steps
+    lie between, if ``rows`` are files or were made of files in this way."""
+    base = getattr(rows, "_base", (rows, 0) if hasattr(rows, "_settled") else None)
+    if base is not None:
+        after._base = base[0], base[1] + 1
+    return after
+
+
+def at_hand(rows: DataFrame) -> bool:
+    """Whether reading the rows again costs a scan of files, and no shuffle."""
+    return hasattr(rows, "_settled") or hasattr(rows, "_base")
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames made by :func:`settle` that nothing reads any more."""
     for df in frames:

@@ -104,8 +104,11 @@ def admit(gene: int, seed: np.ndarray, w: np.ndarray, rule: Admission) -> bool:
     return level >= rule.mean_threshold if rule.inclusive and rule.mode == "mean" else level > rule.mean_threshold
 
 
-def nuclear_seed(genes: np.ndarray, nuclear: np.ndarray, w: np.ndarray, threshold: float = -0.1, floor: float = 0.1, rule: Admission | None = None, nuclear_rows_only: bool = False, least: int = 3) -> np.ndarray:
-    """Codes of one cell's rows: 0 main, 1 partial, 2 unassigned; a feature of -1 is outside the panel."""
+def nuclear_seed(genes: np.ndarray, nuclear: np.ndarray, w: np.ndarray, threshold: float = -0.1, floor: float = 0.1, rule: Admission | None = None, nuclear_rows_only: bool = False, least: int = 3, n: np.ndarray | None = None) -> np.ndarray:
+    """Codes of one cell's rows: 0 main, 1 partial, 2 unassigned; a feature of -1 is outside the panel.
+
+    A row may stand for ``n`` rows of its feature and flag, which all get its code.
+    """
     rule = rule or Admission(mode="mean", inclusive=True)
     if rule.mode == "mean":
         # The plain mean of all observed pairs: weak ones count here.
@@ -114,12 +117,13 @@ def nuclear_seed(genes: np.ndarray, nuclear: np.ndarray, w: np.ndarray, threshol
     known = genes >= 0
 
     def counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(genes[rows & known], return_counts=True)
+        u, place = np.unique(genes[rows & known], return_inverse=True)
+        return u, np.bincount(place, None if n is None else n[rows & known], len(u))
 
-    u, n = counted(nuclear)
+    u, sizes = counted(nuclear)
     if len(u) < least:
-        u, n = counted(np.ones(len(genes), bool))
-    seed = greedy_prune_weighted(u, n, w, threshold) if len(u) else u
+        u, sizes = counted(np.ones(len(genes), bool))
+    seed = greedy_prune_weighted(u, sizes, w, threshold) if len(u) else u
     if not len(seed) or mean_internal(seed, w) < floor:
         return code
     verdict = {g: g in set(seed.tolist()) or admit(g, seed, w, rule) for g in np.unique(genes[known]).tolist()}
@@ -133,10 +137,10 @@ def nuclear_seed(genes: np.ndarray, nuclear: np.ndarray, w: np.ndarray, threshol
             code[r] = 0
         else:
             rejected[r] = True
-    u, n = counted(rejected & nuclear)
+    u, sizes = counted(rejected & nuclear)
     if len(u) < least:
         return code
-    seed = greedy_prune_weighted(u, n, w, threshold)
+    seed = greedy_prune_weighted(u, sizes, w, threshold)
     if not len(seed) or mean_internal(seed, w) < floor:
         return code
     inside = set(seed.tolist())

@@ -11,22 +11,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitygraph.functions import labels as L
-from entitygraph.functions.storage import settle
+from entitygraph.functions.scalars import bin_of
+from entitygraph.functions.storage import discard, in_place, settle
 from entitygraph.operators import assoc, graph, grid, kernels, stages, tiling
 from entitygraph.plans.config import PipelineConfig, RescueConfig, StitchConfig
 
 
+#: Stages between two writings of all rows, where they leave rows where they are.
+MOST_IN_PLACE = 5
+
+
 @dataclass
 class Run:
-    """The rows as they stand, and what each stage left."""
+    """The rows as they stand, and what each stage left; files of settled rows belong to the run, which deletes them when it has replaced them."""
 
     rows: DataFrame
     progression: list[dict] = field(default_factory=list)
 
     def step(self, name: str, stage: Callable[[DataFrame], DataFrame]) -> None:
-        """Apply a stage, write its result to the shared folder, and count entities."""
+        """Apply a stage and count entities.
+
+        The result is written to the shared folder where the stage moved rows, or several stages have not; files that it replaces are deleted.
+        """
         began = time.time()
-        self.rows = settle(stage(self.rows), name.lower().replace(" ", "-"))
+        before, self.rows = self.rows, stage(self.rows)
+        if getattr(self.rows, "_base", (None, MOST_IN_PLACE + 1))[1] > MOST_IN_PLACE:
+            self.rows = settle(self.rows, name.lower().replace(" ", "-"))
+            old = getattr(before, "_base", (before,))[0]
+            if hasattr(old, "_settled"):
+                discard(old)
         counts = L.stage_counts(self.rows, kind="etype").first().asDict()
         self.progression.append({"stage": name, **counts, "stage_seconds": time.time() - began})
 
@@ -40,6 +53,16 @@ def bootstrap_panel(points: DataFrame, cfg: PipelineConfig | None = None) -> tup
     )
 
 
+#: Side of the squares of space whose rows are written together.
+PLACE_SIDE = 4.0
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """The rows, written with their neighbours, so that stages that count them by place or entity add most of them up before a shuffle."""
+    placed = rows.withColumns({f"_b{c}": bin_of(c, PLACE_SIDE) for c in "xy"}).hint("rebalance", "_bx", "_by")
+    return settle(placed.drop("_bx", "_by"), "points")
+
+
 def _rule(r: RescueConfig) -> kernels.Admission:
     return kernels.Admission(mode=r.mode, mean_threshold=r.mean_threshold, min_threshold=r.min_threshold, negative=r.negative, percentile=r.percentile, real_signal=r.real_signal, guard=r.small_entity_guard)
 
@@ -47,13 +70,11 @@ def _rule(r: RescueConfig) -> kernels.Admission:
 def _rescue(run: Run, name: str, passes: int, r: RescueConfig, panel: DataFrame, guard: bool) -> None:
     """Passes until none admits a row; the final rescue also ends when one admits too few of the unassigned."""
     for k in range(passes):
-        taken = stages.rescue(run.rows, panel, r.bin_um, _rule(r), r.rank, r.z_bound_um, r.witness_cap, r.witness_divisor, r.witness_min, r.witness_tie, r.guard_peers if guard and r.guard_peers > 0 else None, r.guard_shield)
-        taken = settle(taken, "taken")
-        n = taken.count()
+        rows, n = stages.rescue_pass(run.rows, panel, r.bin_um, _rule(r), r.rank, r.z_bound_um, r.witness_cap, r.witness_divisor, r.witness_min, r.witness_tie, r.guard_peers if guard and r.guard_peers > 0 else None, r.guard_shield)
         if n == 0:
             break
         free = run.progression[-1]["n_unassigned"]
-        run.step(f"{name} {k + 1}", lambda rows, taken=taken: stages.apply_rescue(rows, taken))
+        run.step(f"{name} {k + 1}", lambda _, rows=rows: rows)
         if not guard and n < r.early_exit_ratio * free:
             break
 
@@ -94,12 +115,12 @@ def _finish(run: Run, panel: stages.Panel, table: DataFrame, cfg: PipelineConfig
     run.step("Stitch", lambda rows: _stitch(rows, panel, table, cfg, absent, z_bin))
     run.step("Demote", lambda rows: stages.demote_small(rows, cfg.demote.min_size))
     _rescue(run, "Final Rescue", cfg.final_rescue.passes, cfg.final_rescue, table, guard=False)
-    run.step("Finalize", lambda rows: L.finalize(rows, "entity", "cell"))
+    run.step("Finalize", lambda rows: in_place(rows, L.finalize(rows, "entity", "cell")))
 
 
 def _grouped(rows: DataFrame, panel: stages.Panel, cfg: PipelineConfig) -> DataFrame:
     g = cfg.group
-    return stages._relabel(rows, stages.density_cascade(rows, panel, g.bin_um, g.ceiling, g.floor, g.radius, g.threshold, g.min_size, g.coverage, g.hard_min))
+    return stages.apply_cascade(rows, panel, g.bin_um, g.ceiling, g.floor, g.radius, g.threshold, g.min_size, g.coverage, g.hard_min)
 
 
 def _z_bin(rows: DataFrame) -> float:
@@ -126,18 +147,18 @@ def segmented(points: DataFrame, panel: DataFrame, cfg: PipelineConfig | None =
     table = settle(panel, "panel")
     skip = stages.Panel(table)
     main = skip if nuclear else stages.Panel(table, absent)
-    run = Run(rows.withColumns({"entity": F.col("cell"), "etype": L.etype_of_label("cell")}))
+    run = Run(_placed(rows.withColumns({"entity": F.col("cell"), "etype": L.etype_of_label("cell")})))
     z_bin = _z_bin(run.rows)
     p = cfg.prune
     if nuclear:
         # By the plain mean a feature must reach the threshold of the conflicts.
         mean = p.threshold if p.mode == "mean" else p.mean_threshold
         rule = kernels.Admission(p.mode, mean, p.min_threshold, p.negative, p.percentile, p.real_signal, inclusive=p.mode == "mean")
-        run.step("Prune", lambda r: stages.prune(r, main, True, p.threshold, p.floor, rule, p.nuclear_only))
+        run.step("Prune", lambda r: stages.prune(r, main, True, p.threshold, p.floor, rule, p.nuclear_only, grouped=True))
         if cfg.reassign.enabled:
-            run.step("Reassign", lambda r: stages.reassign(r, main, cfg.reassign.margin))
+            run.step("Reassign", lambda r: stages.reassign(r, main, cfg.reassign.margin, grouped=True))
     else:
-        run.step("Prune", lambda r: stages.prune(r, main, False, p.threshold))
+        run.step("Prune", lambda r: stages.prune(r, main, False, p.threshold, grouped=True))
     run.step("Split", lambda r: stages.z_gap_split(r, cfg.split.gap, cfg.split.min_size, least_entity=cfg.split.min_entity_size))
     if nuclear and cfg.rerank.enabled:
         run.step("Rerank", lambda r: stages.rerank(r, cfg.rerank.margin))
@@ -159,7 +180,7 @@ def unsegmented(points: DataFrame, panel: DataFrame, cfg: PipelineConfig | None
     rows = rows if "nuclear" in rows.columns else rows.withColumn("nuclear", F.lit(False))
     table = settle(panel, "panel")
     dense = stages.Panel(table)
-    run = Run(rows.withColumns({"cell": F.lit("-1"), "entity": F.lit("-1"), "etype": F.lit("unknown")}))
+    run = Run(_placed(rows.withColumns({"cell": F.lit("-1"), "entity": F.lit("-1"), "etype": F.lit("unknown")})))
     run.step("Group", lambda r: _grouped(r, dense, cfg))
     _finish(run, dense, table, cfg, "skip", 1.0)
     return run

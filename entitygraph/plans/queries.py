@@ -79,7 +79,9 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return settle(assoc.centred_panel(assoc.association(assoc.pairs(assoc.presence(_points(spark, d))))), "panel")
+    """The panel of all points; what is present is written once, as pairs and marginals are counted from it several times."""
+    present = settle(assoc.presence(_points(spark, d)), "presence")
+    return settle(assoc.centred_panel(assoc.association(assoc.pairs(present))), "panel")
 
 
 def _sets(spark: SparkSession, d: str) -> DataFrame:
