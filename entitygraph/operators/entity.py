@@ -7,10 +7,12 @@ denominator, ``absent="zero"`` counts it there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,16 +113,101 @@ def coherence(sets: DataFrame, panel: DataFrame, tau: float = 0.0, absent: str =
     return sets.select("entity").distinct().join(sums, "entity", "left").select("entity", share("pos").alias("purity"), share("neg").alias("conflict")).withColumn("coherence", F.col("purity") - F.col("conflict"))
 
 
+#: Pairs of features that a worker looks up at once.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _coherences(panel, tau: float, absent: str) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """codes (of sets one after the other), their lengths, sizes of the sets with features outside the panel -> coherence of each set, by counts of pairs."""
+
+    def run(codes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        up, down, seen = (np.zeros(len(lengths), np.int64) for _ in range(3))
+        starts = np.cumsum(lengths) - lengths
+        for k in np.unique(lengths[lengths > 1]).tolist():
+            rows = np.flatnonzero(lengths == k)
+            step = max(1, PAIRS_AT_ONCE // (k * k))
+            for c in range(0, len(rows), step):
+                some = rows[c : c + step]
+                own = codes[starts[some][:, None] + np.arange(k)]
+                width = max(1, PAIRS_AT_ONCE // (k * len(some)))
+                for i in range(0, k - 1, width):
+                    ends = np.arange(i, min(k - 1, i + width))
+                    w = panel.of(own[:, ends][:, :, None], own[:, None, :])
+                    w = np.where(np.arange(k)[None, None, :] > ends[None, :, None], w, np.nan)
+                    up[some] += (w > tau).sum((1, 2))
+                    down[some] += (w < -tau).sum((1, 2))
+                    seen[some] += (~np.isnan(w)).sum((1, 2))
+        total = sizes * (sizes - 1) // 2 if absent == "zero" else seen
+        return np.where(total > 0, up / np.maximum(total, 1) - down / np.maximum(total, 1), 0.0)
+
+    return run
+
+
+def _coded(sets: DataFrame, panel, tau: float, absent: str) -> DataFrame:
+    """(entity, codes, others, c): of every entity its features' numbers in the panel, the features outside it, and its coherence."""
+    kind = dict(sets.dtypes)["entity"]
+    held = sets.groupBy("entity").agg(F.collect_set("feature").alias("features"))
+    names = panel.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, value = pa.array(names, pa.string()), _coherences(panel, tau, absent)
+        for batch in (b for b in batches if b.num_rows):
+            lists = batch.column("features")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            flat, owner = lists.flatten(), np.repeat(np.arange(len(n)), n)
+            code = pc.index_in(flat, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((code, owner))
+            order = order[code[order] >= 0]
+            known, out = np.bincount(owner[order], minlength=len(n)), np.flatnonzero(code < 0)
+            at = lambda m: pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32())
+            codes = pa.ListArray.from_arrays(at(known), pa.array(code[order], pa.int32()))
+            others = pa.ListArray.from_arrays(at(n - known), flat.take(pa.array(out)))
+            yield pa.RecordBatch.from_arrays([batch.column("entity"), codes, others, pa.array(value(code[order], known, n))], ["entity", "codes", "others", "c"])
+
+    return held.mapInArrow(run, f"entity {kind}, codes array<int>, others array<string>, c double")
+
+
 def delta_c(sets: DataFrame, sizes: DataFrame, candidates: DataFrame, panel: DataFrame, tau: float = 0.0, absent: str = "zero", penalized: bool = True) -> DataFrame:
     """The gain in coherence of merging candidate pairs (a, b): (a, b, c_union, c_a, c_b, delta_c).
 
-    ``sizes`` is (entity, n), n the size that the penalty 1/n uses.
+    ``sizes`` is (entity, n), n the size that the penalty 1/n uses.  An entity is one row, with its features by number; entities and
+    candidates meet by shuffles, as files that look small may hold many of them.
     """
-    c = coherence(sets, panel, tau, absent).select("entity", "coherence").join(sizes, "entity")
-    end = lambda s: c.select(F.col("entity").alias(s), F.col("coherence").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"))
-    merged = candidates.select("a", "b").distinct().withColumn("entity", F.concat_ws("|", "a", "b"))
+    from entitygraph.operators.stages import Panel
+
+    if panel.limit(Panel.MOST_PAIRS + 1).count() > Panel.MOST_PAIRS:
+        return _gain(_delta_c_joined(sets, sizes, candidates, panel, tau, absent), penalized)
+    table = Panel(panel)
+    one = settle(_coded(sets, table, tau, absent).join(sizes.select("entity", "n").hint("merge"), "entity"), "coded")
+    end = lambda s: one.select(F.col("entity").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("codes", "others", "c", "n")))
+    met = candidates.select("a", "b").distinct().join(end("a").hint("merge"), "a").join(end("b").hint("merge"), "b")
+    others = F.size(F.array_union("others_a", "others_b")).alias("others")
+    met = met.select("a", "b", F.array_union("codes_a", "codes_b").alias("codes"), others, "c_a", "c_b", "n_a", "n_b")
+    kind = dict(met.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = _coherences(table, tau, absent)
+        for batch in (b for b in batches if b.num_rows):
+            lists = batch.column("codes")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            c = value(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n, n + batch.column("others").to_numpy())
+            rest = [k for k in batch.schema.names if k not in ("codes", "others")]
+            yield pa.RecordBatch.from_arrays([pa.array(c), *(batch.column(k) for k in rest)], ["c_union", *rest])
+
+    joined = met.mapInArrow(run, ", ".join(["c_union double", *(f"{k} {kind[k]}" for k in ("a", "b", "c_a", "c_b", "n_a", "n_b"))]))
+    return _gain(joined, penalized)
+
+
+def _delta_c_joined(sets: DataFrame, sizes: DataFrame, candidates: DataFrame, panel: DataFrame, tau: float, absent: str) -> DataFrame:
+    """:func:`delta_c` before the penalty, for panels that are too large to be sent to the workers: pairs of features are rows."""
+    c = coherence(sets, panel, tau, absent).select("entity", "coherence").join(sizes.hint("merge"), "entity")
+    end = lambda s: c.select(F.col("entity").alias(s), F.col("coherence").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")).hint("merge")
+    merged = candidates.select("a", "b").distinct().withColumn("entity", F.concat_ws("|", "a", "b")).hint("merge")
     union = merged.join(sets.withColumnRenamed("entity", "a"), "a").select("entity", "feature").union(merged.join(sets.withColumnRenamed("entity", "b"), "b").select("entity", "feature")).distinct()
-    joined = merged.join(coherence(union, panel, tau, absent).select("entity", F.col("coherence").alias("c_union")), "entity").join(end("a"), "a").join(end("b"), "b")
+    return merged.join(coherence(union, panel, tau, absent).select("entity", F.col("coherence").alias("c_union")), "entity").join(end("a"), "a").join(end("b"), "b")
+
+
+def _gain(joined: DataFrame, penalized: bool) -> DataFrame:
     cost = lambda n: F.lit(1.0) / F.greatest(n, F.lit(1)) if penalized else F.lit(0.0)
     gain = F.col("c_union") - cost(F.col("n_a") + F.col("n_b")) - F.greatest(F.col("c_a") - cost(F.col("n_a")), F.col("c_b") - cost(F.col("n_b")))
     return joined.select("a", "b", "c_union", "c_a", "c_b", gain.alias("delta_c"))
@@ -136,7 +223,7 @@ def component_delta_c(sets: DataFrame, candidates: DataFrame, panel: DataFrame,
 
     single = value(sets)
     end = lambda s: single.select(F.col("entity").alias(s), F.col("c").alias(f"c_{s}"), F.col("k").alias(f"k_{s}"))
-    merged = candidates.select("a", "b").distinct().withColumn("entity", F.concat_ws("|", "a", "b"))
+    merged = candidates.select("a", "b").distinct().withColumn("entity", F.concat_ws("|", "a", "b")).hint("merge")
     union = merged.join(sets.withColumnRenamed("entity", "a"), "a").select("entity", "feature").union(merged.join(sets.withColumnRenamed("entity", "b"), "b").select("entity", "feature")).distinct()
     out = merged.join(value(union).select("entity", F.col("c").alias("c_union")), "entity").join(end("a"), "a").join(end("b"), "b")
     gain = F.when((F.col("k_a") == 1) & (F.col("k_b") == 1), F.lit(float("-inf"))).otherwise(F.col("c_union") - F.greatest("c_a", "c_b"))
@@ -254,7 +341,7 @@ def mahalanobis(cloud: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     names = ["xx", "xy", "xz", "yy", "yz", "zz"]
     end = lambda s: cloud.select(F.col("entity").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ["n", "mx", "my", "mz", *(f"c{k}" for k in names)]))
-    j = candidates.select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b")
+    j = candidates.select("a", "b").distinct().hint("merge").join(end("a"), "a").join(end("b").hint("merge"), "b")
     w = lambda k: ((F.col("n_a") - 1) * F.col(f"c{k}_a") + (F.col("n_b") - 1) * F.col(f"c{k}_b")) / (F.col("n_a") + F.col("n_b") - 2)
     j = j.withColumns({**{k: w(k) for k in names}, **{f"d{a}": F.col(f"m{a}_a") - F.col(f"m{a}_b") for a in "xyz"}})
     c = F.col
@@ -289,7 +376,8 @@ def top_clique(sets: DataFrame, panel: DataFrame, top: int = 5) -> DataFrame:
 def cross_mean(cliques: DataFrame, candidates: DataFrame, panel: DataFrame) -> DataFrame:
     """(a, b, mean): the mean observed weight between two entities' top features."""
     both = panel.select(F.col("gi").alias("f"), F.col("gj").alias("g"), "w").unionByName(panel.select(F.col("gj").alias("f"), F.col("gi").alias("g"), "w"))
-    j = candidates.select("a", "b").distinct().join(cliques.select(F.col("entity").alias("a"), F.col("feature").alias("f")), "a").join(cliques.select(F.col("entity").alias("b"), F.col("feature").alias("g")), "b")
+    top = lambda s, f: cliques.select(F.col("entity").alias(s), F.col("feature").alias(f)).hint("merge")
+    j = candidates.select("a", "b").distinct().join(top("a", "f"), "a").join(top("b", "g"), "b")
     return j.join(broadcast_if_small(both), ["f", "g"], "left").groupBy("a", "b").agg(F.avg("w").alias("mean"))
 
 

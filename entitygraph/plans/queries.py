@@ -444,8 +444,9 @@ def _candidates(spark, d):
     FROM cs JOIN c cu ON cu.entity = a || '|' || b JOIN c ca ON ca.entity = a JOIN c cb ON cb.entity = b JOIN s sa ON sa.entity = a JOIN s sb ON sb.entity = b""",
 )
 def delta_c_pairs(spark, d):
-    sizes = _points(spark, d).groupBy(F.col("cell").alias("entity")).agg(F.count("*").alias("n"))
-    return entity.delta_c(_sets(spark, d), sizes, _candidates(spark, d), _panel(spark, d), TAU).select("a", "b", *(rnd(c, c) for c in ("c_union", "c_a", "c_b", "delta_c")))
+    counts = settle(_points(spark, d).groupBy(F.col("cell").alias("entity"), "feature").agg(F.count("*").alias("n")), "counts")
+    sizes = counts.groupBy("entity").agg(F.sum("n").alias("n"))
+    return entity.delta_c(entity.features_of(counts), sizes, _candidates(spark, d), _panel(spark, d), TAU).select("a", "b", *(rnd(c, c) for c in ("c_union", "c_a", "c_b", "delta_c")))
 
 
 @register(
